@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from auditloom.llm import simhash_ball
+from auditloom.llm import bytecnn, langid, ordinal, simhash_ball
 
 QUERIES = {
+    "op1_ordinal_toxicity": ordinal.query,
+    "op2_language": langid.query,
+    "op3_byte_cnn": bytecnn.query,
     "op5_simhash_ball": simhash_ball.query,
 }
 SQL: dict[str, str] = {}
