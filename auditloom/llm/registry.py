@@ -1,13 +1,19 @@
-"""Queries of the training-data operators, by name."""
+"""Queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from auditloom.llm import bytecnn, langid, ordinal, simhash_ball
+from auditloom.llm import bytecnn, langid, ordinal, packing, pieces, pivots, secrets, simhash_ball, warc, weakrules
 
 QUERIES = {
     "op1_ordinal_toxicity": ordinal.query,
     "op2_language": langid.query,
     "op3_byte_cnn": bytecnn.query,
+    "op4_pivot_index": pivots.query,
     "op5_simhash_ball": simhash_ball.query,
+    "op6_piece_codec": pieces.query,
+    "op7_secret_links": secrets.query,
+    "op8_tier_packing": packing.query,
+    "op9_weak_rules": weakrules.query,
+    "op10_warc": warc.query,
 }
-SQL: dict[str, str] = {}
+SQL = {"op4_pivot_index": pivots.SQL}
