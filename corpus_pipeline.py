@@ -1,11 +1,57 @@
-"""Corpus cleaning pipeline; its stages follow as their operators are written."""
+"""Corpus cleaning pipeline: quality, toxicity, near-duplicates, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditloom.llm import bytecnn, ordinal, packing, secrets, simhash_ball
+from auditloom.llm.common import written
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the byte-level network rejects go."""
+    model = bytecnn.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
+    return bytecnn.with_score(docs, model, out="_score").where(F.col("_score") >= bytecnn.THRESHOLD).drop("_score")
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the ordinal regression calls toxic go."""
+    model = ordinal.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = ordinal.with_severity(docs, model)
+    return scored.where(~F.col("toxic")).select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """The document of the smallest id of each SimHash group stays; rows without an id stay."""
+    keep = simhash_ball.simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def secret_scan(spark, docs, sf_dir):
+    """Reported secrets are masked in the text, and n_chars follows."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of the remaining documents in sequences of several context lengths."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("packing", pack)]
+
+#: SQL can express neither the network nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, name)
     return docs
