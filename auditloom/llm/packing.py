@@ -53,6 +53,8 @@ _CUT = "id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens big
 def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = TIERS[0]) -> DataFrame:
     """Pieces of each document: full windows of `size` with their checksum, and the rest as `tail` (ids as unsigned 32-bit integers)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    types = {"ids_crc32": "Int64"} | ({"id": "Int64"} if kind == "bigint" else {})
 
     def run(batches):
         encode = encoder(tokenizer)
@@ -65,9 +67,9 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 out += [(i, at, size, crc(ids[at:at + size]), len(ids), None) for at in range(0, full, size)]
                 if full < len(ids):
                     out.append((i, full, len(ids) - full, None, len(ids), ids[full:].astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "tail"]).astype({"ids_crc32": "Int64", "id": "Int64"} if rows.schema["id"].dataType.typeName() == "long" else {"ids_crc32": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "tail"]).astype(types)
 
-    return rows.mapInPandas(run, _CUT.format(kind=rows.schema["id"].dataType.simpleString()))
+    return rows.mapInPandas(run, _CUT.format(kind=kind))
 
 
 def pack_group(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:

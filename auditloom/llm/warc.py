@@ -83,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
             for page, url, html, to in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out, done = store.open_output_stream(f"{folder}/{name}"), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out, done = store.open_output_stream(f"{folder}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
                 rec = record(None if pd.isna(page) else str(page), url, html.encode("utf-8", "surrogatepass"), None if pd.isna(to) else str(to), date)
                 out.write(done.compress(rec))
                 n, size = n + 1, size + len(rec)
@@ -161,7 +161,7 @@ def normalise(archives: DataFrame, path: str, level: int = 3) -> DataFrame:
             for source in pdf["archive"]:
                 name, at, n = uuid.uuid4().hex, 0, 0
                 src_store, src = opened(source)
-                with src_store.open_input_stream(src, compression=None) as raw, store.open_output_stream(f"{folder}/{name}.warc.gz", compression=None) as out, store.open_output_stream(f"{folder}/{name}.idx") as idx:
+                with src_store.open_input_stream(src, compression=None) as raw, store.open_output_stream(f"{folder}/{name}.warc.gz", compression=None) as out, store.open_output_stream(f"{folder}/{name}.idx", compression=None) as idx:
                     for rec in split_records(inflated(raw)):
                         z = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = z.compress(rec) + z.flush()
