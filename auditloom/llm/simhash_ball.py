@@ -70,7 +70,7 @@ def ball_links(reps: DataFrame, radius: int = 2) -> DataFrame:
         pairs = variants.select("rep", "fp", F.lag("rep").over(w).alias("other"), F.lag("fp").over(w).alias("other_fp"))
     else:
         earlier = F.collect_list(F.struct("rep", "fp")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        pairs = variants.select("rep", "fp", F.explode(earlier).alias("e")).select(
+        pairs = variants.select("rep", "fp", earlier.alias("earlier")).select("rep", "fp", F.explode("earlier").alias("e")).select(
             "rep", "fp", F.col("e.rep").alias("other"), F.col("e.fp").alias("other_fp"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius
     return pairs.where(F.col("other").isNotNull() & near).select(F.col("other").alias("a"), F.col("rep").alias("b")).distinct()
