@@ -110,6 +110,10 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", sc
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = {k: F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(BASE)}
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    n = {k: count(i) for i, k in enumerate(BASE)}
     return scan(docs).select("doc_id", *[c.alias(f"n_{k}") for k, c in n.items()], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
                              _listed(F.concat("base", "linked")).alias("spans"))
