@@ -1 +1,163 @@
-"""Queries of this part follow."""
+"""Queries of path search, scoring, selection and timelines. The events span 30 days, so spans and gaps are days."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditloom.operators import compact as C
+from auditloom.operators import paths as P
+from auditloom.operators.scratch import written
+from auditloom.plans.compact_plans import events, labels
+from auditloom.plans.fixture import duck
+from auditloom.plans.label_plans import BEHAVIOUR, BRIDGES, PROCS, behaviours, bridges
+from auditloom.plans.registry import query
+
+DAY = 86_400
+
+
+def all_labels(spark, d):
+    return behaviours(spark, d).select("task_id", F.col("process_guid").alias("entity"), "label").union(labels(spark, d)[0].select("task_id", "entity", "label")).distinct()
+
+
+ALL = f"{BEHAVIOUR}, al AS (SELECT task_id, process_guid AS entity, label FROM beh UNION SELECT task_id, entity, label FROM pl)"
+STATES = "states AS (SELECT task_id, process_guid, parent_process_guid, min(us) AS first_us, max(us) AS last_us FROM pe GROUP BY ALL)"
+EDGES = BRIDGES + f""", {STATES}, ed AS (SELECT c.task_id, c.parent_process_guid AS src, c.process_guid AS dst, 'parent' AS kind, c.first_us AS edge_us, 0.0 AS confidence FROM states c JOIN states p ON p.task_id = c.task_id AND p.process_guid = c.parent_process_guid
+ UNION ALL SELECT task_id, src, dst, 'bridge', read_us, confidence FROM br)"""
+
+
+def states(spark, d):
+    return C.process_states(events(spark, d))
+
+
+def edges(spark, d):
+    return P.process_edges(states(spark, d), bridges(spark, d))
+
+
+@query("i01_process_edges", duck(f"WITH {EDGES} SELECT task_id, src, dst, kind, edge_us, CAST(confidence AS DOUBLE) AS confidence FROM ed"))
+def i01(spark, d):
+    return edges(spark, d)
+
+
+@query("i02_seed_processes", duck(f"WITH {ALL} SELECT DISTINCT task_id, entity AS process FROM al WHERE label LIKE 'B\\_%' ESCAPE '\\' OR label IN ('P_WEB_CTX', 'P_REMOTE_CTX', 'P_UNTRUSTED_CTX')"))
+def i02(spark, d):
+    return P.seed_processes(all_labels(spark, d))
+
+
+def found(spark, d):
+    return P.search_paths(edges(spark, d), P.seed_processes(labels(spark, d)[0]), 4, 20 * DAY, 10 * DAY)
+
+
+SEARCH = EDGES + f""", seeds AS (SELECT DISTINCT task_id, entity AS process FROM pl WHERE label IN ('P_WEB_CTX', 'P_REMOTE_CTX', 'P_UNTRUSTED_CTX')), e2 AS (SELECT task_id, src, dst, edge_us, max(confidence) AS c, max(CAST(kind = 'bridge' AS INT)) AS b FROM ed GROUP BY ALL),
+ l2 AS (SELECT task_id, [process, dst] AS chain, min((edge_us, edge_us, b, c)) AS x FROM seeds JOIN e2 USING (task_id) WHERE src = process AND dst <> process GROUP BY ALL),
+ l3 AS (SELECT task_id, list_append(chain, dst) AS chain, min((edge_us, x[2], x[3] + b, x[4] + c)) AS x FROM l2 JOIN e2 USING (task_id) WHERE src = chain[2] AND NOT list_contains(chain, dst) AND edge_us >= x[1] AND edge_us - x[2] <= {20 * DAY * 1_000_000} AND edge_us - x[1] <= {10 * DAY * 1_000_000} GROUP BY ALL),
+ l4 AS (SELECT task_id, list_append(chain, dst) AS chain, min((edge_us, x[2], x[3] + b, x[4] + c)) AS x FROM l3 JOIN e2 USING (task_id) WHERE src = chain[3] AND NOT list_contains(chain, dst) AND edge_us >= x[1] AND edge_us - x[2] <= {20 * DAY * 1_000_000} AND edge_us - x[1] <= {10 * DAY * 1_000_000} GROUP BY ALL),
+ found AS (SELECT task_id, chain, x[2] AS start_us, x[1] AS last_us, x[3] AS bridges, CAST(x[4] AS DOUBLE) AS confidence FROM (SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4))"""
+
+
+@query("i03_search_paths", duck(f"WITH {SEARCH} SELECT task_id, chain, start_us, last_us, bridges, round(confidence, 6) AS confidence FROM found"))
+def i03(spark, d):
+    return found(spark, d).withColumn("confidence", F.round("confidence", 6))
+
+
+def staged(spark, d):
+    return written(P.path_stages(found(spark, d), all_labels(spark, d)), "stages")
+
+
+@query("i04_path_stages")
+def i04(spark, d):
+    return staged(spark, d).select("task_id", "chain", "stages", "weak_only")
+
+
+@query("i05_trim_paths")
+def i05(spark, d):
+    return P.trim_paths(staged(spark, d), 12).select("task_id", "path_id")
+
+
+def priors(spark, d):
+    e = events(spark, d)
+    return e.groupBy("task_id").agg(F.lit(0.5).alias("task_score"), F.slice(F.array_sort(F.collect_set("process_guid")), 1, 5).alias("top_processes"), F.array(F.lit("p1>p11")).alias("top_edges"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+def scored(spark, d):
+    return written(P.score_paths(P.trim_paths(staged(spark, d), 40), priors(spark, d)), "scored")
+
+
+@query("i06_score_paths")
+def i06(spark, d):
+    return scored(spark, d).select("task_id", "path_id", F.round("risk_score", 6).alias("risk_score"), "risk_level")
+
+
+def supported(spark, d):
+    lab = behaviours(spark, d).select("task_id", "event_id").distinct()
+    e = events(spark, d).join(lab, ["task_id", "event_id"], "left_semi").select("task_id", "process_guid", "event_id", "order_index", "object_key")
+    return written(P.path_support(scored(spark, d), e, bridges(spark, d)), "support")
+
+
+@query("i07_path_support")
+def i07(spark, d):
+    return supported(spark, d).select("path_id", "support_events", "support_objects", "relations")
+
+
+def tagged(spark, d):
+    p = supported(spark, d)
+    text = p.select("path_id", F.concat_ws(" ", "support_objects", "relations").alias("text"))
+    return written(P.family_tags(p, text), "families"), text
+
+
+@query("i08_family_tags")
+def i08(spark, d):
+    return tagged(spark, d)[0].select("path_id", "families")
+
+
+@query("i09_truth_hints")
+def i09(spark, d):
+    p, text = tagged(spark, d)
+    return P.truth_hints(p, text).select("path_id", "hints")
+
+
+@query("i10_rescue_precursor", duck(f"""WITH {STATES}, pre AS (SELECT DISTINCT task_id, process_guid FROM pe WHERE object_class = 'temp_file' AND event_type = 'EXEC' AND user_id % 4 = 0), own AS (SELECT s.* FROM states s JOIN pre USING (task_id, process_guid)),
+ x AS (SELECT task_id, process_guid, first_us FROM own UNION SELECT s.task_id, s.process_guid, s.first_us FROM states s JOIN own o ON o.task_id = s.task_id AND o.parent_process_guid = s.parent_process_guid AND abs(s.first_us - o.first_us) <= 3600000000),
+ r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY first_us, process_guid) AS r FROM x) SELECT task_id, list(process_guid ORDER BY r) AS chain FROM r WHERE r <= 6 GROUP BY task_id"""))
+def i10(spark, d):
+    pre = events(spark, d).where("object_class = 'temp_file' and event_type = 'EXEC' and user_id % 4 = 0").select("task_id", "process_guid", "event_id")
+    none = spark.createDataFrame([], "task_id string, families array<string>")
+    return P.rescue_precursor(pre, states(spark, d), none, 3600)
+
+
+@query("i11_select_paths")
+def i11(spark, d):
+    return P.select_paths(tagged(spark, d)[0], 10).select("task_id", "path_id", "rank")
+
+
+@query("i12_rerank_paths")
+def i12(spark, d):
+    prov = all_labels(spark, d).withColumnRenamed("entity", "holder")
+    return P.rerank_paths(supported(spark, d), prov, events(spark, d)).select("path_id", "support_quality", F.round("risk_score", 6).alias("risk_score"), "risk_level")
+
+
+@query("i13_path_summaries", duck(f"""WITH {SEARCH}, {PROCS} SELECT p.task_id, p.n AS processes, coalesce(s.n, 0) AS suspicious, coalesce(b.n, 0) AS bridges, coalesce(f.n, 0) AS paths, coalesce(f.best, 0) AS best_risk FROM (SELECT task_id, count(DISTINCT process_guid) AS n FROM procs GROUP BY 1) p
+ LEFT JOIN (SELECT task_id, count(*) AS n FROM seeds GROUP BY 1) s USING (task_id) LEFT JOIN (SELECT task_id, count(*) AS n FROM br GROUP BY 1) b USING (task_id) LEFT JOIN (SELECT task_id, count(*) AS n, CAST(max(len(chain)) AS DOUBLE) AS best FROM found GROUP BY 1) f USING (task_id)"""))
+def i13(spark, d):
+    p = found(spark, d).withColumn("risk_score", F.size("chain").cast("double"))
+    return P.path_summaries(states(spark, d), labels(spark, d)[0], p, bridges(spark, d))
+
+
+@query("i14_timeline", duck(f"""WITH {BEHAVIOUR}, trig AS (SELECT task_id, event_id, list(label ORDER BY label) AS labs FROM beh GROUP BY ALL), s AS (SELECT e.task_id || ':' || e.process_guid AS path_id, e.task_id, e.event_id, e.order_index,
+ CASE WHEN e.event_id % 50 = 0 THEN 100 ELSE 0 END + CASE WHEN labs IS NULL THEN 0 ELSE 40 + 12 * len(labs) END + CASE WHEN len(list_filter(coalesce(labs, []), lambda x: x LIKE 'B%')) > 0 THEN 20 ELSE 0 END + CASE WHEN event_type <> 'READ' THEN 8 ELSE 0 END
+ + CASE WHEN object_class IN ('temp_file', 'credential_file', 'history_file', 'business_file', 'persistence_file', 'external_ip') THEN 8 ELSE 0 END + CASE WHEN object_class = 'temp_file' THEN 10 ELSE 0 END + CASE WHEN object_type = 'flow' THEN 6 ELSE 0 END AS priority FROM pe e LEFT JOIN trig USING (task_id, event_id))
+SELECT path_id, task_id, event_id, order_index, priority FROM (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY priority DESC, order_index, event_id) AS r FROM s) WHERE r <= 24"""))
+def i14(spark, d):
+    e = events(spark, d)
+    lab = behaviours(spark, d).groupBy("task_id", "event_id").agg(F.array_sort(F.collect_set("label")).alias("labels_triggered"))
+    e = e.join(lab, ["task_id", "event_id"], "left").withColumn("labels_triggered", F.coalesce("labels_triggered", F.array().cast("array<string>")))
+    one = e.select("task_id", F.concat("task_id", F.lit(":"), "process_guid").alias("path_id"), F.array("process_guid").alias("chain")).distinct()
+    return P.timeline(one, e, e.where("event_id % 50 = 0"))
+
+
+@query("i15_dossiers")
+def i15(spark, d):
+    p = P.select_paths(tagged(spark, d)[0], 3)
+    e = events(spark, d).withColumn("labels_triggered", F.array().cast("array<string>"))
+    t = P.timeline(p, e, bridges(spark, d).select("task_id", F.col("write_event").alias("event_id")))
+    return P.dossiers(p, t).select("task_id", "path_id", F.col("path.risk_level").alias("risk_level"), F.size("timeline").alias("items"))
+
