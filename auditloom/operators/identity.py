@@ -216,10 +216,10 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
     Intervals are dealt to time buckets, which join as equality; a pair counts in the bucket where its overlap begins.
     Ends are whole numbers; `bucket` is about the usual length of an interval."""
     def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.greatest(F.col(lo), F.col(hi)) / bucket))))
+        return df.withColumn("_time_bucket", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.greatest(F.col(lo), F.col(hi)) / bucket))))
 
-    pairs = dealt(left.where("lo is not null and hi is not null"), "lo", "hi").join(dealt(right.where("rlo is not null and rhi is not null"), "rlo", "rhi"), [*keys, "_b"])
-    pairs = pairs.where((F.col("lo") <= F.col("rhi")) & (F.col("rlo") <= F.col("hi")) & (F.floor(F.greatest("lo", "rlo") / bucket) == F.col("_b"))).drop("_b")
+    pairs = dealt(left.where("lo is not null and hi is not null"), "lo", "hi").join(dealt(right.where("rlo is not null and rhi is not null"), "rlo", "rhi"), [*keys, "_time_bucket"])
+    pairs = pairs.where((F.col("lo") <= F.col("rhi")) & (F.col("rlo") <= F.col("hi")) & (F.floor(F.greatest("lo", "rlo") / bucket) == F.col("_time_bucket"))).drop("_time_bucket")
     return pairs
 
 

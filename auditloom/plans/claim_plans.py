@@ -1 +1,145 @@
-"""Queries of this part follow."""
+"""Queries of claims and ATT&CK mapping. Each process of each task is a path here; documents and the benchmark stand for queries and knowledge base."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditloom.operators import claims as J
+from auditloom.plans.compact_plans import events
+from auditloom.plans.fixture import duck, table
+from auditloom.plans.registry import query
+
+TL = "tl AS (SELECT task_id || ':' || process_guid AS path_id, * FROM pe)"
+
+
+def timeline(spark, d):
+    return events(spark, d).withColumn("path_id", F.concat("task_id", F.lit(":"), "process_guid"))
+
+
+SIGNALS = f"""{TL}, sg AS (SELECT path_id, event_id, order_index, us, process_guid, signal FROM (SELECT *, unnest([CASE WHEN event_type = 'RECV' AND object_class = 'external_ip' THEN 'recv' END, CASE WHEN event_type = 'SEND' AND object_class = 'external_ip' THEN 'send' END, CASE WHEN event_type = 'EXEC' THEN 'exec' END,
+ CASE WHEN event_type = 'EXEC' AND object_class = 'temp_file' THEN 'temp_exec' END, CASE WHEN event_type = 'WRITE' AND object_class = 'temp_file' THEN 'temp_write' END, CASE WHEN event_type = 'READ' AND object_class IN ('credential_file', 'history_file', 'business_file') THEN 'sensitive' END,
+ CASE WHEN event_type = 'SEND' AND object_class = 'internal_ip' THEN 'internal' END, CASE WHEN event_type = 'WRITE' AND object_class = 'persistence_file' THEN 'persistence' END, CASE WHEN event_type = 'WRITE' AND object_class = 'log_file' THEN 'log_write' END, CASE WHEN object_type = 'flow' THEN 'any_flow' END]) AS signal FROM tl) WHERE signal IS NOT NULL)"""
+
+
+def signals(spark, d):
+    return J.claim_signals(timeline(spark, d))
+
+
+@query("j01_claim_signals", duck(f"WITH {SIGNALS} SELECT path_id, signal, event_id FROM sg"))
+def j01(spark, d):
+    return signals(spark, d).select("path_id", "signal", "event_id")
+
+
+@query("j02_ordered_pairs", duck(f"WITH {SIGNALS} SELECT a.path_id, a.event_id AS earlier_id, b.event_id AS later_id, true AS same_process FROM sg a JOIN sg b ON a.path_id = b.path_id AND a.signal = 'temp_write' AND b.signal = 'temp_exec' AND a.order_index < b.order_index AND b.us - a.us BETWEEN 0 AND 1440 * 60000000::BIGINT"))
+def j02(spark, d):
+    return J.ordered_pairs(signals(spark, d), "temp_write", "temp_exec", 1440)
+
+
+RULES = "rl AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{x}', {repr(b) if b else 'NULL'}, {c}, '{J.ATOMS[a][0]}')" for a, (xs, b, c) in J.CLAIM_RULES.items() for x in xs) + ") v(behavior, signal, need, confidence, stage))"
+CAT = "cat AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {J.STAGES.index(s)}, {t!r}, {repr(k) if k else 'NULL'}, {p!r}::VARCHAR[])" for a, (s, t, k, p) in J.ATOMS.items()) + ") v(behavior, stage_order, tactics, technique, prerequisites))"
+CLAIMS = f"{SIGNALS}, {RULES}, {CAT}, cl AS (SELECT s.path_id, r.behavior, r.stage, CAST(max(r.confidence) AS DOUBLE) AS confidence, list(s.event_id ORDER BY s.order_index)[:8] AS evidence FROM sg s JOIN rl r ON r.signal = s.signal WHERE r.need IS NULL OR EXISTS (SELECT 1 FROM sg b WHERE b.path_id = s.path_id AND b.signal = r.need AND b.order_index < s.order_index) GROUP BY ALL)"
+
+
+def claims(spark, d):
+    return J.build_claims(signals(spark, d))
+
+
+@query("j03_build_claims", duck(f"WITH {CLAIMS} SELECT * FROM cl"))
+def j03(spark, d):
+    return claims(spark, d)
+
+
+@query("j04_elevate_fallbacks", duck(f"WITH {TL} SELECT DISTINCT b.path_id, b.event_id FROM tl a JOIN tl b ON a.path_id = b.path_id AND a.event_type = 'EXEC' AND b.event_type = 'EXEC' AND a.object_class = 'temp_file' AND b.order_index > a.order_index AND b.us - a.us BETWEEN 0 AND 86400000000"))
+def j04(spark, d):
+    t = timeline(spark, d)
+    return J.elevate_fallbacks(t, t.where("object_class = 'temp_file'"), 86_400)
+
+
+@query("j05_claim_graph", duck(f"WITH {CLAIMS}, want AS (SELECT path_id, behavior AS dst, unnest(prerequisites) AS src FROM cl JOIN cat USING (behavior)) SELECT w.path_id, src, dst, EXISTS (SELECT 1 FROM cl WHERE cl.path_id = w.path_id AND cl.behavior = w.src) AS matched FROM want w"))
+def j05(spark, d):
+    edges, diag = J.claim_graph(claims(spark, d))
+    cat = J.catalogue(spark).select("behavior", F.explode("prerequisites").alias("src"))
+    miss = diag.select("path_id", F.explode("missing").alias("src"))
+    gone = claims(spark, d).join(cat, "behavior").join(miss, ["path_id", "src"]).select("path_id", "src", F.col("behavior").alias("dst"), F.lit(False).alias("matched"))
+    return edges.withColumn("matched", F.lit(True)).union(gone)
+
+
+@query("j06_validate_claims", duck(f"WITH {CLAIMS} SELECT path_id, behavior, list_sort(list_filter(evidence, lambda x: x % 2 = 0)) AS evidence FROM cl WHERE behavior <> 'clear_logs' AND len(list_filter(evidence, lambda x: x % 2 = 0)) > 0"))
+def j06(spark, d):
+    c = claims(spark, d).withColumn("statement", F.when(F.col("behavior") == "clear_logs", "Some suspicious activity").otherwise(F.col("behavior")))
+    return J.validate_claims(c, timeline(spark, d).where("event_id % 2 = 0")).select("path_id", "behavior", "evidence")
+
+
+@query("j07_merge_claims", duck(f"WITH {CLAIMS}, a AS (SELECT * FROM cl WHERE behavior < 'p'), b AS (SELECT path_id, behavior, confidence + 0.01 AS c, [-1] AS e FROM cl WHERE behavior > 'l') SELECT coalesce(a.path_id, b.path_id) AS path_id, coalesce(a.behavior, b.behavior) AS behavior, round(greatest(confidence, c), 6) AS confidence, list_sort(list_concat(coalesce(evidence, []), coalesce(e, []))) AS evidence FROM a FULL JOIN b ON a.path_id = b.path_id AND a.behavior = b.behavior"))
+def j07(spark, d):
+    c = claims(spark, d)
+    extra = c.where("behavior > 'l'").withColumn("confidence", F.col("confidence") + 0.01).withColumn("evidence", F.array(F.lit(-1).cast("long")))
+    return J.merge_claims(c.where("behavior < 'p'"), extra).withColumn("confidence", F.round("confidence", 6))
+
+
+WORDS = r"""list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
+KB = rf"""tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({WORDS}) AS term FROM (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM benchmark)) GROUP BY ALL), dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ ww AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) * 1.0 / (1 + df)) + 1) AS w FROM tf JOIN dfq USING (term)), kb AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM ww)"""
+
+
+@query("j08_kb_index", f"WITH {KB} SELECT id, term, round(weight, 6) AS weight FROM kb")
+def j08(spark, d):
+    return J.kb_index(table(spark, d, "benchmark"), "item_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+@query("j09_retrieve_candidates", rf"""WITH {KB}, q AS (SELECT doc_id AS query, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM documents)) GROUP BY ALL), s AS (SELECT query, id, sum(q.tf * weight) AS s FROM q JOIN kb USING (term) GROUP BY ALL)
+SELECT query, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT query, id, s / max(s) OVER (PARTITION BY query) AS score FROM s)) WHERE rank <= 3""")
+def j09(spark, d):
+    q = J.terms(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "query")
+    return J.retrieve_candidates(q, J.kb_index(table(spark, d, "benchmark"), "item_id", "text"), k=3).withColumn("score", F.round("score", 6))
+
+
+@query("j10_query_terms", duck(f"WITH {CLAIMS} SELECT path_id, list_sort(list_distinct(list_concat(['callback c2', 'curl'], list(replace(behavior, '_', ' '))))) AS query_terms FROM cl GROUP BY path_id"))
+def j10(spark, d):
+    p = claims(spark, d).groupBy("path_id").agg(F.collect_set("behavior").alias("behaviors")).withColumn("families", F.array(F.lit("callback_c2"))).withColumn("text", F.lit("ran curl there"))
+    return J.query_terms(p).select("path_id", "query_terms")
+
+
+@query("j11_claim_priors", duck(f"WITH {CLAIMS} SELECT path_id, behavior, tactics[1] AS preferred_tactic, technique FROM cl JOIN cat USING (behavior)"))
+def j11(spark, d):
+    return J.claim_priors(claims(spark, d)).select("path_id", "behavior", "preferred_tactic", "technique")
+
+
+@query("j12_candidates", duck(f"""WITH {CLAIMS}, pr AS (SELECT * FROM cl JOIN cat USING (behavior)), u AS (SELECT DISTINCT path_id, 'TA0040' AS attack_id, 0.5 AS score FROM pr UNION ALL SELECT path_id, tactics[1], 0.98 FROM pr UNION ALL SELECT path_id, technique, 1.02 FROM pr WHERE technique IS NOT NULL)
+SELECT path_id, attack_id, CAST(max(score) AS DOUBLE) AS score FROM u WHERE attack_id <> 'TA0040' GROUP BY ALL"""))
+def j12(spark, d):
+    p = J.claim_priors(claims(spark, d))
+    base = p.select("path_id", F.lit("TA0040").alias("attack_id"), F.lit(0.5).alias("score")).distinct()
+    return J.prune_candidates(J.augment_candidates(base, p), p)
+
+
+MAPPED = f"{CLAIMS}, mp AS (SELECT path_id, tactic, behavior, confidence FROM (SELECT *, row_number() OVER (PARTITION BY path_id, tactic ORDER BY confidence DESC, behavior) AS r FROM (SELECT path_id, unnest(tactics) AS tactic, behavior, confidence FROM cl JOIN cat USING (behavior) WHERE confidence >= 0.72)) WHERE r = 1)"
+
+
+@query("j13_map_tactics", duck(f"WITH {MAPPED} SELECT * FROM mp"))
+def j13(spark, d):
+    return J.map_tactics(claims(spark, d))
+
+
+@query("j14_validate_mappings", duck(f"WITH {CLAIMS}, x AS (SELECT path_id, 'TA0005' AS tactic, behavior FROM cl UNION ALL SELECT DISTINCT path_id, 'TA0005', 'ghost' FROM cl) SELECT path_id, tactic, x.behavior, CASE WHEN cat.behavior IS NULL THEN 'no_claim' WHEN NOT list_contains(tactics, tactic) THEN 'tactic_not_allowed' END AS problem FROM x LEFT JOIN cat ON cat.behavior = x.behavior"))
+def j14(spark, d):
+    c = claims(spark, d)
+    raw = c.select("path_id", F.lit("TA0005").alias("tactic"), "behavior").union(c.select("path_id", F.lit("TA0005"), F.lit("ghost")).distinct())
+    return J.validate_mappings(raw, J.claim_priors(c)).select("path_id", "tactic", "behavior", "problem")
+
+
+@query("j15_backfill_and_guard", duck(f"WITH {MAPPED}, g AS (SELECT * FROM mp WHERE NOT (tactic IN ('TA0006', 'TA0007') AND confidence < 0.8)) SELECT path_id, tactic, behavior FROM g UNION ALL SELECT path_id, 'TA0043', behavior FROM cl WHERE behavior = 'lateral_connect' AND path_id NOT IN (SELECT path_id FROM g WHERE tactic = 'TA0043')"))
+def j15(spark, d):
+    c = claims(spark, d)
+    return J.backfill_tactics(J.guard_mappings(J.map_tactics(c)), c, {"lateral_connect": "TA0043"})
+
+
+@query("j16_evidence_support_rate", duck(f"WITH {MAPPED} SELECT path_id, CASE WHEN path_id IN (SELECT path_id FROM mp) THEN 1.0 ELSE 0.5 END AS rate FROM (SELECT DISTINCT path_id FROM cl)"))
+def j16(spark, d):
+    c = claims(spark, d)
+    return J.evidence_support_rate(c, J.map_tactics(c))
+
+
+@query("j17_indicators", duck(f"WITH {TL} SELECT DISTINCT path_id, 'path' AS kind, object_key AS value FROM tl WHERE object_type = 'file' UNION SELECT DISTINCT path_id, 'ip', unnest(regexp_extract_all(object_key, '\\d+\\.\\d+\\.\\d+\\.\\d+')) FROM tl WHERE object_type = 'flow'"))
+def j17(spark, d):
+    return J.indicators(timeline(spark, d))
