@@ -20,8 +20,7 @@ def text(c: Column | str) -> Column:
 
 
 def blank_to_null(c: Column | str) -> Column:
-    t = text(c)
-    return F.when(t != "", t)
+    return F.nullif(text(c), F.lit(""))
 
 
 def any_of(tests) -> Column:
@@ -57,21 +56,19 @@ _SCALAR_KEYS = ["string", "int", "long", "float", "double", "boolean", "uuid", "
 def unwrap_scalar(json: Column | str) -> Column:
     """Scalar of an Avro-style union as JSON text: `{"string": x}` by key priority, the only entry of a one-entry object,
     the first useful element of an array, or the scalar itself; two levels deep. Empty if there is none."""
-    j = text(json)
 
     def level(v: Column) -> Column:
         keyed = F.coalesce(*[F.get_json_object(v, f"$.{k}") for k in _SCALAR_KEYS])
-        only = F.from_json(v, "map<string,string>")
-        return F.when(v.startswith("{"), F.coalesce(keyed, F.when(F.size(F.map_keys(only)) == 1, F.map_values(only)[0]))).when(
-            v.startswith("["), F.coalesce(*[F.get_json_object(v, f"$[{i}]") for i in range(4)])).otherwise(v)
+        only = let(F.from_json(v, "map<string,string>"), lambda m: F.when(F.size(F.map_keys(m)) == 1, F.get(F.map_values(m), F.lit(0))))
+        element = F.coalesce(*[F.get_json_object(v, f"$[{i}]") for i in range(4)])
+        return F.coalesce(F.when(v.startswith("{"), F.coalesce(keyed, only)).when(v.startswith("["), element).otherwise(v), F.lit(""))
 
-    one = F.coalesce(level(j), F.lit(""))
-    return F.coalesce(level(one), F.lit(""))
+    return let(let(text(json), level), level)
 
 
 def first_non_empty(*cs: Column | str) -> Column:
     """First of several texts that is not blank, empty if all are."""
-    return F.coalesce(*[blank_to_null(c) for c in cs], F.lit(""))
+    return F.coalesce(F.get(F.filter(F.array(*[text(c) for c in cs]), lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
 # B2, B6
