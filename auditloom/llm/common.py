@@ -53,6 +53,23 @@ def id_bucket(id_col: str | Column, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """(_id, _y): ids of docs with a label that is not negative; the largest label of an id counts. Reads no text."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y >= 0").groupBy("_id").agg(F.max("_y").alias("_y"))
+    return known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+
+
+def sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most `most` rows of ids, chosen by a hash of the id."""
+    return ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(most)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _y, _text) of a bounded sample of ids, which is broadcast, so other texts are never shuffled; a repeated id counts once, with its smallest text."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected edge list (columns a, b of one orderable type) -> (node, component = smallest node).
 

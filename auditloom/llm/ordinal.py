@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import id_bucket
+from auditloom.llm.common import labelled_ids, sampled, texts_of, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -31,7 +31,7 @@ def features(text: str | None) -> set[str]:
 
 
 def grade_counts(labelled: DataFrame, max_share: float = 0.2) -> DataFrame:
-    """(feature, high, n): documents of grade above 0 and all documents that hold the feature, over every labelled row.
+    """(feature, high, n): documents of grade above 0 and all documents that hold the feature.
 
     Features go to a partial aggregation before the shuffle, so a word of every text costs a row for each task."""
 
@@ -81,19 +81,21 @@ def fit(x: list[list[int]], grade: np.ndarray, n_features: int, n_grades: int, e
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-          sample: int = 6000, size: int = 2000, grades: tuple[int, ...] = (1, 3, 6)) -> dict | None:
-    """Screen features over all labelled rows, then fit on at most `sample` of them, half of grade above 0 where there are enough.
+          screened: int = 60_000, sample: int = 6000, size: int = 2000, grades: tuple[int, ...] = (1, 3, 6)) -> dict | None:
+    """Screen features on at most `screened` labelled rows, then fit on at most `sample` of them, half of grade above 0 where there are enough.
+
+    Both bounds are of rows chosen by a hash of the id.
 
     A label column with values above 1 gives the grades as they are. A 0/1 label is graded by evidence: a text
     marked 1 gets one grade for each entry of `grades` that its number of screened words reaches (one at least).
     None (nothing is toxic) if a class is missing. Null labels and ids are never learned; an id with several
     labels counts with the largest.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y >= 0").groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
+    known = written(sampled(labelled_ids(docs, labels, label, id_col), screened, 5), "labelled")
     n_all, n_high, top = known.agg(F.count("*"), F.sum((F.col("_y") > 0).cast("long")), F.max("_y")).first()
     if not n_all or not n_high or n_high == n_all:
         return None
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known, "_id").withColumn("_high", (F.col("_y") > 0).cast("long"))
+    rows = written(texts_of(docs, known, id_col, text_col).withColumn("_high", (F.col("_y") > 0).cast("long")), "labelled")
     vocab = screen(grade_counts(rows), n_high, n_all, size)
     if not vocab:
         return None
