@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import id_bucket
+from auditloom.llm.common import id_bucket, labelled_ids, sampled, texts_of, written
 
 WIDTH, FILTERS, CHUNK = 8, 16, 512
 _ROWS = 128  # chunks convolved at a time: bounds memory for texts of any length
@@ -106,19 +106,16 @@ def score(model: dict, data: bytes) -> float:
     return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def training_rows(labelled: DataFrame, label_col: str, per_class: int, keep_chunks: int) -> list:
+def training_rows(docs: DataFrame, known: DataFrame, per_class: int, keep_chunks: int, id_col: str, text_col: str) -> list:
     """At most per_class rows of each label, chosen by a hash of the id, with at most keep_chunks chunks of each text."""
 
     @F.pandas_udf("binary")
     def pick(text: pd.Series) -> pd.Series:
         return pd.Series([chunked((t or "").encode("utf-8", "surrogatepass"), keep_chunks).tobytes() for t in text])
 
-    out = []
-    for y in (0, 1):
-        rows = labelled.where(F.col(label_col) == y)
-        ids = rows.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(per_class)
-        out += [(r.x, y) for r in rows.join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).select(pick("_text").alias("x")).collect()]
-    return out
+    ids = sampled(known.where("_y = 0"), per_class, 3).union(sampled(known.where("_y = 1"), per_class, 3))
+    rows = texts_of(docs, ids, id_col, text_col).select("_id", "_y", pick("_text").alias("x")).collect()
+    return [(r.x, r._y) for r in sorted(rows, key=lambda r: r._id)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text",
@@ -128,11 +125,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
     per_class and keep_chunks bound the sample that the driver sees (per_class * 2 * keep_chunks * 519 bytes).
     Labels that are null or not 0 or 1 and null ids are never learned; an id with both labels counts as label 1.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
-    known = known.where(id_bucket("_id", fold) != held)
+    known = written(labelled_ids(docs, labels, label, id_col).where((F.col("_y") <= 1) & (id_bucket("_id", fold) != held)), "labelled")
     counts = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    rows = training_rows(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known, "_id"), "_y", per_class, keep_chunks) if n0 and n1 else []
+    rows = training_rows(docs, known, per_class, keep_chunks, id_col, text_col) if n0 and n1 else []
     if len({y for _, y in rows}) < 2:
         return n1 / (n0 + n1) if n0 + n1 else 0.5
     samples = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK + WIDTH - 1) for x, _ in rows]
