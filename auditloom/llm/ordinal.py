@@ -43,15 +43,17 @@ def grade_counts(labelled: DataFrame, max_share: float = 0.2) -> DataFrame:
         F.sum("_high").alias("high"), F.count("*").alias("n"))
 
 
-def screen(counts: DataFrame, n_high: int, n_all: int, size: int = 2000, z_least: float = 6.0) -> list[str]:
-    """The `size` features with the largest z value of the difference of document shares; a bounded model size."""
+def screen(counts: DataFrame, n_high: int, n_all: int, size: int = 2000, z_least: float = 6.0, least_share: float = 0.004) -> list[str]:
+    """The `size` features with the largest z value of the difference of document shares; a bounded model size.
+
+    A feature must occur in least_share of the texts of higher grade (three at least), so words of a few copies of one text do not count."""
     share = F.lit(n_high / n_all)
     z = (F.col("high") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    rows = counts.where("high >= 3").select("feature", z.alias("z")).where(F.col("z") >= z_least).orderBy(F.desc("z"), "feature").limit(size).collect()
+    rows = counts.where(F.col("high") >= max(3, math.ceil(least_share * n_high))).select("feature", z.alias("z")).where(F.col("z") >= z_least).orderBy(F.desc("z"), "feature").limit(size).collect()
     return [r.feature for r in rows]
 
 
-def fit(x: list[list[int]], grade: np.ndarray, n_features: int, n_grades: int, epochs: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: list[list[int]], grade: np.ndarray, n_features: int, n_grades: int, epochs: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Full-batch Adam on the ordinal likelihood; thresholds are kept in order as a first value plus positive gaps."""
     doc = np.repeat(np.arange(len(x)), [len(r) for r in x])
     col = np.fromiter((c for r in x for c in r), np.int64, len(doc))
@@ -67,7 +69,7 @@ def fit(x: list[list[int]], grade: np.ndarray, n_features: int, n_grades: int, e
         hi, lo = edge[rows, grade + 1], edge[rows, grade]
         share = np.maximum(hi - lo, 1e-12)
         slope = (1 - hi - lo) / len(x)  # of -log P(grade) by w.x
-        gw = np.bincount(col, slope[doc], n_features) + l2 * w / max(1, n_features)
+        gw = np.bincount(col, slope[doc], n_features) + l2 * w
         both = np.zeros((len(x), n_grades + 1))
         both[rows, grade + 1] -= hi * (1 - hi) / share / len(x)
         both[rows, grade] += lo * (1 - lo) / share / len(x)
@@ -92,10 +94,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     labels counts with the largest.
     """
     known = written(sampled(labelled_ids(docs, labels, label, id_col), screened, 5), "labelled")
-    n_all, n_high, top = known.agg(F.count("*"), F.sum((F.col("_y") > 0).cast("long")), F.max("_y")).first()
+    # equal texts count once, with their largest label
+    rows = written(texts_of(docs, known, id_col, text_col).groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y")).withColumn("_high", (F.col("_y") > 0).cast("long")), "labelled")
+    n_all, n_high, top = rows.agg(F.count("*"), F.sum("_high"), F.max("_y")).first()
     if not n_all or not n_high or n_high == n_all:
         return None
-    rows = written(texts_of(docs, known, id_col, text_col).withColumn("_high", (F.col("_y") > 0).cast("long")), "labelled")
     vocab = screen(grade_counts(rows), n_high, n_all, size)
     if not vocab:
         return None
