@@ -115,8 +115,8 @@ def e09(spark, d):
 
 
 @query("e10_normal_graph_feature", duck(f"""WITH {NODES}, e AS (SELECT task_id, count(DISTINCT process_guid) AS m FROM pe WHERE parent_process_guid IS NOT NULL GROUP BY task_id), r AS (SELECT task_id, min(node_id) AS root FROM tn GROUP BY task_id)
-SELECT r.task_id, any_value(x.f0) AS root_f0, round(avg(nf.f0), 6) AS f0_mean, max(nf.f1) AS f1_max, round(ln(1 + count(*)), 6) AS log_nodes, round(ln(1 + any_value(m)), 6) AS log_edges, CAST(r.task_id < 'task_5' AS INT) AS has_root
-FROM r JOIN tn USING (task_id) JOIN nf ON nf.node_id = tn.node_id JOIN nf x ON x.node_id = root JOIN e ON e.task_id = r.task_id GROUP BY r.task_id"""))
+SELECT r.task_id, any_value(x.f0) AS root_f0, round(avg(nf.f0), 6) AS f0_mean, max(nf.f1) AS f1_max, round(ln(1 + count(*)), 6) AS log_nodes, round(ln(1 + coalesce(any_value(m), 0)), 6) AS log_edges, CAST(r.task_id < 'task_5' AS INT) AS has_root
+FROM r JOIN tn USING (task_id) JOIN nf ON nf.node_id = tn.node_id JOIN nf x ON x.node_id = root LEFT JOIN e ON e.task_id = r.task_id GROUP BY r.task_id"""))
 def e10(spark, d):
     roots = nodes(spark, d).where("task_id < 'task_5'").groupBy("task_id").agg(F.min("node_id").alias("node_id"))
     out = E.normal_graph_feature(nodes(spark, d), node_features(spark, d), task_edges(spark, d), roots, DIMS)
@@ -309,7 +309,7 @@ def f18(spark, d):
 
 
 @query("f19_ground_truth_direct", duck(f"""WITH {METRICS}, y AS (SELECT *, max(norm) OVER w AS n1, max(degree) OVER w AS d1 FROM m WHERE task_id < 'task_3' WINDOW w AS (PARTITION BY task_id))
-SELECT task_id, node_id, round(0.45 * norm / n1 + 0.25 * degree / d1 + 0.15 * degree / d1 + 0.15 * CAST(is_root AS DOUBLE), 6) AS attribution, 1.0 AS task_score FROM y"""))
+SELECT task_id, node_id, round(0.45 * norm / n1 + coalesce(0.25 * degree / nullif(d1, 0), 0) + coalesce(0.15 * degree / nullif(d1, 0), 0) + 0.15 * CAST(is_root AS DOUBLE), 6) AS attribution, 1.0 AS task_score FROM y"""))
 def f19(spark, d):
     t = suspicious(spark, d).select("task_id", (F.col("task_id") < "task_3").cast("int").alias("label"))
     return rounded(D.ground_truth_direct(t, node_metrics(spark, d))).select("task_id", "node_id", "attribution", "task_score")

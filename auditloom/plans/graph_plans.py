@@ -113,8 +113,8 @@ def d11(spark, d):
 @query("d12_graph_metrics", duck("""WITH n AS (SELECT DISTINCT task_id, process_guid AS node_id FROM pe), e AS (SELECT DISTINCT task_id, parent_process_guid AS src, process_guid AS dst FROM pe WHERE parent_process_guid IS NOT NULL),
  s AS (SELECT task_id, count(*) AS n FROM n GROUP BY task_id), m AS (SELECT task_id, count(*) AS m FROM e GROUP BY task_id)
 SELECT n.task_id, n.node_id, (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND e.src = n.node_id) AS out_degree, (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND e.dst = n.node_id) AS in_degree,
- (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND (e.src = n.node_id OR e.dst = n.node_id)) AS neighbours, round(m.m / (s.n * (s.n - 1)), 9) AS density,
- (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND e.dst = n.node_id) = 0 AS is_root, (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND e.src = n.node_id) = 0 AS is_leaf FROM n JOIN s USING (task_id) JOIN m USING (task_id)"""))
+ (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND (e.src = n.node_id OR e.dst = n.node_id)) AS neighbours, coalesce(round(m.m / nullif(s.n * (s.n - 1), 0), 9), 0) AS density,
+ (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND e.dst = n.node_id) = 0 AS is_root, (SELECT count(*) FROM e WHERE e.task_id = n.task_id AND e.src = n.node_id) = 0 AS is_leaf FROM n JOIN s USING (task_id) LEFT JOIN m USING (task_id)"""))
 def d12(spark, d):
     return G.graph_metrics(nodes(spark, d), task_edges(spark, d)).withColumn("density", F.round("density", 9))
 
