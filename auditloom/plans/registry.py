@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark, sf_dir: str):
     _load()
-    return _QUERIES["h07_bridge_edges"](spark, sf_dir)
+    return _QUERIES["g15_episodes"](spark, sf_dir)
