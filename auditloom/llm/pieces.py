@@ -22,7 +22,27 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHED, _PAIRS = 200_000, 1_000_000
+_CACHED, _PAIRS = 400_000, 1_000_000
+
+
+class _Recent(dict):
+    """Segment -> its ids as bytes, made when missing. Two generations of half the bound each: what is in use survives the
+    younger one's turn, the rest is forgotten; segments of over 64 characters are never kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, s: str) -> bytes:
+        ids = self.older.get(s)
+        if ids is None:
+            ids = array("I", self.make(s)).tobytes()
+        if len(s) <= 64:
+            if len(self) >= _CACHED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[s] = ids
+        return ids
 
 
 class PieceCodec:
@@ -53,7 +73,9 @@ class PieceCodec:
             if (p.strip(SPACE) or p == SPACE) and self.merged(p) == [p]:
                 self.found.add_word(p, (i, len(p)))
         self.found.make_automaton()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.size = [len(p) for p in self.pieces]
+        self.odd = re.compile("[^" + re.escape("".join(sorted({c for p in self.ids for c in p}))) + "]")
+        self.cache = _Recent(self.segment)
         self.pairs: dict[int, bool] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
 
@@ -104,29 +126,27 @@ class PieceCodec:
 
     def _known(self, s: str, out: list[int]) -> None:
         """Appends the ids of s, of which every character is a piece."""
-        last, pairs, at = [-1] * len(s), self.pairs, -1
-        size = [0] * len(s)
+        last, pairs = [-1] * len(s), self.pairs
         for end, (i, n) in self.found.iter(s):
-            if last[end] >= 0:
-                continue
-            at = end - n
-            if at < 0:
-                last[end], size[end] = i, n
-            elif (before := last[at]) >= 0:
-                ok = pairs.get(before << 32 | i)
-                if ok or ok is None and self.compatible(before, i):
-                    last[end], size[end] = i, n
-        got, at = [], len(s) - 1
+            if last[end] < 0:
+                at = end - n
+                if at < 0 or (before := last[at]) >= 0 and ((ok := pairs.get(before << 32 | i)) or ok is None and self.compatible(before, i)):
+                    last[end] = i
+        got, at, size = [], len(s) - 1, self.size
         while at >= 0:
-            if last[at] < 0:
+            if (i := last[at]) < 0:
                 raise ValueError(f"no piece ends at {at} in {s!r}")
-            got.append(last[at])
-            at -= size[at]
-        out.extend(reversed(got))
+            got.append(i)
+            at -= size[i]
+        got.reverse()
+        out.extend(got)
 
     def _word(self, s: str) -> list[int]:
         """Ids of a segment with at most one space, at its start; characters without a piece become bytes."""
         out: list[int] = []
+        if not self.odd.search(s):
+            self._known(s, out)
+            return out
         run = 0
         for i in range(len(s) + 1):
             if i == len(s) or s[i] not in self.ids:
@@ -161,24 +181,14 @@ class PieceCodec:
     def encode(self, text: str) -> array:
         """All ids of a text without begin and end; an empty text has none."""
         out = array("I")
-        if not text:
-            return out
-        cache = self.cache
-        for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-            ids = cache.get(s)
-            if ids is None:
-                ids = self.segment(s)
-                if len(s) <= 64:
-                    if len(cache) >= _CACHED:
-                        cache.clear()
-                    cache[s] = ids
-            out.extend(ids)
+        if text:
+            out.frombytes(b"".join(map(self.cache.__getitem__, _SEGMENT.findall(SPACE + text.replace(" ", SPACE)))))
         return out
 
     def decode(self, ids) -> str:
         """Text of ids: control ids give nothing, byte ids join to UTF-8 (one U+FFFD for each byte that fits nowhere), the first space goes."""
         raw = self.raw
-        joined = b"".join([raw[i] for i in ids])
+        joined = b"".join(map(raw.__getitem__, ids))
         try:
             text = joined.decode()
         except UnicodeDecodeError:
