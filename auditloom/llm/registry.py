@@ -16,4 +16,4 @@ QUERIES = {
     "op9_weak_rules": weakrules.query,
     "op10_warc": warc.query,
 }
-SQL = {"op4_pivot_index": pivots.SQL}
+SQL = {"op4_pivot_index": pivots.SQL, "op7_secret_links": secrets.SQL, "op9_weak_rules": weakrules.SQL, "op10_warc": warc.SQL}

@@ -117,3 +117,46 @@ def query(spark, sf_dir: str) -> DataFrame:
     n = {k: count(i) for i, k in enumerate(BASE)}
     return scan(docs).select("doc_id", *[c.alias(f"n_{k}") for k, c in n.items()], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
                              _listed(F.concat("base", "linked")).alias("spans"))
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+#: kind -> (pattern of the matches, condition on a match m) in the regular expressions of DuckDB, which lack look-around: a bare
+#: secret is a whole run of the letters that may not stand beside one.
+_SQL_KINDS = {
+    "assign": ("(" + _either_case("password|passwd|secret|token|api_?key") + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "length(regexp_extract(m, {p}, 2)) >= 8"),
+    "access": ("AKIA[A-Z0-9]+", "length(m) >= 16"),
+    "hex": ("[0-9a-f]+", "length(m) >= 32"),
+    "key_id": ("(?:" + _either_case("client_?id|access_?key_?id|key_?id|account|username|user|login") + ")[\"']?\\x20{0,8}[:=]\\x20{0,8}[\"']?[A-Za-z0-9._@-]{4,128}", "true"),
+    "bare_secret": ("[A-Za-z0-9+/=_-]+", "length(m) = 40 AND NOT regexp_matches(m, '[=_-]')"),
+    "endpoint": ("(?:https?|jdbc:[a-z0-9]{1,32}|postgres|mysql|mongodb|redis|amqp|s3)://[^\\x20\\x09-\\x0D\"'<>]{3,512}", "true"),
+}
+
+
+def _sql() -> str:
+    found = []
+    for k, (pattern, valid) in _SQL_KINDS.items():
+        p = "'" + pattern.replace("'", "''") + "'"
+        found.append(f"""SELECT r, {KINDS.index(k)} AS k, pos AS start, pos + length(m) AS "end" FROM (
+    SELECT r, m, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS pos FROM (
+        SELECT r, unnest(regexp_extract_all(t, {p})) AS m, unnest(string_split_regex(t, {p})) AS gap, unnest(range(len(string_split_regex(t, {p})))) AS i FROM d)
+    WHERE m IS NOT NULL WINDOW w AS (PARTITION BY r ORDER BY i)) WHERE {valid.format(p=p)}""")
+    near = "OVER (PARTITION BY r ORDER BY start RANGE BETWEEN {0} PRECEDING AND {0} FOLLOWING)".format(SCOPE)
+
+    def has(kinds: list[str]) -> str:
+        return f"bool_or(k IN ({', '.join(str(KINDS.index(x)) for x in kinds)})) {near}"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(found)}),
+n AS (SELECT *, {has(IDENTIFIERS)} AS ids, {has(SECRETS)} AS secrets, {has(["endpoint"])} AS ends FROM s),
+o AS (SELECT r, k, start, list_extract({KINDS!r}, k + 1) || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS x FROM n
+      WHERE k < 3 OR k = 3 AND secrets OR k = 4 AND (ids OR ends) OR k = 5 AND ids AND secrets)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(x, ',' ORDER BY start, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY start, k), '') AS spans
+FROM d LEFT JOIN o USING (r) GROUP BY d.r, doc_id"""
+
+
+SQL = _sql()

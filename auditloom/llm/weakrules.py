@@ -114,4 +114,47 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.withColumn("posterior", F.round("posterior", 6))
+
+
+#: rule -> (votes bad, votes good), as in votes().
+_SQL_RULES = {
+    "long_enough": (f"n_words < {LEAST_WORDS}", "n_words >= 80"),
+    "few_repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    "few_symbols": ("100 * n_symbols > 20 * n_words", "100 * n_symbols <= 4 * n_words"),
+    "fresh_lines": ("100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
+    "word_length": ("word_chars < 3 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 4 * n_words AND 9 * n_words"),
+    "mixed_case": ("100 * n_upper > 40 * word_chars", "100 * n_upper <= 15 * word_chars"),
+    "calm_marks": ("100 * n_marks > 30 * n_words", "100 * n_marks <= 5 * n_words"),
+}
+
+
+def _sql() -> str:
+    names = ", ".join(_SQL_RULES)
+    cast = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {k}" for k, (bad, good) in _SQL_RULES.items())
+    odds = " + ".join(f"ln((g_{k} + CASE WHEN {k} < 0 THEN 0.1e0 ELSE 0.5e0 END) / (good + 1.1e0) / ((b_{k} + 0.5e0) / (total - good + 1.5e0)))" for k in _SQL_RULES)
+    sums = ", ".join(f"sum(n * q) OVER (PARTITION BY {k}) AS g_{k}, sum(n * (1 - q)) OVER (PARTITION BY {k}) AS b_{k}" for k in _SQL_RULES)
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+u AS (SELECT r, unnest(w) AS a, unnest(range(len(w))) AS i FROM s),
+v AS (SELECT r, i, [a, lead(a) OVER o, lead(a, 2) OVER o] AS x FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i FROM (SELECT r, i, x, count(*) OVER (PARTITION BY r, x) AS n FROM v WHERE x[3] IS NOT NULL) WHERE n > 1),
+y AS (SELECT r, count(DISTINCT i + k) AS n FROM h, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+m AS (SELECT s.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             coalesce(y.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks
+      FROM s LEFT JOIN y USING (r)),
+c AS (SELECT *, {cast} FROM m),
+e AS (SELECT 0 AS turn, false AS done, 0.8e0 AS share, {names}, CAST(count(*) AS DOUBLE) AS n, 1 / (1 + exp(-2.0e0 * ({" + ".join(_SQL_RULES)}))) AS q FROM c GROUP BY {names}
+      UNION ALL
+      SELECT turn + 1, abs(share - new) < 1e-9, new, {names}, n, 1 / (1 + exp(-(ln(new / (1 - new)) + {odds})))
+      FROM (SELECT *, (good + 0.8e0) / (total + 1) AS new FROM (SELECT *, sum(n * q) OVER () AS good, sum(n) OVER () AS total, {sums} FROM e WHERE NOT done AND turn < 200)))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept, round(q, 6) AS posterior
+FROM (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c)
+JOIN (SELECT {names}, q FROM e WHERE turn = (SELECT max(turn) FROM e)) USING ({names})"""
+
+
+SQL = _sql()
