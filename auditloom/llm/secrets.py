@@ -25,14 +25,34 @@ KINDS = ["assign", "access", "hex", "key_id", "bare_secret", "endpoint"]
 BASE, WEAK = KINDS[:3], KINDS[3:]
 IDENTIFIERS, SECRETS = ["access", "key_id"], ["assign", "hex", "bare_secret"]
 SCOPE = 200
+CHUNK = 256
 
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_chunks(items: Column, kind: str, inner) -> Column:
+    """struct(at, outs) of a fold over non-empty items in chunks: inner(chunk, at) gives struct(at, out of type `kind`).
+
+    Appending to an array copies it, so one fold over n items would cost n squared; a chunk's array is short, and only one entry for each chunk is carried on."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("outs"))
+
+    def whole(p):
+        def add(acc, c):
+            return _let(inner(F.slice(p, c * CHUNK + 1, F.lit(CHUNK)), acc["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), zero, add)
+
+    return _let(items, whole)
+
+
 def spans(text: Column, pattern: str, kind: int, valid=None) -> Column:
     """Leftmost non-overlapping matches as (start, end, kind) in code points: the pieces between matches give the offsets."""
     found, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc, pair):
         s = acc["at"] + F.length(pair["gap"])
@@ -41,8 +61,11 @@ def spans(text: Column, pattern: str, kind: int, valid=None) -> Column:
         more = F.concat(acc["out"], one)
         return F.struct(e.cast("bigint").alias("at"), (F.when(valid(pair["m"]), more).otherwise(acc["out"]) if valid else more).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(rest, F.lit(1), F.size(found)).alias("gap"), found.alias("m"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast(_SPAN))
+    def inner(chunk, at):
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step)
+
+    pairs = _let(found, lambda f: F.arrays_zip(F.slice(rest, F.lit(1), F.size(f)).alias("gap"), f.alias("m")))
+    return F.when(text.rlike(pattern), F.flatten(in_chunks(pairs, _SPAN, inner)["outs"])).otherwise(F.array().cast(_SPAN))
 
 
 def _listed(found: Column) -> Column:
@@ -99,12 +122,17 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", sc
         F.concat("base", F.coalesce("linked", F.array().cast(_SPAN)))).alias("_cut")).where(F.size("_cut") > 0)
     t = F.col(text_col)
 
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], gap).alias("text"))
+    def inner(chunk, origin):
+        return _let(t.substr(origin + 1, F.array_max(F.transform(chunk, lambda s: s["end"])) - origin), lambda block: masked(chunk, origin, block))
+
+    def masked(chunk, origin, block):
+        def step(acc, s):
+            gap = F.when(s["start"] >= acc["at"], F.concat(block.substr(acc["at"] - origin + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+
+        return F.aggregate(chunk, F.struct(origin.alias("at"), F.lit("").alias("out")), step)
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text"))
-    done = F.aggregate("_cut", zero, step, lambda a: F.concat(a["text"], t.substr(a["at"] + 1, F.length(t).cast("bigint"))))
+    done = _let(in_chunks(F.col("_cut"), "string", inner), lambda a: F.concat(F.array_join(a["outs"], ""), t.substr(a["at"] + 1, F.length(t).cast("bigint"))))
     return keyed.join(cut, "_sha", "left").withColumn(text_col, F.when(F.col("_cut").isNotNull(), done).otherwise(t)).select(*docs.columns)
 
 

@@ -428,3 +428,21 @@ def test_registered_sql(spark, tmp_path, name):
             part = next(f for f in os.listdir(f"{d}/{t}") if f.endswith(".parquet"))
             os.rename(f"{d}/{t}/{part}", f"{d}/{t}.parquet")
         assert difference(registry.QUERIES[name](spark, d), connect(d), registry.SQL[name]) == ""
+
+
+def test_secrets_of_many_chunks(spark):
+    """More spans than a chunk holds, some overlapping, at and around the chunk's size."""
+    bit = "é secret=" + "0123456789abcdef" * 2 + " username=solo77; "
+    texts = [bit * n for n in (127, 128, 129, 300)] + ["token=abcdefgh " * n for n in (255, 256, 257, 513)] + [f"token={'0' * 40 + 'x'} " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for r in secrets.scan(df).collect():
+        assert sorted((s.start, s.kind, s.end) for s in r.base) == base_spans(texts[r.doc_id])
+        at, out = 0, []
+        for s in sorted((s.start, s.end) for s in [*r.base, *r.linked]):
+            if s[0] >= at:
+                out += [texts[r.doc_id][at:s[0]], "[secret]"]
+            at = max(at, s[1])
+        want[r.doc_id] = "".join(out) + texts[r.doc_id][at:]
+        assert r.doc_id >= 4 or len(r.linked) == texts[r.doc_id].count("username")
+    assert {r.doc_id: r.text for r in secrets.redacted(df).collect()} == want
