@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as X
+from auditloom.operators.scratch import written
 
 
 def first_by(key, order) -> Window:
@@ -237,15 +238,30 @@ def parent_task_map(roots: DataFrame, boundary: DataFrame) -> DataFrame:
     return roots.join(b, "root").where("parent_task <> task_id").groupBy("task_id").agg(F.min("parent_task").alias("parent_task"))
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct substrings of `size` letters."""
+    letters = F.split(text, "")
+    out = letters
+    for i in range(1, size):
+        out = F.zip_with(out, F.slice(letters, F.lit(i + 1), F.greatest(F.length(text) - i, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(out, lambda g: F.length(g) == size))
+
+
 def match_observables(texts: DataFrame, observables: DataFrame) -> DataFrame:
-    """(event_id, term) for each term (lower case) that a text holds; the terms are a small table, checked before it is broadcast.
+    """(event_id, term) for each term (lower case) that a text holds anywhere, also inside a word, whatever the number of terms.
 
-    A larger table is matched by an equality join on the words of the text, for terms that are whole words."""
+    A term joins the texts that hold one chosen piece of it, of three letters or of all that a shorter term has, and is then looked for in them.
+    Texts are keyed by a hash, so the pieces travel without them; a shared hash only adds candidates."""
     terms = observables.select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
-    if terms.count() <= 2000:
-        return texts.join(F.broadcast(terms), F.expr("contains(lower(text), term)")).select("event_id", "term")
-    words = texts.select("event_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\w./:-]+"))).alias("term"))
-    return words.join(terms, "term").select("event_id", "term")
+    size = F.least(F.length("term"), F.lit(3))
+    # letters late in the alphabet are the rarer ones
+    piece = F.when(size < 3, F.col("term")).otherwise(F.array_max(grams(F.col("term"), 3)))
+    terms = written(terms.withColumn("_gram", piece), "terms")
+    sizes = [r[0] for r in terms.select(F.length("_gram")).distinct().collect()]  # three at most
+    t = texts.where("text is not null").select("event_id", F.lower("text").alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    pieces = F.array().cast("array<string>") if not sizes else F.concat(*[grams(F.col("_text"), n) for n in sorted(sizes)])
+    found = t.select("_key", F.explode(pieces).alias("_gram")).join(terms, "_gram").select("_key", "term").distinct()
+    return t.join(found, "_key").where(F.expr("contains(_text, term)")).select("event_id", "term")
 
 
 def offset_sweep(hits: DataFrame, windows: DataFrame, offsets: DataFrame, bucket: int = 86_400) -> DataFrame:
