@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators.identity import running_total
+from auditloom.operators.scratch import written
 
 
 def fit_task_classifier(matrix: DataFrame, cols: list[str], label: str = "label", rounds: int = 20, depth: int = 4, seed: int = 1):
@@ -41,21 +42,26 @@ def stratified_split(tasks: DataFrame, folds: int, label: str = "label", key: st
 
 
 def temporal_benign_split(tasks: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """tasks (task_id, label, first) plus `part`: benign tasks by first time (nulls last) into train, validation and evaluation by floored counts; positives evaluate only."""
-    w = Window.partitionBy("label").orderBy(F.asc_nulls_last("first"), "task_id")
-    n = tasks.where("label = 0").agg(F.count("*").alias("_n"))
-    d = tasks.withColumn("_r", F.row_number().over(w)).crossJoin(F.broadcast(n))  # one row
+    """tasks (task_id, label, first) plus `part`: benign tasks by first time (nulls last) into train, validation and evaluation by floored counts; others evaluate only.
+
+    Rows are dealt by ranges and written, so that no window holds all of them; each part's ranks are moved by the counts of the parts before it."""
+    order = [F.asc_nulls_last("first"), F.col("task_id").asc()]
+    benign = F.coalesce(F.col("label") == 0, F.lit(False))
+    d = written(tasks.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "split")
+    n = d.groupBy("_part").agg(F.sum(benign.cast("long")).alias("_s"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    n = n.withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(F.lit(1))))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_r", F.sum(benign.cast("long")).over(own)).join(F.broadcast(n), "_part").withColumn("_r", F.col("_r") + F.col("_before"))
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * validation)
-    part = F.when((F.col("label") != 0) | (F.col("_n") < 3), "evaluation").when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "validation").otherwise("evaluation")
-    return d.withColumn("part", part).drop("_r", "_n")
+    part = F.when(~benign | (F.col("_n") < 3), "evaluation").when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "validation").otherwise("evaluation")
+    return d.withColumn("part", part).drop("_part", "_s", "_before", "_r", "_n")
 
 
-def fit_prototypes(vectors: DataFrame, cols: list[str], k: int, seed: int = 1, sample: int = 100_000) -> DataFrame:
-    """(center, values): k-means centers of standardized columns, in the columns' own units; a hashed sample of `sample` rows at most is fitted."""
-    total = vectors.count()
-    some = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
+def fit_prototypes(vectors: DataFrame, cols: list[str], k: int, seed: int = 1) -> DataFrame:
+    """(center, values): k-means centers of standardized columns, in the columns' own units, fitted on all rows."""
     stages = [VectorAssembler(inputCols=cols, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), KMeans(featuresCol="_x", k=k, seed=seed)]
-    model = Pipeline(stages=stages).fit(some)
+    model = Pipeline(stages=stages).fit(vectors)
     mean, std = model.stages[1].mean.toArray(), model.stages[1].std.toArray()
     rows = [(i, [float(x) for x in c * std + mean]) for i, c in enumerate(model.stages[2].clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "center int, values array<double>")

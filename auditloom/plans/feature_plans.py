@@ -156,11 +156,16 @@ def labelled_tasks(spark, d):
 TASKS = "t AS (SELECT 't' || o_orderkey AS task_id, CAST(o_orderkey % 9 = 0 AS INT) AS label, CAST(o_totalprice > 250000 AS INT) AS predicted_label, round(o_totalprice, -3) AS score, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_us(CAST(o_orderdate AS TIMESTAMP)) END AS first, o_orderkey FROM orders)"
 
 
+def components() -> list:
+    """All components of an embedding, as columns."""
+    return [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)]
+
+
 @query("f01_task_classifier")
 def f01(spark, d):
     e = table(spark, d, "embeddings")
-    m = e.select("vec_id", (F.col("label") == 1).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    model = D.fit_task_classifier(m, [f"x{i}" for i in range(8)], rounds=5, depth=3)
+    m = e.select("vec_id", (F.col("label") == 1).cast("int").alias("label"), *components())
+    model = D.fit_task_classifier(m, [f"x{i}" for i in range(64)], rounds=5, depth=3)
     return model.transform(m).select("vec_id", "label", F.col("prediction").cast("int").alias("predicted_label"))
 
 
@@ -185,7 +190,7 @@ def f04(spark, d):
 @query("f05_fit_prototypes")
 def f05(spark, d):
     e = table(spark, d, "embeddings")
-    return D.fit_prototypes(e.select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)]), [f"x{i}" for i in range(8)], 8)
+    return D.fit_prototypes(e.select(*components()), [f"x{i}" for i in range(64)], 8)
 
 
 CENTERS = [(0, [0.1, 0.0, -0.1, 0.2]), (1, [-0.2, 0.1, 0.0, 0.0])]
