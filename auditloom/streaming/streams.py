@@ -102,8 +102,8 @@ def stream_recent_network(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return e.groupBy("process_guid").applyInPandasWithState(run, "event_id long, last_recv_us long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, complete: bool = False, seconds: int = 600) -> DataFrame:
-    """Run a stream over all that is there now and read its result: appended rows, or the last complete table of an aggregation."""
+def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
+    """Run a stream to the end of all that is there now, however long it takes, and read its result: appended rows, or the last complete table of an aggregation."""
     spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
@@ -111,5 +111,5 @@ def drained(stream: DataFrame, complete: bool = False, seconds: int = 600) -> Da
         q = w.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
     else:
         q = w.outputMode("append").format("parquet").option("path", f"{base}/out").start()
-    q.awaitTermination(seconds)
+    q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
