@@ -88,9 +88,19 @@ def a07n(spark, d):
 @query("a08_etw_events", duck("""SELECT 'proc::' || user_id AS subject, CASE WHEN event_type IN ('SEND', 'RECV') THEN 'flow::' || event_type || '::10.0.0.5:4000->9.9.9.9:443' WHEN event_type = 'EXEC' THEN 'file::' || object_key ELSE 'file::' || object_key END AS object, CASE event_type WHEN 'EXEC' THEN 'LOAD' ELSE event_type END AS action,
  CAST(event_id AS DOUBLE) AS seconds, object_type AS kind, CASE event_type WHEN 'RECV' THEN '10.0.0.5:4000' WHEN 'SEND' THEN '9.9.9.9:443' END AS remote FROM pe"""))
 def a08(spark, d):
+    return A.etw_events(etw_lines(spark, d))
+
+
+def etw_lines(spark, d):
     name = F.create_map(*[F.lit(x) for x in ("READ", "FileIO/Read", "WRITE", "FileIO/Write", "EXEC", "Image/Load", "SEND", "TcpIp/Send", "RECV", "TcpIp/Recv")])
-    line = fmt('{"EventName":"%s","MSec":"%s","PID":"%s","FileName":"%s","saddr":"10.0.0.5","sport":4000,"daddr":"9.9.9.9","dport":443}', name[F.col("event_type")], F.col("event_id") * 1000, "user_id", "object_key")
-    return A.etw_events(provenance(spark, d).select(line.alias("line")))
+    line = fmt('{"EventName":"%s","MSec":"%s","PID":"%s","PName":"%s","FileName":"%s","saddr":"10.0.0.5","sport":4000,"daddr":"9.9.9.9","dport":443}', name[F.col("event_type")], F.col("event_id") * 1000, "user_id", "process_name", "object_key")
+    return provenance(spark, d).select(line.alias("line"))
+
+
+@query("a08_etw_nodes", duck("""SELECT 'proc::' || user_id AS uuid, 'process' AS node_type, process_name AS node_attr FROM pe
+UNION ALL SELECT CASE WHEN object_type = 'flow' THEN 'flow::' || event_type || '::10.0.0.5:4000->9.9.9.9:443' ELSE 'file::' || object_key END, object_type, CASE WHEN object_type = 'flow' THEN '10.0.0.5:4000->9.9.9.9:443' ELSE object_key END FROM pe"""))
+def a08n(spark, d):
+    return A.etw_nodes(etw_lines(spark, d))
 
 
 @query("a09_triples", duck("""SELECT '<urn:event:' || event_id || '> <urn:p:subject> <urn:node:' || process_guid || '> .' AS value FROM pe UNION ALL SELECT '<urn:event:' || event_id || '> <urn:p:object> <urn:node:' || process_name || '> .' FROM pe UNION ALL SELECT '<urn:event:' || event_id || '> <urn:p:action> "' || event_type || '" .' FROM pe"""))

@@ -99,17 +99,41 @@ ETW_ACTIONS = [("fileio/write", "WRITE", "file"), ("fileio/read", "READ", "file"
                ("tcpip/connect", "CONNECT", "flow"), ("process/start", "FORK", "process"), ("image/load", "LOAD", "file")]
 
 
-def etw_events(lines: DataFrame, col: str = "line") -> DataFrame:
-    """(subject, object, action, seconds, kind) of Windows trace records: `proc::pid`, `file::path` and `flow::action::source->destination`; the remote side is the source of a receive."""
+def _etw(lines: DataFrame, col: str) -> DataFrame:
+    """Fields of Windows trace records: v, action, kind, subject, object, src and dst."""
     df = lines.withColumn("_j", extract_json_fragment(col)).where("_j is not null")
     v, name = F.col("_j"), F.lower(F.coalesce(_json(F.col("_j"), "EventName"), F.lit("")))
-    pick = lambda *names: F.coalesce(*[X.blank_to_null(_json(v, n)) for n in names])
     action = X.cases([(name.contains(m), a) for m, a, _ in ETW_ACTIONS], F.lit("OTHER"))
     kind = X.cases([(name.contains(m), k) for m, _, k in ETW_ACTIONS], F.lit("object"))
-    src, dst = F.concat_ws(":", pick("saddr", "SrcAddr"), pick("sport", "SrcPort")), F.concat_ws(":", pick("daddr", "DstAddr"), pick("dport", "DstPort"))
-    obj = F.when(kind == "file", F.concat(F.lit("file::"), pick("FileName", "OpenPath", "Path"))).when(kind == "flow", F.concat(F.lit("flow::"), action, F.lit("::"), src, F.lit("->"), dst)).when(kind == "process", F.concat(F.lit("proc::"), pick("ChildPID", "ProcessID")))
-    remote = F.when(action == "RECV", src).otherwise(dst)
-    return df.select(F.concat(F.lit("proc::"), pick("PID", "ProcessId")).alias("subject"), obj.alias("object"), action.alias("action"), (pick("MSec", "TimeStampRelativeMSec").try_cast("double") / 1000).alias("seconds"), kind.alias("kind"), F.when(kind == "flow", remote).alias("remote")).where("subject is not null and object is not null")
+    src, dst = F.concat_ws(":", _pick(v, "saddr", "SrcAddr"), _pick(v, "sport", "SrcPort")), F.concat_ws(":", _pick(v, "daddr", "DstAddr"), _pick(v, "dport", "DstPort"))
+    obj = F.when(kind == "file", F.concat(F.lit("file::"), _pick(v, "FileName", "OpenPath", "Path"))).when(kind == "flow", F.concat(F.lit("flow::"), action, F.lit("::"), src, F.lit("->"), dst)).when(kind == "process", F.concat(F.lit("proc::"), _pick(v, "ChildPID", "ProcessID")))
+    return df.select(v.alias("v"), action.alias("action"), kind.alias("kind"), F.concat(F.lit("proc::"), _pick(v, "PID", "ProcessId")).alias("subject"), obj.alias("object"), src.alias("src"), dst.alias("dst"))
+
+
+def _pick(v: Column, *names: str) -> Column:
+    return F.coalesce(*[X.blank_to_null(_json(v, n)) for n in names])
+
+
+def etw_events(lines: DataFrame, col: str = "line") -> DataFrame:
+    """(subject, object, action, seconds, kind) of Windows trace records: `proc::pid`, `file::path` and `flow::action::source->destination`; the remote side is the source of a receive."""
+    remote = F.when(F.col("action") == "RECV", F.col("src")).otherwise(F.col("dst"))
+    seconds = _pick(F.col("v"), "MSec", "TimeStampRelativeMSec").try_cast("double") / 1000
+    return _etw(lines, col).select("subject", "object", "action", seconds.alias("seconds"), "kind", F.when(F.col("kind") == "flow", remote).alias("remote")).where("subject is not null and object is not null")
+
+
+def etw_nodes(lines: DataFrame, col: str = "line") -> DataFrame:
+    """(uuid, node_type, node_attr) of both ends of Windows trace records of a known action, with the ids of etw_events.
+
+    The attribute is the process's name, else its id; the file's path; the flow's ends. An object without an id leaves its subject."""
+    df, v = _etw(lines, col).where("kind <> 'object' and subject is not null"), F.col("v")
+    number = lambda c: F.substring_index(c, "::", -1)
+    name = F.coalesce(_pick(v, "PName", "ProcessName", "ImageFileName", "ImageName"), number(F.col("subject")))
+    kind = F.col("kind")
+    attr = F.when(kind == "process", F.coalesce(_pick(v, "ImageName", "ProcessName", "TargetProcessName", "NewProcessName"), number(F.col("object")))).when(kind == "file", _pick(v, "FileName", "OpenPath", "Path")).otherwise(F.concat("src", F.lit("->"), "dst"))
+    known = F.col("object").isNotNull() & ((kind != "flow") | (F.concat("src", "dst") != ""))
+    node = lambda i, t, a: F.struct(i.alias("uuid"), t.alias("node_type"), a.alias("node_attr"))
+    ends = F.array(node(F.col("subject"), F.lit("process"), name), F.when(known, node(F.col("object"), kind, attr)))
+    return df.select(F.explode(F.array_compact(ends)).alias("n")).select("n.*")
 
 
 def triples(events: DataFrame) -> DataFrame:
