@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.operators.scratch import written
+from auditloom.operators.scratch import discard, written
 
 
 def parent_edges(subjects: DataFrame) -> DataFrame:
@@ -70,23 +70,37 @@ def task_components(edges: DataFrame, segmented: DataFrame, max_rounds: int = 10
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node of the undirected component, for nodes with an edge to another node.
 
-    Labels move along the edges and then jump to their label's label, so rounds grow with the logarithm of the longest chain."""
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    both = written(e.union(e.select("b", "a")).distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    Alternating large-star and small-star rounds, whose number grows with the logarithm of the longest chain; each is a
+    groupBy-min joined back to the edges, so no neighbourhood is ever gathered in one row. Null ends and self-loops are
+    ignored, repeated edges count once; an empty edge list gives an empty result. Every round is written and the one before it deleted.
+    """
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    cur = written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+
+    def mark(df: DataFrame) -> tuple:
+        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return r[0], r[1]
+
+    seen = mark(cur)
     for _ in range(max_rounds):
-        seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "node")
-        hooked = label.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("new"))
-        # the old label's own node takes the smaller label as well, then every label is replaced by its label
-        told = hooked.where("new < old").groupBy(F.col("old").alias("node")).agg(F.min("new").alias("told"))
-        hooked = hooked.join(told, "node", "left").select("node", "old", F.least("new", "told").alias("new"))
-        root = hooked.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        nxt = written(hooked.join(root, "new", "left").select("node", "old", F.least("new", "up").alias("component")), "labels")
-        changed = not nxt.where("old <> component").isEmpty()
-        label = nxt.select("node", "component")
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+        if not seen[0]:
+            break
+        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        mid = written(large, "components")
+        low = mid.groupBy("u").agg(F.min("v").alias("m"))
+        small = mid.join(low, "u").select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
+        nxt = written(small.select("x.u", "x.v").where("u <> v").distinct(), "components")
+        discard(mid, cur)
+        cur, last, seen = nxt, seen, mark(nxt)
+        if last == seen:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
 def label_tasks(task_nodes: DataFrame, gt: DataFrame) -> DataFrame:

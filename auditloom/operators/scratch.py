@@ -7,24 +7,74 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where the setting is absent."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where the setting is absent, a folder of this machine serves a local session (tests); a cluster raises, as its executors share no such folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="auditloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the scratch folder, which is deleted when the driver ends."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    p, store = _hadoop_path(spark, path)
+    store.mkdirs(p)
+    store.deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df into the scratch folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df into the scratch folder and read it back: cuts the lineage and survives lost executors. The table lives until discard() or the driver's end."""
+    path = new_path(df.sparkSession, label)
+    df.write.mode("append").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the tables behind DataFrames from written(), once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            p, store = _hadoop_path(df.sparkSession, path)
+            store.delete(p, True)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, share: int = 1000) -> DataFrame:
+    """rows left join facts (one row for each value of `on`, column n = its rows); n is not carried.
+
+    A key that holds more than 1/share of all rows is joined by broadcast: there are fewer than `share` of them, whatever
+    the data. The others are shuffled, so no task gathers the rows of a hot key; rows of hot keys and with a null
+    key are dealt evenly.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = facts.where(F.col(n) * share > total)
+    values = [c for c in facts.columns if c not in (*on, n)]
+    fat = F.broadcast(hot.select(*on, F.struct(*values).alias("_hot")))
+    rest = facts.where(F.col(n) * share <= total).select(*on, F.struct(*values).alias("_cold"), F.lit(-1).cast("bigint").alias("_salt"))
+    any_null = F.lit(False)
+    for c in on:
+        any_null = any_null | F.col(c).isNull()
+    away: Column = F.when(any_null | F.col("_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    out = rows.join(fat, on, "left").withColumn("_salt", away.cast("bigint")).join(rest, [*on, "_salt"], "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_hot.{v}", f"_cold.{v}").alias(v) for v in values])
