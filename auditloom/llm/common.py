@@ -1,50 +1,21 @@
-"""Shared helpers: scratch tables, stable hashing of ids, connected components."""
+"""Shared helpers: stable hashing of ids, bounded samples of labelled rows; scratch tables and components come from the core."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where the setting is absent."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="auditloom-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
+from auditloom.operators.graph import connected_components
+from auditloom.operators.scratch import discard, new_path, spread_join, written
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the scratch folder and read it back, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+__all__ = ["connected_components", "discard", "free_name", "id_bucket", "labelled_ids", "new_path", "sampled", "spread_join", "texts_of", "written"]
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a DataFrame from written(), once nothing reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
 
 
 def id_bucket(id_col: str | Column, modulus: int) -> Column:
@@ -59,50 +30,26 @@ def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "
     return known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
 
 
-def sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most `most` rows of ids, chosen by a hash of the id."""
-    return ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(most)
+def sampled(rows: DataFrame, most: int, seed: int, key: str = "_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """At most `most` rows (of each value of `by`, if given), chosen by a hash of the key.
+
+    A hash threshold cuts the rows to about the number wanted where they lie, so the exact pick sees a bounded number of rows, however many there were.
+    rows is read twice; null keys have one hash."""
+    scale = 1 << 30
+    h = F.xxhash64(key, F.lit(seed))
+
+    def cut(n):
+        return F.pmod(h, F.lit(scale)) < F.least(F.lit(scale), F.ceil((1.2 * most + 100) / n * scale))
+
+    if not by:
+        return rows.where(cut(F.lit(max(1, rows.count())))).orderBy(h, key).limit(most)
+    n = rows.groupBy(*[F.col(c).alias(f"_{c}_") for c in by]).agg(F.count("*").alias("_n"))
+    near = rows.join(F.broadcast(n), [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by]).where(cut(F.col("_n"))).select(*rows.columns)
+    order = Window.partitionBy(*by).orderBy(h, key)
+    return near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).drop("_rn")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _y, _text) of a bounded sample of ids, which is broadcast, so other texts are never shuffled; a repeated id counts once, with its smallest text."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return rows.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected edge list (columns a, b of one orderable type) -> (node, component = smallest node).
-
-    Alternating large-star and small-star rounds; each is a groupBy-min joined back to the edges, so no
-    neighbourhood is ever gathered in one row, and every round is written to the scratch folder. Null ends and
-    self-loops are ignored; nodes without an edge are not listed. An empty edge list gives an empty result.
-    """
-    e = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur = written(e, "cc")
-
-    def mark(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    seen = mark(cur)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        mid = written(large, "cc")
-        low = mid.groupBy("u").agg(F.min("v").alias("m"))
-        small = mid.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
-        nxt = written(small.select("x.u", "x.v").where("u <> v").distinct(), "cc")
-        discard(mid)
-        discard(cur)
-        cur, last, seen = nxt, seen, mark(nxt)
-        if last == seen:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
