@@ -1,8 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Filters of `WIDTH` bytes are learned as tables (one row of filter weights per offset and byte value), which is a
-convolution over one-hot bytes. A document is covered by chunks that overlap by WIDTH - 1 bytes, so every window of
-the text lies in exactly one chunk. Filters are max-pooled in each chunk; the chunk maxima of the document are
+convolution over one-hot bytes. A document is covered by overlapping chunks of `CHUNK` windows: they share WIDTH - 1 bytes,
+and the last one is moved back so that it ends with the text, so every window lies in a chunk and no chunk but that of a shorter
+text holds padding, which takes no part. Filters are max-pooled in each chunk; the chunk maxima of the document are
 combined by their mean, maximum and minimum, and a logistic layer turns the three into one probability.
 """
 
@@ -10,29 +11,28 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import id_bucket, labelled_ids, sampled, texts_of, written
+from auditloom.llm.common import discard, id_bucket, labelled_ids, sampled, texts_of, written
 
 WIDTH, FILTERS, CHUNK = 8, 16, 512
 _ROWS = 128  # chunks convolved at a time: bounds memory for texts of any length
 
 
-def chunked(data: bytes, keep: int | None = None) -> np.ndarray:
-    """(chunks, CHUNK + WIDTH - 1) bytes covering the whole of data; keep: at most so many, spread evenly over it.
+def chunked(data: bytes) -> tuple[np.ndarray, int]:
+    """(chunks, CHUNK + WIDTH - 1) bytes covering the whole of data, and the number of windows in the first chunk.
 
-    Short and last chunks are filled with zero bytes, which are learned like any other.
-    """
+    Texts of fewer windows than CHUNK are one chunk; below WIDTH bytes its one window is filled with zero bytes."""
     b = np.frombuffer(data, np.uint8)
     windows = max(1, len(b) - WIDTH + 1)
-    n = -(-windows // CHUNK)
-    flat = np.zeros(n * CHUNK + WIDTH - 1, np.uint8)
-    flat[:len(b)] = b[:len(flat)]
-    view = np.lib.stride_tricks.sliding_window_view(flat, CHUNK + WIDTH - 1)[::CHUNK]
-    if keep and n > keep:
-        view = view[np.linspace(0, n - 1, keep).round().astype(int)]
-    return view
+    size = CHUNK + WIDTH - 1
+    if windows <= CHUNK:
+        flat = np.zeros((1, size), np.uint8)
+        flat[0, :len(b)] = b
+        return flat, windows
+    starts = np.append(np.arange(0, windows - CHUNK, CHUNK), windows - CHUNK)
+    return np.lib.stride_tricks.sliding_window_view(b, size)[starts], CHUNK
 
 
 def convolve(table: np.ndarray, chunks: np.ndarray) -> np.ndarray:
@@ -43,16 +43,16 @@ def convolve(table: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     return out
 
 
-def pooled(table: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-    """(chunks, FILTERS) maxima, a bounded block of chunks at a time."""
-    return np.concatenate([convolve(table, chunks[i:i + _ROWS]).max(axis=1) for i in range(0, len(chunks), _ROWS)])
+def pooled(table: np.ndarray, chunks: np.ndarray, windows: int = CHUNK) -> np.ndarray:
+    """(chunks, FILTERS) maxima over the first `windows` windows of each chunk, a bounded block of chunks at a time."""
+    return np.concatenate([convolve(table, chunks[i:i + _ROWS])[:, :windows].max(axis=1) for i in range(0, len(chunks), _ROWS)])
 
 
 def combined(maxima: np.ndarray) -> np.ndarray:
     return np.concatenate([maxima.mean(axis=0), maxima.max(axis=0), maxima.min(axis=0)])
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = 16, batch: int = 64, seed: int = 7) -> dict:
+def fit(samples: list[tuple[np.ndarray, int]], labels: np.ndarray, prior: float, epochs: int = 16, batch: int = 64, seed: int = 7) -> dict:
     """Adam on the logistic loss with classes weighted alike; the intercept is then moved to `prior`, the share of label 1."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
@@ -67,13 +67,16 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at:at + batch]
-            parts = [samples[i] for i in rows]
+            parts = [samples[i][0] for i in rows]
             x = np.concatenate(parts)
+            windows = np.repeat([samples[i][1] for i in rows], [len(c) for c in parts])
             ends = np.cumsum([len(c) for c in parts])
             starts = ends - [len(c) for c in parts]
             tops, sites_at = [], []
             for i in range(0, len(x), _ROWS):
                 r = convolve(p["t"], x[i:i + _ROWS])
+                for j in np.nonzero(windows[i:i + _ROWS] < CHUNK)[0]:
+                    r[j, windows[i + j]:] = -np.inf
                 a = r.argmax(axis=1)
                 sites_at.append(a)
                 tops.append(np.take_along_axis(r, a[:, None, :], 1)[:, 0, :])
@@ -102,41 +105,43 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int
 
 
 def score(model: dict, data: bytes) -> float:
-    z = float(combined(pooled(model["t"], chunked(data))) @ model["w"] + model["b"][0])
+    z = float(combined(pooled(model["t"], *chunked(data))) @ model["w"] + model["b"][0])
     return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def training_rows(docs: DataFrame, known: DataFrame, per_class: int, keep_chunks: int, id_col: str, text_col: str) -> list:
-    """At most per_class rows of each label, chosen by a hash of the id, with at most keep_chunks chunks of each text."""
-
-    @F.pandas_udf("binary")
-    def pick(text: pd.Series) -> pd.Series:
-        return pd.Series([chunked((t or "").encode("utf-8", "surrogatepass"), keep_chunks).tobytes() for t in text])
+def training_rows(docs: DataFrame, known: DataFrame, per_class: int, most_bytes: int, id_col: str, text_col: str) -> list:
+    """[(whole text as bytes, label)] of at most per_class rows of each label, chosen by a hash of the id, and of at most about most_bytes.
 
-    ids = sampled(known.where("_y = 0"), per_class, 3).union(sampled(known.where("_y = 1"), per_class, 3))
-    rows = texts_of(docs, ids, id_col, text_col).select("_id", "_y", pick("_text").alias("x")).collect()
-    return [(r.x, r._y) for r in sorted(rows, key=lambda r: r._id)]
+    In the order of the hash, rows count until the texts before them fill most_bytes; a text longer than that is never chosen. All of a chosen text is learned."""
+    ids = sampled(known, per_class, 3, by=("_y",))
+    texts = texts_of(docs, ids, id_col, text_col).select("_id", "_y", F.encode(F.coalesce("_text", F.lit("")), "utf-8").alias("x"))
+    texts = texts.where(F.octet_length("x") <= most_bytes)
+    before = Window.partitionBy("_y").orderBy(F.xxhash64("_id", F.lit(3)), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = texts.withColumn("_before", F.coalesce(F.sum(F.octet_length("x")).over(before), F.lit(0))).where(F.col("_before") < most_bytes).select("_id", "_y", "x").collect()
+    return [(bytes(r.x), r._y) for r in sorted(rows, key=lambda r: r._id)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text",
-          fold: int = 5, held: int = 0, per_class: int = 1500, keep_chunks: int = 6) -> dict | float:
+          fold: int = 5, held: int = 0, per_class: int = 1500, most_bytes: int = 12 << 20) -> dict | float:
     """Fit on labelled rows outside the held-out fold; a constant (share of label 1, 0.5 without labels) if a class is missing.
 
-    per_class and keep_chunks bound the sample that the driver sees (per_class * 2 * keep_chunks * 519 bytes).
-    Labels that are null or not 0 or 1 and null ids are never learned; an id with both labels counts as label 1.
+    per_class and most_bytes bound the sample of labelled rows that the driver sees; every chunk of a sampled text is learned.
+    Labels that are null or not 0 or 1 and null ids are never learned; an id with both labels counts as label 1, an id with several texts with the smallest.
     """
     known = written(labelled_ids(docs, labels, label, id_col).where((F.col("_y") <= 1) & (id_bucket("_id", fold) != held)), "labelled")
     counts = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    rows = training_rows(docs, known, per_class, keep_chunks, id_col, text_col) if n0 and n1 else []
+    rows = training_rows(docs, known, per_class, most_bytes, id_col, text_col) if n0 and n1 else []
+    discard(known)
     if len({y for _, y in rows}) < 2:
         return n1 / (n0 + n1) if n0 + n1 else 0.5
-    samples = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK + WIDTH - 1) for x, _ in rows]
-    return fit(samples, np.array([y for _, y in rows]), n1 / (n0 + n1))
+    return fit([chunked(x) for x, _ in rows], np.array([y for _, y in rows]), n1 / (n0 + n1))
 
 
 def with_score(docs: DataFrame, model: dict | float, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs plus a double column `out` between 0 and 1 over whole texts; null and empty texts are scored as empty. A column of that name is replaced."""
+    """docs plus a double column `out` between 0 and 1 over whole texts; null and empty texts are scored as empty.
+
+    Each row is scored by its text alone, so repeated rows and ids get equal scores; an empty table gives an empty result. An input column of that name is replaced."""
 
     @F.pandas_udf("double")
     def p(text: pd.Series) -> pd.Series:
