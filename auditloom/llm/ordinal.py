@@ -3,6 +3,10 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all ordered thresholds. Features are the
 distinct lower-case words of a text and their stems (first 4 to 6 letters), screened by how much more often they
 occur in texts of higher grade. The output is the expected grade, sum over k of P(grade > k).
+
+Where labels say only toxic or not, grades are cross-fitted: the labelled rows fall into two halves by a hash, and a toxic text
+is graded by how often words screened on the other half occur in it, repeats included. So no text's grade rests on its own label's
+screening, and weights are fitted to the presence of words against the amount of evidence.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import labelled_ids, sampled, texts_of, written
+from auditloom.llm.common import discard, free_name, labelled_ids, sampled, texts_of, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -30,8 +34,8 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def grade_counts(labelled: DataFrame, max_share: float = 0.2) -> DataFrame:
-    """(feature, high, n): documents of grade above 0 and all documents that hold the feature.
+def grade_counts(labelled: DataFrame) -> DataFrame:
+    """(feature, high_0, n_0, high_1, n_1): in each half, documents of grade above 0 and all documents that hold the feature.
 
     Features go to a partial aggregation before the shuffle, so a word of every text costs a row for each task."""
 
@@ -39,20 +43,29 @@ def grade_counts(labelled: DataFrame, max_share: float = 0.2) -> DataFrame:
     def feats(text: pd.Series) -> pd.Series:
         return pd.Series([list(features(t)) for t in text])
 
-    return labelled.select("_high", F.explode(feats("_text")).alias("feature")).groupBy("feature").agg(
-        F.sum("_high").alias("high"), F.count("*").alias("n"))
+    held = labelled.select("_high", "_half", F.explode(feats("_text")).alias("feature"))
+    return held.groupBy("feature").agg(*[f(F.when(F.col("_half") == h, F.col("_high"))).alias(f"{name}_{h}") for h in (0, 1) for name, f in (("high", F.sum), ("n", F.count))])
 
 
-def screen(counts: DataFrame, n_high: int, n_all: int, size: int = 2000, z_least: float = 6.0, least_share: float = 0.004) -> list[str]:
-    """The `size` features with the largest z value of the difference of document shares; a bounded model size.
+def screen(counts: DataFrame, halves: tuple[int, ...], n_high: int, n_all: int, size: int = 2000, z_least: float = 6.0, least_share: float = 0.004, words: bool = False) -> list[str]:
+    """The `size` features with the largest z value of the difference of document shares in these halves; a bounded model size.
 
     A feature must occur in least_share of the texts of higher grade (three at least), so words of a few copies of one text do not count."""
+    if not n_high or n_high == n_all:
+        return []
     share = F.lit(n_high / n_all)
-    z = (F.col("high") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    rows = counts.where(F.col("high") >= max(3, math.ceil(least_share * n_high))).select("feature", z.alias("z")).where(F.col("z") >= z_least).orderBy(F.desc("z"), "feature").limit(size).collect()
+    high, n = (sum((F.coalesce(F.col(f"{name}_{h}"), F.lit(0)) for h in halves), F.lit(0)) for name in ("high", "n"))
+    z = (high - n * share) / F.sqrt(n * share * (1 - share))
+    known = counts.where("feature like '=%'") if words else counts
+    rows = known.where((high >= max(3, math.ceil(least_share * n_high))) & (n > 0)).select("feature", z.alias("z")).where(F.col("z") >= z_least).orderBy(F.desc("z"), "feature").limit(size).collect()
     return [r.feature for r in rows]
 
 
+def evidence(text: str | None, words: set[str]) -> int:
+    """How often words of the set (as features) occur in the text, repeats included."""
+    return sum("=" + w in words for w in _WORD.findall((text or "").lower()))
+
+
 def fit(x: list[list[int]], grade: np.ndarray, n_features: int, n_grades: int, epochs: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Full-batch Adam on the ordinal likelihood; thresholds are kept in order as a first value plus positive gaps."""
     doc = np.repeat(np.arange(len(x)), [len(r) for r in x])
@@ -89,38 +102,38 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     Both bounds are of rows chosen by a hash of the id.
 
     A label column with values above 1 gives the grades as they are. A 0/1 label is graded by evidence: a text
-    marked 1 gets one grade for each entry of `grades` that its number of screened words reaches (one at least).
+    marked 1 gets one grade for each entry of `grades` that its evidence (see the module's head) reaches (one at least).
     None (nothing is toxic) if a class is missing. Null labels and ids are never learned; an id with several
-    labels counts with the largest.
+    labels counts with the largest, an id with several texts with the smallest, and equal texts count once, with their largest label.
     """
-    known = written(sampled(labelled_ids(docs, labels, label, id_col), screened, 5), "labelled")
-    # equal texts count once, with their largest label
-    rows = written(texts_of(docs, known, id_col, text_col).groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y")).withColumn("_high", (F.col("_y") > 0).cast("long")), "labelled")
-    n_all, n_high, top = rows.agg(F.count("*"), F.sum("_high"), F.max("_y")).first()
-    if not n_all or not n_high or n_high == n_all:
+    ids = written(labelled_ids(docs, labels, label, id_col), "labelled")
+    known = sampled(ids, screened, 5)
+    rows = texts_of(docs, known, id_col, text_col).groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y"))
+    rows = written(rows.withColumn("_high", (F.col("_y") > 0).cast("long")).withColumn("_half", F.pmod(F.xxhash64("_id", F.lit(19)), F.lit(2)).cast("int")), "labelled")
+    total = {r._half: r for r in rows.groupBy("_half").agg(F.count("*").alias("n"), F.sum("_high").alias("high"), F.max("_y").alias("top")).collect()}
+    n_all, n_high, top = sum(r.n for r in total.values()), sum(r.high for r in total.values()), max([r.top for r in total.values()], default=0)
+    if not n_high or n_high == n_all:
         return None
-    vocab = screen(grade_counts(rows), n_high, n_all, size)
+    counts = written(grade_counts(rows), "features")
+    vocab = screen(counts, (0, 1), n_high, n_all, size)
     if not vocab:
         return None
     at = {f: i for i, f in enumerate(vocab)}
+    other = {h: set(screen(counts, (1 - h,), total[1 - h].high, total[1 - h].n, size, 4.0, words=True)) if 1 - h in total else set() for h in (0, 1)} if top <= 1 else {0: set(), 1: set()}
 
-    @F.pandas_udf("array<int>")
-    def found(text: pd.Series) -> pd.Series:
-        return pd.Series([sorted(at[f] for f in features(t) if f in at) for t in text])
+    @F.pandas_udf("struct<x:array<int>,seen:int>")
+    def found(text: pd.Series, half: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"x": [sorted(at[f] for f in features(t) if f in at) for t in text], "seen": [evidence(t, other[h]) for t, h in zip(text, half, strict=True)]})
 
     got = []
-    for high, n in ((1, n_high), (0, n_all - n_high)):
-        want = min(1.0, sample / 2 / n)
-        part = rows.where((F.col("_high") == high) & (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) < int(want * (1 << 20)) + 1))
-        got += part.select("_y", found("_text").alias("x")).limit(sample // 2).collect()
-    x = [list(r.x) for r in got]
-    if top > 1:
-        n_grades, y = top + 1, np.array([r._y for r in got])
-    else:
-        n_grades = len(grades) + 1
-        words = {i for f, i in at.items() if f[0] == "="}
-        y = np.array([0 if not r._y else max(1, sum(sum(c in words for c in r.x) >= g for g in grades)) for r in got])
+    for high in (1, 0):
+        got += sampled(rows.where(F.col("_high") == high), sample // 2, 5).select("_id", "_y", found("_text", "_half").alias("f")).collect()
+    got.sort(key=lambda r: r._id)
+    x = [list(r.f.x) for r in got]
+    n_grades = top + 1 if top > 1 else len(grades) + 1
+    y = np.array([r._y if top > 1 or not r._y else max(1, sum(r.f.seen >= g for g in grades)) for r in got])
     w, theta = fit(x, y, len(vocab), n_grades)
+    discard(ids, rows, counts)
     shift = math.log(n_high / (n_all - n_high)) - math.log(max(1, (y > 0).sum()) / max(1, (y == 0).sum()))
     return {"weights": {f: float(w[i]) for f, i in at.items()}, "theta": [float(t) - shift for t in theta]}
 
@@ -136,7 +149,8 @@ def expected_severity(model: dict, text: str | None) -> tuple[float, float]:
 def with_severity(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """docs plus expected_severity (0 to the highest grade), toxic_probability and toxic (probability >= 0.5), over whole texts.
 
-    Null and empty texts hold no feature and get the lowest severity. Columns of these names are replaced.
+    Null and empty texts hold no feature and get the lowest severity. Each row is scored by its text alone, so repeated rows and ids get equal
+    answers; an empty table gives an empty result. Input columns of these names are replaced.
     """
 
     @F.pandas_udf("struct<s:double,p:double>")
@@ -145,8 +159,9 @@ def with_severity(docs: DataFrame, model: dict | None, text_col: str = "text") -
             return pd.DataFrame({"s": [0.0] * len(text), "p": [0.0] * len(text)}, dtype=float)
         return pd.DataFrame([expected_severity(model, t) for t in text], columns=["s", "p"], dtype=float)
 
-    return docs.withColumn("_sev", sev(F.col(text_col))).withColumn("expected_severity", F.col("_sev.s")).withColumn(
-        "toxic_probability", F.col("_sev.p")).withColumn("toxic", F.col("_sev.p") >= 0.5).drop("_sev")
+    x = free_name(docs, "_sev")
+    return docs.withColumn(x, sev(F.col(text_col))).withColumn("expected_severity", F.col(f"{x}.s")).withColumn(
+        "toxic_probability", F.col(f"{x}.p")).withColumn("toxic", F.col(f"{x}.p") >= 0.5).drop(x)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
