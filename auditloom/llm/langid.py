@@ -8,14 +8,14 @@ pair, with votes and margins. Languages without an entry in `FAMILIES` form a fa
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import id_bucket
+from auditloom.llm.common import free_name, id_bucket, sampled
 
 #: Public classification of languages, by ISO 639-1 code; fixed values.
 FAMILIES = {
@@ -26,7 +26,7 @@ FAMILIES = {
 }
 _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 DIMS = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLOCK = 1 << 17
 UNKNOWN = "und"
 
@@ -106,35 +106,37 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           per_lang: int = 1500) -> dict | None:
     """Fit on at most per_lang texts of each language outside the held-out fold (a bounded sample, chosen by a hash of the id).
 
-    Null languages, null ids and texts without a letter are never learned. None if nothing is left to learn from.
+    Null languages, null ids and texts without a letter are never learned; an id that repeats counts as often as the sample holds it. None if nothing is left to learn from.
+    The sample and the model grow with the number of languages, the corpus adds nothing to them.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(
         "_id is not null and _lang is not null and _text is not null").where(id_bucket("_id", fold) != held)
     rows = rows.where(F.col("_text").rlike("\\p{L}"))
-    n = {r._lang: r["count"] for r in rows.groupBy("_lang").count().collect()}
 
     @F.pandas_udf("binary")
     def vec(text: pd.Series) -> pd.Series:
         return pd.Series([vector(t).tobytes() for t in text])
 
-    if not n:
-        return None
-    least = F.create_map(*[F.lit(y) for lang, k in n.items() for y in (lang, int(min(1.0, per_lang / k) * (1 << 20)) + 1)])
-    got = rows.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < least[F.col("_lang")]).select("_lang", vec("_text").alias("v")).collect()
+    got = sampled(rows, per_lang, 11, by=("_lang",)).select("_id", "_lang", vec("_text").alias("v")).collect()
     if not got:
         return None
+    got.sort(key=lambda r: (r._lang, r._id, bytes(r.v)))
     return fit(np.stack([np.frombuffer(r.v, np.float32) for r in got]), [r._lang for r in got])
 
 
 def with_language(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """docs plus lang_pred and score, over whole texts; `und` with score 0 for null texts, texts without a letter, and without a model."""
+    """docs plus lang_pred and score, over whole texts; `und` with score 0 for null texts, texts without a letter (category L), and without a model.
+
+    Each row is predicted by its text alone, so repeated rows and ids get equal answers. An empty table gives an empty result; input columns of the two names are replaced.
+    """
 
     @F.pandas_udf("struct<l:string,s:double>")
     def p(text: pd.Series) -> pd.DataFrame:
         out = [(UNKNOWN, 0.0) if model is None or not t or not _LETTER.search(t) else predict(model, vector(t)) for t in text]
         return pd.DataFrame(out, columns=["l", "s"])
 
-    return docs.withColumn("_p", p(F.col(text_col))).withColumn("lang_pred", F.col("_p.l")).withColumn("score", F.col("_p.s")).drop("_p")
+    x = free_name(docs, "_p")
+    return docs.withColumn(x, p(F.col(text_col))).withColumn("lang_pred", F.col(f"{x}.l")).withColumn("score", F.col(f"{x}.s")).drop(x)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
