@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import connected_components, written
+from auditloom.llm.common import connected_components, spread_join, written
 
 BITS = 64
 _BLOCK = 1 << 15
@@ -86,10 +86,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", width)
                   .select("id", "fp"), "fps")
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null")
+    return fingerprint_groups(fps, radius).withColumnRenamed("id", id_col)
+
+
+def fingerprint_groups(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """simhash_groups of written fingerprints (id, fp) -> (id, fp, component_id); a fingerprint of very many rows is joined back by broadcast."""
+    reps = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("rep is not null")
     comps = connected_components(ball_links(reps, radius))
-    of_fp = reps.join(comps, reps.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    of_fp = written(reps.join(comps, reps.rep == comps.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "classes")
+    return spread_join(fps, of_fp, ["fp"], "n").select("id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
