@@ -130,8 +130,8 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     Null and empty texts are documents of the one id 0. Null and repeated ids are documents of their own. Texts are
     tokenized once; full windows and tails are written before they are dealt to groups, whose number follows the
     number of pieces, by a hash of their place, so a hot id or source changes nothing. Extra columns are not
-    carried; an empty table gives an empty result. Sequence ids are unique; `step` numbers the steps of a tier:
-    each holds step_tokens tokens of one tier and group but for the last of each.
+    carried; an empty table gives an empty result. Sequence ids and steps are unique over all groups: a `step` is sequences of one
+    tier of step_tokens tokens together, fewer only in the last step of a tier of a group.
     """
     pieces = written(cut(docs, tokenizer, id_col, text_col, tiers[0]).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group))
@@ -145,10 +145,11 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         rows, seqs = [], [(tiers[0], None, r) for r in whole.itertuples(index=False)]
         seqs += [(size, seq, None) for size, seq in pack_group(tails["length"].tolist(), tiers)]
         seqs.sort(key=lambda s: -s[0])
-        spent: dict[int, int] = {}
+        step, spent, last = (g << 32) - 1, step_tokens, None
         for k, (size, seq, r) in enumerate(seqs):
-            step = spent.get(size, 0) // step_tokens
-            spent[size] = spent.get(size, 0) + size
+            if size != last or spent >= step_tokens:
+                step, spent, last = step + 1, 0, size
+            spent += size
             sid, at = (g << 32) + k, 0
             if seq is None:
                 rows.append((r.id, r.start, r.length, r.ids_crc32, r.doc_tokens, sid, 0, size, step))
@@ -160,7 +161,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         out = pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"])
         return out.astype({"id": "Int64"}) if kind == "bigint" else out
 
-    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step int"
+    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step bigint"
     return dealt.groupBy("_group").applyInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
