@@ -114,13 +114,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """docs with every reported span of the text replaced by `mask`; overlapping spans are replaced together.
 
-    Other columns stay as they are. Null texts stay null."""
-    keyed = docs.withColumn("_sha", F.sha2(text_col, 256))
-    all_ = written(candidates(docs.select(F.col(text_col).alias("_text")), "_text").select(F.sha2("_text", 256).alias("_sha"), "base", "weak"), "secrets")
-    found = written(all_.where(F.size("base") + F.size("weak") > 0).dropDuplicates(["_sha"]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    cut = found.join(linked(found, "_row", scope), "_row", "left").select("_sha", F.array_sort(
-        F.concat("base", F.coalesce("linked", F.array().cast(_SPAN)))).alias("_cut")).where(F.size("_cut") > 0)
-    t = F.col(text_col)
+    Other columns stay as they are, whatever their names; null texts stay null; null and repeated ids are rows of their own, as rows are
+    told apart by a number of their own. Rows without a weak candidate need no link and are masked where they lie;
+    only the others' texts meet their links by a join. An empty table gives an empty result."""
+    rows = candidates(docs.select(F.struct("*").alias("_doc")), f"_doc.`{text_col}`").withColumn("_row", F.monotonically_increasing_id())
+    found = written(rows, "secrets")
+    cut = linked(found, "_row", scope)
+    spans_of = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN))))
+    alone = found.where(F.size("weak") == 0).select("_doc", F.array_sort("base").alias("_cut"))
+    others = found.where(F.size("weak") > 0).join(cut, "_row", "left").select("_doc", spans_of.alias("_cut"))
+    both = alone.unionByName(others)
+    t = F.col(f"_doc.`{text_col}`")
 
     def inner(chunk, origin):
         return _let(t.substr(origin + 1, F.array_max(F.transform(chunk, lambda s: s["end"])) - origin), lambda block: masked(chunk, origin, block))
@@ -133,7 +137,8 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", sc
         return F.aggregate(chunk, F.struct(origin.alias("at"), F.lit("").alias("out")), step)
 
     done = _let(in_chunks(F.col("_cut"), "string", inner), lambda a: F.concat(F.array_join(a["outs"], ""), t.substr(a["at"] + 1, F.length(t).cast("bigint"))))
-    return keyed.join(cut, "_sha", "left").withColumn(text_col, F.when(F.col("_cut").isNotNull(), done).otherwise(t)).select(*docs.columns)
+    return both.withColumn("_done", F.when(F.size("_cut") > 0, done).otherwise(t)).select(
+        *[F.col("_done").alias(c) if c == text_col else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
