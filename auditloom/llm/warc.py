@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import new_path, written
+from auditloom.llm.common import new_path, spread_join, written
 
 ARCHIVE_BYTES = 16 << 20  # of records before compression, after which a task starts a new archive
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,14 +62,13 @@ def with_duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to): the smallest page_id of an equal payload for all rows of other ids, else null.
 
     Payloads below least_bytes, rows of that smallest id, and rows whose payload has no id at all stay responses. Payloads
-    are told apart by SHA-1. The group's smallest id comes from a partial aggregation; only ids and digests of copies are joined."""
+    are told apart by SHA-1. The group's smallest id comes from a partial aggregation over ids and digests alone; payloads
+    of very many copies get it by a broadcast of bounded size, so no task gathers a payload's rows."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("_sha", F.sha1(F.encode("html", "utf-8")))
-    small = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "_sha")
-    first = small.groupBy("_sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    again = small.join(first, "_sha").where("not page_id <=> first").select(
-        F.col("page_id").alias("_page"), F.col("_sha").alias("_digest"), F.col("first").alias("refers_to")).distinct()
-    return rows.join(again, rows.page_id.eqNullSafe(again._page) & (rows._sha == again._digest), "left").select("page_id", "url", "html", "refers_to")
+    copies = rows.where(F.octet_length("html") >= least_bytes).groupBy("_sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = written(copies.where("n > 1 and first is not null"), "payloads")
+    return spread_join(rows, first, ["_sha"], "n").select("page_id", "url", "html", F.expr("case when not page_id <=> first then first end").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", roll: int = ARCHIVE_BYTES) -> DataFrame:
@@ -102,18 +101,23 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
 
 
 def inflated(source) -> Iterator[bytes]:
-    """The plain bytes of a gzip file of any number of members, in pieces of bounded size, in one pass."""
-    d = zlib.decompressobj(31)
+    """The plain bytes of a gzip file of any number of members, in pieces of bounded size, in one pass; a file that ends within a member raises ValueError."""
+    d, within = zlib.decompressobj(31), False
     while data := source.read(_CHUNK):
         while data:
+            if not within:
+                data = data.lstrip(b"\0")  # padding between members
+                if not data:
+                    break
+                within = True
             yield d.decompress(data, _CHUNK)
             while d.unconsumed_tail:
                 yield d.decompress(d.unconsumed_tail, _CHUNK)
             data = d.unused_data
             if d.eof:
-                d = zlib.decompressobj(31)
-                data = data.lstrip(b"\0")
-    yield d.flush()
+                d, within = zlib.decompressobj(31), False
+    if within:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def split_records(parts: Iterator[bytes]) -> Iterator[bytes]:
@@ -130,7 +134,10 @@ def split_records(parts: Iterator[bytes]) -> Iterator[bytes]:
                 if head_end < 0:
                     break
                 fields = headers(bytes(buf[:head_end]))
-                need = head_end + 4 + int(fields["content-length"]) + 4
+                size = fields.get("content-length", "")
+                if not size.isdecimal():
+                    raise ValueError(f"a record without a usable Content-Length: {size!r}")
+                need = head_end + 4 + int(size) + 4
             if len(buf) < need:
                 break
             yield bytes(buf[:need])
