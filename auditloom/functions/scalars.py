@@ -289,9 +289,10 @@ def under_web_root(path: Column | str) -> Column:
 
 
 # B19, B20
-TEMP_EXEC_MARKERS = ["/tmp/", "/var/tmp/", "/dev/shm/"]
-SERVICE_PREFIXES, SERVICE_EXCEPTIONS = ["/usr/", "/lib/", "/lib64/", "/bin/", "/sbin/", "/dev/", "/proc/", "/sys/"], ["/dev/shm/"]
-PLACEHOLDERS = ["", "unknown", "none", "null", "n/a", "<unknown>"]
+# Fixed values.
+TEMP_EXEC_MARKERS = ["/tmp/", "/var/tmp/", "/dev/shm/", "ztmp"]
+SERVICE_PREFIXES, SERVICE_EXCEPTIONS = ["/etc/", "/usr/", "/usr/local/libexec/", "/var/run/", "/var/spool/postfix/", "/dev/"], ["/dev/shm/"]
+PLACEHOLDERS = ["file_object_block"]
 
 
 def is_temp_exec_path(key: Column | str) -> Column:

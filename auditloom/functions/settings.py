@@ -27,8 +27,7 @@ PROCESS_TYPES = {
 
 # --- networks ----------------------------------------------------------------------------------------------
 INTERNAL_NETWORKS = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"]
-WEB_PORTS = [80, 443, 8000, 8080, 8443, 8888]
-REMOTE_ADMIN_PORTS = [22, 2222, 23, 3389, 5900]
+WEB_C2_PORTS = [80, 443, 8080, 8443]
 LATERAL_PORTS = [22, 445, 3389, 3306, 5432, 6379, 9200, 27017]
 
 # --- paths -------------------------------------------------------------------------------------------------

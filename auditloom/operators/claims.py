@@ -1,32 +1,68 @@
 """Behaviour claims of paths and their mapping to ATT&CK, the deterministic way.
 
-Timelines are (path_id, event_id, order_index, us, process_guid, event_type, object_type, object_class, object_key, labels_triggered).
+Timelines are (path_id, event_id, order_index, us, process_guid, process_name, event_type, object_type, object_class, object_key, description,
+labels_triggered, object_labels), in order of time. A behaviour is claimed once for each path at most, so its name is the claim's id there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as X
 from auditloom.functions import settings as S
+from auditloom.operators import labels as L
+from auditloom.operators.identity import overlap_join
 
-#: atom: (stage, tactics, technique or none, prerequisite atoms). Fixed values.
+#: atom: (stage, tactics, techniques, prerequisite atoms). Fixed values.
 ATOMS = {
-    "untrusted_read": ("Initial Compromise", ["TA0001"], None, []),
-    "make_file_exec": ("Initial Compromise", ["TA0002"], None, ["untrusted_read"]),
-    "untrusted_file_exec": ("Initial Compromise", ["TA0002", "TA0011"], "T1105", ["untrusted_read", "make_file_exec"]),
-    "shell_exec": ("Establish Foothold", ["TA0002"], "T1059", ["untrusted_read"]),
-    "cnc_communication": ("Establish Foothold", ["TA0011"], "T1071.001", ["untrusted_file_exec"]),
-    "sensitive_read": ("Internal Recon", ["TA0006", "TA0009"], "T1005", ["untrusted_file_exec"]),
-    "network_service_discovery": ("Internal Recon", ["TA0007"], "T1046", ["untrusted_file_exec"]),
-    "lateral_connect": ("Move Laterally", ["TA0008"], None, ["shell_exec"]),
-    "persistence_change": ("Maintain Presence", ["TA0003"], None, ["untrusted_file_exec"]),
-    "sensitive_leak": ("Complete Mission", ["TA0010"], "T1041", ["sensitive_read", "cnc_communication"]),
-    "clear_logs": ("Cleanup Tracks", ["TA0005"], "T1070.004", []),
-    "sensitive_temp_rm": ("Cleanup Tracks", ["TA0005"], "T1070.004", ["untrusted_file_exec"]),
+    "untrusted_read": ("Initial Compromise", ["TA0001"], [], []),
+    "make_mem_exec": ("Initial Compromise", ["TA0002"], [], ["untrusted_read"]),
+    "make_file_exec": ("Initial Compromise", ["TA0002"], [], ["untrusted_read"]),
+    "untrusted_file_exec": ("Initial Compromise", ["TA0002", "TA0011"], ["T1105"], ["untrusted_read", "make_file_exec", "attachment_user_exec"]),
+    "attachment_user_exec": ("Initial Compromise", ["TA0001", "TA0002"], ["T1566.001", "T1566.002", "T1204.002"], ["untrusted_read"]),
+    "shell_exec": ("Establish Foothold", ["TA0002"], ["T1059"], ["untrusted_file_exec", "attachment_user_exec", "interpreter_precursor_chain"]),
+    "cnc_communication": ("Establish Foothold", ["TA0011"], ["T1071.001"], ["untrusted_file_exec", "attachment_user_exec", "shell_exec", "interpreter_precursor_chain"]),
+    "sudo_exec": ("Privilege Escalation", ["TA0004"], [], ["shell_exec"]),
+    "switch_su": ("Privilege Escalation", ["TA0004"], [], ["shell_exec"]),
+    "payload_elevate": ("Privilege Escalation", ["TA0004"], [], ["untrusted_file_exec", "make_file_exec", "attachment_user_exec", "shell_exec"]),
+    "credential_submit": ("Internal Recon", ["TA0006"], [], ["untrusted_read"]),
+    "sensitive_read": ("Internal Recon", ["TA0006", "TA0009"], ["T1552.003", "T1005"], ["untrusted_file_exec", "shell_exec", "interpreter_precursor_chain"]),
+    "sensitive_command": ("Internal Recon", ["TA0007"], [], ["untrusted_file_exec", "shell_exec", "interpreter_precursor_chain"]),
+    "network_service_discovery": ("Internal Recon", ["TA0007"], ["T1046"], ["shell_exec", "cnc_communication", "attachment_user_exec"]),
+    "send_internal": ("Move Laterally", ["TA0008"], [], ["shell_exec", "cnc_communication"]),
+    "sensitive_leak": ("Complete Mission", ["TA0010", "TA0011"], ["T1041"], ["sensitive_read", "cnc_communication"]),
+    "clear_logs": ("Cleanup Tracks", ["TA0005"], ["T1070.004"], ["shell_exec", "cnc_communication"]),
+    "sensitive_temp_rm": ("Cleanup Tracks", ["TA0005"], ["T1070.004"], ["sensitive_read"]),
+    "untrusted_file_rm": ("Cleanup Tracks", ["TA0005"], ["T1070.004"], ["untrusted_file_exec"]),
+    "interpreter_precursor_chain": ("Establish Foothold", ["TA0002", "TA0001"], ["T1059"], ["attachment_user_exec", "make_file_exec", "untrusted_read"]),
+}
+STAGES = ["Initial Compromise", "Establish Foothold", "Privilege Escalation", "Internal Recon", "Move Laterally", "Complete Mission", "Cleanup Tracks"]
+#: Behaviours that are no atoms, of other sources of claims: (allowed tactics, preferred tactic, preferred technique). Fixed values.
+OTHER_BEHAVIORS = {
+    "download_and_exec": (["TA0002", "TA0011"], "TA0011", "T1105"), "credential_read": (["TA0006", "TA0009"], "TA0006", None), "business_data_access": (["TA0009", "TA0010"], "TA0009", "T1005"),
+    "persistence_change": (["TA0003", "TA0005"], "TA0003", None), "log_deletion": (["TA0005"], "TA0005", "T1070.004"), "remote_send": (["TA0010", "TA0011"], "TA0011", None),
+    "lateral_connect": (["TA0008"], "TA0008", None), "remote_service_entry": (["TA0001"], "TA0001", None), "execution_chain": (["TA0002"], "TA0002", None),
 }
-STAGES = ["Initial Compromise", "Establish Foothold", "Privilege Escalation", "Internal Recon", "Move Laterally", "Maintain Presence", "Complete Mission", "Cleanup Tracks"]
+EXPECTED = ["network_service_discovery", "clear_logs", "attachment_user_exec", "interpreter_precursor_chain"]
+# Markers of signals; fixed values.
+RECON = ["whoami", "hostname", "uname", "ifconfig", "ip addr", "netstat", "ss ", "ps ", "id "]
+MEMORY = ["mprotect", "mem exec", "virtualalloc"]
+ATTACHMENT = ["tcexec", "pine", "rimapd", "attachment", "mail"]
+SHELL = ["bash", "sh ", "python", "perl", "php", "tcexec", "command-not-found"]
+SWITCH = [" setuid", " su ", "switch user"]
+BROWSERS = ["firefox", "chrome", "chromium", "edge", "safari", "thunderbird", "outlook", "mail", "fluxbox"]
+DELETES = ["DELETE", "UNLINK", "RENAME"]
+LOGS = ["/var/log/", ".log", "lastlog", "wtmp", "btmp", "utmp", "messages", "secure"]
+TEMP_NAMES, TEMP_STAGING = ["/tmp/", "temp", "gtcache", "ztmp"], ["/tmp/", "/var/tmp/", "/dev/shm/", "ztmp", "gtcache"]
+PRECURSORS, WEAK_PRECURSORS = ["tcexec", "command-not-found", "/dev/pts/3"], ["python3", "bash", "chmod"]
+EXEC_LABELS = ["B_EXEC_SUSPECT_WRITTEN", "B_EXEC_DOWNLOADED", "B_EXEC_UPLOADED", "B_EXEC_TEMP"]
+STRONG_LABELS = ["A_BRIDGED_BY_SUSPICIOUS_OBJECT", *EXEC_LABELS, "B_SHELL_SPAWN", "B_SCRIPT_EXEC"]
+STRONG_FAMILIES = ["short_lived_precursor", "attachment_or_tcexec_exec", "initial_or_drop_exec"]
+ELEVATION_HELPERS = ["procstat"]
+BURST_RECEIVES, BURST_SECONDS, PAIR_MINUTES, FALLBACK_SECONDS = 80, 150, 10, 300
 
 
 def strings(values) -> Column:
@@ -36,68 +72,220 @@ def strings(values) -> Column:
 def catalogue(spark) -> DataFrame:
     """The atoms as a table of a fixed size."""
     rows = [(a, s, STAGES.index(s), t, k, p) for a, (s, t, k, p) in ATOMS.items()]
-    return spark.createDataFrame(rows, "behavior string, stage string, stage_order int, tactics array<string>, technique string, prerequisites array<string>")
-
-
-def signal_tests() -> dict[str, Column]:
-    """Signals of an event; one event may show several."""
-    t, c, k = F.col("event_type"), F.col("object_class"), F.col("object_key")
-    temp = X.is_temp_exec_path("object_key")
-    return {
-        "recv": (t == "RECV") & (c == "external_ip"), "send": t.isin("SEND", "CONNECT") & (c == "external_ip"), "exec": t.isin(S.EXECUTIONS), "temp_exec": t.isin(S.EXECUTIONS) & temp, "temp_write": t.isin("WRITE", "CREATE") & temp,
-        "chmod": t == "CHMOD", "sensitive": (t == "READ") & c.isin("credential_file", "history_file", "business_file"), "internal": t.isin("SEND", "CONNECT") & (c == "internal_ip"), "persistence": t.isin(S.BRIDGE_WRITES) & (c == "persistence_file"),
-        "log_write": t.isin("DELETE", "RENAME", "WRITE") & (c == "log_file"), "temp_rm": (t == "DELETE") & temp, "shell": t.isin(S.EXECUTIONS) & X.basename("object_key").isin(S.PROCESS_TYPES["shell"]), "any_flow": k.contains("->"),
-    }
+    return spark.createDataFrame(rows, "behavior string, stage string, stage_order int, tactics array<string>, techniques array<string>, prerequisites array<string>")
 
 
-def claim_signals(timeline: DataFrame) -> DataFrame:
-    """(path_id, signal, event_id, order_index, us, process_guid): one row for each signal of each event."""
-    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in signal_tests().items()]))
-    return timeline.select("path_id", F.explode(names).alias("signal"), "event_id", "order_index", "us", "process_guid")
+def holds_any(col: str, labels) -> Column:
+    return F.coalesce(F.arrays_overlap(F.col(col), strings(labels)), F.lit(False))
 
 
-def ordered_pairs(signals: DataFrame, earlier: str, later: str, minutes: float = 10) -> DataFrame:
-    """(path_id, earlier_id, later_id, same_process) of signal pairs in order and within the time; a missing time passes."""
-    a = signals.where(F.col("signal") == earlier).select("path_id", F.col("event_id").alias("earlier_id"), F.col("order_index").alias("_a"), F.col("us").alias("_au"), F.col("process_guid").alias("_ap"))
-    b = signals.where(F.col("signal") == later).select("path_id", F.col("event_id").alias("later_id"), F.col("order_index").alias("_b"), F.col("us").alias("_bu"), F.col("process_guid").alias("_bp"))
-    near = F.coalesce((F.col("_bu") - F.col("_au")).between(0, int(minutes * 60_000_000)), F.lit(True))
-    return a.join(b, "path_id").where((F.col("_a") < F.col("_b")) & near).select("path_id", "earlier_id", "later_id", (F.col("_ap") == F.col("_bp")).alias("same_process"))
+def staged_keys(timeline: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(path_id, object_key): objects that the path stages for execution, by place, label or sequence (see labels.staged_objects), and by a bridge with a staged label."""
+    t = timeline.withColumn("task_id", F.col("path_id"))
+    labelled = t.select("task_id", F.col("object_key").alias("entity"), F.explode("object_labels").alias("label"))
+    own = L.staged_objects(t, labelled).select(F.col("task_id").alias("path_id"), "object_key")
+    return own.union(bridges.where(holds_any("object_labels", L.STAGED_LABELS)).select("path_id", "object_key")).distinct()
 
 
-#: atom: (signals of which one is needed, signal that must come before it or none, confidence). Fixed values.
-CLAIM_RULES = {
-    "untrusted_read": (["recv"], None, 0.70), "make_file_exec": (["chmod"], "temp_write", 0.78), "untrusted_file_exec": (["temp_exec"], None, 0.86), "shell_exec": (["shell"], "recv", 0.72),
-    "cnc_communication": (["send"], "temp_exec", 0.80), "sensitive_read": (["sensitive"], None, 0.76), "network_service_discovery": (["internal"], "temp_exec", 0.74), "lateral_connect": (["internal"], "exec", 0.72),
-    "persistence_change": (["persistence"], None, 0.84), "sensitive_leak": (["send"], "sensitive", 0.88), "clear_logs": (["log_write"], None, 0.82), "sensitive_temp_rm": (["temp_rm"], "temp_exec", 0.80),
-}
+def signal_tests() -> dict[str, Column]:
+    """Signals that an event of a timeline with `on_staged` (its object is staged on the path) shows by itself; one event may show several."""
+    t, c, k, d = F.col("event_type"), F.col("object_class"), F.lower(X.text("object_key")), F.lower(X.text("description"))
 
+    def has(*labels: str) -> Column:
+        return holds_any("labels_triggered", labels)
 
-def build_claims(signals: DataFrame, most: int = 8) -> DataFrame:
-    """(path_id, behavior, stage, confidence, evidence): claims whose signal occurs, after its precondition where it has one; evidence are the first events in order."""
-    first = signals.groupBy("path_id", F.col("signal").alias("_need")).agg(F.min("order_index").alias("_at"))
-    rules = signals.sparkSession.createDataFrame([(a, x, before, float(c), ATOMS[a][0]) for a, (xs, before, c) in CLAIM_RULES.items() for x in xs], "behavior string, signal string, _need string, confidence double, stage string")
-    hit = signals.join(F.broadcast(rules), "signal").join(first, ["path_id", "_need"], "left").where(F.col("_need").isNull() | (F.col("_at") < F.col("order_index")))
-    c = hit.groupBy("path_id", "behavior", "stage").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct("order_index", "event_id"))).alias("_e"))
-    return c.withColumn("evidence", F.slice(F.col("_e.event_id"), 1, most)).drop("_e")
+    real = ~X.is_placeholder_key("object_key")
+    staged_role = holds_any("object_labels", L.STAGED_LABELS)
+    log = has("B_DELETE_LOG", "O_LOG_ARTIFACT") | holds_any("object_labels", ["B_DELETE_LOG", "O_LOG_ARTIFACT"]) | (c == "log_file") | X.contains_any(k, LOGS)
+    service = X.is_system_service_key("object_key")
+    return {
+        "external_recv": has("B_EXTERNAL_RECV") | ((c == "external_ip") & (t == "RECV")),
+        "external_send": has("B_EXTERNAL_SEND") | ((c == "external_ip") & (t == "SEND")),
+        "lateral": has("B_LATERAL_CONNECT"),
+        "scan": has("B_LATERAL_CONNECT") | ((t == "CONNECT") & c.isin("external_ip", "internal_ip")),
+        "internal": (c == "internal_ip") & t.isin("CONNECT", "SEND", "RECV"),
+        "exec": has(*EXEC_LABELS),
+        "sensitive_strong": (t == "READ") & has("B_READ_CRED", "B_READ_HISTORY"),
+        "sensitive_weak": (t == "READ") & has("B_READ_BUSINESS", "B_MASS_FILE_ACCESS") & (k != "") & ~service,
+        "recon": X.contains_any(d, RECON), "memory": X.contains_any(d, MEMORY), "shell": X.contains_any(d, SHELL), "sudo": d.contains("sudo"), "switch": X.contains_any(d, SWITCH),
+        "attachment": X.contains_any(d, ATTACHMENT) | X.contains_any(k, ATTACHMENT),
+        "direct_exec": t.isin("EXEC", "LOAD") & real & ~service & (X.is_temp_exec_path("object_key") | staged_role | has(*L.STAGED_LABELS)),
+        "staged_chmod": F.col("on_staged") & (t.isin(L.CHMODS) | d.contains("chmod")),
+        "staged_exec": F.col("on_staged") & t.isin(S.EXECUTIONS),
+        "temp_remove": t.isin(DELETES) & X.contains_any(k, TEMP_NAMES),
+        "log_cleanup": t.isin(DELETES) & real & log,
+        "staged_cleanup": t.isin(DELETES) & real & ~log & ~service & (F.col("on_staged") | staged_role | X.contains_any(k, TEMP_STAGING)),
+    }
 
 
-def elevate_fallbacks(timeline: DataFrame, staged: DataFrame, seconds: int = 300) -> DataFrame:
-    """(path_id, event_id): events that follow the execution of a staged object within `seconds` in the same process and change its principal or execute something."""
-    staged_exec = timeline.where(F.col("event_type").isin(S.EXECUTIONS)).join(staged.select("object_key").distinct(), "object_key", "left_semi").select("path_id", "process_guid", F.col("us").alias("_u"), F.col("order_index").alias("_o"))
-    after = timeline.where(F.col("event_type").isin("CHANGE_PRINCIPAL", *S.EXECUTIONS)).join(staged_exec, ["path_id", "process_guid"])
-    return after.where((F.col("order_index") > F.col("_o")) & (F.col("us") - F.col("_u")).between(0, seconds * 1_000_000)).select("path_id", "event_id").distinct()
+def claim_signals(timeline: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(path_id, signal, event_id, order_index, us, process_guid): one row for each signal of each event.
+
+    bridges: (path_id, object_key, object_labels, write_event, read_event). Beside the events' own signals these are `bridge_exec` (both
+    ends of a bridge over a staged object), `precursor` and `payload_elevate`. Staged objects are joined on path and key, never listed in a row.
+    """
+    keys = staged_keys(timeline, bridges).withColumn("on_staged", F.lit(True))
+    t = timeline.join(keys, ["path_id", "object_key"], "left").withColumn("on_staged", F.coalesce("on_staged", F.lit(False)))
+    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in signal_tests().items()]))
+    columns = ["path_id", "signal", "event_id", "order_index", "us", "process_guid"]
+    own = t.select("path_id", F.explode(names).alias("signal"), "event_id", "order_index", "us", "process_guid")
+    as_task = t.withColumn("task_id", F.col("path_id")).withColumn("process_name", F.concat_ws(" ", "process_name", "description"))
+    pre = L.precursor_events(as_task, PRECURSORS, WEAK_PRECURSORS, F.col("on_staged")).withColumn("signal", F.lit("precursor"))
+    up = L.payload_elevate_events(as_task, keys.withColumnRenamed("path_id", "task_id")).withColumn("signal", F.lit("payload_elevate"))
+    over = bridges.where(holds_any("object_labels", L.STAGED_LABELS)).select(F.col("path_id").alias("task_id"), F.explode(F.array("write_event", "read_event")).alias("event_id"), F.lit("bridge_exec").alias("signal"))
+    more = pre.select("task_id", "event_id", "signal").unionByName(up.select("task_id", "event_id", "signal")).unionByName(over.distinct())
+    at = timeline.select("path_id", "event_id", "order_index", "us", "process_guid")
+    return own.unionByName(more.withColumnRenamed("task_id", "path_id").join(at, ["path_id", "event_id"]).select(*columns))
+
+
+def claim_context(timeline: DataFrame, signals: DataFrame, paths: DataFrame, direct: bool = False) -> DataFrame:
+    """One row for each path of `paths` (path_id, families, labels, process_names, relations): the flags that gate claims.
+
+    strong_exec, browser_mail, browser_only, explicit_callback, short_burst, discovery, lineage. direct: executions of staged files count without a bridge."""
+    has = {n: F.bool_or(F.col("signal") == n).alias(f"has_{n}") for n in ("exec", "direct_exec", "bridge_exec", "attachment", "shell", "precursor", "lateral")}
+    n = signals.groupBy("path_id").agg(*has.values(), F.count_if(F.col("signal") == "scan").alias("scans"), F.count_if(F.col("signal") == "external_recv").alias("receives"))
+    text = F.lower(F.concat_ws(" ", X.text("description"), X.text("object_key")))
+    span = timeline.groupBy("path_id").agg(((F.max("us") - F.min("us")) / 1e6).alias("_span"), F.bool_or(text.contains("browser")).alias("_browser"))
+    df = paths.join(n, "path_id", "left").join(span, "path_id", "left")
+
+    def flag(name: str) -> Column:
+        return F.coalesce(F.col(f"has_{name}"), F.lit(False))
+
+    names = F.filter(F.transform("process_names", lambda x: F.lower(x)), lambda x: x != "")
+    browser = F.transform(names, lambda x: X.contains_any(x, BROWSERS))
+    ran = flag("exec") | flag("direct_exec") if direct else flag("exec")
+    known = flag("bridge_exec") | flag("direct_exec") if direct else flag("bridge_exec")
+    strong = flag("bridge_exec") | flag("attachment") | flag("shell") | flag("precursor") | holds_any("labels", STRONG_LABELS) | holds_any("families", STRONG_FAMILIES) | (ran & holds_any("families", ["callback_c2", "cleanup_delete"]))
+    mail = F.array_contains("families", "mail_browser_context_tail") | F.exists(browser, lambda x: x) | F.coalesce("_browser", F.lit(False))
+    only = mail & (F.size(names) > 0) & F.forall(browser, lambda x: x)
+    scans = F.coalesce("scans", F.lit(0))
+    out = df.withColumn("strong_exec", strong).withColumn("browser_mail", mail).withColumn("browser_only", only)
+    return out.select("path_id", "strong_exec", "browser_mail", "browser_only", (flag("shell") | flag("precursor") | flag("attachment") | (known & ~F.col("browser_only"))).alias("explicit_callback"),
+                      ((F.coalesce("receives", F.lit(0)) <= BURST_RECEIVES) & (F.coalesce("_span", F.lit(0.0)) <= BURST_SECONDS)).alias("short_burst"),
+                      ((scans >= 2) | ((scans > 0) & flag("lateral"))).alias("discovery"), (F.size("relations") > 0).alias("lineage"))
+
+
+def ordered_pairs(signals: DataFrame, earlier: str, later: str, minutes: float = PAIR_MINUTES) -> DataFrame:
+    """(path_id, earlier_id, later_id, same_process) of signal pairs in order and within the time; a missing time passes.
+
+    Timed signals meet by path and time bucket, so a long path compares neighbours in time, not all with all."""
+    reach = int(minutes * 60_000_000)
+    a = signals.where(F.col("signal") == earlier).select("path_id", F.col("event_id").alias("earlier_id"), F.col("order_index").alias("_a"), F.col("us").alias("lo"), F.col("process_guid").alias("_ap"))
+    b = signals.where(F.col("signal") == later).select("path_id", F.col("event_id").alias("later_id"), F.col("order_index").alias("_b"), F.col("us").alias("rlo"), F.col("process_guid").alias("_bp"))
+    timed = overlap_join(a.withColumn("hi", F.col("lo") + reach), b.withColumn("rhi", F.col("rlo")), ["path_id"], max(1, reach)).drop("hi", "rhi")
+    untimed = a.where("lo is null").join(b, "path_id").unionByName(a.where("lo is not null").join(b.where("rlo is null"), "path_id"))
+    return timed.unionByName(untimed).where(F.col("_a") < F.col("_b")).select("path_id", "earlier_id", "later_id", (F.col("_ap") == F.col("_bp")).alias("same_process"))
+
+
+SIGNALS = ["external_recv", "external_send", "lateral", "scan", "internal", "exec", "sensitive_strong", "sensitive_weak", "recon", "memory", "shell", "sudo", "switch", "attachment", "direct_exec", "staged_chmod",
+           "staged_exec", "temp_remove", "log_cleanup", "staged_cleanup", "bridge_exec", "precursor", "payload_elevate"]
+
+
+def signal_lists(signals: DataFrame, most: int = 8) -> DataFrame:
+    """One row for each path: for each signal the array of its first `most` events (order_index, event_id, us, process_guid); ranks are cut before rows are gathered."""
+    item = F.struct("order_index", "event_id", "us", "process_guid")
+    w = Window.partitionBy("path_id", "signal").orderBy("order_index", "event_id")
+    first = signals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return first.groupBy("path_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("signal") == n, item))).alias(n) for n in SIGNALS])
+
+
+def build_claims(signals: DataFrame, context: DataFrame, most: int = 8, direct: bool = False, elevations: DataFrame | None = None) -> DataFrame:
+    """(path_id, behavior, stage, confidence, evidence, support): the claims whose signals and gates hold; evidence are event ids in the order in which a claim names its signals, `most` at most.
+
+    signals and context of claim_signals and claim_context. Each path's lists hold `most` events of each signal, so pairs of them are
+    bounded and a claim is an expression over one row. direct: hosts on which executions of staged files count without a bridge and reads must have a context; there
+    elevations (path_id, event_id) of elevate_fallbacks stand in where no payload is elevated by its text.
+    """
+    df = signal_lists(signals, most).join(context, "path_id")
+    if elevations is not None:
+        at = elevations.join(signals.select("path_id", "event_id", "order_index", "us", "process_guid").distinct(), ["path_id", "event_id"], "left")
+        w = Window.partitionBy("path_id").orderBy("order_index", "event_id")
+        at = at.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+        more = at.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "event_id", "us", "process_guid"))).alias("_more"))
+        df = df.join(more, "path_id", "left").withColumn("payload_elevate", F.when(F.size("payload_elevate") > 0, F.col("payload_elevate")).otherwise(F.coalesce("_more", F.col("payload_elevate"))))
+    reach = PAIR_MINUTES * 60_000_000
+
+    def some(name: str) -> Column:
+        return F.size(name) > 0
+
+    def pairs(a: str, b: str) -> Column:
+        near = lambda x, y: (x["order_index"] < y["order_index"]) & F.coalesce((y["us"] - x["us"]).between(0, reach), F.lit(True))
+        return F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: near(x, y)), lambda y: F.struct(x["event_id"].alias("a"), y["event_id"].alias("b"), (x["process_guid"] == y["process_guid"]).alias("same")))))
+
+    def flat(name: str) -> Column:
+        return F.flatten(F.transform(name, lambda p: F.array(p["a"], p["b"])))
+
+    def ids(*parts) -> Column:
+        lists = [F.slice(p[0], 1, p[1]) if isinstance(p, tuple) else F.col(p) if isinstance(p, str) else p for p in parts]
+        return F.concat(*[F.transform(x, lambda e: e["event_id"]) for x in lists])
+
+    c, none = F.col, F.slice(F.col("exec"), 1, 0)
+    free = ~c("browser_only") | c("explicit_callback")
+    direct_exec = c("direct_exec") if direct else none
+    df = df.withColumn("_known", F.concat(c("bridge_exec"), direct_exec)).withColumn("_sent", pairs("external_recv", "external_send"))
+    staged_lineage = some("staged_chmod") | some("staged_exec") | some("bridge_exec")
+    weak_ok = c("strong_exec") & (c("discovery") | some("log_cleanup") | some("staged_cleanup") | staged_lineage | (some("external_send") & free))
+    df = df.withColumn("_read", F.concat(F.when(c("strong_exec"), c("sensitive_strong")).otherwise(none), F.when(weak_ok, c("sensitive_weak")).otherwise(none)))
+    df = df.withColumn("_leak", pairs("_read", "external_send"))
+    read_ok = c("strong_exec") | c("browser_mail") | some("attachment") | some("_known") if direct else F.lit(True)
+    cleanup = c("strong_exec")
+    rules = [  # atom, confidence, gate, evidence, support
+        ("untrusted_read", 0.74, read_ok, ids("external_recv"), {"external_recv": F.lit(True), "exec_context": c("strong_exec"), "browser_context": ~c("strong_exec") & c("browser_mail")}),
+        ("make_mem_exec", 0.77, some("memory") & (some("external_recv") | some("precursor")), ids("memory", "external_recv", "precursor"), {"mem_exec": F.lit(True), "precursor_dependency": F.lit(True)}),
+        ("make_file_exec", 0.78, some("staged_chmod"), ids("staged_chmod", "staged_exec", "bridge_exec"), {"chmod_exec": F.lit(True), "staged_object": F.lit(True)}),
+        ("untrusted_file_exec", 0.84, some("_known"), ids("_known", "external_recv"), {"staged_object": F.lit(True), "bridge_exec": some("bridge_exec"), "direct_staged_exec": F.size(direct_exec) > 0}),
+        ("attachment_user_exec", 0.82, some("attachment"), ids("attachment", "bridge_exec"), {"attachment_markers": F.lit(True)}),
+        ("shell_exec", 0.78, some("shell"), ids("shell", ("precursor", 4)), {"interpreter_exec": F.lit(True)}),
+        ("credential_submit", 0.77, c("browser_only") & ~c("explicit_callback") & c("short_burst"), flat("_sent"), {"browser_form_submit": F.lit(True)}),
+        ("cnc_communication", 0.8, some("external_send") & c("strong_exec") & free, ids("external_send", "external_recv"), {"external_c2": F.lit(True)}),
+        ("sudo_exec", 0.8, some("sudo"), ids("sudo"), {"sudo": F.lit(True)}),
+        ("switch_su", 0.8, some("switch"), ids("switch"), {"identity_switch": F.lit(True)}),
+        ("payload_elevate", 0.81, some("payload_elevate") & c("strong_exec"), ids("payload_elevate", ("staged_exec", 2), ("bridge_exec", 2)), {"payload_elevate": F.lit(True)}),
+        ("sensitive_read", 0.82, F.lit(True), ids("_read"), {"sensitive_strong_read": c("strong_exec") & some("sensitive_strong"), "sensitive_weak_read": weak_ok & some("sensitive_weak")}),
+        ("sensitive_command", 0.78, some("recon"), ids("recon"), {"recon_commands": F.lit(True)}),
+        ("network_service_discovery", 0.82, c("discovery"), ids("scan", "lateral"), {"scan_burst": F.lit(True)}),
+        ("send_internal", 0.76, some("internal"), ids("internal"), {"internal_connect": F.lit(True)}),
+        ("sensitive_leak", 0.83, c("strong_exec") & (F.exists("_leak", lambda p: F.coalesce(p["same"], F.lit(False))) | c("lineage")), flat("_leak"), {"sensitive_plus_external_send": F.lit(True)}),
+        ("clear_logs", 0.82, cleanup, ids("log_cleanup", "staged_cleanup"), {"log_cleanup": some("log_cleanup"), "staged_cleanup": some("staged_cleanup")}),
+        ("sensitive_temp_rm", 0.78, some("temp_remove") & some("_read"), ids("temp_remove", "_read"), {"temp_cleanup_after_collection": F.lit(True)}),
+        ("untrusted_file_rm", 0.76, some("temp_remove") & some("bridge_exec"), ids("temp_remove", "bridge_exec"), {"cleanup_staged_object": F.lit(True)}),
+        ("interpreter_precursor_chain", 0.8, some("precursor"), ids("precursor"), {"precursor_markers": F.lit(True)}),
+    ]
+    made = [F.when(gate, F.struct(F.lit(atom).alias("behavior"), F.lit(ATOMS[atom][0]).alias("stage"), F.lit(sure).alias("confidence"), F.slice(F.array_distinct(ev), 1, most).alias("evidence"),
+                                  F.array_compact(F.array(*[F.when(on, F.lit(n)) for n, on in why.items()])).alias("support"))) for atom, sure, gate, ev, why in rules]
+    out = df.select("path_id", F.explode(F.array_compact(F.array(*made))).alias("x")).select("path_id", "x.*")
+    return out.where(F.size("evidence") > 0)
+
+
+def elevate_fallbacks(timeline: DataFrame, staged_execs: DataFrame, seconds: int = FALLBACK_SECONDS) -> DataFrame:
+    """(path_id, event_id, kind) of events that elevate a staged payload without saying so: a change of principal within `seconds` of a staged execution (path_id, process_guid, us) of
+    the same process (principal), children that such a process forks within `seconds` after it (fork), and helper programs that these children execute within `seconds` (child_exec).
+
+    Where a path shows a principal change, its children do not count. Times meet by process and time bucket."""
+    reach = seconds * 1_000_000
+    ex = staged_execs.where("us is not null").select("path_id", "process_guid", (F.col("us") - reach).alias("rlo"), (F.col("us") + reach).alias("rhi"), F.col("us").alias("_at"))
+    points = timeline.where("us is not null").select("path_id", "process_guid", "event_id", "event_type", "object_key", F.col("us").alias("lo"), F.col("us").alias("hi"))
+    near = overlap_join(points.where(F.col("event_type").isin("CHANGE_PRINCIPAL", "FORK", "CLONE")), ex, ["path_id", "process_guid"], reach)
+    principal = near.where("event_type = 'CHANGE_PRINCIPAL'").select("path_id", "event_id").distinct()
+    forks = near.where(F.col("event_type").isin("FORK", "CLONE") & (F.col("lo") >= F.col("_at")) & (F.col("object_key") != "")).join(principal.select("path_id").distinct(), "path_id", "left_anti")
+    children = forks.select("path_id", F.col("object_key").alias("process_guid")).distinct()
+    helpers = points.where((F.col("event_type") == "EXEC") & X.basename(F.lower("object_key")).isin(ELEVATION_HELPERS)).join(children, ["path_id", "process_guid"], "left_semi")
+    ran = overlap_join(helpers.drop("process_guid"), ex.drop("process_guid"), ["path_id"], reach).where(F.col("lo") >= F.col("_at"))
+    kinds = [(principal, "principal"), (forks.select("path_id", "event_id").distinct(), "fork"), (ran.select("path_id", "event_id").distinct(), "child_exec")]
+    return reduce(DataFrame.union, [df.select("path_id", "event_id", F.lit(k).alias("kind")) for df, k in kinds])
 
 
 def claim_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (path_id, src, dst) from each claim's prerequisites that are claimed too, and diagnostics (path_id, matched, missing)."""
+    """Edges (path_id, src, dst) from each claim's prerequisites that are claimed too, and diagnostics (path_id, matched in order of stage, confidence and name; missing of the expected atoms; stage_counts)."""
     cat = F.broadcast(catalogue(claims.sparkSession).select("behavior", "stage_order", "prerequisites"))
-    c = claims.select("path_id", "behavior").distinct().join(cat, "behavior")
+    c = claims.select("path_id", "behavior", "stage", "confidence").distinct().join(cat, "behavior")
     want = c.select("path_id", F.col("behavior").alias("dst"), F.explode("prerequisites").alias("src"))
-    have = c.select("path_id", F.col("behavior").alias("src"))
-    edges = want.join(have, ["path_id", "src"]).select("path_id", "src", "dst")
-    missing = want.join(have, ["path_id", "src"], "left_anti").groupBy("path_id").agg(F.array_sort(F.collect_set("src")).alias("missing"))
-    matched = c.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("stage_order", "behavior"))), lambda x: x["behavior"]).alias("matched"))
-    return edges, matched.join(missing, "path_id", "left").withColumn("missing", F.coalesce("missing", strings([])))
+    edges = want.join(c.select("path_id", F.col("behavior").alias("src")), ["path_id", "src"]).select("path_id", "src", "dst")
+    ordered = F.array_sort(F.collect_set(F.struct("stage_order", (-F.col("confidence")).alias("c"), "behavior", "stage")))
+    got = c.groupBy("path_id").agg(ordered.alias("_o")).withColumn("matched", F.col("_o.behavior"))
+    missing = F.filter(strings(EXPECTED), lambda x: ~F.array_contains("matched", x))
+    counts = F.filter(F.transform(strings(STAGES), lambda s: F.struct(s.alias("stage"), F.size(F.filter("_o", lambda x: x["stage"] == s)).alias("n"))), lambda x: x["n"] > 0)
+    return edges, got.select("path_id", "matched", missing.alias("missing"), counts.alias("stage_counts"))
 
 
 GENERIC = ["suspicious activity", "malicious behavior", "unknown activity"]
@@ -135,19 +323,78 @@ def kb_index(candidates: DataFrame, id_col: str, text: str) -> DataFrame:
     return w.join(norm, "id").select("id", "term", (F.col("_w") / F.col("_l")).alias("weight"))
 
 
-def retrieve_candidates(queries: DataFrame, index: DataFrame, dense: DataFrame | None = None, k: int = 12, pool: int = 24, sparse_weight: float = 0.45) -> DataFrame:
-    """(query, id, score, rank): the k best candidates by the weighted sum of sparse similarity (divided by the query's best) and dense similarity (query, id, dense), over the best `pool` of either.
-
-    queries: (query, term, tf). A term join gives the products, so only candidates that share a term are touched."""
-    dot = queries.join(index, "term").groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("weight")).alias("_s"))
-    dot = dot.withColumn("sparse", F.col("_s") / F.max("_s").over(Window.partitionBy("query"))).withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_s"), "id"))).where(F.col("_r") <= pool)
-    both = dot.select("query", "id", "sparse")
+#: Words in a candidate's text that fit a path's action family, and the points they give; words that hint at an operating system. Fixed values.
+FAMILY_WORDS = {
+    "network_c2": (0.28, ["command and control", "remote", "connection", "network", "protocol", "tunnel", "service"]),
+    "execution": (0.26, ["execution", "script", "interpreter", "process", "shell", "command"]),
+    "file_persistence": (0.28, ["persistence", "startup", "profile", "service", "scheduled task", "cron", "systemd"]),
+    "recon": (0.28, ["discovery", "enumeration", "scan", "system information", "network service", "file and directory"]),
+    "credential": (0.28, ["credential", "password", "token", "authentication"]),
+}
+OS_WORDS = {"windows": ["registry", "regsvr32", "rundll32", "powershell", "cmd.exe", "schtasks"], "macos": ["applescript", "launch agent", "launchd", "osascript", "mach-o"], "linux": ["bash", "cron", "systemd", "service", "/etc/", "linux"]}
+OTHER_OS = {"linux": 0.45, "windows": 0.35, "macos": 0.35}
+SMALL_INDEX = 2_000_000  # rows of a knowledge-base index up to which it is broadcast
+
+
+def compatibility_bonus(pool: DataFrame, contexts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """pool (query, id) plus bonus: how well a candidate (id, external_id, text) fits a query's families, object semantics, operating system, claims and behaviours.
+
+    contexts: (query, families, semantics, os, claim_terms, behaviors), arrays but for os."""
+    cat = catalogue(pool.sparkSession).select("behavior", "tactics", "techniques")
+    prior = contexts.select("query", F.explode("behaviors").alias("behavior")).join(F.broadcast(cat), "behavior")
+    weights = prior.select("query", F.explode(F.concat(F.transform("tactics", lambda x: F.struct(x.alias("external_id"), F.lit(0.45).alias("p"))), F.transform("techniques", lambda x: F.struct(x.alias("external_id"), F.lit(0.75).alias("p"))))).alias("x"))
+    weights = weights.select("query", "x.*").groupBy("query", "external_id").agg(F.sum("p").alias("_prior"))
+    df = pool.join(contexts, "query").join(candidates.select("id", "external_id", F.lower("text").alias("_t")), "id").join(weights, ["query", "external_id"], "left")
+    t = F.col("_t")
+    fits = sum((F.when(F.array_contains("families", f) & X.contains_any(t, words), p).otherwise(0.0) for f, (p, words) in FAMILY_WORDS.items()), F.lit(0.0))
+    words = X.kb_tokens("_t")
+    alike = lambda name: F.size(F.filter(name, lambda x: F.arrays_overlap(X.kb_tokens(x), words)))
+    system = F.lit(0.0)
+    for own, fine in OTHER_OS.items():
+        foreign = [w for o, ws in OS_WORDS.items() if o != own for w in ws]
+        points = F.when(X.contains_any(t, foreign), -fine).otherwise(0.0) + F.when(X.contains_any(t, OS_WORDS[own]), 0.14).otherwise(0.0)
+        system = F.when(F.col("os") == own, points).otherwise(system)
+    bonus = fits + 0.10 * alike("semantics") + system + F.least(F.lit(0.30), 0.08 * alike("claim_terms")) + F.coalesce("_prior", F.lit(0.0))
+    return df.select(*pool.columns, bonus.alias("bonus"))
+
+
+def prior_candidates(contexts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query, id) of the candidates that the query's behaviours name."""
+    cat = catalogue(contexts.sparkSession).select("behavior", F.explode(F.concat("tactics", "techniques")).alias("external_id"))
+    return contexts.select("query", F.explode("behaviors").alias("behavior")).join(F.broadcast(cat), "behavior").join(candidates.select("id", "external_id"), "external_id").select("query", "id").distinct()
+
+
+def best_of(df: DataFrame, score: str, k: int) -> DataFrame:
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(score), "id"))).where(F.col("_r") <= k).drop("_r")
+
+
+def retrieve_candidates(queries: DataFrame, index: DataFrame, dense: DataFrame | None = None, k: int = 12, pool: int = 24, sparse_weight: float = 0.45, dense_weight: float = 0.55,
+                        contexts: DataFrame | None = None, candidates: DataFrame | None = None, small: int = SMALL_INDEX) -> DataFrame:
+    """(query, id, score, rank): the k best candidates of each query by the weighted sum of sparse and dense similarity, each divided by the query's best, and the compatibility bonus.
+
+    queries: (query, term, tf); index of kb_index; dense (query, id, dense), all candidates of a query. The pool are the best `pool` of either similarity and, with contexts and
+    candidates, those that a query's behaviours name; only scores above 0 count. Tactics are ranked by a call of their own with k = 8. An index of up to `small` rows is
+    broadcast, so a term of every query shuffles nothing; a larger one is joined by term. Without dense similarities the sparse one counts whole.
+    """
+    held = F.broadcast(index) if index.limit(small + 1).count() <= small else index
+    dot = queries.join(held, "term").groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("weight")).alias("_s"))
+    dot = dot.withColumn("sparse", F.col("_s") / F.max("_s").over(Window.partitionBy("query")))
+    both = best_of(dot, "_s", pool).select("query", "id")
+    if dense is not None:
+        dense = dense.withColumn("_d", F.greatest(F.lit(0.0), F.col("dense")) / F.max("dense").over(Window.partitionBy("query")))
+        both = both.union(best_of(dense, "dense", pool).select("query", "id"))
+    if contexts is not None:
+        both = both.union(prior_candidates(contexts, candidates))
+    both = both.distinct().join(dot.select("query", "id", "sparse"), ["query", "id"], "left").na.fill(0.0, ["sparse"])
+    score = F.col("sparse")
     if dense is not None:
-        best = dense.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("dense"), "id"))).where(F.col("_r") <= pool).select("query", "id", "dense")
-        both = both.join(best, ["query", "id"], "full").na.fill(0, ["sparse", "dense"]).withColumn("score", sparse_weight * F.col("sparse") + (1 - sparse_weight) * F.col("dense"))
-    else:
-        both = both.withColumn("score", F.col("sparse"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= k).select("query", "id", "score", "rank")
+        both = both.join(dense.select("query", "id", F.coalesce("_d", F.lit(0.0)).alias("_d")), ["query", "id"], "left").na.fill(0.0, ["_d"])
+        score = sparse_weight * F.col("sparse") + dense_weight * F.col("_d")
+    if contexts is not None:
+        both = compatibility_bonus(both, contexts, candidates)
+        score = score + F.col("bonus")
+    both = both.withColumn("score", F.round(score, 9)).where("score > 0")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query", "id", "score", "rank")
 
 
 def query_terms(paths: DataFrame) -> DataFrame:
@@ -156,56 +403,163 @@ def query_terms(paths: DataFrame) -> DataFrame:
     return paths.withColumn("query_terms", F.array_sort(F.array_distinct(F.concat(plain("families"), plain("behaviors"), X.command_lexemes("text"), X.path_semantics("text")))))
 
 
-def claim_priors(claims: DataFrame) -> DataFrame:
-    """(path_id, behavior, tactics, preferred_tactic, technique): allowed and preferred mapping of each claim."""
-    return claims.select("path_id", "behavior", "confidence").join(F.broadcast(catalogue(claims.sparkSession)), "behavior").select("path_id", "behavior", "confidence", "tactics", F.col("tactics")[0].alias("preferred_tactic"), "technique")
-
+def prior_table(spark) -> DataFrame:
+    """(behavior, tactics allowed, preferred_tactic, technique) of all known behaviours, a table of a fixed size."""
+    rows = [(a, sorted(t), t[0], k[0] if k else None) for a, (_, t, k, _) in ATOMS.items()] + [(b, *x) for b, x in OTHER_BEHAVIORS.items()]
+    return spark.createDataFrame(rows, "behavior string, tactics array<string>, preferred_tactic string, technique string")
 
-def augment_candidates(candidates: DataFrame, priors: DataFrame) -> DataFrame:
-    """Candidates (path_id, attack_id, score) with the preferred tactic (0.98) and technique (1.02) of each claim; the larger score of an id counts."""
-    extra = priors.select("path_id", F.explode(F.array(F.struct(F.col("preferred_tactic").alias("attack_id"), F.lit(0.98).alias("score")), F.struct(F.col("technique").alias("attack_id"), F.lit(1.02).alias("score")))).alias("x")).select("path_id", "x.*").where("attack_id is not null")
-    return candidates.select("path_id", "attack_id", "score").union(extra).groupBy("path_id", "attack_id").agg(F.max("score").alias("score"))
 
+def claim_priors(claims: DataFrame, timeline: DataFrame | None = None) -> DataFrame:
+    """(path_id, behavior, confidence, tactics, preferred_tactic, technique): allowed and preferred mapping of each claim of a known behaviour.
 
-def prune_candidates(candidates: DataFrame, priors: DataFrame) -> DataFrame:
-    """Tactics that no claim of the path allows go; techniques stay."""
-    ok = priors.select("path_id", F.explode("tactics").alias("attack_id")).distinct()
-    tactic = F.col("attack_id").startswith("TA")
-    return candidates.where(~tactic).union(candidates.where(tactic).join(ok, ["path_id", "attack_id"], "left_semi").select(*candidates.columns))
+    With the timeline, a remote_send of three evidence events and more, two of them to web ports, becomes command and control over web protocols."""
+    out = claims.select("path_id", "behavior", "confidence").join(F.broadcast(prior_table(claims.sparkSession)), "behavior").select("path_id", "behavior", "confidence", "tactics", "preferred_tactic", "technique")
+    if timeline is None:
+        return out
+    ev = claims.where("behavior = 'remote_send'").select("path_id", F.explode("evidence").alias("event_id")).join(timeline.select("path_id", "event_id", "object_key"), ["path_id", "event_id"])
+    port = F.regexp_extract("object_key", r"->.*:(\d+)$", 1)
+    web = ev.groupBy("path_id").agg(F.count("*").alias("_n"), F.count_if(port.isin([str(p) for p in S.WEB_C2_PORTS])).alias("_web")).where("_n >= 3 and _web >= 2").select("path_id", F.lit("remote_send").alias("behavior"), F.lit(True).alias("_c2"))
+    return out.join(web, ["path_id", "behavior"], "left").withColumn("preferred_tactic", F.when(F.col("_c2"), "TA0011").otherwise(F.col("preferred_tactic"))).withColumn(
+        "technique", F.when(F.col("_c2"), "T1071.001").otherwise(F.col("technique"))).drop("_c2")
 
 
-def map_tactics(claims: DataFrame, least: float = 0.72) -> DataFrame:
-    """(path_id, tactic, behavior, confidence): the surest claim of each tactic, of those sure enough; ties by name."""
-    x = claim_priors(claims.where(F.col("confidence") >= least)).select("path_id", F.explode("tactics").alias("tactic"), "behavior", "confidence")
-    w = Window.partitionBy("path_id", "tactic").orderBy(F.desc("confidence"), "behavior")
-    return x.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def validate_mappings(raw: DataFrame, priors: DataFrame) -> DataFrame:
-    """raw mappings (path_id, tactic, behavior) plus `problem`: no_claim, tactic_not_allowed, duplicate, or null if fine."""
-    known = priors.select("path_id", "behavior", F.col("tactics").alias("_t"))
-    n = F.row_number().over(Window.partitionBy("path_id", "tactic", "behavior").orderBy(F.lit(1)))
-    df = raw.withColumn("_n", n).join(known, ["path_id", "behavior"], "left")
-    return df.withColumn("problem", F.when(F.col("_t").isNull(), "no_claim").when(~F.array_contains("_t", F.col("tactic")), "tactic_not_allowed").when(F.col("_n") > 1, "duplicate")).drop("_t", "_n")
+def augment_candidates(candidates: DataFrame, priors: DataFrame) -> DataFrame:
+    """Candidates (path_id, attack_id, score) with the allowed tactics (0.98) and the preferred technique (1.02) of each claim, where they are not candidates yet."""
+    tactics = priors.select("path_id", F.explode("tactics").alias("attack_id"), F.lit(0.98).alias("score"))
+    extra = tactics.union(priors.where("technique is not null").select("path_id", "technique", F.lit(1.02))).distinct()
+    return candidates.select("path_id", "attack_id", "score").union(extra.join(candidates, ["path_id", "attack_id"], "left_anti").select("path_id", "attack_id", "score"))
 
 
-def backfill_tactics(mappings: DataFrame, claims: DataFrame, fills: dict[str, str]) -> DataFrame:
-    """mappings (path_id, tactic, behavior) and, for claims of the given behaviours whose tactic is missing on the path, that tactic."""
-    t = F.create_map(*[F.lit(x) for kv in fills.items() for x in kv])
-    new = claims.where(F.col("behavior").isin(list(fills))).select("path_id", t[F.col("behavior")].alias("tactic"), "behavior").distinct()
-    return mappings.select("path_id", "tactic", "behavior").union(new.join(mappings, ["path_id", "tactic"], "left_anti").select("path_id", "tactic", "behavior"))
+BROWSER_TACTICS = ["TA0001", "TA0002", "TA0006"]
+BROWSER_BEHAVIORS = ["credential_submit", "untrusted_read", "untrusted_file_exec"]
 
 
-WEAK_TACTICS = ["TA0004", "TA0006", "TA0007", "TA0043"]
+def prune_candidates(candidates: DataFrame, claims: DataFrame, paths: DataFrame, tactics_only: bool = True) -> DataFrame:
+    """Candidates (path_id, attack_id, tactic_ids, score) in scope: tactics only, unless told otherwise, and on paths (path_id, families, process_names) where a browser submits credentials and little else
+    happens only those of three tactics."""
+    behaviors = claims.groupBy("path_id").agg(F.collect_set("behavior").alias("_b"))
+    browser = F.exists("process_names", lambda x: X.contains_any(F.lower(x), BROWSERS))
+    narrow = F.array_contains("_b", "credential_submit") & (F.size(F.array_except("_b", strings(BROWSER_BEHAVIORS))) == 0) & F.array_contains("families", "mail_browser_context_tail") & browser
+    held = paths.join(behaviors, "path_id").where(narrow).select("path_id", F.lit(True).alias("_narrow"))
+    tactic = F.col("attack_id").startswith("TA")
+    df = candidates.where(tactic) if tactics_only else candidates
+    fits = F.when(tactic, F.col("attack_id").isin(BROWSER_TACTICS)).otherwise(holds_any("tactic_ids", BROWSER_TACTICS))
+    return df.join(held, "path_id", "left").where(F.col("_narrow").isNull() | fits).select(*candidates.columns)
 
 
-def guard_mappings(mappings: DataFrame, least: float = 0.8) -> DataFrame:
-    """Weakly founded mappings of four tactics go."""
-    return mappings.where(~(F.col("tactic").isin(WEAK_TACTICS) & (F.col("confidence") < least)))
+def map_tactics(claims: DataFrame, least: float = 0.72) -> DataFrame:
+    """(path_id, tactic, behavior, confidence): a mapping of each claim to each tactic of its behaviour (the preferred one of behaviours that are no atoms), no less sure than `least`."""
+    cat = F.broadcast(catalogue(claims.sparkSession).select("behavior", F.col("tactics").alias("_all")))
+    x = claim_priors(claims).join(cat, "behavior", "left").withColumn("_t", F.coalesce("_all", F.array("preferred_tactic")))
+    return x.select("path_id", F.explode("_t").alias("tactic"), "behavior", F.greatest("confidence", F.lit(least)).alias("confidence")).groupBy("path_id", "tactic", "behavior").agg(F.max("confidence").alias("confidence"))
+
+
+COUNTERS = ["raw_mappings", "raw_refs", "claim_refs", "event_refs", "unknown_refs", "event_claims", "emptied", "unsupported", "kept"]
+
+
+def validate_mappings(raw: DataFrame, claims: DataFrame, candidates: DataFrame, priors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mappings that hold (path_id, tactic_id, technique_id, behaviors, confidence), and counters of each path (COUNTERS).
+
+    raw: (path_id, mapping_id, tactic_id, tactic, technique_id, technique, refs, confidence). refs name claims by behaviour or by the event ids of their evidence. Tactic and technique are looked up among
+    the path's candidates (path_id, attack_id, name, tactic_ids) by id, else by name; a missing tactic is the first of the technique's that is a candidate. A technique must belong to the
+    tactic, and only claims whose priors allow the tactic and do not prefer another technique support a mapping. Of equal mappings the surest stays.
+    """
+    refs = raw.select("path_id", "mapping_id", F.explode(F.array_distinct("refs")).alias("ref")).where("trim(ref) <> ''")
+    known = claims.select("path_id", "behavior").distinct()
+    of_event = claims.select("path_id", "behavior", F.explode("evidence").alias("_e")).select("path_id", F.col("_e").cast("string").alias("ref"), F.col("behavior").alias("_of_event")).distinct()
+    hit = refs.join(known.select("path_id", F.col("behavior").alias("ref"), F.col("behavior").alias("_named")), ["path_id", "ref"], "left").join(of_event, ["path_id", "ref"], "left")
+    hit = hit.withColumn("behavior", F.coalesce("_named", "_of_event")).withColumn("_kind", F.when(F.col("_named").isNotNull(), "claim").when(F.col("_of_event").isNotNull(), "event").otherwise("unknown"))
+    counted = hit.groupBy("path_id", "mapping_id").agg(*[F.count_distinct(F.when(F.col("_kind") == k, F.col("ref"))).alias(f"{k}_refs") for k in ("claim", "event", "unknown")],
+                                                       F.count_distinct("ref").alias("raw_refs"), F.array_sort(F.collect_set("behavior")).alias("_claims"),
+                                                       F.count_distinct(F.when(F.col("_kind") == "event", F.col("behavior"))).alias("event_claims"))
+    c = candidates.select("path_id", "attack_id", X.normalize_name("name").alias("_name"), "tactic_ids")
+    tac, tec = c.where(F.col("attack_id").startswith("TA")), c.where(~F.col("attack_id").startswith("TA"))
+    by_name = lambda df, alias: df.where("_name <> ''").groupBy("path_id", "_name").agg(F.min("attack_id").alias(alias))
+    m = raw.withColumn("_tid", F.upper(F.trim("tactic_id"))).withColumn("_kid", F.replace(F.upper(F.trim("technique_id")), F.lit("/"), F.lit("."))).withColumn("_tn", X.normalize_name("tactic")).withColumn("_kn", X.normalize_name("technique"))
+    m = m.join(tac.select("path_id", F.col("attack_id").alias("_tid"), F.col("attack_id").alias("_t1")), ["path_id", "_tid"], "left").join(by_name(tac, "_t2").withColumnRenamed("_name", "_tn"), ["path_id", "_tn"], "left")
+    m = m.join(tec.select("path_id", F.col("attack_id").alias("_kid"), F.col("attack_id").alias("_k1")), ["path_id", "_kid"], "left").join(by_name(tec, "_k2").withColumnRenamed("_name", "_kn"), ["path_id", "_kn"], "left")
+    m = m.withColumn("technique_", F.coalesce("_k1", "_k2")).join(tec.select("path_id", F.col("attack_id").alias("technique_"), F.col("tactic_ids").alias("_of")), ["path_id", "technique_"], "left")
+    have = tac.groupBy("path_id").agg(F.collect_set("attack_id").alias("_have"))
+    m = m.join(have, "path_id", "left").withColumn("tactic_", F.coalesce("_t1", "_t2", F.get(F.filter("_of", lambda x: F.array_contains("_have", x)), F.lit(0))))
+    m = m.join(counted, ["path_id", "mapping_id"], "left").withColumn("_claims", F.coalesce("_claims", strings([])))
+    fine = (F.size("_claims") > 0) & (F.col("tactic_").isNotNull() | F.col("technique_").isNotNull()) & (F.col("tactic_").isNull() | F.col("technique_").isNull() | F.array_contains("_of", F.col("tactic_")))
+    m = m.withColumn("_fine", F.coalesce(fine, F.lit(False)))
+    backing = m.where("_fine").select("path_id", "mapping_id", "tactic_", "technique_", "_of", F.explode("_claims").alias("behavior")).join(priors.select("path_id", "behavior", "tactics", F.col("technique").alias("_want")), ["path_id", "behavior"], "left")
+    tactic_ok = F.col("tactics").isNull() | F.when(F.col("tactic_").isNotNull(), F.array_contains("tactics", F.col("tactic_"))).otherwise((F.size("_of") == 0) | F.arrays_overlap("tactics", "_of"))
+    technique_ok = F.col("_want").isNull() | F.col("technique_").isNull() | (F.col("_want") == F.col("technique_"))
+    backed = backing.where(tactic_ok & technique_ok).groupBy("path_id", "mapping_id").agg(F.array_sort(F.collect_set("behavior")).alias("behaviors"))
+    done = m.join(backed, ["path_id", "mapping_id"], "left")
+    kept = done.where("_fine and behaviors is not null").groupBy("path_id", F.col("tactic_").alias("tactic_id"), F.col("technique_").alias("technique_id"), "behaviors").agg(F.max("confidence").alias("confidence"))
+    count = {"raw_mappings": F.count("*"), **{n: F.sum(F.coalesce(n, F.lit(0))) for n in ("raw_refs", "claim_refs", "event_refs", "unknown_refs", "event_claims")},
+             "emptied": F.count_if((F.size("_claims") == 0) & (F.coalesce("raw_refs", F.lit(0)) > 0)), "unsupported": F.count_if(F.col("_fine") & F.col("behaviors").isNull())}
+    summary = done.groupBy("path_id").agg(*[v.cast("long").alias(n) for n, v in count.items()]).join(kept.groupBy("path_id").agg(F.count("*").alias("kept")), "path_id", "left").na.fill(0, ["kept"])
+    return kept, summary.select("path_id", *COUNTERS)
+
+
+def apply_priors(mappings: DataFrame, priors: DataFrame, candidates: DataFrame) -> DataFrame:
+    """mappings (path_id, tactic_id, technique_id, behaviors, confidence) without those at odds with the prior of one of their claims, and a mapping for each prior whose tactic or technique is a candidate (path_id, attack_id)."""
+    have = candidates.groupBy("path_id").agg(F.collect_set("attack_id").alias("_have"))
+    p = priors.join(have, "path_id").withColumn("_t", F.when(F.array_contains("_have", F.col("preferred_tactic")), F.col("preferred_tactic"))).withColumn("_k", F.when(F.array_contains("_have", F.col("technique")), F.col("technique"))).where("_t is not null or _k is not null")
+    m = mappings.withColumn("_id", F.xxhash64("path_id", "tactic_id", "technique_id", "behaviors"))
+    clash = m.select("path_id", "_id", "tactic_id", "technique_id", F.explode("behaviors").alias("behavior")).join(p.select("path_id", "behavior", "_t", "_k"), ["path_id", "behavior"])
+    odd = ((F.col("_t") != F.col("tactic_id")) | F.when(F.col("_k").isNotNull(), F.col("technique_id") != F.col("_k")).otherwise(F.col("technique_id").isNotNull()))
+    clash = clash.where(F.coalesce(F.col("_t") != F.col("tactic_id"), F.lit(False)) | F.coalesce(odd, F.lit(False))).select("path_id", "_id").distinct()
+    stay = m.join(clash, ["path_id", "_id"], "left_anti").select("path_id", "tactic_id", "technique_id", "behaviors", "confidence")
+    new = p.select("path_id", F.col("_t").alias("tactic_id"), F.col("_k").alias("technique_id"), F.array("behavior").alias("behaviors"), "confidence")
+    both = stay.withColumn("_new", F.lit(0)).union(new.withColumn("_new", F.lit(1)))
+    first = Window.partitionBy("path_id", "tactic_id", "technique_id", "behaviors").orderBy("_new", F.desc("confidence"))
+    return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_new")
+
+
+CLEANUP = ["clear_logs", "sensitive_temp_rm", "untrusted_file_rm"]
+EXECUTION = ["attachment_user_exec", "make_file_exec", "untrusted_file_exec", "interpreter_precursor_chain", "shell_exec"]
+#: Backfills: tactic, behaviours of which one is needed, further behaviours whose claims back it too, whether one of those is needed, family needed or none, confidence. Fixed values.
+GENERIC_FILLS = [("TA0005", CLEANUP, [], False, None, 0.78), ("TA0009", ["sensitive_read"], EXECUTION, True, None, 0.76), ("TA0007", ["network_service_discovery"], CLEANUP, True, "cleanup_delete", 0.77)]
+#: The same for hosts with sparse evidence, applied before.
+DIRECT_FILLS = [("TA0001", ["untrusted_file_exec", "attachment_user_exec", "untrusted_read", "make_file_exec"], [], False, None, 0.78), ("TA0007", ["network_service_discovery"], [], False, None, 0.8),
+                ("TA0005", CLEANUP, [], False, None, 0.8), ("TA0004", ["payload_elevate", "sudo_exec", "switch_su"], [], False, None, 0.79)]
+
+
+def backfill_tactics(mappings: DataFrame, claims: DataFrame, candidates: DataFrame, paths: DataFrame, fills: list = GENERIC_FILLS) -> DataFrame:
+    """mappings (path_id, tactic_id, behaviors, confidence) and, for each fill whose tactic is a candidate (path_id, attack_id) of the path (path_id, families) and not mapped yet, one backed by its claims.
+
+    A discovery fill that needs a family does not hold where credentials are submitted."""
+    b = claims.groupBy("path_id").agg(F.collect_set("behavior").alias("_b"))
+    have = candidates.groupBy("path_id").agg(F.collect_set("attack_id").alias("_have"))
+    done = mappings.groupBy("path_id").agg(F.collect_set("tactic_id").alias("_done"))
+    df = paths.select("path_id", "families").join(b, "path_id").join(have, "path_id").join(done, "path_id", "left").withColumn("_done", F.coalesce("_done", strings([])))
+    made = []
+    for tactic, need, more, must, family, sure in fills:
+        ok = F.array_contains("_have", tactic) & ~F.array_contains("_done", tactic) & holds_any("_b", need)
+        ok = ok & holds_any("_b", more) if must else ok
+        ok = ok & F.array_contains("families", family) & ~F.array_contains("_b", "credential_submit") if family else ok
+        made.append(F.when(ok, F.struct(F.lit(tactic).alias("tactic_id"), F.array_sort(F.array_intersect("_b", strings([*need, *more]))).alias("behaviors"), F.lit(sure).alias("confidence"))))
+    new = df.select("path_id", F.explode(F.array_compact(F.array(*made))).alias("x")).select("path_id", "x.*")
+    return mappings.select("path_id", "tactic_id", "behaviors", "confidence").union(new)
+
+
+FOLLOW_UP = ["shell_exec", "interpreter_precursor_chain", "cnc_communication", "payload_elevate", "sensitive_command"]
+
+
+def guard_mappings(mappings: DataFrame, claims: DataFrame, paths: DataFrame) -> DataFrame:
+    """mappings (path_id, tactic_id, behaviors, ...) without what their path's context speaks against.
+
+    In a mail or browser tail: discovery beside submitted credentials without a stronger follow-up, and credential access backed by sensitive reads and shells alone. Everywhere: privilege escalation
+    without an elevation, and reconnaissance on paths that clean up or show a strong compromise with a precursor."""
+    b = claims.groupBy("path_id").agg(F.collect_set("behavior").alias("_b"))
+    df = mappings.join(paths.select("path_id", "families"), "path_id", "left").join(b, "path_id", "left").withColumn("_b", F.coalesce("_b", strings([]))).withColumn("families", F.coalesce("families", strings([])))
+    t, tail = F.col("tactic_id"), F.array_contains("families", "mail_browser_context_tail")
+    drops = [
+        tail & (t == "TA0007") & F.array_contains("_b", "credential_submit") & F.array_contains("_b", "network_service_discovery") & ~holds_any("_b", FOLLOW_UP),
+        tail & (t == "TA0006") & ~F.array_contains("behaviors", "credential_submit") & (F.size(F.array_except("behaviors", strings(["sensitive_read", "shell_exec"]))) == 0),
+        (t == "TA0004") & ~holds_any("behaviors", ["payload_elevate", "sudo_exec", "switch_su"]),
+        (t == "TA0043") & (F.array_contains("families", "cleanup_delete") | (holds_any("_b", ["cnc_communication", "shell_exec", "payload_elevate"]) & holds_any("_b", ["interpreter_precursor_chain", "attachment_user_exec", "sensitive_command"]))),
+    ]
+    return df.where(~F.coalesce(reduce(lambda x, y: x | y, drops), F.lit(False))).select(*mappings.columns)
 
 
 def evidence_support_rate(claims: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(path_id, rate): mean of the share of claims with evidence and the share of mappings with a claim."""
+    """(path_id, rate): mean of the share of claims with evidence and the share of mappings (column behavior) with a claim; a side without rows counts as 0."""
     a = claims.groupBy("path_id").agg(F.avg((F.size("evidence") > 0).cast("double")).alias("_a"))
     b = mappings.groupBy("path_id").agg(F.avg(F.col("behavior").isNotNull().cast("double")).alias("_b"))
     return a.join(b, "path_id", "full").select("path_id", ((F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))) / 2).alias("rate"))

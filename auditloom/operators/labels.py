@@ -134,7 +134,7 @@ WRITES, CHMODS = ["WRITE", "CREATE", "TRUNCATE", "RENAME"], ["CHMOD", "MODIFY_FI
 
 def staged_objects(events: DataFrame, object_labels: DataFrame | None = None, seconds: int = 600) -> DataFrame:
     """Objects (task_id, object_key) under temporary paths, with a staged label, or written, made executable and executed within `seconds` at each step; a new write starts over."""
-    e = events.where(~X.is_placeholder_key("object_key") & ~X.is_system_service_key("object_key"))
+    e = events.where((X.text("object_key") != "") & ~X.is_placeholder_key("object_key") & ~X.is_system_service_key("object_key"))
     t, us = F.col("event_type"), F.col("us")
     write = F.last(F.when(t.isin(WRITES), us), ignorenulls=True).over(by_object(Window.unboundedPreceding, -1))
     e = e.withColumn("_w", write)

@@ -117,7 +117,7 @@ def b18(spark, d):
     return table(spark, d, "pages").select("page_id", X.contains_upload_marker("url").alias("upload"), X.under_web_root(web).alias("web"))
 
 
-@query("b19_path_predicates", duck("SELECT DISTINCT object_key, object_key LIKE '%/tmp/%' AS temp, object_key LIKE '/usr/%' AS service, false AS placeholder FROM pe"))
+@query("b19_path_predicates", duck("SELECT DISTINCT object_key, object_key LIKE '%/tmp/%' AS temp, object_key LIKE '/usr/%' OR object_key LIKE '/etc/%' AS service, false AS placeholder FROM pe"))
 def b19(spark, d):
     k = "object_key"
     return provenance(spark, d).select(k, X.is_temp_exec_path(k).alias("temp"), X.is_system_service_key(k).alias("service"), X.is_placeholder_key(k).alias("placeholder")).distinct()
