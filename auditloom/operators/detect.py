@@ -9,7 +9,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.operators.identity import running_total
+from auditloom.operators.identity import exact_quantiles, running_total
 from auditloom.operators.scratch import written
 
 
@@ -82,8 +82,9 @@ def local_topk_score(distances: DataFrame, k: int = 3, key: str = "task_id", val
 
 def robust_scale(values: DataFrame, col: str) -> DataFrame:
     """One row: exact median and 1.4826 times the median absolute deviation, at least 1e-8."""
-    m = values.agg(F.median(col).alias("center"))
-    return values.crossJoin(F.broadcast(m)).groupBy("center").agg(F.greatest(1.4826 * F.median(F.abs(F.col(col) - F.col("center"))), F.lit(1e-8)).alias("scale"))
+    m = exact_quantiles(values, col, {"center": 0.5})
+    off = values.crossJoin(F.broadcast(m)).select(F.abs(F.col(col) - F.col("center")).alias("_off"))  # one row
+    return m.join(F.broadcast(exact_quantiles(off, "_off", {"_mad": 0.5}))).select("center", F.greatest(1.4826 * F.col("_mad"), F.lit(1e-8)).alias("scale"))
 
 
 def combine_scores(local: Column, local_center: Column, local_scale: Column, whole: Column, whole_center: Column, whole_scale: Column, w: float = 0.40) -> Column:
@@ -93,7 +94,7 @@ def combine_scores(local: Column, local_center: Column, local_scale: Column, who
 
 def benign_threshold(scores: DataFrame, col: str, fpr: float = 0.01) -> DataFrame:
     """One row: the interpolated quantile 1 - fpr."""
-    return scores.agg(F.percentile(col, F.lit(1 - fpr)).alias("threshold"))
+    return exact_quantiles(scores, col, {"threshold": 1 - fpr})
 
 
 def detect_normal_only(tasks: DataFrame, nodes: DataFrame, node_cols: list[str], task_cols: list[str], k_node: int = 32, k_task: int = 8, fpr: float = 0.01, seed: int = 1) -> DataFrame:
@@ -131,7 +132,7 @@ def binary_metrics(pred: DataFrame, label: str = "label", predicted: str = "pred
     f1 = [share(2 * a * b, a + b) for a, b in zip(pr, rc, strict=True)]
     base = c.select("tp", "fp", "fn", "tn", ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), ((pr[0] + pr[1]) / 2).alias("precision"), ((rc[0] + rc[1]) / 2).alias("recall"), ((f1[0] + f1[1]) / 2).alias("f1"))
     by = pred.groupBy((-F.col(score)).alias("_s")).agg(n(y).alias("_p"), n(~y).alias("_n"))
-    r = running_total(running_total(by, "_s", "_p", "_cp"), "_s", "_n", "_cn")
+    r = running_total(by, "_s", ["_p", "_n"], ["_cp", "_cn"])
     totals = by.agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"))
     r = r.crossJoin(F.broadcast(totals))  # one row
     # a positive beats the negatives of lower score, and half of those of its own
@@ -141,7 +142,8 @@ def binary_metrics(pred: DataFrame, label: str = "label", predicted: str = "pred
 
 
 def score_summary(tasks: DataFrame, col: str = "score") -> DataFrame:
-    return tasks.agg(F.min(col).alias("smallest"), F.max(col).alias("largest"), F.median(col).alias("median"))
+    """One row: smallest, largest and exact median."""
+    return tasks.agg(F.min(col).alias("smallest"), F.max(col).alias("largest")).join(F.broadcast(exact_quantiles(tasks, col, {"median": 0.5})))
 
 
 ATTRIBUTION = {"norm": 0.45, "degree": 0.20, "out_degree": 0.15, "in_degree": 0.10}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.identity import exact_quantiles
 from auditloom.operators.scratch import discard, written
 
 
@@ -146,9 +147,9 @@ def component_diagnostics(components: DataFrame, edges: DataFrame) -> DataFrame:
 def task_size_profile(tasks: DataFrame) -> DataFrame:
     """One row: smallest, mean, quantiles and largest of n_nodes, and counts above 100, 500 and 1000."""
     n = F.col("n_nodes")
-    q = [F.percentile("n_nodes", F.lit(p)).alias(name) for p, name in ((0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))]
     over = [F.sum((n > k).cast("int")).alias(f"over_{k}") for k in (100, 500, 1000)]
-    return tasks.agg(F.count("*").alias("tasks"), F.min(n).alias("smallest"), F.avg(n).alias("mean"), *q, F.max(n).alias("largest"), *over)
+    row = tasks.agg(F.count("*").alias("tasks"), F.min(n).alias("smallest"), F.avg(n).alias("mean"), F.max(n).alias("largest"), *over)
+    return row.join(F.broadcast(exact_quantiles(tasks, "n_nodes", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})))
 
 
 def graph_metrics(task_nodes: DataFrame, task_edges: DataFrame) -> DataFrame:

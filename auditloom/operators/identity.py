@@ -72,19 +72,33 @@ def score_percentile(tasks: DataFrame, score: str = "score") -> DataFrame:
         "severity", F.when(sev.isin("Minor", "Negligible"), "Moderate").otherwise(sev))
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, parts: int = 64) -> DataFrame:
-    """df plus the sum of `value` over all rows of smaller or equal `order`, whose values are unique.
+def running_total(df: DataFrame, order: str, value: str | list[str], out: str | list[str], parts: int = 64) -> DataFrame:
+    """df plus the sums of the values over all rows of smaller or equal `order`, which may be of any orderable type and whose values are unique.
 
-    Rows are range-partitioned; each part's own running sum is moved by the total of the parts before it (at most `parts` rows, broadcast).
+    Rows are range-partitioned, and written with the number of their range; each range's own running sum is moved by the total of the ranges before it (at most `parts` rows, broadcast).
     """
-    edges = [r for r in df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)] if dict(df.dtypes)[order] in ("double", "float", "int", "bigint") else []
-    part = sum(((F.col(order) > e).cast("int") for e in sorted(set(edges))), F.lit(0))
-    d = df.withColumn("_part", part)
-    before = d.groupBy("_part").agg(F.sum(value).alias("_s"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).drop("_s")
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
+    d = written(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = d.groupBy("_part").agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)])
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    before = before.select("_part", *[F.coalesce(F.sum(f"_s{i}").over(w), F.lit(0)).alias(f"_b{i}") for i in range(len(values))])
     own = Window.partitionBy("_part").orderBy(order)
-    return d.join(F.broadcast(before), "_part").withColumn(out, F.sum(value).over(own) + F.col("_before")).drop("_part", "_before")
+    sums = [(F.sum(v).over(own) + F.col(f"_b{i}")).alias(o) for i, (v, o) in enumerate(zip(values, outs, strict=True))]
+    return d.join(F.broadcast(before), "_part").select(*df.columns, *sums)
+
+
+def exact_quantiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
+    """One row: the exact interpolated quantiles of a column by name; nulls do not count, no value gives nulls.
+
+    Counts of distinct values with running sums stand in for a sort of all rows in one task."""
+    n = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running_total(n, "_v", "_n", "_upto")
+    total = n.agg(F.sum("_n").alias("_all"))
+    place = {name: F.lit(q) * (F.col("_all") - 1) for name, q in wanted.items()}
+    at = upto.join(F.broadcast(total))  # one row
+    ends = [F.min(F.when(F.col("_upto") > f(p), F.col("_v"))).alias(f"_{name}_{side}") for name, p in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    row = at.agg(F.max("_all").alias("_all"), *ends)
+    return row.select(*[(F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (p - F.floor(p))).alias(name) for name, p in place.items()])
 
 
 def match_frontier(events: DataFrame, task_nodes: DataFrame, include_object_side: bool = True) -> DataFrame:
@@ -224,12 +238,20 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
     return pairs
 
 
-def filter_tasks_by_windows(tasks: DataFrame, windows: DataFrame, pad: int = 0, offset: int = 0, bucket: int = 86_400) -> DataFrame:
-    """tasks (task_id, lo, hi in seconds) plus reason: kept, no_time, or no_overlap with any window (window_id, rlo, rhi) moved by offset and widened by pad; and the number of windows met."""
-    w = windows.select("window_id", (F.col("rlo") + offset - pad).alias("rlo"), (F.col("rhi") + offset + pad).alias("rhi"))
-    hits = overlap_join(tasks.select("task_id", "lo", "hi"), w, [], bucket).groupBy("task_id").agg(F.count("*").alias("windows"))
-    reason = F.when(F.col("lo").isNull() | F.col("hi").isNull(), "no_time").when(F.col("windows").isNull(), "no_overlap").otherwise("kept")
-    return tasks.join(hits, "task_id", "left").withColumn("reason", reason).withColumn("windows", F.coalesce("windows", F.lit(0)))
+def filter_tasks_by_windows(tasks: DataFrame, windows: DataFrame, pad: int = 0, offset: int = 0) -> DataFrame:
+    """tasks (task_id, lo, hi in seconds) plus reason: kept, no_time, or no_overlap with any window (window_id, rlo, rhi) moved by offset and widened by pad; and the number of windows met.
+
+    A task meets the windows that begin by its end less those that end before it begins, so running counts over the points of time answer all tasks without a pair ever being formed."""
+    w = windows.where("rlo is not null and rhi is not null").select((F.col("rlo") + offset - pad).alias("rlo"), (F.greatest("rlo", "rhi") + offset + pad).alias("rhi"))
+    t = tasks.select("lo", F.greatest("lo", "hi").alias("hi")).where("lo is not null and hi is not null")
+    none = F.lit(0).alias("_s"), F.lit(0).alias("_e")
+    points = w.select(F.col("rlo").alias("_t"), F.lit(1).alias("_s"), F.lit(0).alias("_e")).union(w.select(F.col("rhi") + 1, F.lit(0), F.lit(1))).union(t.select("lo", *none)).union(t.select("hi", *none))
+    sums = running_total(points.groupBy("_t").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e")), "_t", ["_s", "_e"], ["_begun", "_ended"])
+    begun, ended = sums.select(F.col("_t").alias("_hi"), "_begun"), sums.select(F.col("_t").alias("_lo"), "_ended")
+    keyed = tasks.withColumn("_lo", F.when(F.col("hi").isNotNull(), F.col("lo"))).withColumn("_hi", F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.greatest("lo", "hi")))
+    met = F.coalesce(F.col("_begun") - F.col("_ended"), F.lit(0)).cast("long")
+    reason = F.when(F.col("lo").isNull() | F.col("hi").isNull(), "no_time").when(met == 0, "no_overlap").otherwise("kept")
+    return keyed.join(begun, "_hi", "left").join(ended, "_lo", "left").withColumn("reason", reason).withColumn("windows", met).drop("_lo", "_hi", "_begun", "_ended")
 
 
 def parent_task_map(roots: DataFrame, boundary: DataFrame) -> DataFrame:

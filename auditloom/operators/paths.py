@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as X
 from auditloom.functions import settings as S
+from auditloom.operators import labels as L
+from auditloom.operators.claims import DELETES, ELEVATION_HELPERS, LOGS, PRECURSORS, WEAK_PRECURSORS
 from auditloom.operators.scratch import written
 
 STAGES = ["Entry", "ExecutionWeak", "ExecutionStrong", "TargetAccess", "FollowUp"]
@@ -58,14 +60,19 @@ def search_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = S.PATH_DEP
 
     An edge's time must not lie before the last one, nor after it by more than the gap or after the chain's first by more than
     the span; a missing time passes. One row for each chain, with the earliest last edge. A join for each step, pruned
-    as it goes; steps are written, so a long search survives lost executors.
+    as it goes; steps are written, so a long search survives lost executors. All chains are wanted, so the result grows with
+    the fan-out to the power of max_depth - 1; span and gap are what bounds it. Hub processes are split: chains that end in
+    one meet its edges in as many parts as it has thousands of edges.
     """
     e = written(edges.groupBy("task_id", "src", "dst", "edge_us").agg(F.max("confidence").alias("c"), F.max((F.col("kind") == "bridge").cast("int")).alias("b")), "paths")
     span, gap = span_seconds * 1_000_000, gap_seconds * 1_000_000
+    fan = e.groupBy("task_id", "src").agg(F.ceil(F.count("*") / 1000).cast("int").alias("_parts"))
+    e = e.join(fan, ["task_id", "src"]).withColumn("_part", F.pmod(F.xxhash64("dst", "edge_us"), F.col("_parts")).cast("int")).drop("_parts")
+    fan = fan.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     level = seeds.select("task_id", F.array("process").alias("chain"), F.lit(None).cast("bigint").alias("start_us"), F.lit(None).cast("bigint").alias("last_us"), F.lit(0).alias("bridges"), F.lit(0.0).alias("confidence"))
     parts = []
     for _ in range(max_depth - 1):
-        nxt = level.withColumn("src", F.element_at("chain", -1)).join(e, ["task_id", "src"])
+        nxt = level.withColumn("src", F.element_at("chain", -1)).join(fan, ["task_id", "src"]).join(e, ["task_id", "src", "_part"])
         t = F.col("edge_us")
         ok = F.coalesce(t >= F.col("last_us"), F.lit(True)) & F.coalesce(t - F.col("start_us") <= span, F.lit(True)) & F.coalesce(t - F.col("last_us") <= gap, F.lit(True))
         nxt = nxt.where(~F.array_contains("chain", F.col("dst")) & ok)
@@ -120,17 +127,75 @@ def score_paths(paths: DataFrame, priors: DataFrame) -> DataFrame:
     return df.withColumn("risk_score", score).withColumn("risk_level", X.risk_level(F.col("risk_score"))).drop("task_score", "top_processes", "top_edges", "_f", "_l")
 
 
-def path_support(paths: DataFrame, labelled: DataFrame, bridges: DataFrame, limit: int = 12) -> DataFrame:
-    """paths plus support_events (first labelled events of the chain and its bridges), support_objects and relations, `limit` of each at most.
+#: Kinds of chains: the stages that a path must hold (Execution: either of the two), tried in order. Fixed values.
+CHAIN_KINDS = [("entry_exec_access_followup", ["Entry", "Execution", "TargetAccess", "FollowUp"]), ("entry_exec_access", ["Entry", "Execution", "TargetAccess"]), ("entry_collection_exfil", ["Entry", "TargetAccess", "FollowUp"]),
+               ("entry_exec", ["Entry", "Execution"]), ("collection_followup", ["TargetAccess", "FollowUp"])]
+FOLLOW_UP_LABELS = ["B_EXTERNAL_SEND", "B_LATERAL_CONNECT", "B_DELETE_LOG"]
 
-    labelled: (task_id, process_guid, event_id, order_index, object_key) of events with a label."""
-    link = paths.select("path_id", "task_id", F.posexplode("chain").alias("_i", "process_guid"))
-    ev = link.join(labelled, ["task_id", "process_guid"]).groupBy("path_id").agg(F.array_sort(F.collect_set(F.struct("order_index", "event_id"))).alias("_e"), F.array_sort(F.collect_set("object_key")).alias("_o"))
-    steps = paths.select("path_id", "task_id", F.posexplode(F.transform(F.slice("chain", 2, F.size("chain") - 1), lambda x, i: F.struct(F.element_at("chain", i + 1).alias("src"), x.alias("dst")))).alias("_i", "s")).select("path_id", "task_id", "s.*")
-    rel = steps.join(bridges.select("task_id", "src", "dst", "object_key", "bridge_type"), ["task_id", "src", "dst"]).groupBy("path_id").agg(F.array_sort(F.collect_set(F.concat_ws("|", "src", "bridge_type", "object_key", "dst"))).alias("_r"))
-    none = F.array().cast("array<string>")
-    return paths.join(ev, "path_id", "left").join(rel, "path_id", "left").withColumn("support_events", F.coalesce(F.slice(F.col("_e.event_id"), 1, limit), F.array().cast(f"array<{dict(labelled.dtypes)['event_id']}>"))).withColumn(
-        "support_objects", F.coalesce(F.slice("_o", 1, limit), none)).withColumn("relations", F.coalesce(F.slice("_r", 1, limit), none)).drop("_e", "_o", "_r")
+
+def chain_kind(stages: str) -> Column:
+    run = F.array_contains(stages, "ExecutionWeak") | F.array_contains(stages, "ExecutionStrong")
+    holds_all = lambda need: reduce(lambda x, y: x & y, [run if n == "Execution" else F.array_contains(stages, n) for n in need])
+    return X.cases([(holds_all(need), kind) for kind, need in CHAIN_KINDS], F.lit("generic_path"))
+
+
+def first_of(rows: DataFrame, value: str, order: list, limit: int, out: str) -> DataFrame:
+    """(path_id, out): the first `limit` values of each path in order; the others are cut before any are gathered."""
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("path_id").orderBy(*order))).where(F.col("_r") <= limit)
+    return ranked.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("_r", value))).alias("_x")).select("path_id", F.col(f"_x.{value}").alias(out))
+
+
+def support_rows(paths: DataFrame, events: DataFrame, bridges: DataFrame) -> DataFrame:
+    """path_id with each event that supports it: labelled events of its processes and the ends of bridges between its neighbours."""
+    link = paths.select("path_id", "task_id", F.explode("chain").alias("process_guid"))
+    own = link.join(events.where(F.size("labels_triggered") > 0), ["task_id", "process_guid"])
+    ends = path_bridges(paths, bridges).select("path_id", "task_id", F.explode(F.array("write_event", "read_event")).alias("event_id")).distinct()
+    return own.unionByName(ends.join(events, ["task_id", "event_id"])).dropDuplicates(["path_id", "event_id"])
+
+
+def path_bridges(paths: DataFrame, bridges: DataFrame) -> DataFrame:
+    steps = paths.select("path_id", "task_id", F.explode(F.transform(F.slice("chain", 2, F.size("chain") - 1), lambda x, i: F.struct(F.element_at("chain", i + 1).alias("src"), x.alias("dst")))).alias("s")).select("path_id", "task_id", "s.*")
+    return steps.join(bridges, ["task_id", "src", "dst"])
+
+
+def path_support(paths: DataFrame, events: DataFrame, bridges: DataFrame, contexts: DataFrame | None = None, limit: int = 12, ids: int = 8) -> DataFrame:
+    """paths plus support_events, support_objects and relations (the first `limit` of each), precursors and followups (the first `ids` events of each), contexts and chain_kind.
+
+    events: normalized events with labels_triggered; contexts (task_id, holder, context_id). Precursors are sought among the supporting events. Follow-ups are, first, deletions of staged
+    or temporary objects by the path's processes or their children and helper programs, then sends, lateral connections, deleted logs and other network events among the supporting ones.
+    """
+    rows = written(support_rows(paths, events, bridges), "support")
+    over = path_bridges(paths, bridges)
+    ev = first_of(rows, "event_id", ["order_index", "event_id"], limit, "support_events")
+    obj = first_of(rows.select("path_id", "object_key").where("object_key <> ''").distinct(), "object_key", ["object_key"], limit, "support_objects")
+    rel = first_of(over.select("path_id", F.concat_ws("|", "src", "bridge_type", "object_key", "dst").alias("relation")).distinct(), "relation", ["relation"], limit, "relations")
+    staged = over.where(holds_any("labels", *L.STAGED_LABELS)).select("path_id", "object_key").distinct().withColumn("on_staged", F.lit(True))
+    temp = X.is_temp_exec_path("object_key")
+    marked = rows.join(staged, ["path_id", "object_key"], "left").withColumn("on_staged", F.coalesce("on_staged", F.lit(False)) | (temp & ~X.is_placeholder_key("object_key")))
+    pre = L.precursor_events(marked.withColumn("task_id", F.col("path_id")), PRECURSORS, WEAK_PRECURSORS, F.col("on_staged"), ids).select(F.col("task_id").alias("path_id"), "event_id", "rank")
+    pre = first_of(pre, "event_id", ["rank"], ids, "precursors")
+    link = paths.select("path_id", "task_id", F.explode("chain").alias("process_guid"))
+    gone = events.where(F.col("event_type").isin(DELETES) & (F.col("object_key") != "") & ~X.is_placeholder_key("object_key"))
+    by_child = link.withColumnRenamed("process_guid", "parent_process_guid").join(gone, ["task_id", "parent_process_guid"])
+    held = marked.where("on_staged").select("path_id", "object_key").distinct().withColumn("_held", F.lit(True))
+    clean = link.join(gone, ["task_id", "process_guid"]).select("path_id", "event_id", "order_index", "object_key").unionByName(by_child.select("path_id", "event_id", "order_index", "object_key")).join(held, ["path_id", "object_key"], "left")
+    clean = clean.where(F.col("_held") | temp).join(held.select("path_id").distinct(), "path_id", "left_semi").select("path_id", "event_id", "order_index", F.lit(0).alias("_p"))
+    t, c = F.col("event_type"), F.col("object_class")
+    usual = holds_any("labels_triggered", *FOLLOW_UP_LABELS) | (c.isin("external_ip", "internal_ip") & t.isin("SEND", "RECV", "CONNECT")) | (t.isin(DELETES) & temp)
+    place = X.cases([((t == "EXEC") & X.basename(F.lower("object_key")).isin(ELEVATION_HELPERS), F.lit(1)), (usual, F.lit(2))], F.lit(None).cast("int"))
+    after = rows.select("path_id", "event_id", "order_index", place.alias("_p")).where("_p is not null").unionByName(clean)
+    after = first_of(after.groupBy("path_id", "event_id", "order_index").agg(F.min("_p").alias("_p")), "event_id", ["_p", "order_index", "event_id"], ids, "followups")
+    out = paths
+    for part in (ev, obj, rel, pre, after):
+        out = out.join(part, "path_id", "left")
+    id_type = dict(events.dtypes)["event_id"]
+    for name, kind in (("support_events", id_type), ("support_objects", "string"), ("relations", "string"), ("precursors", id_type), ("followups", id_type)):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+    if contexts is not None:
+        holders = out.select("path_id", "task_id", F.explode(F.array_distinct(F.concat("chain", "support_objects"))).alias("holder"))
+        known = holders.join(contexts, ["task_id", "holder"]).groupBy("path_id").agg(F.array_sort(F.collect_set("context_id")).alias("contexts"))
+        out = out.join(known, "path_id", "left").withColumn("contexts", F.coalesce("contexts", strings([])))
+    return out.withColumn("chain_kind", chain_kind("stages"))
 
 
 def family_tags(paths: DataFrame, texts: DataFrame) -> DataFrame:
@@ -229,7 +294,36 @@ def timeline(paths: DataFrame, events: DataFrame, bridge_events: DataFrame, max_
     return e.where((F.col("_r") <= max_items) | pin).select("path_id", "task_id", "event_id", "order_index", "priority")
 
 
-def dossiers(paths: DataFrame, timelines: DataFrame, max_items: int = 24) -> DataFrame:
-    """One nested document for each path: chain, stages, risk and its timeline in order."""
+#: Names of service programs; beside them every name of four letters and more that ends in d counts. Fixed values.
+SERVICES = ["cron", "cleanup", "cupsd", "dbus-daemon", "login", "master", "pickup", "postfix", "qmgr", "rpcbind", "smtpd", "sshd", "systemd"]
+
+
+def object_summaries(timelines: DataFrame, events: DataFrame, object_labels: DataFrame, limit: int = 4) -> DataFrame:
+    """(path_id, category, names): the first `limit` objects of a path's timeline in each category: system, strong, weak and weak_system (sensitive), log_cleanup and staged_cleanup.
+
+    events: normalized events with labels_triggered; object_labels (task_id, entity, label)."""
+    lab = object_labels.groupBy("task_id", F.col("entity").alias("object_key")).agg(F.collect_set("label").alias("_l"))
+    e = timelines.select("path_id", "task_id", "event_id").join(events, ["task_id", "event_id"]).join(lab, ["task_id", "object_key"], "left").withColumn("_l", F.coalesce("_l", strings([]))).where("object_key <> ''")
+    c, k, service = F.col("object_class"), F.lower("object_key"), X.is_system_service_key("object_key")
+    strong = holds_any("_l", "O_CREDENTIAL", "O_HISTORY", "O_SENSITIVE_STRONG") | c.isin("credential_file", "history_file") | holds_any("labels_triggered", "B_READ_CRED", "B_READ_HISTORY")
+    weak = holds_any("_l", "O_BUSINESS_DATA", "O_SENSITIVE_WEAK") | (c == "business_file") | holds_any("labels_triggered", "B_READ_BUSINESS", "B_MASS_FILE_ACCESS")
+    gone = F.col("event_type").isin(DELETES) & ~X.is_placeholder_key("object_key")
+    log = holds_any("labels_triggered", "B_DELETE_LOG") | (c == "log_file") | X.contains_any(k, LOGS) | holds_any("_l", "O_LOG_ARTIFACT")
+    staged = X.is_temp_exec_path("object_key") | holds_any("_l", *L.STAGED_LABELS, "O_STAGED_EXEC_SOURCE")
+    tests = {"system": service, "strong": strong, "weak": weak & ~strong & ~service, "weak_system": weak & ~strong & service, "log_cleanup": gone & log, "staged_cleanup": gone & ~log & staged}
+    names = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()]))
+    rows = e.select("path_id", "object_key", "order_index", F.explode(names).alias("category")).groupBy("path_id", "category", "object_key").agg(F.min("order_index").alias("_o"))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("path_id", "category").orderBy("_o", "object_key"))).where(F.col("_r") <= limit)
+    return rows.groupBy("path_id", "category").agg(F.array_sort(F.collect_list(F.struct("_r", "object_key"))).alias("_x")).select("path_id", "category", F.col("_x.object_key").alias("names"))
+
+
+def dossiers(paths: DataFrame, timelines: DataFrame, states: DataFrame, events: DataFrame, object_labels: DataFrame, max_items: int = 24) -> DataFrame:
+    """One nested document for each path: chain, stages, risk, its timeline in order, its service programs and a map of object summaries."""
     t = timelines.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "event_id", "priority"))).alias("timeline"))
-    return paths.join(t, "path_id", "left").select("task_id", "path_id", F.struct("chain", "stages", "labels", "risk_score", "risk_level").alias("path"), F.slice("timeline", 1, max_items).alias("timeline"))
+    name = F.lower(F.trim("process_name"))
+    own = paths.select("path_id", "task_id", F.posexplode("chain").alias("_i", "process_guid")).join(states.select("task_id", "process_guid", name.alias("name")), ["task_id", "process_guid"])
+    own = own.where(F.col("name").isin(SERVICES) | (F.col("name").endswith("d") & (F.length("name") >= 4))).groupBy("path_id", "name").agg(F.min("_i").alias("_i"))
+    service = own.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("_i", "name"))).alias("_s")).select("path_id", F.slice(F.col("_s.name"), 1, 4).alias("services"))
+    seen = object_summaries(timelines, events, object_labels).groupBy("path_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "names"))).alias("objects"))
+    return paths.join(t, "path_id", "left").join(service, "path_id", "left").join(seen, "path_id", "left").select(
+        "task_id", "path_id", F.struct("chain", "stages", "labels", "risk_score", "risk_level").alias("path"), F.slice("timeline", 1, max_items).alias("timeline"), F.coalesce("services", strings([])).alias("services"), "objects")

@@ -8,9 +8,8 @@ from auditloom.functions import scalars as X
 from auditloom.functions import settings as S
 from auditloom.operators import claims as J
 from auditloom.operators import labels as L
-from auditloom.operators.scratch import written
 from auditloom.plans.compact_plans import events
-from auditloom.plans.fixture import duck, table
+from auditloom.plans.fixture import duck, once, table
 from auditloom.plans.registry import query
 
 #: Timelines, one text for both engines ({a} and {b} open and close an array). Event types, descriptions, labels and names are varied by ids so that every atom and every gate is met;
@@ -38,17 +37,6 @@ DUCK = {"a": "[", "b": "]", "none": "CAST([] AS VARCHAR[])", "div": "//", "text"
 TIMELINE = f"tl AS ({_TIMELINE.format(**DUCK)})"
 
 
-_made: dict = {}
-
-
-def once(spark, d, name, make):
-    """A written table that several queries of a session start from."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _made:
-        _made[key] = written(make(), name)
-    return _made[key]
-
-
 def timeline(spark, d):
     return once(spark, d, "timeline", lambda: spark.sql(_TIMELINE.format(**SPARK).replace("FROM pe)", "FROM {pe})"), pe=events(spark, d)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import compact as C
 from auditloom.operators.scratch import written
-from auditloom.plans.fixture import duck, provenance
+from auditloom.plans.fixture import duck, once, provenance
 from auditloom.plans.registry import query
 
 TTL = 7 * 86_400  # the events span 30 days
@@ -42,8 +42,8 @@ def events(spark, d):
 
 
 def labels(spark, d):
-    o = C.object_prelabels(events(spark, d))
-    return C.process_prelabels(events(spark, d), o), o
+    o = once(spark, d, "object_labels", lambda: C.object_prelabels(events(spark, d)))
+    return once(spark, d, "process_labels", lambda: C.process_prelabels(events(spark, d), o)), o
 
 
 def compacted(spark, d):

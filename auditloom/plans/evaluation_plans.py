@@ -1,4 +1,4 @@
-"""Queries of the evaluation. Windows are days and a half around large orders; paths are lines' weeks after shipping; hosts are the remainder of the key by four."""
+"""Queries of the evaluation. Windows are days and a half after all orders; paths, the query set, are up to a week from shipping of the lines of orders divisible by 20."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from auditloom.plans.registry import query
 def windows(spark, d):
     k = F.col("o_orderkey")
     lo = F.col("o_orderdate").cast("timestamp").cast("long")
-    return table(spark, d, "orders").where("o_orderkey % 50 = 0").select(k.cast("string").alias("window_id"), (k / 50 % 4).cast("int").alias("host"), lo.alias("rlo"), (lo + 129_600).alias("rhi"), F.when(k % 150 == 0, "attempted_failed").otherwise("confirmed").alias("status"),
-                                                                         F.lit("minute_window").alias("precision"), F.array(F.lit("TA0001"), F.concat(F.lit("TA000"), (k / 50 % 5 + 1).cast("int").cast("string"))).alias("gt_tactics"), F.array(F.lit("T1105")).alias("gt_techniques"))
+    return table(spark, d, "orders").select(k.cast("string").alias("window_id"), (F.floor(k / 50) % 4).cast("int").alias("host"), lo.alias("rlo"), (lo + 129_600).alias("rhi"), F.when(k % 150 == 0, "attempted_failed").otherwise("confirmed").alias("status"),
+                                                                         F.lit("minute_window").alias("precision"), F.array(F.lit("TA0001"), F.concat(F.lit("TA000"), (F.floor(k / 50) % 5 + 1).cast("int").cast("string"))).alias("gt_tactics"), F.array(F.lit("T1105")).alias("gt_techniques"))
 
 
 def paths(spark, d):
@@ -27,7 +27,7 @@ def paths(spark, d):
 
 
 DATA = """w AS (SELECT CAST(o_orderkey AS VARCHAR) AS window_id, CAST(o_orderkey // 50 % 4 AS INT) AS host, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 AS rlo, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 + 129600 AS rhi, CASE WHEN o_orderkey % 150 = 0 THEN 'attempted_failed' ELSE 'confirmed' END AS status,
- ['TA0001', 'TA000' || CAST(o_orderkey // 50 % 5 + 1 AS VARCHAR)] AS gt_tactics, ['T1105'] AS gt_techniques FROM orders WHERE o_orderkey % 50 = 0),
+ ['TA0001', 'TA000' || CAST(o_orderkey // 50 % 5 + 1 AS VARCHAR)] AS gt_tactics, ['T1105'] AS gt_techniques FROM orders),
 p AS (SELECT l_orderkey || '-' || l_linenumber AS path_id, CAST(l_orderkey AS VARCHAR) AS task_id, CAST(l_orderkey // 20 % 4 AS INT) AS host, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 AS lo, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 + CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE 100000 * l_linenumber END AS hi,
  CASE WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS risk_level, CAST(l_quantity AS DOUBLE) AS risk_score, ['TA0002', 'TA000' || CAST(l_orderkey // 20 % 3 + 1 AS VARCHAR)] AS tactics, CAST(l_suppkey AS VARCHAR) AS supp FROM lineitem WHERE l_orderkey % 20 = 0),
 m0 AS (SELECT path_id, window_id, status, lo, hi, rlo, rhi, lo >= rlo AND hi <= rhi AS inside, greatest(least(hi, rhi) - greatest(lo, rlo), 0) AS ov FROM p JOIN w ON p.host = w.host AND lo <= rhi + 7200 AND hi >= rlo - 7200),

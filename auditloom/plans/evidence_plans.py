@@ -163,24 +163,24 @@ def c17(spark, d):
 
 
 def order_windows(spark, d):
-    """Windows of a day and a half around the dates of large orders; tasks are the ship dates of lines."""
-    o = table(spark, d, "orders").where("o_orderkey % 500 = 0")
+    """Windows of a day and a half after the dates of orders; tasks are the ship dates of lines."""
+    o = table(spark, d, "orders")
     lo = F.col("o_orderdate").cast("timestamp").cast("long")
     return o.select(F.col("o_orderkey").cast("string").alias("window_id"), lo.alias("rlo"), (lo + 129_600).alias("rhi"))
 
 
 def line_tasks(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1")
+    lines = table(spark, d, "lineitem")
     lo = F.col("l_shipdate").cast("timestamp").cast("long")
-    return lines.select(F.col("l_orderkey").cast("string").alias("task_id"), F.when(F.col("l_orderkey") % 11 != 0, lo).alias("lo"), (lo + 3600).alias("hi"))
+    return lines.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("task_id"), F.when(F.col("l_orderkey") % 11 != 0, lo).alias("lo"), (lo + 3600).alias("hi"))
 
 
-WINDOWS = "w AS (SELECT CAST(o_orderkey AS VARCHAR) AS window_id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 AS rlo, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 + 129600 AS rhi FROM orders WHERE o_orderkey % 500 = 0)"
-LINES = "l AS (SELECT CAST(l_orderkey AS VARCHAR) AS task_id, CASE WHEN l_orderkey % 11 <> 0 THEN epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 END AS lo, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 + 3600 AS hi FROM lineitem WHERE l_linenumber = 1)"
+WINDOWS = "w AS (SELECT CAST(o_orderkey AS VARCHAR) AS window_id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 AS rlo, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 + 129600 AS rhi FROM orders)"
+LINES = "l AS (SELECT l_orderkey || '-' || l_linenumber AS task_id, CASE WHEN l_orderkey % 11 <> 0 THEN epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 END AS lo, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 + 3600 AS hi FROM lineitem)"
 
 
-@query("c18_filter_by_windows", f"""WITH {WINDOWS}, {LINES}, h AS (SELECT task_id, count(*) AS n FROM l JOIN w ON lo <= rhi + 7200 AND hi >= rlo - 0 GROUP BY task_id)
-SELECT l.task_id, CASE WHEN lo IS NULL THEN 'no_time' WHEN n IS NULL THEN 'no_overlap' ELSE 'kept' END AS reason, coalesce(n, 0) AS windows FROM l LEFT JOIN h USING (task_id)""")
+@query("c18_filter_by_windows", f"""WITH {WINDOWS}, {LINES}, p AS (SELECT rlo AS t, 1 AS s, 0 AS e FROM w UNION ALL SELECT rhi + 7200 + 1, 0, 1 FROM w), q AS (SELECT t, sum(sum(s)) OVER (ORDER BY t) AS s, sum(sum(e)) OVER (ORDER BY t) AS e FROM p GROUP BY t)
+SELECT l.task_id, CASE WHEN lo IS NULL THEN 'no_time' WHEN coalesce(b.s, 0) - coalesce(a.e, 0) = 0 THEN 'no_overlap' ELSE 'kept' END AS reason, CASE WHEN lo IS NULL THEN 0 ELSE CAST(coalesce(b.s, 0) - coalesce(a.e, 0) AS BIGINT) END AS windows FROM l ASOF LEFT JOIN q b ON b.t <= l.hi ASOF LEFT JOIN q a ON a.t <= l.lo""")
 def c18(spark, d):
     return I.filter_tasks_by_windows(line_tasks(spark, d), order_windows(spark, d), pad=3600, offset=3600).select("task_id", "reason", "windows")
 
@@ -200,10 +200,11 @@ def c20(spark, d):
 
 
 @query("c21_offset_sweep", f"""WITH {WINDOWS}, o AS (SELECT unnest([-86400, 0, 86400]) AS "offset"), h AS (SELECT l_orderkey AS event_id, l_suppkey AS subject, l_partkey AS term, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 AS lo FROM lineitem)
-SELECT window_id, "offset", count(event_id) AS hits, count(DISTINCT subject) AS subjects, count(DISTINCT term) AS terms FROM w CROSS JOIN o LEFT JOIN h ON lo BETWEEN rlo + "offset" AND rhi + "offset" GROUP BY ALL""")
+SELECT window_id, "offset", count(event_id) AS hits, count(DISTINCT subject) AS subjects, count(DISTINCT term) AS terms FROM (SELECT * FROM w WHERE CAST(window_id AS BIGINT) % 20 = 0) w CROSS JOIN o LEFT JOIN h ON lo BETWEEN rlo + "offset" AND rhi + "offset" GROUP BY ALL""")
 def c21(spark, d):
+    """The windows of orders divisible by 20 against all lines."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("term"), F.col("l_shipdate").cast("timestamp").cast("long").alias("lo"))
-    return I.offset_sweep(lines, order_windows(spark, d), spark.createDataFrame([(-86400,), (0,), (86400,)], "offset int"))
+    return I.offset_sweep(lines, order_windows(spark, d).where("cast(window_id as bigint) % 20 = 0"), spark.createDataFrame([(-86400,), (0,), (86400,)], "offset int"))
 
 
 @query("c22_onehop_ground_truth", duck("""WITH e AS (SELECT 'subject' AS role, process_guid AS node_id, event_type, us FROM pe UNION ALL SELECT 'object', object_key, event_type, us FROM pe)
@@ -214,11 +215,13 @@ def c22(spark, d):
     return I.onehop_ground_truth(pe, gt)
 
 
-@query("c23_task_window_diagnosis", f"""WITH {WINDOWS}, {LINES}, h AS (SELECT task_id, list_sort(list(DISTINCT window_id)) AS window_ids FROM l JOIN w ON lo <= rhi AND hi >= rlo GROUP BY task_id)
-SELECT l.task_id, coalesce(window_ids, []) AS window_ids, CASE WHEN lo IS NULL THEN 'no_time' WHEN CAST(l.task_id AS BIGINT) % 2 = 0 THEN 'wide_and_long' ELSE 'mixed' END AS cause FROM l LEFT JOIN h USING (task_id)""")
+@query("c23_task_window_diagnosis", f"""WITH {WINDOWS}, {LINES.replace('FROM lineitem)', 'FROM lineitem WHERE l_orderkey % 20 IN (0, 11))')}, h AS (SELECT task_id, list_sort(list(DISTINCT window_id)) AS window_ids FROM l JOIN w ON lo <= rhi AND hi >= rlo GROUP BY task_id)
+SELECT l.task_id, coalesce(window_ids, []) AS window_ids, CASE WHEN lo IS NULL THEN 'no_time' WHEN CAST(split_part(l.task_id, '-', 1) AS BIGINT) % 2 = 0 THEN 'wide_and_long' ELSE 'mixed' END AS cause FROM l LEFT JOIN h USING (task_id)""")
 def c23(spark, d):
-    even = F.col("task_id").cast("long") % 2 == 0
-    t = line_tasks(spark, d).withColumn("n_nodes", F.when(even, 80).otherwise(9)).withColumn("n_boundary", F.lit(1))
+    """The lines of orders with remainder 0 or 11 by 20 against all windows."""
+    order = F.split("task_id", "-")[0].cast("long")
+    even = order % 2 == 0
+    t = line_tasks(spark, d).where((order % 20).isin(0, 11)).withColumn("n_nodes", F.when(even, 80).otherwise(9)).withColumn("n_boundary", F.lit(1))
     return I.task_window_diagnosis(t, order_windows(spark, d)).select("task_id", "window_ids", "cause")
 
 

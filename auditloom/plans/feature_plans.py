@@ -26,6 +26,9 @@ def counts(spark, d):
     return E.event_counts(raw_events(spark, d), KINDS)
 
 
+TASKS = "t AS (SELECT 't' || o_orderkey AS task_id, CAST(o_orderkey % 9 = 0 AS INT) AS label, CAST(o_totalprice > 250000 AS INT) AS predicted_label, round(o_totalprice, -3) AS score, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_us(CAST(o_orderdate AS TIMESTAMP)) END AS first, o_orderkey FROM orders)"
+
+
 @query("e01_event_counts", duck(f"SELECT CAST({TYPE_ID} AS INT) AS type_id, process_guid AS subject, object_key AS object, count(*) AS n FROM pe WHERE event_type <> 'RECV' GROUP BY ALL"))
 def e01(spark, d):
     return counts(spark, d)
@@ -129,10 +132,12 @@ def e11(spark, d):
     return E.benign_prototypes(v, ["f1", "f2"])
 
 
-@query("e12_oversample_positives")
+@query("e12_oversample_positives", duck(f"WITH {TASKS}, n AS (SELECT count(*) AS n FROM t) SELECT task_id || '_aug' || lpad(CAST(c AS VARCHAR), 3, '0') AS task_id, task_id AS base_id, label, true AS fits FROM (SELECT *, unnest(range(1, (SELECT n FROM n) // 1000 + 3)) AS c FROM t WHERE label = 1)"))
 def e12(spark, d):
-    t = labelled_tasks(spark, d)
-    return E.oversample_positives(t.withColumn("n_nodes", F.lit(15)), nodes(spark, d), 1000, 2)
+    """Which prototype and place a copy gets is a hash's choice, so only their bounds are compared."""
+    protos = nodes(spark, d)
+    x = E.oversample_positives(labelled_tasks(spark, d).withColumn("n_nodes", F.lit(15)), protos, 1000, 2)
+    return x.select("task_id", "base_id", "label", (F.col("prototype").between(0, protos.count() - 1) & F.col("place").between(0, 14)).alias("fits"))
 
 
 @query("e13_event_action_profile", duck("SELECT process_guid, event_type, n, rank FROM (SELECT process_guid, event_type, count(*) AS n, row_number() OVER (PARTITION BY process_guid ORDER BY count(*) DESC, event_type) AS rank FROM pe GROUP BY process_guid, event_type) WHERE rank <= 3"))
@@ -153,7 +158,6 @@ def labelled_tasks(spark, d):
                                             F.when(k % 10 != 0, F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("first"), k)
 
 
-TASKS = "t AS (SELECT 't' || o_orderkey AS task_id, CAST(o_orderkey % 9 = 0 AS INT) AS label, CAST(o_totalprice > 250000 AS INT) AS predicted_label, round(o_totalprice, -3) AS score, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_us(CAST(o_orderdate AS TIMESTAMP)) END AS first, o_orderkey FROM orders)"
 
 
 def components() -> list:

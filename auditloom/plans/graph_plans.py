@@ -60,11 +60,10 @@ def d04(spark, d):
     return G.task_components(t, G.segment_nodes(t, 2, count_segmented=True))
 
 
-@query("d05_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || CAST(l_orderkey AS VARCHAR) AS a, 's' || CAST(l_suppkey AS VARCHAR) AS b FROM lineitem WHERE l_orderkey % 40 = l_suppkey % 40),
- both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS m FROM both_ways UNION SELECT r.node, w.b FROM r JOIN both_ways w ON w.a = r.m) SELECT node, min(m) AS component FROM r GROUP BY node""")
+@query("d05_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || CAST(l_orderkey AS VARCHAR) AS a, 's' || CAST(l_suppkey AS VARCHAR) AS b FROM lineitem), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM w GROUP BY a UNION SELECT w.a, min(n.component) FROM r n JOIN w ON w.b = n.node JOIN recurring.r c ON c.node = w.a WHERE n.component < c.component GROUP BY w.a) SELECT node, component FROM r""")
 def d05(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey % 40 = l_suppkey % 40").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
-    return G.connected_components(e)
+    return G.connected_components(table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")))
 
 
 @query("d06_label_tasks", duck("SELECT task_id, count(DISTINCT CASE WHEN user_id % 17 = 0 THEN process_guid END) AS attacknum, CAST(count(DISTINCT CASE WHEN user_id % 17 = 0 THEN process_guid END) > 0 AS INT) AS label FROM pe GROUP BY task_id"))

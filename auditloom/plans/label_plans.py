@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from auditloom.operators import compact as C
 from auditloom.operators import labels as L
 from auditloom.plans.compact_plans import COMPACT, compacted, events, labels
-from auditloom.plans.fixture import duck
+from auditloom.plans.fixture import duck, once
 from auditloom.plans.registry import query
 
 DAY = 86_400
@@ -34,7 +34,7 @@ BEHAVIOUR = f"""{COMPACT}, h AS (SELECT e.*, p.process_guid IS NOT NULL AS ctx,
 
 
 def behaviours(spark, d):
-    return L.behaviour_labels(events(spark, d), *labels(spark, d))
+    return once(spark, d, "behaviours", lambda: L.behaviour_labels(events(spark, d), *labels(spark, d)))
 
 
 @query("h02_behaviour_labels", duck(f"WITH {BEHAVIOUR} SELECT event_id, label FROM beh"))
@@ -79,7 +79,7 @@ BRIDGES = f"""{COMPACT}, allow AS (SELECT task_id, entity AS object_key, list(la
 
 
 def bridges(spark, d):
-    return L.bridge_edges(C.semantic_epochs(events(spark, d)), labels(spark, d)[1], DAY)
+    return once(spark, d, "bridges", lambda: L.bridge_edges(C.semantic_epochs(events(spark, d)), labels(spark, d)[1], DAY))
 
 
 @query("h07_bridge_edges", duck(f"WITH {BRIDGES} SELECT task_id, object_key, src, dst, write_event, read_event, write_us, read_us, labels, bridge_type, CAST(confidence AS DOUBLE) AS confidence FROM br"))

@@ -120,23 +120,41 @@ def a12(spark, d):
     return A.read_typed_ground_truth(spark, path)
 
 
-@query("a13_read_gt_windows", "SELECT CAST(o_orderkey AS VARCHAR) AS window_id, 'confirmed' AS status, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 AS \"start\", ['EXECUTION'] AS gt_tactics FROM orders WHERE o_orderkey % 100 = 0")
+@query("a13_read_gt_windows", "SELECT CAST(o_orderkey AS VARCHAR) AS window_id, 'confirmed' AS status, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 AS \"start\", ['EXECUTION'] AS gt_tactics FROM orders")
 def a13(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    o = table(spark, d, "orders")
     one = fmt('{"windows":[{"window_id":"%s","host":"h","status":"confirmed","start_time":"%s","confirmed_tactics":["TA0002"]}]}', "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
-    return A.read_gt_windows(spark, _one_document(o, one), "h").select("window_id", "status", F.col("start").cast("long").alias("start"), "gt_tactics")
+    inner = F.regexp_extract(one, r"^\{.windows.:\[(.*)\]\}$", 1)
+    path = documents(o.select(F.floor(F.col("o_orderkey") / 4000).alias("part"), inner.alias("one")), "windows", '{"windows":[', "]}")
+    return A.read_gt_windows(spark, path, "h").select("window_id", "status", F.col("start").cast("long").alias("start"), "gt_tactics")
 
 
-def _one_document(o, one):
-    """A single JSON document that lists all windows, as a reader of whole documents expects it."""
-    inner = F.regexp_extract(one, r"^\{.windows.:\[(.*)\]\}$", 1)
-    doc = o.groupBy().agg(F.concat(F.lit('{"windows":['), F.concat_ws(",", F.collect_list(inner)), F.lit("]}")).alias("value"))
-    return written_text(doc, "windows")
+def documents(rows, label: str, head: str, tail: str) -> str:
+    """A folder with one JSON document for each `part`, a list of its rows (column one), as a reader of whole documents expects them; parts are of bounded size."""
+    path = f"{scratch_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    doc = rows.groupBy("part").agg(F.concat(F.lit(head), F.concat_ws(",", F.collect_list("one")), F.lit(tail)).alias("value"))
+    doc.write.partitionBy("part").text(path)
+    return path
+
+
+@query("a10_read_stix", """SELECT 'T' || (1000 + item_id) AS external_id, 'technique' AS object_type, 'Name ' || item_id AS name, text AS description, [CASE item_id % 3 WHEN 0 THEN 'TA0001' WHEN 1 THEN 'TA9000' ELSE 'TA0002' END] AS tactic_ids FROM benchmark WHERE item_id % 7 <> 0 AND item_id % 5 <> 4
+UNION ALL SELECT DISTINCT 'TA9000', 'tactic', 'Made up', 'A tactic of its own', ['TA9000'] FROM benchmark""")
+def a10(spark, d):
+    """A bundle of the benchmark's items as techniques (every seventh revoked, every fifth of another kind) and one tactic of its own."""
+    b = table(spark, d, "benchmark")
+    phase = F.element_at(F.array(F.lit("initial-access"), F.lit("made-up"), F.lit("execution")), (F.col("item_id") % 3 + 1).cast("int"))
+    refs = lambda id_: F.array(F.struct(F.lit("other").alias("source_name"), F.lit("X-1").alias("external_id")), F.struct(F.lit("mitre-attack").alias("source_name"), id_.alias("external_id")))
+    item = F.struct(F.when(F.col("item_id") % 5 == 4, "malware").otherwise("attack-pattern").alias("type"), F.concat(F.lit("Name "), F.col("item_id").cast("string")).alias("name"), F.col("text").alias("description"), (F.col("item_id") % 7 == 0).alias("revoked"),
+                    refs(F.concat(F.lit("T"), (1000 + F.col("item_id")).cast("string"))).alias("external_references"), F.array(F.struct(F.lit("mitre-attack").alias("kill_chain_name"), phase.alias("phase_name"))).alias("kill_chain_phases"))
+    own = F.struct(F.lit("x-mitre-tactic").alias("type"), F.lit("Made up").alias("name"), F.lit("A tactic of its own").alias("description"), F.lit("made-up").alias("x_mitre_shortname"), refs(F.lit("TA9000")).alias("external_references"))
+    first = b.agg(F.min("item_id").alias("item_id")).where("item_id is not null").select(F.lit(-1).cast("long").alias("part"), F.to_json(own).alias("one"))
+    rows = b.select(F.floor(F.col("item_id") / 100).alias("part"), F.to_json(item).alias("one")).union(first)
+    return A.read_stix(spark, documents(rows, "bundle", '{"objects":[', "]}"))
 
 
-@query("a14_gt_markdown", "SELECT 'h' || CAST(o_custkey % 3 AS VARCHAR) AS host, strftime(o_orderdate, '%Y-%m-%d') AS day, '10:05' AS from_time, '11:00' AS to_time, ['T1105'] AS attack_ids FROM orders WHERE o_orderkey % 100 = 0")
+@query("a14_gt_markdown", "SELECT 'h' || CAST(o_custkey % 3 AS VARCHAR) AS host, strftime(o_orderdate, '%Y-%m-%d') AS day, '10:05' AS from_time, '11:00' AS to_time, ['T1105'] AS attack_ids FROM orders")
 def a14(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").cast("string").alias("file"), F.concat(F.lit("## H"), (F.col("o_custkey") % 3).cast("string")).alias("h"), fmt("| %s 10:05-11:00 | T1105 |", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("r"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.concat(F.lit("## H"), (F.col("o_custkey") % 3).cast("string")).alias("h"), fmt("| %s 10:05-11:00 | T1105 |", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("r"))
     lines = o.select("file", F.posexplode(F.array("h", F.lit("| time | ids |"), "r")).alias("number", "line"))
     return A.parse_gt_markdown(lines).drop("window_id")
 

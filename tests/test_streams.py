@@ -15,3 +15,20 @@ def test_drained_waits_for_the_end(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, timeout=None: full(q) if timeout is None else full(q, 0.01))
     slow = F.udf(lambda x: time.sleep(0.05) or x, "long")
     assert L.drained(spark.readStream.schema("id long").parquet(str(tmp_path / "in")).select(slow("id").alias("id"))).count() == 40
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    """Three triggers of one file each: the last brings rows that are older than the watermark of the first, and one that is not. A trigger is judged by the watermark of the one before the last."""
+    schema = "event_id long, ts timestamp, event_type string, process_guid string, object_key string"
+    path = str(tmp_path / "in")
+    rows = {1: [(1, "2024-01-01 00:10:00"), (2, "2024-01-09 00:20:00")], 2: [(6, "2024-01-09 00:30:00")], 3: [(3, "2024-01-02 00:00:00"), (4, "2024-01-03 00:00:00"), (5, "2024-01-08 23:50:00")]}
+    for part in rows.values():
+        df = spark.createDataFrame([(i, t, "READ", f"p{i}", "o") for i, t in part], "event_id long, ts string, event_type string, process_guid string, object_key string")
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = L.stream_counts(stream, "1 day", "1 hour").writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    got = {(str(r.start)[:10], r.process_guid) for r in spark.table("late").collect()}
+    # the watermark after the first file is 8 January 23:20, so the window of 8 January is still open
+    assert L.late_rows(q) == 2 and ("2024-01-01", "p1") in got and ("2024-01-08", "p5") in got and not {("2024-01-02", "p3"), ("2024-01-03", "p4")} & got
