@@ -30,15 +30,46 @@ def late_fusion(p: Column, q: Column, w: float = 0.25) -> tuple[Column, Column]:
     return fused, (fused >= 0.5).cast("int")
 
 
-def stratified_split(tasks: DataFrame, folds: int, label: str = "label", key: str = "task_id", seed: int = 7) -> DataFrame:
-    """tasks plus `fold`: rows of each label dealt evenly in the order of a hash; works on salted ranks, so no label meets in one task."""
+def hash_ranks(tasks: DataFrame, label: str, key: str, seed: int, out: str = "_rank") -> DataFrame:
+    """tasks plus their rank from 0 within the label in the order of a hash; works on salted ranks, so no label meets in one task."""
     h = F.xxhash64(F.lit(seed), key)
-    d = tasks.withColumn("_h", h).withColumn("_part", F.pmod("_h", F.lit(32)))
+    d = tasks.withColumn("_h", h).withColumn("_part", F.shiftright("_h", 59))  # the hash's first bits, so the parts lie in its order
     n = d.groupBy(label, "_part").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", key)) - 1
-    return d.withColumn("_r", rank).join(F.broadcast(n), [label, "_part"]).withColumn("fold", ((F.col("_r") + F.col("_before")) % folds).cast("int")).drop("_h", "_part", "_r", "_before")
+    return d.withColumn(out, rank).join(F.broadcast(n), [label, "_part"]).withColumn(out, F.col(out) + F.col("_before")).drop("_h", "_part", "_before")
+
+
+def stratified_split(tasks: DataFrame, folds: int, label: str = "label", key: str = "task_id", seed: int = 7) -> DataFrame:
+    """tasks plus `fold`: rows of each label dealt evenly in the order of a hash."""
+    return hash_ranks(tasks, label, key, seed).withColumn("fold", (F.col("_rank") % folds).cast("int")).drop("_rank")
+
+
+def split_tasks(tasks: DataFrame, strategy: str = "stratified_shuffle_split", fraction: float = 0.2, folds: int = 5, fold: int = 0, label: str = "label", key: str = "task_id", seed: int = 7) -> DataFrame:
+    """tasks plus part (train or eval), mode and fallback_reason.
+
+    stratified_kfold puts one fold aside where each label has a task for every fold; the stratified shuffle a rounded `fraction` of each label, one task at least and never all of them, where there are two
+    labels with two tasks and more; else a rounded fraction of all tasks in the order of a hash. One task alone is trained on. The labels are few, so their counts are collected; null labels are one of them.
+    """
+    n = {r[0]: r[1] for r in tasks.groupBy(label).agg(F.count("*")).collect()}
+    total, least = sum(n.values()), min(n.values(), default=0)
+    stratified = len(n) >= 2 and least >= 2 and total >= 3
+    wants_folds = strategy == "stratified_kfold"
+    reason = "" if not wants_folds else "kfold_not_feasible_for_class_counts_or_task_count" if stratified else "kfold_requires_stratifiable_labels"
+    named = lambda df, mode, why: df.withColumn("mode", F.lit(mode)).withColumn("fallback_reason", F.lit(why))
+    if total <= 1:
+        return named(tasks.withColumn("part", F.lit("train")), "degenerate_all_train", "")
+    if wants_folds and stratified and 2 <= folds <= least:
+        out = stratified_split(tasks, folds, label, key, seed)
+        return named(out.withColumn("part", F.when(F.col("fold") == fold % folds, "eval").otherwise("train")).drop("fold"), "stratified_kfold", "")
+    if stratified:
+        cut = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(y)), min(k - 1, max(1, round(k * fraction)))) for y, k in n.items()])
+        mode, ranked = "stratified_shuffle_split", hash_ranks(tasks, label, key, seed)
+    else:
+        cut = F.lit(min(total - 1, max(1, round(total * fraction))))
+        mode, ranked = "random_shuffle_fallback", hash_ranks(tasks.withColumn("_one", F.lit(1)), "_one", key, seed).drop("_one")
+    return named(ranked.withColumn("part", F.when(F.col("_rank") < cut, "eval").otherwise("train")).drop("_rank"), mode, reason)
 
 
 def temporal_benign_split(tasks: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:

@@ -168,13 +168,13 @@ def graph_metrics(task_nodes: DataFrame, task_edges: DataFrame) -> DataFrame:
 
 
 def check_graph_meta(graphs: DataFrame, metas: DataFrame) -> DataFrame:
-    """Tasks whose counts differ between graphs and metas, or that only one has: (task_id, problem)."""
-    cols = ["n_nodes", "n_edges", "attacknum"]
+    """Tasks whose node, edge, label or attack numbers differ between graphs and metas, or that only one has: (task_id, problem), the first of them in this order. A number that a meta lacks fits."""
+    cols = ["n_nodes", "n_edges", "label", "attacknum"]
     g, m = (df.select("task_id", *[F.col(c).alias(f"{p}_{c}") for c in cols], F.lit(True).alias(p)) for df, p in ((graphs, "g"), (metas, "m")))
     both = g.join(m, "task_id", "full")
     problem = F.when(F.col("g").isNull(), "no_graph").when(F.col("m").isNull(), "no_meta")
     for c in cols:
-        problem = problem.when(~F.col(f"g_{c}").eqNullSafe(F.col(f"m_{c}")), c)
+        problem = problem.when(F.col(f"m_{c}").isNotNull() & ~F.col(f"g_{c}").eqNullSafe(F.col(f"m_{c}")), c)
     return both.select("task_id", problem.alias("problem")).where("problem is not null")
 
 

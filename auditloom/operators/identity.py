@@ -188,12 +188,15 @@ def event_index(events: DataFrame, key: str) -> DataFrame:
 
 
 def evidence_graph(events: DataFrame, priors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (task, process, event type, object, count) and anchors (task, node): the prior's roots, else the task's first process."""
+    """Edges (task, process, event type, object, count) and the frontier of each task: anchors (the prior's roots, else its task root, else the task's first process), boundary ids, and links
+    (kind, process) to other tasks, which a task root that a split made gives. priors: (task_id, root_ids, task_root, boundary_ids)."""
     edges = events.groupBy("task_id", "process_guid", "event_type", "object_key").agg(F.count("*").alias("n"), F.min("order_index").alias("first_index"))
     first = events.groupBy("task_id").agg(F.min_by("process_guid", "order_index").alias("_first"))
-    roots = F.when(F.size("root_ids") > 0, F.col("root_ids")).otherwise(F.array("_first"))
-    anchors = first.join(priors.select("task_id", "root_ids"), "task_id", "left").select("task_id", F.explode(roots).alias("node"))
-    return edges, anchors
+    df = first.join(priors.select("task_id", "root_ids", X.blank_to_null("task_root").alias("_root"), "boundary_ids"), "task_id", "left")
+    none = F.array().cast("array<string>")
+    link = F.array(F.struct(F.lit("split_root").alias("kind"), F.col("_root").alias("process")))
+    anchors = F.when(F.size("root_ids") > 0, F.col("root_ids")).when(F.col("_root").isNotNull(), F.array("_root")).otherwise(F.array("_first"))
+    return edges, df.select("task_id", anchors.alias("anchors"), F.coalesce("boundary_ids", none).alias("boundary"), F.when(F.col("_root").isNotNull(), link).otherwise(F.slice(link, 1, 0)).alias("links"))
 
 
 def build_priors(tasks: DataFrame, meta: DataFrame, attribution: DataFrame) -> DataFrame:
@@ -203,11 +206,17 @@ def build_priors(tasks: DataFrame, meta: DataFrame, attribution: DataFrame) -> D
         F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("top_processes", F.array().cast("array<string>")).alias("top_processes"))
 
 
-def seed_coverage(task_nodes: DataFrame, events: DataFrame) -> DataFrame:
-    """Per task: its seeds, and those without any event."""
+def seed_coverage(task_nodes: DataFrame, events: DataFrame, top_processes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per task: its seeds, those without any event, and the top processes (task_id, process) without any; and the mapped ids as rows (task_id, node_id)."""
     seen = events.select("task_id", F.col("process_guid").alias("node_id")).distinct().withColumn("_hit", F.lit(1))
-    return task_nodes.select("task_id", "node_id").distinct().join(seen, ["task_id", "node_id"], "left").groupBy("task_id").agg(
-        F.count("*").alias("seeds"), F.sum(F.when(F.col("_hit").isNull(), 1).otherwise(0)).alias("unmapped"))
+    seeds = task_nodes.select("task_id", "node_id").distinct()
+    out = seeds.join(seen, ["task_id", "node_id"], "left").groupBy("task_id").agg(F.count("*").alias("seeds"), F.count_if(F.col("_hit").isNull()).alias("unmapped"))
+    ids = seeds
+    if top_processes is not None:
+        top = top_processes.select("task_id", F.trim("process").alias("node_id")).where("node_id <> ''").distinct()
+        lost = top.join(seen, ["task_id", "node_id"], "left").groupBy("task_id").agg(F.count_if(F.col("_hit").isNull()).alias("unmapped_top"))
+        out, ids = out.join(lost, "task_id", "left").na.fill(0, ["unmapped_top"]), seeds.union(top).distinct()
+    return out, ids.join(seen.select("task_id", "node_id"), ["task_id", "node_id"], "left_semi")
 
 
 def canonical_ground_truth(ids: DataFrame, alias: DataFrame) -> DataFrame:
@@ -286,34 +295,71 @@ def match_observables(texts: DataFrame, observables: DataFrame) -> DataFrame:
     return t.join(found, "_key").where(F.expr("contains(_text, term)")).select("event_id", "term")
 
 
-def offset_sweep(hits: DataFrame, windows: DataFrame, offsets: DataFrame, bucket: int = 86_400) -> DataFrame:
-    """For each clock offset and window: hits within, distinct subjects and terms. hits (event_id, subject, term, lo); the offsets are a short stated list."""
-    moved = windows.crossJoin(F.broadcast(offsets)).select("window_id", "offset", (F.col("rlo") + F.col("offset")).alias("rlo"), (F.col("rhi") + F.col("offset")).alias("rhi"))
-    pairs = overlap_join(hits.withColumn("hi", F.col("lo")), moved, [], bucket)
-    got = pairs.groupBy("window_id", "offset").agg(F.count("*").alias("hits"), F.count_distinct("subject").alias("subjects"), F.count_distinct("term").alias("terms"))
-    return moved.select("window_id", "offset").join(got, ["window_id", "offset"], "left").na.fill(0, ["hits", "subjects", "terms"])
+def offset_sweep(hits: DataFrame, windows: DataFrame, offsets: DataFrame, malicious: DataFrame, bucket: int = 86_400, top: int = 20) -> DataFrame:
+    """For each clock offset and window: hits within, distinct subjects, objects and terms, malicious ids (node_id) among its subjects and in any role, and its `top` actions (action, n).
 
+    hits (event_id, subject, object, term, action, lo); the offsets are a short stated list."""
+    moved = windows.join(F.broadcast(offsets)).select("window_id", "offset", (F.col("rlo") + F.col("offset")).alias("rlo"), (F.col("rhi") + F.col("offset")).alias("rhi"))
+    pairs = written(overlap_join(hits.withColumn("hi", F.col("lo")), moved, [], bucket), "offsets")
+    key = ["window_id", "offset"]
+    got = pairs.groupBy(*key).agg(F.count("*").alias("hits"), F.count_distinct("subject").alias("subjects"), F.count_distinct("object").alias("objects"), F.count_distinct("term").alias("terms"))
+    role = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("subject").alias("node_id")), F.struct(F.lit(False).alias("own"), F.col("object").alias("node_id")))).alias("x")
+    bad = pairs.select(*key, role).select(*key, "x.*").distinct().join(malicious.select("node_id").distinct(), "node_id", "left_semi").groupBy(*key).agg(
+        F.count_distinct(F.when(F.col("own"), F.col("node_id"))).alias("malicious_subjects"), F.count_distinct("node_id").alias("malicious"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "action"))
+    acts = pairs.where("action is not null").groupBy(*key, "action").agg(F.count("*").alias("n")).withColumn("_r", rank).where(F.col("_r") <= top)
+    acts = acts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_r", "action", "n"))).alias("_a")).select(*key, F.transform("_a", lambda x: F.struct(x["action"].alias("action"), x["n"].alias("n"))).alias("actions"))
+    out = moved.select(*key).join(got, key, "left").join(bad, key, "left").join(acts, key, "left")
+    return out.na.fill(0, ["hits", "subjects", "objects", "terms", "malicious_subjects", "malicious"]).withColumn("actions", F.coalesce("actions", F.array().cast("array<struct<action:string,n:bigint>>")))
 
-def onehop_ground_truth(events: DataFrame, gt: DataFrame) -> DataFrame:
-    """Roles, event types, counts and times of malicious ids: (node_id, role, event_type, n, first, last)."""
-    ends = events.select(F.explode(F.array(F.struct(F.lit("subject").alias("role"), F.col("subject").alias("node_id")), F.struct(F.lit("object").alias("role"), F.col("object").alias("node_id")))).alias("e"), "event_type", "us")
-    return ends.select("e.*", "event_type", "us").join(gt.select("node_id").distinct(), "node_id", "left_semi").groupBy("node_id", "role", "event_type").agg(
-        F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
+def onehop_ground_truth(events: DataFrame, tasks: DataFrame, gt: DataFrame, slots: tuple[str, ...] = ("subject", "object")) -> tuple[DataFrame, DataFrame]:
+    """Malicious ids in malicious tasks: (node_id, role, event_type, n, first_us, last_us), and their one-hop events (task_id, event_id, node_id, role, other).
 
-def task_window_diagnosis(tasks: DataFrame, windows: DataFrame, bucket: int = 86_400) -> DataFrame:
-    """tasks (task_id, lo, hi, n_nodes, n_boundary) plus overlapping window ids, span in minutes and a cause class."""
-    hit = overlap_join(tasks.select("task_id", "lo", "hi"), windows.select("window_id", "rlo", "rhi"), [], bucket).groupBy("task_id").agg(F.array_sort(F.collect_set("window_id")).alias("window_ids"))
-    span = (F.col("hi") - F.col("lo")) / 60.0
-    cause = X.cases([(F.col("span_min").isNull(), "no_time"), (F.col("span_min") >= 120, "long_span"), ((F.col("span_min") >= 60) & (F.col("n_nodes") >= 50), "wide_and_long"),
-                     ((F.col("span_min") <= 30) & (F.col("n_nodes") <= 12) & (F.col("n_boundary") <= 2), "compact")], F.lit("mixed"))
-    return tasks.join(hit, "task_id", "left").withColumn("window_ids", F.coalesce("window_ids", F.array().cast("array<string>"))).withColumn("span_min", span).withColumn("cause", cause)
-
-
-def alias_width(subjects: DataFrame, wide: int = 3) -> DataFrame:
-    """Per alias key: distinct uuids, path variants, first and last seen, and whether the key is wide. subjects (alias, uuid, path, us)."""
-    return subjects.groupBy("alias").agg(F.count_distinct("uuid").alias("uuids"), F.count_distinct("path").alias("paths"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).withColumn(
-        "wide", (F.col("uuids") > wide) | (F.col("paths") > 1))
-
+    A task (task_id, node_id) is malicious if it holds a malicious id (gt: node_id); its events are those with one of its ids in any slot. An event with several malicious ends counts once for each."""
+    bad = gt.select("node_id").distinct()
+    held = tasks.select("task_id", "node_id").distinct()
+    mine = held.join(held.join(bad, "node_id", "left_semi").select("task_id").distinct(), "task_id", "left_semi")
+    ends = events.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("role"), F.col(s).alias("node_id")) for s in slots])).alias("_end")).select("event_id", "event_type", "us", *slots, "_end.*").where("node_id is not null")
+    inside = ends.join(mine, "node_id").select("task_id", "event_id").distinct()
+    hits = ends.join(bad, "node_id", "left_semi").join(inside, "event_id")
+    other = F.filter(F.array(*slots), lambda x: x.isNotNull() & (x != F.col("node_id")))
+    stats = hits.select("event_id", "node_id", "role", "event_type", "us").distinct().groupBy("node_id", "role", "event_type").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return stats, hits.select("task_id", "event_id", "node_id", "role", F.get(other, F.lit(0)).alias("other"))
 
 
+def task_window_diagnosis(tasks: DataFrame, windows: DataFrame, bucket: int = 86_400) -> DataFrame:
+    """tasks (task_id, lo, hi, n_nodes, n_boundary, shared) plus the ids of confirmed and attempted windows (column status) that they overlap, their span in minutes and the cause class of those that overlap no confirmed one.
+
+    shared: the task holds a malicious id of a task that overlaps a confirmed window. Rows that repeat a task id are one task, with the id lists of all."""
+    hit = overlap_join(tasks.select("task_id", "lo", "hi"), windows.select("window_id", "status", "rlo", "rhi"), [], bucket)
+    ids = lambda ok: F.array_sort(F.collect_set(F.when(ok, F.col("window_id"))))
+    hit = hit.groupBy("task_id").agg(ids(F.col("status") == "confirmed").alias("window_ids"), ids(F.col("status") != "confirmed").alias("attempted_ids"))
+    df = tasks.join(hit, "task_id", "left")
+    for name in ("window_ids", "attempted_ids"):
+        df = df.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    df = df.withColumn("span_min", F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.greatest(F.lit(0.0), (F.col("hi") - F.col("lo")) / 60.0)))
+    s, n, b = F.coalesce("span_min", F.lit(0.0)), F.col("n_nodes"), F.col("n_boundary")
+    cause = X.cases([(F.size("window_ids") > 0, None), (F.size("attempted_ids") > 0, "gt_node_outside_confirmed_windows"), (F.coalesce("shared", F.lit(False)), "shared_gt_node_cross_window"),
+                     ((s >= 120) | ((s >= 60) & (n >= 50)), "long_lived_root_glue"), ((s >= 30) & (n <= 12) & (b <= 2), "wide_subject_alias_epoch")], F.lit("unknown"))
+    return df.withColumn("cause", cause)
+
+
+def numeric_summary(df: DataFrame, value: str) -> DataFrame:
+    """One row: count, smallest, median, interpolated 90th percentile and largest of a column, nulls left out."""
+    row = df.agg(F.count(value).alias("count"), F.min(value).cast("double").alias("smallest"), F.max(value).cast("double").alias("largest"))
+    return row.join(F.broadcast(exact_quantiles(df, value, {"median": 0.5, "p90": 0.9})))
+
+
+def alias_width(subjects: DataFrame, events: DataFrame, task_nodes: DataFrame) -> DataFrame:
+    """Per alias key: distinct uuids, path variants and files, first and last event, tasks hit, those of them that overlap no window, and the reasons why the key is wide (none: an empty list).
+
+    subjects (alias, uuid, path, file), events (uuid, us, file), task_nodes (task_id, node_id, overlaps). A uuid that repeats belongs to its last alias by name."""
+    own = subjects.groupBy("uuid").agg(F.max("alias").alias("alias"))
+    seen = events.groupBy("uuid").agg(F.min("us").alias("_first"), F.max("us").alias("_last")).join(own, "uuid").groupBy("alias").agg(F.min("_first").alias("first_us"), F.max("_last").alias("last_us"))
+    files = subjects.select("alias", "file").union(events.select("uuid", "file").distinct().join(own, "uuid").select("alias", "file")).groupBy("alias").agg(F.count_distinct("file").alias("files"))
+    hit = task_nodes.select("task_id", F.col("node_id").alias("uuid"), "overlaps").join(own, "uuid").groupBy("alias").agg(F.count_distinct("task_id").alias("tasks"), F.count_distinct(F.when(~F.col("overlaps"), F.col("task_id"))).alias("outside_tasks"))
+    df = subjects.groupBy("alias").agg(F.count_distinct("uuid").alias("uuids"), F.count_distinct("path").alias("paths")).join(files, "alias", "left").join(seen, "alias", "left").join(hit, "alias", "left").na.fill(0, ["files", "tasks", "outside_tasks"])
+    span = F.coalesce((F.col("last_us") - F.col("first_us")) / 6e7, F.lit(0.0))
+    reasons = {"uuid_ge_8_and_span_ge_30m": (F.col("uuids") >= 8) & (span >= 30), "uuid_ge_5_file_ge_2_span_ge_20m": (F.col("uuids") >= 5) & (F.col("files") >= 2) & (span >= 20), "hits_ge_3_nonoverlap_tasks": F.col("outside_tasks") >= 3}
+    return df.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()])))

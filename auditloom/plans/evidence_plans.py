@@ -124,12 +124,21 @@ def c12(spark, d):
     return I.event_index(provenance(spark, d), "process_guid")
 
 
-@query("c13_evidence_graph", duck("SELECT task_id, process_guid AS node, event_type, object_key, count(*) AS n FROM pe GROUP BY ALL UNION ALL SELECT task_id, CASE WHEN task_id = 'task_1' THEN 'root' ELSE arg_min(process_guid, order_index) END, 'anchor', NULL, 1 FROM pe GROUP BY task_id"))
+@query("c13_evidence_graph", duck("SELECT task_id, process_guid AS node, event_type, object_key, count(*) AS n FROM pe GROUP BY ALL"))
 def c13(spark, d):
-    pe = provenance(spark, d)
-    priors = spark.range(1).select(F.lit("task_1").alias("task_id"), F.array(F.lit("root")).alias("root_ids"))
-    edges, anchors = I.evidence_graph(pe, priors)
-    return edges.select("task_id", F.col("process_guid").alias("node"), "event_type", "object_key", "n").union(anchors.select("task_id", "node", F.lit("anchor"), F.lit(None).cast("string"), F.lit(1).cast("long")))
+    return I.evidence_graph(provenance(spark, d), graph_priors(spark))[0].select("task_id", F.col("process_guid").alias("node"), "event_type", "object_key", "n")
+
+
+def graph_priors(spark):
+    """Task 1 has roots, task 2 a root made by a split, task 3 boundary ids alone."""
+    return spark.createDataFrame([("task_1", ["root", "r2"], " ", []), ("task_2", [], "cut", ["b1"]), ("task_3", [], None, ["b2", "b3"])], "task_id string, root_ids array<string>, task_root string, boundary_ids array<string>")
+
+
+@query("c13_evidence_frontier", duck("""SELECT task_id, CASE task_id WHEN 'task_1' THEN ['root', 'r2'] WHEN 'task_2' THEN ['cut'] ELSE [arg_min(process_guid, order_index)] END AS anchors, CASE task_id WHEN 'task_2' THEN ['b1'] WHEN 'task_3' THEN ['b2', 'b3'] ELSE [] END AS boundary,
+ CASE task_id WHEN 'task_2' THEN 'split_root:cut' ELSE '' END AS links FROM pe GROUP BY task_id"""))
+def c13_frontier(spark, d):
+    f = I.evidence_graph(provenance(spark, d), graph_priors(spark))[1]
+    return f.withColumn("links", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["kind"], x["process"])), ","))
 
 
 @query("c14_priors", duck("""SELECT task_id, round(avg(value), 6) AS task_score, CASE WHEN task_id < 'task_5' THEN count(DISTINCT process_guid) ELSE 0 END AS n_nodes, CASE WHEN task_id > 'task_2' THEN [min(process_guid)] ELSE [] END AS top_processes FROM pe GROUP BY task_id"""))
@@ -141,12 +150,24 @@ def c14(spark, d):
     return I.build_priors(t, meta, top).drop("root_ids")
 
 
-@query("c15_seed_coverage", duck("""WITH s AS (SELECT DISTINCT task_id, process_guid AS node_id FROM pe UNION SELECT DISTINCT task_id, 'ghost' FROM pe)
-SELECT task_id, count(*) AS seeds, sum(CASE WHEN node_id = 'ghost' THEN 1 ELSE 0 END) AS unmapped FROM s GROUP BY task_id"""))
-def c15(spark, d):
+SEEDS = "s AS (SELECT DISTINCT task_id, process_guid AS node_id FROM pe WHERE user_id % 3 > 0 UNION SELECT DISTINCT task_id, 'ghost' FROM pe), tp AS (SELECT DISTINCT task_id, process_guid AS node_id FROM pe WHERE user_id % 4 = 0 UNION SELECT DISTINCT task_id, 'spirit' FROM pe WHERE task_id < 'task_4')"
+
+
+def covered(spark, d):
     pe = provenance(spark, d)
-    s = pe.select("task_id", F.col("process_guid").alias("node_id")).union(pe.select("task_id", F.lit("ghost"))).distinct()
-    return I.seed_coverage(s, pe).withColumn("unmapped", F.col("unmapped").cast("long"))
+    s = pe.where("user_id % 3 > 0").select("task_id", F.col("process_guid").alias("node_id")).union(pe.select("task_id", F.lit("ghost"))).distinct()
+    top = pe.where("user_id % 4 = 0").select("task_id", F.col("process_guid").alias("process")).union(pe.where("task_id < 'task_4'").select("task_id", F.lit(" spirit "))).union(pe.select("task_id", F.lit(" ")))
+    return I.seed_coverage(s, pe, top)
+
+
+@query("c15_seed_coverage", duck(f"""WITH {SEEDS} SELECT task_id, count(*) AS seeds, count(*) FILTER (node_id = 'ghost') AS unmapped, (SELECT count(*) FROM tp WHERE tp.task_id = s.task_id AND node_id = 'spirit') AS unmapped_top FROM s GROUP BY task_id"""))
+def c15(spark, d):
+    return covered(spark, d)[0]
+
+
+@query("c15_mapped_seeds", duck(f"WITH {SEEDS} SELECT task_id, node_id FROM (SELECT * FROM s UNION SELECT * FROM tp) WHERE node_id NOT IN ('ghost', 'spirit')"))
+def c15_mapped(spark, d):
+    return covered(spark, d)[1]
 
 
 @query("c16_canonical_ground_truth", duck("SELECT DISTINCT 'c' || CAST(user_id AS VARCHAR) AS node_id FROM pe WHERE user_id % 9 = 0 UNION SELECT 'stranger'"))
@@ -199,33 +220,76 @@ def c20(spark, d):
     return I.match_observables(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), "text"), terms)
 
 
-@query("c21_offset_sweep", f"""WITH {WINDOWS}, o AS (SELECT unnest([-86400, 0, 86400]) AS "offset"), h AS (SELECT l_orderkey AS event_id, l_suppkey AS subject, l_partkey AS term, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 AS lo FROM lineitem)
-SELECT window_id, "offset", count(event_id) AS hits, count(DISTINCT subject) AS subjects, count(DISTINCT term) AS terms FROM (SELECT * FROM w WHERE CAST(window_id AS BIGINT) % 20 = 0) w CROSS JOIN o LEFT JOIN h ON lo BETWEEN rlo + "offset" AND rhi + "offset" GROUP BY ALL""")
+@query("c21_offset_sweep", f"""WITH {WINDOWS}, o AS (SELECT unnest([-86400, 0, 86400]) AS "offset"), h AS (SELECT l_orderkey AS event_id, 's' || l_suppkey AS subject, 'p' || l_partkey AS object, l_linenumber % 5 AS term, l_returnflag AS action, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 AS lo FROM lineitem),
+ v AS (SELECT * FROM (SELECT * FROM w WHERE CAST(window_id AS BIGINT) % 20 = 0) w CROSS JOIN o), j AS (SELECT v.window_id, v."offset", h.* FROM v JOIN h ON lo BETWEEN rlo + "offset" AND rhi + "offset"),
+ g AS (SELECT window_id, "offset", count(*) AS hits, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects, count(DISTINCT term) AS terms, count(DISTINCT subject) FILTER (subject LIKE '%7') AS malicious_subjects, count(DISTINCT subject) FILTER (subject LIKE '%7') + count(DISTINCT object) FILTER (object LIKE '%77') AS malicious FROM j GROUP BY ALL),
+ a AS (SELECT window_id, "offset", string_agg(action || '=' || n, ',' ORDER BY n DESC, action) AS actions FROM (SELECT window_id, "offset", action, count(*) AS n FROM j GROUP BY ALL) GROUP BY ALL)
+SELECT window_id, "offset", coalesce(hits, 0) AS hits, coalesce(subjects, 0) AS subjects, coalesce(objects, 0) AS objects, coalesce(terms, 0) AS terms, coalesce(malicious_subjects, 0) AS malicious_subjects, coalesce(malicious, 0) AS malicious, coalesce(actions, '') AS actions FROM v LEFT JOIN g USING (window_id, "offset") LEFT JOIN a USING (window_id, "offset")""")
 def c21(spark, d):
     """The windows of orders divisible by 20 against all lines."""
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("term"), F.col("l_shipdate").cast("timestamp").cast("long").alias("lo"))
-    return I.offset_sweep(lines, order_windows(spark, d).where("cast(window_id as bigint) % 20 = 0"), spark.createDataFrame([(-86400,), (0,), (86400,)], "offset int"))
+    li = table(spark, d, "lineitem")
+    subject, thing = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    lines = li.select(F.col("l_orderkey").alias("event_id"), subject.alias("subject"), thing.alias("object"), (F.col("l_linenumber") % 5).alias("term"), F.col("l_returnflag").alias("action"), F.col("l_shipdate").cast("timestamp").cast("long").alias("lo"))
+    bad = li.select(subject.alias("node_id")).where("node_id like '%7'").union(li.select(thing.alias("node_id")).where("node_id like '%77'"))
+    out = I.offset_sweep(lines, order_windows(spark, d).where("cast(window_id as bigint) % 20 = 0"), spark.createDataFrame([(-86400,), (0,), (86400,)], "offset int"), bad)
+    return out.withColumn("actions", F.array_join(F.transform("actions", lambda x: F.concat_ws("=", x["action"], x["n"].cast("string"))), ","))
 
 
-@query("c22_onehop_ground_truth", duck("""WITH e AS (SELECT 'subject' AS role, process_guid AS node_id, event_type, us FROM pe UNION ALL SELECT 'object', object_key, event_type, us FROM pe)
-SELECT node_id, role, event_type, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM e WHERE node_id LIKE '/tmp/%' OR node_id IN ('p1', 'p2') GROUP BY ALL"""))
-def c22(spark, d):
+_HOPS = """e AS (SELECT event_id, 'subject' AS role, process_guid AS node_id, object_key AS other, event_type, us FROM pe UNION ALL SELECT event_id, 'object', object_key, process_guid, event_type, us FROM pe), gt AS (SELECT DISTINCT node_id FROM e WHERE node_id LIKE '/tmp/f1%' OR node_id IN ('p1', 'p2')),
+ tk AS (SELECT DISTINCT task_id, process_guid AS node_id FROM pe), mi AS (SELECT * FROM tk WHERE task_id IN (SELECT task_id FROM tk JOIN gt USING (node_id))), ins AS (SELECT DISTINCT mi.task_id, event_id FROM e JOIN mi USING (node_id)), ht AS (SELECT ins.task_id, e.* FROM e JOIN gt USING (node_id) JOIN ins USING (event_id))"""
+
+
+def onehop(spark, d):
     pe = raw_events(spark, d)
-    gt = pe.where("object like '/tmp/%'").select(F.col("object").alias("node_id")).union(pe.where("subject in ('p1', 'p2')").select("subject"))
-    return I.onehop_ground_truth(pe, gt)
+    gt = pe.where("object like '/tmp/f1%'").select(F.col("object").alias("node_id")).union(pe.where("subject in ('p1', 'p2')").select("subject"))
+    tasks = provenance(spark, d).select("task_id", F.col("process_guid").alias("node_id")).distinct()
+    return I.onehop_ground_truth(pe, tasks, gt)
+
+
+@query("c22_onehop_ground_truth", duck(f"WITH {_HOPS} SELECT node_id, role, event_type, count(DISTINCT event_id) AS n, min(us) AS first_us, max(us) AS last_us FROM ht GROUP BY ALL"))
+def c22(spark, d):
+    return onehop(spark, d)[0]
+
+
+@query("c22_onehop_events", duck(f"WITH {_HOPS} SELECT task_id, event_id, node_id, role, other FROM ht"))
+def c22_events(spark, d):
+    return onehop(spark, d)[1]
 
 
-@query("c23_task_window_diagnosis", f"""WITH {WINDOWS}, {LINES.replace('FROM lineitem)', 'FROM lineitem WHERE l_orderkey % 20 IN (0, 11))')}, h AS (SELECT task_id, list_sort(list(DISTINCT window_id)) AS window_ids FROM l JOIN w ON lo <= rhi AND hi >= rlo GROUP BY task_id)
-SELECT l.task_id, coalesce(window_ids, []) AS window_ids, CASE WHEN lo IS NULL THEN 'no_time' WHEN CAST(split_part(l.task_id, '-', 1) AS BIGINT) % 2 = 0 THEN 'wide_and_long' ELSE 'mixed' END AS cause FROM l LEFT JOIN h USING (task_id)""")
+DIAGNOSED = f"""{WINDOWS}, {LINES.replace('FROM lineitem)', 'FROM lineitem WHERE l_orderkey % 20 IN (0, 11))')}, t AS (SELECT DISTINCT task_id, lo, lo + 60 * (CAST(split_part(task_id, '-', 2) AS BIGINT) * 25) AS hi, CAST(split_part(task_id, '-', 1) AS BIGINT) AS o FROM l),
+ h AS (SELECT task_id, list(DISTINCT window_id ORDER BY window_id) FILTER (CAST(window_id AS BIGINT) % 3 = 0) AS c, list(DISTINCT window_id ORDER BY window_id) FILTER (CAST(window_id AS BIGINT) % 3 > 0) AS a FROM t JOIN (SELECT * FROM w WHERE CAST(window_id AS BIGINT) % 40 < 4) w ON lo <= rhi AND hi >= rlo GROUP BY task_id),
+ dg AS (SELECT task_id, coalesce(c, []) AS window_ids, coalesce(a, []) AS attempted_ids, (hi - lo) / 60.0 AS span_min, CASE WHEN o % 40 = 0 THEN 80 ELSE 9 END AS n, o FROM t LEFT JOIN h USING (task_id))"""
+
+
+def diagnosed(spark, d):
+    """The lines of orders with remainder 0 or 11 by 20, as tasks of 25 minutes for each line number, against the windows of all orders with remainder below 4 by 40, a third of them confirmed."""
+    order, line = F.split("task_id", "-")[0].cast("long"), F.split("task_id", "-")[1].cast("long")
+    t = line_tasks(spark, d).where((order % 20).isin(0, 11)).withColumn("hi", F.col("lo") + 60 * 25 * line).distinct()
+    t = t.withColumn("n_nodes", F.when(order % 40 == 0, 80).otherwise(9)).withColumn("n_boundary", F.lit(1)).withColumn("shared", order % 7 == 0)
+    w = order_windows(spark, d).where("cast(window_id as bigint) % 40 < 4").withColumn("status", F.when(F.col("window_id").cast("long") % 3 == 0, "confirmed").otherwise("attempted_failed"))
+    return I.task_window_diagnosis(t, w)
+
+
+@query("c23_task_window_diagnosis", f"""WITH {DIAGNOSED} SELECT task_id, window_ids, attempted_ids, CASE WHEN len(window_ids) > 0 THEN NULL WHEN len(attempted_ids) > 0 THEN 'gt_node_outside_confirmed_windows' WHEN o % 7 = 0 THEN 'shared_gt_node_cross_window'
+ WHEN coalesce(span_min, 0) >= 120 OR (span_min >= 60 AND n >= 50) THEN 'long_lived_root_glue' WHEN span_min >= 30 AND n <= 12 THEN 'wide_subject_alias_epoch' ELSE 'unknown' END AS cause FROM dg""")
 def c23(spark, d):
-    """The lines of orders with remainder 0 or 11 by 20 against all windows."""
-    order = F.split("task_id", "-")[0].cast("long")
-    even = order % 2 == 0
-    t = line_tasks(spark, d).where((order % 20).isin(0, 11)).withColumn("n_nodes", F.when(even, 80).otherwise(9)).withColumn("n_boundary", F.lit(1))
-    return I.task_window_diagnosis(t, order_windows(spark, d)).select("task_id", "window_ids", "cause")
+    return diagnosed(spark, d).select("task_id", "window_ids", "attempted_ids", "cause")
+
+
+@query("c23_span_summary", f"WITH {DIAGNOSED} SELECT count(span_min) AS count, CAST(min(span_min) AS DOUBLE) AS smallest, CAST(max(span_min) AS DOUBLE) AS largest, CAST(quantile_cont(span_min, 0.5) AS DOUBLE) AS median, round(CAST(quantile_cont(span_min, 0.9) AS DOUBLE), 6) AS p90 FROM dg")
+def c23_span(spark, d):
+    return I.numeric_summary(diagnosed(spark, d), "span_min").withColumn("p90", F.round("p90", 6))
 
 
-@query("c24_alias_width", "SELECT o_custkey % 50 AS alias, count(DISTINCT o_orderkey) AS uuids, count(DISTINCT o_orderpriority) AS paths, count(DISTINCT o_orderkey) > 3 OR count(DISTINCT o_orderpriority) > 1 AS wide FROM orders GROUP BY ALL")
+@query("c24_alias_width", """WITH s AS (SELECT o_custkey % 50 AS alias, o_orderkey AS uuid, o_orderpriority AS path, 'f' || o_orderkey % 3 AS file FROM orders), e AS (SELECT DISTINCT l_orderkey AS uuid, epoch_us(CAST(l_shipdate AS TIMESTAMP)) AS us, 'f' || l_linenumber % 5 AS file FROM lineitem),
+ k AS (SELECT DISTINCT l_suppkey AS task_id, l_orderkey AS uuid, l_suppkey % 3 = 0 AS meets FROM lineitem WHERE l_linenumber = 1), sn AS (SELECT alias, min(us) AS first_us, max(us) AS last_us FROM s JOIN e USING (uuid) GROUP BY alias), fl AS (SELECT alias, count(DISTINCT file) AS files FROM (SELECT alias, file FROM s UNION ALL SELECT alias, e.file FROM s JOIN e USING (uuid)) GROUP BY alias),
+ tk AS (SELECT alias, count(DISTINCT task_id) AS tasks, count(DISTINCT task_id) FILTER (NOT meets) AS outside_tasks FROM s JOIN k USING (uuid) GROUP BY alias), x AS (SELECT alias, count(DISTINCT uuid) AS uuids, count(DISTINCT path) AS paths FROM s GROUP BY alias)
+SELECT alias, uuids, paths, coalesce(files, 0) AS files, first_us, last_us, coalesce(tasks, 0) AS tasks, coalesce(outside_tasks, 0) AS outside_tasks, list_filter([CASE WHEN uuids >= 8 AND coalesce(last_us - first_us, 0) / 6e7 >= 30 THEN 'uuid_ge_8_and_span_ge_30m' END, CASE WHEN uuids >= 5 AND files >= 2 AND coalesce(last_us - first_us, 0) / 6e7 >= 20 THEN 'uuid_ge_5_file_ge_2_span_ge_20m' END,
+ CASE WHEN outside_tasks >= 3 THEN 'hits_ge_3_nonoverlap_tasks' END], lambda z: z IS NOT NULL) AS reasons FROM x LEFT JOIN fl USING (alias) LEFT JOIN sn USING (alias) LEFT JOIN tk USING (alias)""")
 def c24(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("alias"), F.col("o_orderkey").alias("uuid"), F.col("o_orderpriority").alias("path"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
-    return I.alias_width(o).select("alias", "uuids", "paths", "wide")
+    k = F.col("o_orderkey")
+    subjects = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("alias"), k.alias("uuid"), F.col("o_orderpriority").alias("path"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("file"))
+    li = table(spark, d, "lineitem")
+    events = li.select(F.col("l_orderkey").alias("uuid"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), F.concat(F.lit("f"), (F.col("l_linenumber") % 5).cast("string")).alias("file"))
+    tasks = li.where("l_linenumber = 1").select(F.col("l_suppkey").alias("task_id"), F.col("l_orderkey").alias("node_id"), (F.col("l_suppkey") % 3 == 0).alias("overlaps"))
+    return I.alias_width(subjects, events, tasks)

@@ -185,6 +185,18 @@ def f03(spark, d):
     return s.groupBy("label", "fold").agg(F.count("*").alias("n"))
 
 
+#: Three requests: folds that fit, folds more than the rarer label has tasks, and tasks of one label.
+_SPLITS = [("folds", "true", 5, "stratified_kfold", ""), ("many", "true", 10**9, "stratified_shuffle_split", "kfold_not_feasible_for_class_counts_or_task_count"), ("one", "label = 0", 5, "random_shuffle_fallback", "kfold_requires_stratifiable_labels")]
+
+
+@query("f03_split_tasks", f"WITH {TASKS}, c AS (" + " UNION ALL ".join(f"SELECT '{n}' AS request, label, count(*) AS n, '{m}' AS mode, '{w}' AS fallback_reason FROM t WHERE {ok} GROUP BY label" for n, ok, _, m, w in _SPLITS) + """),
+ e AS (SELECT *, CASE WHEN request = 'folds' THEN (n + 4) // 5 ELSE round_even(n * 0.2, 0)::BIGINT END AS k FROM c) SELECT request, label, mode, fallback_reason, 'eval' AS part, k AS n FROM e UNION ALL SELECT request, label, mode, fallback_reason, 'train', n - k FROM e""")
+def f03_split(spark, d):
+    t = labelled_tasks(spark, d)
+    parts = [D.split_tasks(t.where(ok), "stratified_kfold", 0.2, folds).groupBy("label", "mode", "fallback_reason", "part").agg(F.count("*").alias("n")).withColumn("request", F.lit(name)) for name, ok, folds, _, _ in _SPLITS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("f04_temporal_benign_split", f"""WITH {TASKS}, b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY first NULLS LAST, task_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM t)
 SELECT task_id, CASE WHEN label <> 0 THEN 'evaluation' WHEN r <= floor(n * 0.70) THEN 'train' WHEN r <= floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'evaluation' END AS part FROM b""")
 def f04(spark, d):

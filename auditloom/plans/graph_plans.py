@@ -71,14 +71,15 @@ def d06(spark, d):
     return G.label_tasks(nodes(spark, d), provenance(spark, d).where("user_id % 17 = 0").select(F.col("process_guid").alias("node_id")))
 
 
-@query("d07_temporal_split", f"""WITH {LINES}, b AS (SELECT CAST(task_id AS BIGINT) % 1500 AS task_id, task_id AS branch, lo AS first, hi AS last FROM l),
+@query("d07_temporal_split", f"""WITH {LINES}, b AS (SELECT CAST(split_part(task_id, '-', 1) AS BIGINT) % 1500 AS task_id, task_id AS branch, min(lo) AS first, max(hi) AS last FROM l GROUP BY l.task_id),
  t AS (SELECT *, max(last) OVER (PARTITION BY task_id ORDER BY first, branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b WHERE first IS NOT NULL),
  c AS (SELECT *, sum(CASE WHEN before IS NULL OR first - before >= 864000 THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY first, branch) - 1 AS cluster FROM t),
  k AS (SELECT task_id, max(cluster) + 1 AS k FROM c GROUP BY task_id HAVING max(last) - min(first) > 1000000 AND count(*) >= 2 AND max(cluster) >= 1)
 SELECT task_id, branch, CAST(cluster AS BIGINT) AS cluster FROM c WHERE task_id IN (SELECT task_id FROM k)
 UNION ALL SELECT b.task_id, branch, CAST((row_number() OVER (PARTITION BY b.task_id ORDER BY branch) - 1) % k AS BIGINT) FROM b JOIN k USING (task_id) WHERE first IS NULL""")
 def d07(spark, d):
-    b = line_tasks(spark, d).select((F.col("task_id").cast("long") % 1500).alias("task_id"), F.col("task_id").alias("branch"), F.col("lo").alias("first"), F.col("hi").alias("last"))
+    one = line_tasks(spark, d).groupBy(F.col("task_id").alias("branch")).agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    b = one.select((F.split("branch", "-")[0].cast("long") % 1500).alias("task_id"), "branch", "first", "last")
     return G.temporal_split(b, 1_000_000, 864_000)
 
 
@@ -118,11 +119,14 @@ def d12(spark, d):
     return G.graph_metrics(nodes(spark, d), task_edges(spark, d)).withColumn("density", F.round("density", 9))
 
 
-@query("d13_check_graph_meta", duck("SELECT task_id, CASE task_id WHEN 'task_0' THEN 'no_meta' WHEN 'task_1' THEN 'n_nodes' ELSE 'no_graph' END AS problem FROM (SELECT DISTINCT task_id FROM pe WHERE task_id < 'task_2' UNION ALL SELECT 'task_x')"))
+@query("d13_check_graph_meta", duck("""SELECT task_id, CASE task_id WHEN 'task_0' THEN 'no_meta' WHEN 'task_1' THEN 'n_nodes' WHEN 'task_2' THEN 'label' WHEN 'task_3' THEN 'attacknum' WHEN 'task_4' THEN 'n_edges' ELSE 'no_graph' END AS problem
+ FROM (SELECT DISTINCT task_id FROM pe WHERE task_id < 'task_5' UNION ALL SELECT 'task_x')"""))
 def d13(spark, d):
-    n = nodes(spark, d).groupBy("task_id").agg(F.count("*").alias("n_nodes")).withColumn("n_edges", F.lit(1)).withColumn("attacknum", F.lit(0))
-    meta = n.where("task_id <> 'task_0'").withColumn("n_nodes", F.when(F.col("task_id") == "task_1", 0).otherwise(F.col("n_nodes")))
-    return G.check_graph_meta(n, meta.union(spark.range(1).select(F.lit("task_x"), F.lit(1).cast("long"), F.lit(1), F.lit(0))))
+    """Of ten tasks five differ in one respect each; a sixth has a meta without a label, which fits."""
+    n = nodes(spark, d).groupBy("task_id").agg(F.count("*").alias("n_nodes")).withColumn("n_edges", F.lit(1)).withColumn("label", F.lit(1)).withColumn("attacknum", F.lit(0))
+    at = lambda t, name, value: F.when(F.col("task_id") == t, value).otherwise(F.col(name))
+    meta = n.where("task_id <> 'task_0'").withColumn("n_nodes", at("task_1", "n_nodes", 0)).withColumn("label", F.when(F.col("task_id") != "task_5", at("task_2", "label", 0))).withColumn("attacknum", at("task_3", "attacknum", 9)).withColumn("n_edges", at("task_4", "n_edges", 7))
+    return G.check_graph_meta(n, meta.union(spark.range(1).select(F.lit("task_x"), F.lit(1).cast("long"), F.lit(1), F.lit(0), F.lit(0))))
 
 
 @query("d14_neighbor_mean", duck("""WITH f AS (SELECT task_id, process_guid AS node_id, count(*) * 1.0 AS f0, count(DISTINCT object_key) * 1.0 AS f1 FROM pe GROUP BY ALL), e AS (SELECT DISTINCT task_id, parent_process_guid AS src, process_guid AS dst FROM pe WHERE parent_process_guid IS NOT NULL),
