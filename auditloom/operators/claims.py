@@ -393,8 +393,8 @@ def retrieve_candidates(queries: DataFrame, index: DataFrame, dense: DataFrame |
     if contexts is not None:
         both = compatibility_bonus(both, contexts, candidates)
         score = score + F.col("bonus")
-    both = both.withColumn("score", F.round(score, 9)).where("score > 0")
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query", "id", "score", "rank")
+    both = both.withColumn("score", score).where(F.round("score", 9) > 0)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= k).select("query", "id", "score", "rank")
 
 
 def query_terms(paths: DataFrame) -> DataFrame:

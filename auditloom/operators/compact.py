@@ -38,14 +38,20 @@ def optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def process_states(events: DataFrame) -> DataFrame:
-    """Per process: name of its first event, times, first non-blank parent, and ids of its events in order. Processes seen only as the object of FORK or CLONE are listed too."""
+def process_states(events: DataFrame, most: int = 12) -> DataFrame:
+    """Per process: name of its first event, times, first non-blank parent, number of events and ids of the first `most` of them (identity.event_index gives all as rows).
+
+    Processes seen only as the object of FORK or CLONE are listed too. Ids are ranked and cut before they are gathered, so a busy process costs no long row."""
     own = events.groupBy("task_id", "process_guid").agg(
         F.min_by("process_name", "order_index").alias("process_name"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.min_by("parent_process_guid", F.when(X.blank_to_null("parent_process_guid").isNotNull(), F.col("order_index"))).alias("parent_process_guid"),
-        F.array_sort(F.collect_list(F.struct("order_index", "event_id"))).alias("_e")).withColumn("evidence", F.col("_e.event_id")).drop("_e")
+        F.count("*").alias("events"))
+    rank = F.row_number().over(Window.partitionBy("task_id", "process_guid").orderBy("order_index"))
+    first = events.select("task_id", "process_guid", "order_index", "event_id").withColumn("_r", rank).where(F.col("_r") <= most)
+    first = first.groupBy("task_id", "process_guid").agg(F.array_sort(F.collect_list(F.struct("order_index", "event_id"))).alias("_e")).select("task_id", "process_guid", F.col("_e.event_id").alias("evidence"))
+    own = own.join(first, ["task_id", "process_guid"])
     born = events.where("event_type in ('FORK', 'CLONE') and object_type = 'process'").groupBy("task_id", F.col("object_key").alias("process_guid")).agg(
-        F.lit("").alias("process_name"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min_by("process_guid", "order_index").alias("parent_process_guid"))
+        F.lit("").alias("process_name"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min_by("process_guid", "order_index").alias("parent_process_guid"), F.lit(0).cast("long").alias("events"))
     born = born.join(own, ["task_id", "process_guid"], "left_anti").withColumn("evidence", F.array().cast(own.schema["evidence"].dataType))
     return own.unionByName(born)
 

@@ -182,9 +182,9 @@ def entity_index(events: DataFrame) -> DataFrame:
 
 
 def event_index(events: DataFrame, key: str) -> DataFrame:
-    """key -> ids of its events in order."""
-    lists = events.groupBy("task_id", key).agg(F.array_sort(F.collect_list(F.struct("order_index", "event_id"))).alias("_e"))
-    return lists.select("task_id", key, F.col("_e.event_id").alias("event_ids"))
+    """(task_id, key, place, event_id): the events of each key in order, as rows, so that no key's events become one row."""
+    place = F.row_number().over(Window.partitionBy("task_id", key).orderBy("order_index", "event_id"))
+    return events.select("task_id", key, place.alias("place"), "event_id")
 
 
 def evidence_graph(events: DataFrame, priors: DataFrame) -> tuple[DataFrame, DataFrame]:

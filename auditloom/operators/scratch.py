@@ -51,6 +51,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the table behind a DataFrame from written() exists."""
+    p, store = _hadoop_path(df.sparkSession, df._scratch_path)
+    return store.exists(p)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the tables behind DataFrames from written(), once nothing reads them any more."""
     for df in tables:

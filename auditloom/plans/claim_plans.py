@@ -294,8 +294,8 @@ def _pick(values) -> str:
  po AS (SELECT query, id FROM sp2 WHERE r <= 24 UNION SELECT query, id FROM d2 WHERE r <= 24 UNION SELECT query, id FROM (SELECT query, unnest(behaviors) AS behavior FROM cx2) JOIN cat USING (behavior) JOIN items ON list_contains(list_concat(tactics, techniques), external_id)),
  pr2 AS (SELECT query, external_id, sum(p) AS prior FROM (SELECT query, unnest(tactics) AS external_id, 0.45 AS p FROM (SELECT query, unnest(behaviors) AS behavior FROM cx2) JOIN cat USING (behavior) UNION ALL SELECT query, unnest(techniques), 0.75 FROM (SELECT query, unnest(behaviors) AS behavior FROM cx2) JOIN cat USING (behavior)) GROUP BY ALL),
  bo AS (SELECT *, {_FITS} + 0.1 * {_alike("semantics")} + {_SYSTEM} + least(0.3, 0.08 * {_alike("claim_terms")}) + coalesce(prior, 0) AS bonus FROM (SELECT po.*, cx2.* EXCLUDE (query), external_id, lower(text) AS t, {_tokens("lower(text)")} AS toks FROM po JOIN cx2 USING (query) JOIN items USING (id)) LEFT JOIN pr2 USING (query, external_id)),
- fin AS (SELECT query, id, round(CAST(0.45 * coalesce(sparse, 0) + 0.55 * coalesce(dn, 0) + bonus AS DOUBLE), 9) AS score FROM bo LEFT JOIN sp2 USING (query, id) LEFT JOIN d2 USING (query, id))
- SELECT query, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM fin WHERE score > 0) WHERE rank <= 12"""))
+ fin AS (SELECT query, id, CAST(0.45 * coalesce(sparse, 0) + 0.55 * coalesce(dn, 0) + bonus AS DOUBLE) AS score FROM bo LEFT JOIN sp2 USING (query, id) LEFT JOIN d2 USING (query, id))
+ SELECT query, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM fin WHERE round(score, 9) > 0) WHERE rank <= 12"""))
 def j09_ranked(spark, d):
     c = contexts(spark, d, claims(spark, d))
     items, e = kb_items(spark, d), table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")

@@ -50,7 +50,7 @@ def compacted(spark, d):
     return C.compacted(events(spark, d), TTL)
 
 
-@query("g01_process_states", duck("SELECT task_id, process_guid, arg_min(process_name, order_index) AS process_name, min(us) AS first_us, max(us) AS last_us, min(parent_process_guid) AS parent_process_guid, list(event_id ORDER BY order_index) AS evidence FROM pe GROUP BY ALL"))
+@query("g01_process_states", duck("SELECT task_id, process_guid, arg_min(process_name, order_index) AS process_name, min(us) AS first_us, max(us) AS last_us, min(parent_process_guid) AS parent_process_guid, count(*) AS events, list(event_id ORDER BY order_index)[:12] AS evidence FROM pe GROUP BY ALL"))
 def g01(spark, d):
     return C.process_states(events(spark, d))
 

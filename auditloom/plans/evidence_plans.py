@@ -119,7 +119,7 @@ def c11(spark, d):
     return I.entity_index(provenance(spark, d))
 
 
-@query("c12_event_index", duck("SELECT task_id, process_guid, list(event_id ORDER BY order_index) AS event_ids FROM pe GROUP BY ALL"))
+@query("c12_event_index", duck("SELECT task_id, process_guid, row_number() OVER (PARTITION BY task_id, process_guid ORDER BY order_index) AS place, event_id FROM pe"))
 def c12(spark, d):
     return I.event_index(provenance(spark, d), "process_guid")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as X
-from auditloom.operators.scratch import written
+from auditloom.operators.scratch import still_there, written
 
 _made: dict = {}
 
@@ -14,7 +14,7 @@ _made: dict = {}
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """A written table from which several queries of one session start, so that no query rebuilds what another has made."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made:
+    if key not in _made or not still_there(_made[key]):
         _made[key] = written(make(), name)
     return _made[key]
 

@@ -103,3 +103,14 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     scratch.discard(t)
     with pytest.raises(Exception):
         t.count()
+
+
+def test_shared_tables_are_made_anew_if_gone(spark):
+    from auditloom.plans.fixture import once
+
+    made = []
+    make = lambda: made.append(1) or spark.range(4)
+    first = once(spark, "nowhere", "shared", make)
+    assert once(spark, "nowhere", "shared", make) is first and len(made) == 1
+    scratch.discard(first)
+    assert once(spark, "nowhere", "shared", make).count() == 4 and len(made) == 2
