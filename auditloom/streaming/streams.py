@@ -70,36 +70,41 @@ def stream_semantic_skip(events: DataFrame, ttl_seconds: int = S.SKIP_TTL_SECOND
             state.remove()
             yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "skipped": pd.Series([], dtype="bool")})
             return
-        last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for i, us, kept in zip(rows["event_id"], rows["us"], rows["kept"], strict=True):
-            out.append((i, bool(last is not None and not kept and us - last <= ttl)))
-            last = us
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last / 1000) + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "skipped"])
+        before = rows["us"].astype("Int64").shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        near = (rows["us"] - before <= ttl).fillna(False).astype(bool)
+        last = int(rows["us"].iloc[-1])
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "skipped": (near & ~rows["kept"]).to_numpy()})
 
     e = e.select("process_guid", "event_type", "object_key", "event_id", "us", "kept", "ts")
     return e.groupBy("process_guid", "event_type", "object_key").applyInPandasWithState(run, "event_id long, skipped boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_recent_network(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(event_id, last_recv_us): latest earlier external receive of the process, kept as state."""
+def stream_recent_network(events: DataFrame, late: str = "1 hour", keep_seconds: int = 90 * 86_400) -> DataFrame:
+    """(event_id, last_recv_us): latest earlier external receive of the process, kept as state until the watermark lies keep_seconds after it.
+
+    A trigger's rows of a process are held together, so the source's limits (maxFilesPerTrigger, maxBytesPerTrigger) bound them."""
     e = events.withWatermark("ts", late).select("process_guid", "event_id", "us", "ts", ((F.col("event_type") == "RECV") & (F.col("object_class") == "external_ip")).alias("recv"))
 
     def run(key, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "last_recv_us": pd.Series([], dtype="Int64")})
+            return
+        last = state.get[0] if state.exists else pd.NA
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for i, us, recv in zip(rows["event_id"], rows["us"], rows["recv"], strict=True):
-            out.append((i, last))
-            last = us if recv else last
-        if last is not None:
-            state.update((int(last),))
-        yield pd.DataFrame(out, columns=["event_id", "last_recv_us"]).astype({"last_recv_us": "Int64"})
-
-    return e.groupBy("process_guid").applyInPandasWithState(run, "event_id long, last_recv_us long", "last long", "append", GroupStateTimeout.NoTimeout)
+        seen = pd.concat([pd.Series([last], dtype="Int64"), rows["us"].astype("Int64").where(rows["recv"])], ignore_index=True).ffill()
+        if pd.notna(seen.iloc[-1]):
+            at = int(seen.iloc[-1])
+            state.update((at,))
+            state.setTimeoutTimestamp(max(at // 1000 + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "last_recv_us": seen.iloc[:-1]})
+
+    return e.groupBy("process_guid").applyInPandasWithState(run, "event_id long, last_recv_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
