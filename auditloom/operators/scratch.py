@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
@@ -84,3 +84,25 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, share:
     away: Column = F.when(any_null | F.col("_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
     out = rows.join(fat, on, "left").withColumn("_salt", away.cast("bigint")).join(rest, [*on, "_salt"], "left")
     return out.select(*rows.columns, *[F.coalesce(f"_hot.{v}", f"_cold.{v}").alias(v) for v in values])
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], place: str, total: str | None = None) -> DataFrame:
+    """df plus each row's place (from 0) by `order` among the rows of equal `by`, and the number of those rows.
+
+    Rows are range-partitioned by (by, order), sorted where they lie and written with their number; places follow from the numbers
+    and the counts of each (part, by), so neither a hot `by` nor the whole table meets in one task, and the number of
+    ranges follows the session's shuffle partitions. Nulls come first, a null `by` is a group of its own, and rows equal in all of `by` and `order`
+    are placed in any order. An empty table gives an empty result. The written table lives as `_scratch_path` of the result.
+    """
+    d = written(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    d_part = F.shiftright("_at", 33)  # the number's upper bits are the partition's number
+    own = d.groupBy(*by, d_part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each part
+    before = F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    facts = own.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), (before - F.col("_first")).alias("_move"), F.sum("_n").over(group).alias("_all"))
+    same = d_part == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    out = d.join(facts, same).select(*df.columns, (F.col("_at") + F.col("_move")).alias(place), *([F.col("_all").alias(total)] if total else []))
+    out._scratch_path = d._scratch_path
+    return out
