@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators.graph import connected_components
-from auditloom.operators.scratch import discard, new_path, spread_join, written
+from auditloom.operators.scratch import discard, new_path, ranked, spread_join, written
 
-__all__ = ["connected_components", "discard", "free_name", "id_bucket", "labelled_ids", "new_path", "sampled", "spread_join", "texts_of", "written"]
+__all__ = ["connected_components", "discard", "free_name", "id_bucket", "labelled_ids", "new_path", "ranked", "sampled", "spread_join", "texts_of", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import bytecnn, langid, ordinal, packing, pieces, pivots, secrets, simhash_ball, warc, weakrules
+from auditloom.llm import bytecnn, collocations, langid, merkle, ordinal, packing, pieces, pivots, secrets, simhash_ball, slackbins, warc, weakrules
 
 QUERIES = {
     "op1_ordinal_toxicity": ordinal.query,
@@ -15,5 +15,9 @@ QUERIES = {
     "op8_tier_packing": packing.query,
     "op9_weak_rules": weakrules.query,
     "op10_warc": warc.query,
+    "op11_merkle_intervals": merkle.query,
+    "op12_slack_bins": slackbins.query,
+    "op13_collocations": collocations.query,
 }
-SQL = {"op4_pivot_index": pivots.SQL, "op7_secret_links": secrets.SQL, "op9_weak_rules": weakrules.SQL, "op10_warc": warc.SQL}
+SQL = {"op4_pivot_index": pivots.SQL, "op7_secret_links": secrets.SQL, "op9_weak_rules": weakrules.SQL, "op10_warc": warc.SQL,
+       "op11_merkle_intervals": merkle.SQL, "op13_collocations": collocations.SQL}
