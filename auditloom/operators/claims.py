@@ -181,7 +181,7 @@ SIGNALS = ["external_recv", "external_send", "lateral", "scan", "internal", "exe
            "staged_exec", "temp_remove", "log_cleanup", "staged_cleanup", "bridge_exec", "precursor", "payload_elevate"]
 
 
-def signal_lists(signals: DataFrame, most: int = 8) -> DataFrame:
+def signal_lists(signals: DataFrame, most: int) -> DataFrame:
     """One row for each path: for each signal the array of its first `most` events (order_index, event_id, us, process_guid); ranks are cut before rows are gathered."""
     item = F.struct("order_index", "event_id", "us", "process_guid")
     w = Window.partitionBy("path_id", "signal").orderBy("order_index", "event_id")
@@ -189,32 +189,80 @@ def signal_lists(signals: DataFrame, most: int = 8) -> DataFrame:
     return first.groupBy("path_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("signal") == n, item))).alias(n) for n in SIGNALS])
 
 
+def pair_facts(signals: DataFrame, earlier: str, later: str, most: int, minutes: float = PAIR_MINUTES) -> DataFrame:
+    """(path_id, same, ids) of the paths with an ordered_pairs pair of the two signals: whether any pair is of one process, and the first `most` distinct
+    event ids of the pairs, in order of the earlier event, then of the later.
+
+    All events are judged, but no pair is formed beyond those that the ids come from: along a path whose times do not fall, the nearest later event decides
+    whether an event has a pair, so a running look-ahead answers. Paths whose times do fall somewhere are answered from their pairs. A missing time passes.
+    """
+    reach = int(minutes * 60_000_000)
+    both = signals.where(F.col("signal").isin(earlier, later)).select("path_id", "event_id", "order_index", "us", "process_guid", (F.col("signal") == later).alias("_is_later"))
+    seen = Window.partitionBy("path_id").orderBy("order_index", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    falls = both.withColumn("_falls", F.col("us") < F.max("us").over(seen)).groupBy("path_id").agg(F.bool_or(F.coalesce("_falls", F.lit(False))).alias("_falls"))
+    even, uneven = (both.join(falls.where(c), "path_id", "left_semi") for c in (~F.col("_falls"), F.col("_falls")))
+
+    # paths in order of time: look ahead from each event, events of one place excluded
+    ahead = Window.orderBy(F.desc("order_index")).rangeBetween(Window.unboundedPreceding, -1)
+    on_path, on_process = ahead.partitionBy("path_id"), ahead.partitionBy("path_id", "process_guid")
+    timed, untimed = F.col("_is_later") & F.col("us").isNotNull(), F.col("_is_later") & F.col("us").isNull()
+
+    def met(w) -> Column:
+        near = F.min(F.when(timed, F.col("us"))).over(w)
+        return (near.isNotNull() & F.coalesce(near - F.col("us") <= reach, F.lit(True))) | F.coalesce(F.bool_or(untimed).over(w), F.lit(False))
+
+    looked = even.withColumn("_met", met(on_path)).withColumn("_same", F.col("process_guid").isNotNull() & met(on_process))
+    for kind, which in (("_timed", timed), ("_untimed", untimed)):  # how many later events come after this one: the place of the next, counted from the end
+        looked = looked.withColumn(kind, F.coalesce(F.count_if(which).over(on_path), F.lit(0)))
+    e = looked.where(~F.col("_is_later") & F.col("_met"))
+    same = e.groupBy("path_id").agg(F.bool_or("_same").alias("same"))
+    first = e.withColumn("_e", F.row_number().over(Window.partitionBy("path_id").orderBy("order_index", "event_id"))).where(F.col("_e") <= most)
+    from_end = Window.partitionBy("path_id", F.col("us").isNull()).orderBy(F.desc("order_index"), F.desc("event_id"))
+    lat = even.where("_is_later").select("path_id", F.col("us").isNotNull().alias("_kind"), F.row_number().over(from_end).alias("_k"), F.col("event_id").alias("_later"), F.col("order_index").alias("_lo"), F.col("us").alias("_lus"))
+
+    def numbers(kind: str, is_timed: bool) -> Column:
+        """Places from the end of the next 2 * most later events of a kind."""
+        ks = F.sequence(F.greatest(F.lit(1), F.col(kind) - 2 * most + 1), F.col(kind))
+        return F.when(F.col(kind) > 0, F.transform(ks, lambda k: F.struct(F.lit(is_timed).alias("_kind"), k.cast("int").alias("_k")))).otherwise(F.array().cast("array<struct<_kind:boolean,_k:int>>"))
+
+    near = first.select("path_id", "event_id", "order_index", "us", "_e", F.explode(F.concat(numbers("_timed", True), numbers("_untimed", False))).alias("x")).select("*", "x.*").drop("x").join(lat, ["path_id", "_kind", "_k"])
+    near = near.where(F.coalesce(F.col("_lus") - F.col("us") <= reach, F.lit(True))).select("path_id", "_e", "event_id", "_later", "_lo")
+
+    # other paths: their pairs
+    pairs = ordered_pairs(uneven.withColumn("signal", F.when(F.col("_is_later"), later).otherwise(earlier)), earlier, later, minutes)
+    at = uneven.select("path_id", "event_id", "order_index", "_is_later")
+    pairs = pairs.join(at.where("not _is_later").select("path_id", F.col("event_id").alias("earlier_id"), F.col("order_index").alias("_eo")), ["path_id", "earlier_id"]).join(
+        at.where("_is_later").select("path_id", F.col("event_id").alias("later_id"), F.col("order_index").alias("_lo")), ["path_id", "later_id"])
+    same = same.unionByName(pairs.groupBy("path_id").agg(F.bool_or(F.coalesce("same_process", F.lit(False))).alias("same")))
+    few = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("path_id", "_eo", "earlier_id").orderBy("_lo", "later_id"))).where(F.col("_r") <= 2 * most)
+    few = few.withColumn("_e", F.dense_rank().over(Window.partitionBy("path_id").orderBy("_eo", "earlier_id"))).where(F.col("_e") <= most)
+    rows = near.unionByName(few.select("path_id", "_e", F.col("earlier_id").alias("event_id"), F.col("later_id").alias("_later"), "_lo"))
+
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_e", "_lo", "_later", "event_id"))), lambda p: F.array(p["event_id"], p["_later"])))
+    return same.join(rows.groupBy("path_id").agg(F.slice(F.array_distinct(flat), 1, most).alias("ids")), "path_id")
+
+
 def build_claims(signals: DataFrame, context: DataFrame, most: int = 8, direct: bool = False, elevations: DataFrame | None = None) -> DataFrame:
     """(path_id, behavior, stage, confidence, evidence, support): the claims whose signals and gates hold; evidence are event ids in the order in which a claim names its signals, `most` at most.
 
-    signals and context of claim_signals and claim_context. Each path's lists hold `most` events of each signal, so pairs of them are
-    bounded and a claim is an expression over one row. direct: hosts on which executions of staged files count without a bridge and reads must have a context; there
+    signals and context of claim_signals and claim_context. Gates and pairs are judged on all events; what is cut is the evidence of a finished claim. It is
+    drawn from the first events of each signal, enough of them that a shared event never leaves it short, and from pair_facts. Paths without a signal claim nothing. direct: hosts on which executions of staged files count without a bridge and reads must have a context; there
     elevations (path_id, event_id) of elevate_fallbacks stand in where no payload is elevated by its text.
     """
-    df = signal_lists(signals, most).join(context, "path_id")
+    kept = 4 * most  # evidence names three lists at most
+    df = signal_lists(signals, kept).join(context, "path_id")
+    for name, earlier, later in (("_sent", "external_recv", "external_send"), ("_strong", "sensitive_strong", "external_send"), ("_weak", "sensitive_weak", "external_send")):
+        df = df.join(pair_facts(signals, earlier, later, 2 * most).select("path_id", F.struct("same", "ids").alias(name)), "path_id", "left")
     if elevations is not None:
         at = elevations.join(signals.select("path_id", "event_id", "order_index", "us", "process_guid").distinct(), ["path_id", "event_id"], "left")
         w = Window.partitionBy("path_id").orderBy("order_index", "event_id")
-        at = at.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+        at = at.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= kept)
         more = at.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "event_id", "us", "process_guid"))).alias("_more"))
         df = df.join(more, "path_id", "left").withColumn("payload_elevate", F.when(F.size("payload_elevate") > 0, F.col("payload_elevate")).otherwise(F.coalesce("_more", F.col("payload_elevate"))))
-    reach = PAIR_MINUTES * 60_000_000
 
     def some(name: str) -> Column:
         return F.size(name) > 0
 
-    def pairs(a: str, b: str) -> Column:
-        near = lambda x, y: (x["order_index"] < y["order_index"]) & F.coalesce((y["us"] - x["us"]).between(0, reach), F.lit(True))
-        return F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: near(x, y)), lambda y: F.struct(x["event_id"].alias("a"), y["event_id"].alias("b"), (x["process_guid"] == y["process_guid"]).alias("same")))))
-
-    def flat(name: str) -> Column:
-        return F.flatten(F.transform(name, lambda p: F.array(p["a"], p["b"])))
-
     def ids(*parts) -> Column:
         lists = [F.slice(p[0], 1, p[1]) if isinstance(p, tuple) else F.col(p) if isinstance(p, str) else p for p in parts]
         return F.concat(*[F.transform(x, lambda e: e["event_id"]) for x in lists])
@@ -222,11 +270,14 @@ def build_claims(signals: DataFrame, context: DataFrame, most: int = 8, direct:
     c, none = F.col, F.slice(F.col("exec"), 1, 0)
     free = ~c("browser_only") | c("explicit_callback")
     direct_exec = c("direct_exec") if direct else none
-    df = df.withColumn("_known", F.concat(c("bridge_exec"), direct_exec)).withColumn("_sent", pairs("external_recv", "external_send"))
+    no_ids = F.slice(F.transform(none, lambda e: e["event_id"]), 1, 0)
+    df = df.withColumn("_known", F.concat(c("bridge_exec"), direct_exec))
     staged_lineage = some("staged_chmod") | some("staged_exec") | some("bridge_exec")
     weak_ok = c("strong_exec") & (c("discovery") | some("log_cleanup") | some("staged_cleanup") | staged_lineage | (some("external_send") & free))
     df = df.withColumn("_read", F.concat(F.when(c("strong_exec"), c("sensitive_strong")).otherwise(none), F.when(weak_ok, c("sensitive_weak")).otherwise(none)))
-    df = df.withColumn("_leak", pairs("_read", "external_send"))
+    leaks = [(c("strong_exec"), "_strong"), (weak_ok, "_weak")]  # pairs count for the kinds of reads that the path's gates let in
+    leak_same = F.coalesce(F.greatest(*[gate & c(f"{n}.same") for gate, n in leaks]), F.lit(False))
+    leak_ids = F.concat(*[F.when(gate, F.coalesce(f"{n}.ids", no_ids)).otherwise(no_ids) for gate, n in leaks])
     read_ok = c("strong_exec") | c("browser_mail") | some("attachment") | some("_known") if direct else F.lit(True)
     cleanup = c("strong_exec")
     rules = [  # atom, confidence, gate, evidence, support
@@ -236,7 +287,7 @@ def build_claims(signals: DataFrame, context: DataFrame, most: int = 8, direct:
         ("untrusted_file_exec", 0.84, some("_known"), ids("_known", "external_recv"), {"staged_object": F.lit(True), "bridge_exec": some("bridge_exec"), "direct_staged_exec": F.size(direct_exec) > 0}),
         ("attachment_user_exec", 0.82, some("attachment"), ids("attachment", "bridge_exec"), {"attachment_markers": F.lit(True)}),
         ("shell_exec", 0.78, some("shell"), ids("shell", ("precursor", 4)), {"interpreter_exec": F.lit(True)}),
-        ("credential_submit", 0.77, c("browser_only") & ~c("explicit_callback") & c("short_burst"), flat("_sent"), {"browser_form_submit": F.lit(True)}),
+        ("credential_submit", 0.77, c("browser_only") & ~c("explicit_callback") & c("short_burst"), F.coalesce("_sent.ids", no_ids), {"browser_form_submit": F.lit(True)}),
         ("cnc_communication", 0.8, some("external_send") & c("strong_exec") & free, ids("external_send", "external_recv"), {"external_c2": F.lit(True)}),
         ("sudo_exec", 0.8, some("sudo"), ids("sudo"), {"sudo": F.lit(True)}),
         ("switch_su", 0.8, some("switch"), ids("switch"), {"identity_switch": F.lit(True)}),
@@ -245,7 +296,7 @@ def build_claims(signals: DataFrame, context: DataFrame, most: int = 8, direct:
         ("sensitive_command", 0.78, some("recon"), ids("recon"), {"recon_commands": F.lit(True)}),
         ("network_service_discovery", 0.82, c("discovery"), ids("scan", "lateral"), {"scan_burst": F.lit(True)}),
         ("send_internal", 0.76, some("internal"), ids("internal"), {"internal_connect": F.lit(True)}),
-        ("sensitive_leak", 0.83, c("strong_exec") & (F.exists("_leak", lambda p: F.coalesce(p["same"], F.lit(False))) | c("lineage")), flat("_leak"), {"sensitive_plus_external_send": F.lit(True)}),
+        ("sensitive_leak", 0.83, c("strong_exec") & (leak_same | c("lineage")), leak_ids, {"sensitive_plus_external_send": F.lit(True)}),
         ("clear_logs", 0.82, cleanup, ids("log_cleanup", "staged_cleanup"), {"log_cleanup": some("log_cleanup"), "staged_cleanup": some("staged_cleanup")}),
         ("sensitive_temp_rm", 0.78, some("temp_remove") & some("_read"), ids("temp_remove", "_read"), {"temp_cleanup_after_collection": F.lit(True)}),
         ("untrusted_file_rm", 0.76, some("temp_remove") & some("bridge_exec"), ids("temp_remove", "bridge_exec"), {"cleanup_staged_object": F.lit(True)}),

@@ -57,6 +57,16 @@ def still_there(df: DataFrame) -> bool:
     return store.exists(p)
 
 
+def stamp(spark: SparkSession, pattern: str) -> list[tuple]:
+    """What tells that files or folders of a path pattern have changed: for each its path, time of change, bytes and number of files."""
+    p, store = _hadoop_path(spark, pattern)
+    out = []
+    for status in store.globStatus(p) or []:
+        held = store.getContentSummary(status.getPath())
+        out.append((status.getPath().toString(), status.getModificationTime(), held.getLength(), held.getFileCount()))
+    return sorted(out)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the tables behind DataFrames from written(), once nothing reads them any more."""
     for df in tables:

@@ -168,7 +168,7 @@ def claims_sql(direct: bool) -> str:
     # the first place of each id counts
     once = "list_transform(list_filter(list_transform(range(1, len(ev) + 1), lambda i: CASE WHEN list_position(ev, ev[i]) = i THEN i END), lambda i: i IS NOT NULL), lambda i: ev[i])[:8]"
     lists = ", ".join(f"list((order_index, event_id, us, process_guid) ORDER BY order_index, event_id) FILTER (signal = '{n}') AS s_{n}" for n in J.SIGNALS)
-    return f"""{context_sql(direct)}, ls AS (SELECT path_id, {lists} FROM (SELECT *, row_number() OVER (PARTITION BY path_id, signal ORDER BY order_index, event_id) AS r FROM sg) WHERE r <= 8 GROUP BY path_id),
+    return f"""{context_sql(direct)}, ls AS (SELECT path_id, {lists} FROM sg GROUP BY path_id),
  r1 AS (SELECT *, {known} AS kn, list_concat(CASE WHEN strong_exec THEN coalesce(s_sensitive_strong, []) ELSE [] END, CASE WHEN {_WEAK} THEN coalesce(s_sensitive_weak, []) ELSE [] END) AS rd, {pair.format(a="coalesce(s_external_recv, [])", b="coalesce(s_external_send, [])")} AS sent FROM ls JOIN cx USING (path_id)),
  r2 AS (SELECT *, {pair.format(a="rd", b="coalesce(s_external_send, [])")} AS leak FROM r1),
  cl AS (SELECT path_id, behavior, stage, confidence, {once} AS evidence, support FROM ({rows}) WHERE len(ev) > 0)"""

@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as X
-from auditloom.operators.scratch import still_there, written
+from auditloom.operators.scratch import stamp, still_there, written
 
 _made: dict = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A written table from which several queries of one session start, so that no query rebuilds what another has made."""
+    """A written table from which several queries of one session start, so that no query rebuilds what another has made of the same files.
+
+    The given tables' sizes, numbers of files and times of change are part of the key, so changed files give a new table; a table that is gone is made anew."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made or not still_there(_made[key]):
-        _made[key] = written(make(), name)
-    return _made[key]
+    now = stamp(spark, f"{sf_dir}/*.parquet")
+    if key not in _made or _made[key][0] != now or not still_there(_made[key][1]):
+        _made[key] = (now, written(make(), name))
+    return _made[key][1]
+
+
+def forget() -> None:
+    """Queries from here on make their own tables, as each does in a session of its own; tables that are still read stay until the driver ends."""
+    _made.clear()
 
 
 _BINDING = """
