@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as X
 from auditloom.functions import settings as S
-from auditloom.operators.scratch import written
+from auditloom.operators.scratch import discard, written
 
 _BEFORE, _UPTO = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.currentRow)
 
@@ -118,21 +118,58 @@ def process_prelabels(events: DataFrame, object_labels: DataFrame) -> DataFrame:
     return _first_marks(df, marks, "process_guid")
 
 
-def inherit_on_fork(labels: DataFrame, forks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+_NEVER = (1 << 63) - 1
+
+
+def inherit_on_fork(labels: DataFrame, forks: DataFrame) -> DataFrame:
     """labels (task_id, entity, label, acquired_order) with those that children get at a fork (task_id, parent, child, order) from what the parent held before it.
 
-    The least fixpoint: forks strictly raise the order, so rounds are at most the height of the forest. Only what changed goes on."""
+    The least fixpoint. A child that is forked once has its label as a function of its parent's: before the fork's order one value, else another; such functions
+    compose to functions of that kind. Each such child's function is composed with that of the child above it, doubling its reach in each round, up to an entity that
+    is never forked or forked several times, so a chain takes a logarithm of rounds. Only the entities forked several times (or in a cycle) are then settled in turn.
+    A label of a task is followed through all its forks: label kinds are few. Rows that repeat count once; null entities and orders play no part.
+    """
     key = ["task_id", "entity", "label"]
-    best = written(labels.groupBy(*key).agg(F.min("acquired_order").alias("acquired_order")), "forks")
-    new = best
-    for _ in range(max_rounds):
-        f = forks.select("task_id", F.col("parent").alias("entity"), "child", F.col("order").alias("_o"))
-        got = new.join(f, ["task_id", "entity"]).where("acquired_order < _o").groupBy("task_id", F.col("child").alias("entity"), "label").agg(F.min("_o").alias("_new"))
-        new = written(got.join(best, key, "left").where("acquired_order is null or _new < acquired_order").select(*key, F.col("_new").alias("acquired_order")), "forks")
-        if new.isEmpty():
-            return best
-        best = written(best.union(new).groupBy(*key).agg(F.min("acquired_order").alias("acquired_order")), "forks")
-    raise RuntimeError("labels did not settle")
+    own = written(labels.where("entity is not null and acquired_order is not null").groupBy(*key).agg(F.min("acquired_order").alias("own")), "forks")
+    f = written(forks.where("parent is not null and child is not null and `order` is not null").select("task_id", "parent", F.col("child").alias("entity"), F.col("order").alias("at")).distinct(), "forks")
+    kinds = own.select("task_id", "label").distinct()
+    once = f.groupBy("task_id", "entity").agg(F.count("*").alias("_n"), F.first("parent").alias("up"), F.first("at").alias("before")).where("_n = 1").drop("_n")
+    step = once.join(kinds, "task_id").join(own, key, "left")
+    mine = F.coalesce("own", F.lit(_NEVER))
+    inner = once.select("task_id", F.col("entity").alias("up"), F.lit(True).alias("_inner"))
+    step = step.join(inner, ["task_id", "up"], "left").select(*key, "up", "before", F.least(mine, F.col("before")).alias("yes"), mine.alias("no"), F.col("_inner").isNull().alias("done"))
+    step = written(step, "forks")
+    for _ in range(max(1, once.count()).bit_length() + 1):
+        if step.where("not done").isEmpty():
+            break
+        above = step.select("task_id", F.col("entity").alias("up"), "label", F.col("up").alias("_up"), F.col("before").alias("_before"), F.col("yes").alias("_yes"), F.col("no").alias("_no"), F.col("done").alias("_done"))
+        got = step.where("not done").join(above, ["task_id", "up", "label"])
+        of = lambda y: F.when(F.col(y) < F.col("before"), F.col("yes")).otherwise(F.col("no"))
+        got = got.select(*key, F.col("_up").alias("up"), F.col("_before").alias("before"), of("_yes").alias("yes"), of("_no").alias("no"), F.col("_done").alias("done"))
+        nxt = written(step.where("done").union(got), "forks")
+        discard(step)
+        step = nxt
+    done = step.where("done").drop("done")  # what is not done by now hangs on a cycle
+    heads = f.join(done.select("task_id", "entity").distinct(), ["task_id", "entity"], "left_anti")
+
+    def through(at: DataFrame) -> DataFrame:
+        """What entities that end in those of `at` (task_id, entity, label, order) get from them."""
+        x = done.join(at.select("task_id", F.col("entity").alias("up"), "label", "order"), ["task_id", "up", "label"], "left")
+        return x.select(*key, F.when(F.coalesce("order", F.lit(_NEVER)) < F.col("before"), F.col("yes")).otherwise(F.col("no")).alias("order")).where(F.col("order") < _NEVER)
+
+    outer = written(own.join(done.select("task_id", "entity").distinct(), ["task_id", "entity"], "left_anti").withColumnRenamed("own", "order"), "forks")
+    best = outer
+    if not heads.isEmpty():
+        new = written(outer.unionByName(through(outer)), "forks")
+        while not new.isEmpty():
+            got = new.select("task_id", F.col("entity").alias("parent"), "label", "order").join(heads, ["task_id", "parent"]).where("`order` < at").groupBy(*key).agg(F.min("at").alias("_new"))
+            gain = written(got.join(best, key, "left").where("`order` is null or _new < `order`").select(*key, F.col("_new").alias("order")), "forks")
+            if gain.isEmpty():
+                break
+            best = written(best.unionByName(gain).groupBy(*key).agg(F.min("order").alias("order")), "forks")
+            reached = through(best).join(gain.select("task_id", "label").distinct(), ["task_id", "label"], "left_semi")
+            new = written(gain.unionByName(reached), "forks")
+    return best.unionByName(through(best)).withColumnRenamed("order", "acquired_order")
 
 
 def _held(events: DataFrame, labels: DataFrame, entity: str) -> DataFrame:
@@ -219,12 +256,14 @@ def label_provenance(process_labels: DataFrame, object_labels: DataFrame, inheri
     return rows.join(prev, "label_id", "left").withColumn("prev_label_ids", F.coalesce("prev_label_ids", F.array().cast("array<string>")))
 
 
-def trace_back(provenance: DataFrame, wanted: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(wanted, label_id, depth): each wanted label and all labels it came from; depth is the longest way, so sorting by it, falling, puts ancestors first."""
+def trace_back(provenance: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, label_id, depth): each wanted label and all labels it came from; depth is the longest way, so sorting by it, falling, puts ancestors first.
+
+    The result lists all ancestors, so the rounds are the longest way; a way longer than there are labels is a cycle and raises ValueError. Repeated rows count once."""
     links = written(provenance.select("label_id", F.explode("prev_label_ids").alias("prev")), "trace")
     level = written(wanted.select(F.col("label_id").alias("wanted"), "label_id", F.lit(0).alias("depth")).distinct(), "trace")
     parts = level
-    for k in range(1, max_rounds):
+    for k in range(1, links.select("label_id").distinct().count() + 2):
         level = written(level.join(links, "label_id").select("wanted", F.col("prev").alias("label_id"), F.lit(k).alias("depth")).distinct(), "trace")
         if level.isEmpty():
             return parts.groupBy("wanted", "label_id").agg(F.max("depth").alias("depth"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,52 +22,77 @@ def cut_leaf_tasks(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_anti")
 
 
-def segment_nodes(edges: DataFrame, child_threshold: int = 2, count_segmented: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def segment_nodes(edges: DataFrame, child_threshold: int = 2, count_segmented: bool = False) -> DataFrame:
     """Nodes (column node) with a parent and more than child_threshold effective children, deepest first.
 
-    Effective children are those that are no cut points, or all with count_segmented. A node is decided once all its
-    children are, so the rounds are the height of the forest; each is one aggregation and two joins, written between.
+    Effective children are those that are no cut points, or all with count_segmented. Edges with a null end and self-loops are
+    ignored, repeated edges count once; no edge gives no node; a cycle raises ValueError.
+
+    The fixpoint is found by tree contraction. Decided children are counted into their parents (rake). A node whose last undecided child alone decides it is
+    that child's opposite, and such nodes point to what decides them, so a chain's pointers double their reach in each round (compress): a forest of n nodes takes
+    about log(n) rounds whatever its height. Only undecided nodes are written again.
     """
     e = edges.select("child", "parent").where("child <> parent").distinct()
     if count_segmented:
         wide = e.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > child_threshold)
-        return wide.join(e.select(F.col("child").alias("parent")), "parent", "left_semi").select(F.col("parent").alias("node"))
-    nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
-    inner = e.select(F.col("parent").alias("node")).distinct()
-    decided = written(nodes.join(inner, "node", "left_anti").withColumn("cut", F.lit(False)), "segments")
-    open_nodes = written(inner, "segments")
-    for _ in range(max_rounds):
-        if open_nodes.isEmpty():
-            break
-        kids = e.join(open_nodes.withColumnRenamed("node", "parent"), "parent").join(decided.select(F.col("node").alias("child"), "cut"), "child", "left")
-        ready = kids.groupBy("parent").agg(F.count("*").alias("n"), F.count("cut").alias("known"), F.sum(F.when(~F.col("cut"), 1).otherwise(0)).alias("live")).where("n = known")
-        has_parent = e.select(F.col("child").alias("parent")).distinct().withColumn("_p", F.lit(True))
-        now = written(ready.join(has_parent, "parent", "left").select(F.col("parent").alias("node"), (F.coalesce("_p", F.lit(False)) & (F.col("live") > child_threshold)).alias("cut")), "segments")
-        if now.isEmpty():
+        return wide.join(e.select(F.col("child").alias("parent")), "parent", "left_semi").select(F.col("parent").alias("node")).distinct()
+    e = written(e, "segments")
+    inner = e.select(F.col("parent").alias("child")).distinct()
+    newly = written(e.join(inner, "child", "left_anti").select(F.col("child").alias("node"), "parent", F.lit(False).alias("cut")), "segments")
+    # an open row for each edge of an inner node to its parent; roots are never cut and decide nothing
+    rows = e.join(inner, "child").select(F.col("child").alias("node"), "parent", F.lit(0).cast("long").alias("live"), F.lit(None).cast(e.schema["child"].dataType).alias("anchor"), F.lit(0).alias("odd"))
+    rows, parts = written(rows, "segments"), []
+    while not rows.isEmpty():
+        fell = newly.groupBy(F.col("parent").alias("node")).agg(F.count_if(~F.col("cut")).alias("_l"))
+        kids = rows.groupBy(F.col("parent").alias("node")).agg(F.count_distinct("node").alias("_m"), F.min("node").alias("_only"))
+        df = rows.join(fell, "node", "left").join(kids, "node", "left").withColumn("live", F.col("live") + F.coalesce("_l", F.lit(0))).withColumn("_m", F.coalesce("_m", F.lit(0)))
+        own = F.when(F.col("live") > child_threshold, True).when(F.col("live") + F.col("_m") <= child_threshold, False)
+        chain = F.col("anchor").isNull() & own.isNull() & (F.col("_m") == 1)
+        df = df.withColumn("_cut", own).withColumn("odd", F.when(chain, 1).otherwise(F.col("odd"))).withColumn("anchor", F.when(chain, F.col("_only")).otherwise(F.col("anchor")))
+        df = written(df.select("node", "parent", "live", "anchor", "odd", "_cut"), "segments")
+        at = df.select(F.col("node").alias("anchor"), F.col("_cut").alias("_c")).distinct()
+        past = newly.select(F.col("node").alias("anchor"), F.col("cut").alias("_past")).distinct()
+        known = F.coalesce("_c", "_past") != (F.col("odd") == 1)
+        now = df.join(at, "anchor", "left").join(past, "anchor", "left").select("node", "parent", "live", "anchor", "odd", F.coalesce("_cut", known).alias("cut"))
+        now = written(now, "segments")
+        parts.append(newly)
+        newly = now.where("cut is not null").select("node", "parent", "cut")
+        if newly.isEmpty():
             raise ValueError("the parent edges hold a cycle")
-        decided = written(decided.union(now), "segments")
-        open_nodes = written(open_nodes.join(now, "node", "left_anti"), "segments")
-    return decided.where("cut").select("node")
-
-
-def task_components(edges: DataFrame, segmented: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(root, node, is_boundary): each node without a parent and each cut point roots a task; a cut child is its boundary, where descent stops."""
-    e = edges.select("child", "parent").distinct()
-    cuts = segmented.select(F.col("node").alias("child")).distinct().withColumn("is_boundary", F.lit(True))
+        # a pointer goes on to where its target points, unless the target is decided and answers in the next round
+        on = now.select(F.col("node").alias("anchor"), F.col("cut").isNotNull().alias("_c"), F.col("anchor").alias("_a"), F.col("odd").alias("_o")).distinct()
+        hop = F.col("_a").isNotNull() & ~F.col("_c")
+        nxt = now.where("cut is null").join(on, "anchor", "left").select("node", "parent", "live", F.when(hop, F.col("_a")).otherwise(F.col("anchor")).alias("anchor"), F.when(hop, (F.col("odd") + F.col("_o")) % 2).otherwise(F.col("odd")).alias("odd"))
+        nxt = written(nxt, "segments")
+        discard(rows, df)
+        rows = nxt
+    return reduce(DataFrame.union, [*parts, newly]).where("cut").select("node").distinct()
+
+
+def task_components(edges: DataFrame, segmented: DataFrame) -> DataFrame:
+    """(root, node, is_boundary): each node without a parent and each cut point roots a task; a cut child is its boundary, where descent stops.
+
+    Every node looks for the nearest root or cut point above it by pointer jumping, so the rounds are the logarithm of the height. A node with several
+    parents is in the tasks of all. Edges with a null end and self-loops are ignored, repeated edges count once; a cycle without a cut point raises ValueError."""
+    e = written(edges.select("child", "parent").where("child <> parent").distinct(), "tasks")
+    cuts = written(segmented.select("node").where("node is not null").distinct(), "tasks")
     tops = e.select(F.col("parent").alias("node")).distinct().join(e.select(F.col("child").alias("node")), "node", "left_anti")
-    roots = tops.union(segmented.select("node")).distinct()
-    level = written(roots.select(F.col("node").alias("root"), "node", F.lit(False).alias("is_boundary")), "tasks")
-    parts = [level]
-    for _ in range(max_rounds):
-        down = level.where("not is_boundary").select("root", F.col("node").alias("parent")).join(e, "parent").join(cuts, "child", "left")
-        level = written(down.select("root", F.col("child").alias("node"), F.coalesce("is_boundary", F.lit(False)).alias("is_boundary")), "tasks")
-        if level.isEmpty():
+    stops = written(tops.union(cuts).distinct(), "tasks")
+    mark = stops.select(F.col("node").alias("up"), F.lit(True).alias("_stop"))
+    up = written(e.select(F.col("child").alias("node"), F.col("parent").alias("up")).join(mark, "up", "left").select("node", "up", F.coalesce("_stop", F.lit(False)).alias("done")), "tasks")
+    for _ in range(max(1, up.count()).bit_length() + 1):
+        if up.where("not done").isEmpty():
             break
-        parts.append(level)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
+        moved = up.where("not done").join(above, "up").select("node", F.col("_up").alias("up"), F.col("_done").alias("done"))
+        nxt = written(up.where("done").union(moved).distinct(), "tasks")
+        discard(up)
+        up = nxt
+    else:
+        raise ValueError("the parent edges hold a cycle")
+    is_cut = cuts.withColumn("_cut", F.lit(True))
+    below = up.join(is_cut, "node", "left").select(F.col("up").alias("root"), "node", F.coalesce("_cut", F.lit(False)).alias("is_boundary"))
+    return stops.select(F.col("node").alias("root"), "node", F.lit(False).alias("is_boundary")).union(below)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
