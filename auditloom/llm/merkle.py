@@ -2,8 +2,8 @@
 
 Every document is a leaf; the leaves of a language, by ascending id, are the ranks 0, 1, ... of its tree. A node of level k carries the
 interval of the leaf ranks that it covers, [lo, hi) with lo a multiple of 2 ** k. Nodes are built bottom-up in blocks of
-2 ** BITS nodes, so a tree of n leaves takes log(n) / BITS rounds. Ancestors are attached by joins on (tree, level, bucket of the interval) with
-containment as their condition; what a node's interval leaves of its parent's is the interval of its sibling.
+2 ** BITS nodes, so a tree of n leaves takes log(n) / BITS rounds. Ancestors are attached by joins whose bucket is the block of levels
+and whose condition is containment; what a node's interval leaves of its parent's is the interval of its sibling.
 A path is attached block by block from the top, so a row meets each of its BITS lowest siblings and then one row with the rest of the way.
 """
 
@@ -53,58 +53,55 @@ def blocks(nodes: DataFrame, bits: int) -> DataFrame:
 
 
 def intervals(found: DataFrame, bits: int) -> DataFrame:
-    """Nodes of the blocks: tree, level (in the block), lo and hi (places of the block's lowest level that the node covers), digest."""
+    """Nodes of the blocks: tree, block, level (in the block), lo and hi (places of the block's lowest level that the node covers), digest."""
     nodes = found.select("tree", "size", "block", F.posexplode("levels").alias("level", "_d")).select("tree", "size", "block", "level", F.posexplode("_d").alias("_i", "digest"))
     lo = F.expr(f"(shiftleft(block, {bits} - level) + _i) * shiftleft(1L, level)")
-    return nodes.select("tree", "level", lo.alias("lo"), F.least(lo + F.expr("shiftleft(1L, level)"), F.col("size")).alias("hi"), "digest")
+    return nodes.select("tree", "block", "level", lo.alias("lo"), F.least(lo + F.expr("shiftleft(1L, level)"), F.col("size")).alias("hi"), "digest")
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
-    """(tree, level, lo, hi, side, sibling) of each node that has a parent: the parent contains it, and the rest of the parent's interval is the sibling's."""
-    parent = nodes.select("tree", (F.col("level") - 1).alias("level"), F.expr("shiftright(lo, level)").alias("bucket"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))
-    child = nodes.withColumn("bucket", F.expr("shiftright(lo, level + 1)"))
-    held = child.join(parent, ["tree", "level", "bucket"]).where("plo <= lo and hi <= phi")
-    held = held.select("tree", "level", "lo", "hi", F.when(F.col("plo") < F.col("lo"), F.lit(LEFT)).when(F.col("hi") < F.col("phi"), F.lit(RIGHT)).otherwise(F.lit(NONE)).alias("side"),
-                       F.when(F.col("plo") < F.col("lo"), F.col("plo")).when(F.col("hi") < F.col("phi"), F.col("hi")).alias("rest"))  # the difference begins here
-    other = nodes.select("tree", "level", F.col("lo").alias("rest"), F.col("digest").alias("sibling"))
-    return held.join(other, ["tree", "level", "rest"], "left").drop("rest")
-
-
-def steps(places: DataFrame, beside: DataFrame, base: int, bits: int) -> DataFrame:
-    """(tree, place, size, steps): for each node of a block's lowest level the siblings of the nodes that contain it, up to the block's top; levels count from `base`."""
-    wanted = places.select("tree", "place", "size", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")).where("shiftleft(1L, level) < size")
-    wanted = wanted.withColumn("bucket", F.expr("shiftright(place, level)"))
-    held = wanted.join(beside.withColumn("bucket", F.expr("shiftright(lo, level)")), ["tree", "level", "bucket"]).where("lo <= place and place < hi")
-    step = F.struct((F.col("level") + base).cast("int").alias("level"), "side", F.col("sibling").alias("digest"))
-    got = held.groupBy("tree", "place").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    return places.select("tree", "place", "size").join(got, ["tree", "place"], "left").withColumn("steps", F.coalesce("steps", F.array().cast(_STEP)))
+    """(tree, block, level, lo, hi, side, sibling) of each node that has a parent in its block: the parent contains it, and what its interval leaves of the parent's is the sibling's."""
+    parent = nodes.where("level > 0").select("tree", "block", (F.col("level") - 1).alias("_level"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))
+    held = nodes.join(parent, ["tree", "block"]).where("level = _level and plo <= lo and hi <= phi")
+    two = held.groupBy("tree", "block", "level", "plo", "phi").agg(F.collect_list(F.struct("lo", "hi", "digest")).alias("_c")).withColumn("_x", F.explode("_c"))
+    rest_lo = F.when(F.col("_x.lo") > F.col("plo"), F.col("plo")).otherwise(F.col("_x.hi"))  # the difference, empty if the child covers its parent
+    rest_hi = F.when(F.col("_x.lo") > F.col("plo"), F.col("_x.lo")).otherwise(F.col("phi"))
+    df = two.withColumn("_lo", rest_lo).withColumn("_hi", rest_hi).withColumn("_s", F.get(F.filter("_c", lambda c: (c["lo"] == F.col("_lo")) & (c["hi"] == F.col("_hi"))), F.lit(0)))
+    side = F.when(F.col("_lo") >= F.col("_hi"), NONE).when(F.col("_lo") < F.col("_x.lo"), LEFT).otherwise(RIGHT)
+    return df.select("tree", "block", "level", "_x.lo", "_x.hi", side.alias("side"), F.col("_s.digest").alias("sibling"))
 
 
 def built(leaves: DataFrame, bits: int = BITS) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
-    """Roots (tree, digest) of the trees of leaves (tree, place, size, digest), and for each round the places of its lowest level and its nodes."""
+    """Roots (tree, digest) of the trees of leaves (tree, place, size, digest), and for each round its lowest level and its blocks."""
     cur, rounds, tops = leaves.select("tree", "place", "size", "digest"), [], []
     while True:
         found = written(blocks(cur, bits), "blocks")
-        rounds.append((cur, intervals(found, bits)))
+        rounds.append((cur.select("tree", "place"), found))
         tops.append(found.where(F.col("size") <= 2 ** bits).select("tree", F.expr("filter(levels, x -> x is not null)").alias("_l")).select("tree", F.element_at(F.element_at("_l", -1), 1).alias("digest")))
         if found.where(F.col("size") > 2 ** bits).isEmpty():
             return reduce(DataFrame.union, tops), rounds
         cur = found.where(F.col("size") > 2 ** bits).select("tree", F.col("block").alias("place"), F.ceil(F.col("size") / 2 ** bits).cast("long").alias("size"), F.element_at(F.element_at("levels", -1), 1).alias("digest"))
 
 
-def paths(rounds: list[tuple[DataFrame, DataFrame]], above: DataFrame, bits: int = BITS) -> DataFrame:
-    """(tree, place, path, the other columns of above): the siblings from each leaf to the end, where above (tree, path, ...) goes on from each tree's root."""
+def paths(leaves: DataFrame, rounds: list[tuple[DataFrame, DataFrame]], above: DataFrame, bits: int = BITS) -> DataFrame:
+    """leaves (tree, place, ...) plus path, the siblings from each leaf to the end, and the other columns of above (tree, path, ...), which goes on from each tree's root.
+
+    Round by round from the top. The blocks of a round are shuffled once, by (tree, block); its nodes, their siblings, the places that they contain and
+    the way on from the block all meet there, and a block has at most 2 ** bits places, however large its tree."""
     carried = [c for c in above.columns if c not in ("tree", "path")]
     upper = None
     for base in range(len(rounds) - 1, -1, -1):
-        places, nodes = rounds[base]
-        own = steps(places, siblings(nodes), base * bits, bits)
-        done = above.withColumn("block", F.lit(0).cast("long"))  # trees that end in this round go on there
-        ends = own.where(F.col("size") <= 2 ** bits).select("tree").distinct()
-        here = done.join(ends, "tree", "left_semi")
+        places, found = rounds[base]
+        rows = places if base else leaves
+        own = [c for c in rows.columns if c not in ("tree", "place")]
+        beside = siblings(intervals(found.repartition("tree", "block"), bits)).withColumnsRenamed({"tree": "_t", "block": "_b"})
+        rows = rows.withColumn("block", F.shiftright("place", bits))
+        held = rows.join(beside, (F.col("tree") == F.col("_t")) & (F.col("block") == F.col("_b")) & (F.col("lo") <= F.col("place")) & (F.col("place") < F.col("hi")), "left")
+        step = F.struct((F.col("level") + base * bits).cast("int").alias("level"), "side", F.col("sibling").alias("digest"))
+        got = held.groupBy("tree", "block", "place").agg(F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), step))).alias("steps"), *[F.first(c).alias(c) for c in own])
+        here = above.join(found.where(F.col("size") <= 2 ** bits).select("tree"), "tree").withColumn("block", F.lit(0).cast("long"))  # trees that end in this round
         upper = here if upper is None else upper.withColumnRenamed("place", "block").unionByName(here)
-        got = own.withColumn("block", F.shiftright("place", bits)).join(upper, ["tree", "block"])
-        upper = got.select("tree", "place", F.concat("steps", "path").alias("path"), *carried)
+        upper = got.join(upper, ["tree", "block"]).select("tree", "place", *own, F.concat("steps", "path").alias("path"), *carried)
         if base:
             upper = written(upper, "paths")
     return upper
@@ -139,9 +136,8 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", tree_col: str = "lang", fi
     trees = written(ranked(roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["tree"], ["name"], "place", "size"), "trees")
     root, over = built(trees, bits)
     all_of = root.select("tree", F.array().cast(_STEP).alias("path"), F.col("digest").alias("root"))
-    above = paths(over, all_of, bits).join(trees.select("tree", "place", "name", F.col("digest").alias("subroot")), ["tree", "place"]).select(F.col("name").alias("tree"), "path", "root", "subroot")
-    way = paths(rounds, written(above, "roots"), bits)
-    out = leaves.join(way, ["tree", "place"]).withColumn("_end", folded(F.col("given"), F.col("path")))
+    above = paths(trees.select("tree", "place", "name", F.col("digest").alias("subroot")), over, all_of, bits).select(F.col("name").alias("tree"), "path", "root", "subroot")
+    out = paths(leaves.drop("size"), rounds, written(above, "roots"), bits).withColumn("_end", folded(F.col("given"), F.col("path")))
     return out.select(F.col("id").alias(id_col), text_of(F.col("digest")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), text_of(F.col("root")).alias("root"),
                       text_of(proof(F.col("path"))).alias("proof_sha256"), text_of(F.col("_end")).alias("folded_root"), (F.col("_end") == F.col("root")).alias("verified"))
 
