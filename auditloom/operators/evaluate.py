@@ -41,14 +41,29 @@ def assign_windows(paths: DataFrame, windows: DataFrame, pad: int = 0, near: int
         "path_id", F.coalesce("status", F.lit("off_window")).alias("match"), "window_id", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.when(F.col("status").isNull(), F.col("near_window")).alias("near_window"))
 
 
-def reattach_continuations(assignments: DataFrame, paths: DataFrame, seconds: int = 900) -> DataFrame:
-    """(path_id, window_id): off-window paths that go on from a confirmed path of their task: a shared process, no other tactics, overlapping or beginning within `seconds` after it. The closest one counts."""
-    p = assignments.join(paths.select("path_id", "task_id", "lo", "hi", "process_chain", "tactics"), "path_id")
-    off = p.where("match = 'off_window'").select("path_id", "task_id", "lo", "hi", "process_chain", "tactics")
-    on = p.where("match = 'confirmed'").select("task_id", "window_id", F.col("path_id").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("process_chain").alias("_c"), F.col("tactics").alias("_t"))
-    pairs = off.join(on, "task_id").where(F.arrays_overlap("process_chain", "_c") & (F.size(F.array_except("tactics", "_t")) == 0) & (F.col("lo") <= F.col("_hi") + seconds) & (F.col("hi") >= F.col("_lo")))
-    w = Window.partitionBy("path_id").orderBy(F.abs(F.col("lo") - F.col("_hi")), "_p")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("path_id", "window_id")
+CONTINUATION_SECONDS = 900
+
+
+def reattach_continuations(assignments: DataFrame, paths: DataFrame, windows: DataFrame, seconds: int = CONTINUATION_SECONDS) -> DataFrame:
+    """(path_id, window_id, anchor): off-window paths that go on from a confirmed path of their host and task.
+
+    An anchor shares a process or a bridge object with the path, has all its tactics, and overlaps it in time, or its window ends at most `seconds` before the path
+    begins. The anchor with the most shared processes counts, then the longest overlap, the smallest gap and the smallest path id. Paths without both times, and
+    windows without an end, take no part; a null item is none. Rows that repeat a path id with other times count as they are. Paths meet by host, task and shared item, so only pairs that share something are formed.
+    """
+    p = assignments.select("path_id", "match", "window_id").join(paths.select("path_id", "host", "task_id", "lo", "hi", "process_chain", "bridge_objects", "tactics"), "path_id").where("match in ('off_window', 'confirmed')")
+    known = lambda c: F.array_compact(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
+    items = F.concat(F.transform(known("process_chain"), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("item"))), F.transform(known("bridge_objects"), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("item"))))
+    p = p.withColumn("tactics", known("tactics")).withColumn("_x", F.explode(items)).select("*", "_x.kind", "_x.item").where("trim(item) <> ''").drop("_x", "process_chain", "bridge_objects")
+    end = windows.where("rhi is not null").select("window_id", F.col("rhi").alias("_end"))
+    off = p.where("match = 'off_window' and lo is not null and hi is not null").drop("match", "window_id")
+    on = p.where("match = 'confirmed'").join(end, "window_id").select("host", "task_id", "kind", "item", "window_id", "_end", F.col("path_id").alias("anchor"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("tactics").alias("_t"))
+    pairs = off.join(on, ["host", "task_id", "kind", "item"]).where(F.size(F.array_except("tactics", "_t")) == 0)
+    overlap = F.coalesce(F.greatest(F.least("hi", "_hi") - F.greatest("lo", "_lo"), F.lit(0)), F.lit(0)).alias("_overlap")
+    pairs = pairs.select("path_id", "window_id", "anchor", F.when(F.col("kind") == 1, F.col("item")).alias("_process"), F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), 0).otherwise(overlap).alias("_overlap"), F.greatest(F.col("lo") - F.col("_end"), F.lit(0)).alias("_gap")).where((F.col("_overlap") > 0) | (F.col("_gap") <= seconds))
+    best = pairs.groupBy("path_id", "window_id", "anchor", "_overlap", "_gap").agg(F.count_distinct("_process").alias("_shared"))
+    w = Window.partitionBy("path_id").orderBy(F.desc("_shared"), F.desc("_overlap"), "_gap", "anchor")
+    return best.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("path_id", "window_id", "anchor")
 
 
 def _share(a: Column, b: Column) -> Column:

@@ -22,14 +22,16 @@ def paths(spark, d):
     lo = F.col("l_shipdate").cast("timestamp").cast("long")
     hi = lo + F.when(k % 3 == 0, 0).otherwise(100_000 * F.col("l_linenumber"))
     return table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select(F.concat_ws("-", k.cast("string"), F.col("l_linenumber").cast("string")).alias("path_id"), k.cast("string").alias("task_id"), (k / 20 % 4).cast("int").alias("host"), lo.alias("lo"), hi.alias("hi"),
-                                                                          F.when(F.col("l_quantity") > 30, "high").when(F.col("l_quantity") > 15, "medium").otherwise("low").alias("risk_level"), F.col("l_quantity").cast("double").alias("risk_score"), F.array(F.col("l_suppkey").cast("string"), F.lit("p")).alias("process_chain"),
+                                                                          F.when(F.col("l_quantity") > 30, "high").when(F.col("l_quantity") > 15, "medium").otherwise("low").alias("risk_level"), F.col("l_quantity").cast("double").alias("risk_score"), F.when(F.col("l_linenumber") % 2 == 0, F.array((F.col("l_suppkey") % 3).cast("string"), F.lit("p"))).otherwise(F.array((F.col("l_suppkey") % 3).cast("string"))).alias("process_chain"),
+                                                                          F.when(F.col("l_linenumber") % 3 == 0, F.array(F.lit("b"), F.lit(None))).otherwise(F.array().cast("array<string>")).alias("bridge_objects"),
                                                                           F.array(F.lit("TA0002"), F.concat(F.lit("TA000"), (k / 20 % 3 + 1).cast("int").cast("string"))).alias("tactics"), F.array(F.lit("T1105"), F.lit("T1059")).alias("techniques"), F.array(F.lit("TA0001")).alias("candidate_tactics"))
 
 
 DATA = """w AS (SELECT CAST(o_orderkey AS VARCHAR) AS window_id, CAST(o_orderkey // 50 % 4 AS INT) AS host, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 AS rlo, epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 + 129600 AS rhi, CASE WHEN o_orderkey % 150 = 0 THEN 'attempted_failed' ELSE 'confirmed' END AS status,
  ['TA0001', 'TA000' || CAST(o_orderkey // 50 % 5 + 1 AS VARCHAR)] AS gt_tactics, ['T1105'] AS gt_techniques FROM orders),
 p AS (SELECT l_orderkey || '-' || l_linenumber AS path_id, CAST(l_orderkey AS VARCHAR) AS task_id, CAST(l_orderkey // 20 % 4 AS INT) AS host, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 AS lo, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000000 + CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE 100000 * l_linenumber END AS hi,
- CASE WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS risk_level, CAST(l_quantity AS DOUBLE) AS risk_score, ['TA0002', 'TA000' || CAST(l_orderkey // 20 % 3 + 1 AS VARCHAR)] AS tactics, CAST(l_suppkey AS VARCHAR) AS supp FROM lineitem WHERE l_orderkey % 20 = 0),
+ CASE WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS risk_level, CAST(l_quantity AS DOUBLE) AS risk_score, ['TA0002', 'TA000' || CAST(l_orderkey // 20 % 3 + 1 AS VARCHAR)] AS tactics, CAST(l_suppkey AS VARCHAR) AS supp,
+ CASE WHEN l_linenumber % 2 = 0 THEN [CAST(l_suppkey % 3 AS VARCHAR), 'p'] ELSE [CAST(l_suppkey % 3 AS VARCHAR)] END AS chain, CASE WHEN l_linenumber % 3 = 0 THEN ['b'] ELSE [] END AS bridged FROM lineitem WHERE l_orderkey % 20 = 0),
 m0 AS (SELECT path_id, window_id, status, lo, hi, rlo, rhi, lo >= rlo AND hi <= rhi AS inside, greatest(least(hi, rhi) - greatest(lo, rlo), 0) AS ov FROM p JOIN w ON p.host = w.host AND lo <= rhi + 7200 AND hi >= rlo - 7200),
 m1 AS (SELECT *, CASE WHEN lo = hi AND inside AND ov <= 0 THEN 1.0 ELSE ov * 1.0 END AS overlap FROM m0), m2 AS (SELECT *, overlap / greatest(1, hi - lo) AS ratio, (lo + hi) / 2.0 BETWEEN rlo AND rhi AS mid_inside, abs((lo + hi) / 2.0 - (rlo + rhi) / 2.0) AS mid_gap, overlap > 0 OR inside AS loose FROM m1),
 m AS (SELECT *, ratio >= 0.8 OR inside AS strict, loose AND (ratio >= 0.5 OR mid_inside OR inside) AS prim FROM m2),
@@ -51,10 +53,14 @@ def k02(spark, d):
     return assigned(spark, d).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("k03_reattach_continuations", f"""WITH {DATA}, x AS (SELECT a.*, task_id, lo, hi, tactics FROM a JOIN p USING (path_id)), c AS (SELECT o.path_id, n.window_id, row_number() OVER (PARTITION BY o.path_id ORDER BY abs(o.lo - n.hi), n.path_id) AS r FROM x o JOIN x n ON o.task_id = n.task_id AND o.match = 'off_window' AND n.match = 'confirmed'
- AND o.lo <= n.hi + 86400 AND o.hi >= n.lo AND len(list_filter(o.tactics, lambda t: NOT list_contains(n.tactics, t))) = 0) SELECT path_id, window_id FROM c WHERE r = 1""")
+@query("k03_reattach_continuations", f"""WITH {DATA}, x AS (SELECT a.match, a.window_id, p.* FROM a JOIN p USING (path_id)),
+ i AS (SELECT *, unnest(list_concat(list_transform(chain, lambda v: {{'kind': 1, 'item': v}}), list_transform(bridged, lambda v: {{'kind': 0, 'item': v}}))) AS y FROM x),
+ c AS (SELECT o.path_id, n.window_id, n.path_id AS anchor, count(DISTINCT CASE WHEN o.y.kind = 1 THEN o.y.item END) AS shared, greatest(least(o.hi, n.hi) - greatest(o.lo, n.lo), 0) AS overlap, greatest(o.lo - w.rhi, 0) AS gap
+ FROM i o JOIN i n ON o.host = n.host AND o.task_id = n.task_id AND o.match = 'off_window' AND n.match = 'confirmed' AND o.y = n.y JOIN w ON w.window_id = n.window_id
+ WHERE list_has_all(n.tactics, o.tactics) GROUP BY o.path_id, n.window_id, n.path_id, overlap, gap)
+ SELECT path_id, window_id, anchor FROM (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY shared DESC, overlap DESC, gap, anchor) AS r FROM c WHERE overlap > 0 OR gap <= 86400) WHERE r = 1""")
 def k03(spark, d):
-    return K.reattach_continuations(assigned(spark, d), paths(spark, d), 86_400)
+    return K.reattach_continuations(assigned(spark, d), paths(spark, d), windows(spark, d), 86_400)
 
 
 @query("k04_evaluate", f"""WITH {DATA}, r AS (SELECT a.window_id, a.ratio, p.*, row_number() OVER (PARTITION BY window_id ORDER BY risk_score DESC, ratio DESC, p.path_id) AS r FROM a JOIN p USING (path_id) WHERE match = 'confirmed'),
