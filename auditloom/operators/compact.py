@@ -34,6 +34,11 @@ def is_external(*kinds: str) -> Column:
     return F.col("event_type").isin(list(kinds)) & (F.col("object_class") == "external_ip")
 
 
+def is_control() -> Column:
+    """Events that begin a new epoch of their process: external receives and executions."""
+    return is_external("RECV") | F.col("event_type").isin(S.EXECUTIONS)
+
+
 def optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
@@ -66,8 +71,7 @@ def object_states(events: DataFrame) -> DataFrame:
 
 def semantic_epochs(events: DataFrame) -> DataFrame:
     """events plus object_epoch_before/after (mutations of the object so far) and process_epoch_before/after (external receives and executions of the process so far)."""
-    control = is_external("RECV") | F.col("event_type").isin(S.EXECUTIONS)
-    o, p = is_mutation().cast("long"), control.cast("long")
+    o, p = is_mutation().cast("long"), is_control().cast("long")
     return events.withColumn("object_epoch_after", F.sum(o).over(by_object(*_UPTO))).withColumn("object_epoch_before", F.col("object_epoch_after") - o).withColumn(
         "process_epoch_after", F.sum(p).over(by_process(*_UPTO))).withColumn("process_epoch_before", F.col("process_epoch_after") - p)
 
@@ -77,7 +81,11 @@ def recent_network(events: DataFrame, seconds: int = 120) -> DataFrame:
     def last(*kinds: str) -> Column:
         return F.last(F.when(is_external(*kinds), F.col("us")), ignorenulls=True).over(by_process(*_BEFORE))
 
-    df = events.withColumn("last_recv_us", last("RECV")).withColumn("last_connect_us", last("CONNECT", "SEND"))
+    return near_network(events.withColumn("last_recv_us", last("RECV")).withColumn("last_connect_us", last("CONNECT", "SEND")), seconds)
+
+
+def near_network(df: DataFrame, seconds: int) -> DataFrame:
+    """df (us, last_recv_us, last_connect_us) plus recent_recv and recent_connect: whether the contact lies within `seconds`; a missing time does not."""
     near = lambda c: F.coalesce(F.abs(F.col("us") - F.col(c)) <= seconds * 1_000_000, F.lit(False))
     return df.withColumn("recent_recv", near("last_recv_us")).withColumn("recent_connect", near("last_connect_us"))
 
@@ -92,30 +100,42 @@ def _first_marks(df: DataFrame, marks: list[Column], entity: str) -> DataFrame:
     return m.groupBy("task_id", F.col(entity).alias("entity"), "label").agg(F.min("order_index").alias("acquired_order"))
 
 
-def object_prelabels(events: DataFrame, seconds: int = 120) -> DataFrame:
-    """First event that gives each object one of ten labels: by class, by upload path, not found, or written by a download."""
-    df = recent_network(events, seconds)
+def object_marks(df: DataFrame) -> list[Column]:
+    """Conditional names of the labels that an event (with recent_recv and recent_connect) gives its object."""
     t, temp = F.col("event_type"), F.col("object_class") == "temp_file"
-    hint = X.has_download_hint(optional(events, "process_cmdline"))
+    hint = X.has_download_hint(optional(df, "process_cmdline"))
     fetcher = F.lower("process_name").isin(S.PROCESS_TYPES["downloader"]) & (F.col("recent_recv") | F.col("recent_connect"))
     names = F.create_map(*[F.lit(x) for kv in _CLASS_LABELS.items() for x in kv])
-    marks = [names[F.col("object_class")],
-             F.when(t.isin("WRITE", "CREATE") & X.contains_upload_marker("object_key"), "O_FILE_UPLOADED"),
-             F.when(temp & t.isin("READ", "OPEN", *S.EXECUTIONS) & F.upper(X.text(optional(events, "result"))).isin("ENOENT", "NOT_FOUND"), "O_FILE_NONEXIST"),
-             F.when(t.isin("WRITE", "CREATE") & (F.col("object_type") == "file") & (hint | fetcher | (temp & F.col("recent_recv"))), "O_FILE_DOWNLOADED")]
-    return _first_marks(df, marks, "object_key")
+    return [names[F.col("object_class")],
+            F.when(t.isin("WRITE", "CREATE") & X.contains_upload_marker("object_key"), "O_FILE_UPLOADED"),
+            F.when(temp & t.isin("READ", "OPEN", *S.EXECUTIONS) & F.upper(X.text(optional(df, "result"))).isin("ENOENT", "NOT_FOUND"), "O_FILE_NONEXIST"),
+            F.when(t.isin("WRITE", "CREATE") & (F.col("object_type") == "file") & (hint | fetcher | (temp & F.col("recent_recv"))), "O_FILE_DOWNLOADED")]
+
+
+BAD_OBJECTS = ["O_FILE_DOWNLOADED", "O_FILE_UPLOADED", "O_SUSPECT_WRITTEN_EXECUTABLE"]
+
+
+def process_marks(bad_by_now: Column) -> list[Column]:
+    """Conditional names of the labels that an event gives its process; bad_by_now: its object is labelled downloaded, uploaded or suspect by then."""
+    t, name = F.col("event_type"), F.lower("process_name")
+    return [F.when(name.isin(S.PROCESS_TYPES["web_service"]) | (t.isin("WRITE", "CREATE") & X.contains_upload_marker("object_key") & X.under_web_root("object_key")), "P_WEB_CTX"),
+            F.when(name.isin(S.PROCESS_TYPES["remote_service"]), "P_REMOTE_CTX"), F.when(is_external(*S.NETWORK_EVENTS), "P_NET_CTX"),
+            F.when(is_external("RECV") | (t.isin(S.EXECUTIONS) & bad_by_now), "P_UNTRUSTED_CTX")]
+
+
+def object_prelabels(events: DataFrame, seconds: int = 120) -> DataFrame:
+    """First event that gives each object one of ten labels: by class, by upload path, not found, or written by a download.
+
+    Null classes and keys give none; an empty table gives none."""
+    df = recent_network(events, seconds)
+    return _first_marks(df, object_marks(df), "object_key")
 
 
 def process_prelabels(events: DataFrame, object_labels: DataFrame) -> DataFrame:
     """First event that gives each process P_WEB_CTX, P_REMOTE_CTX, P_NET_CTX or P_UNTRUSTED_CTX; executions count if the object is labelled downloaded, uploaded or suspect by then."""
-    bad = object_labels.where(F.col("label").isin("O_FILE_DOWNLOADED", "O_FILE_UPLOADED", "O_SUSPECT_WRITTEN_EXECUTABLE")).groupBy(
-        "task_id", F.col("entity").alias("object_key")).agg(F.min("acquired_order").alias("_bad"))
+    bad = object_labels.where(F.col("label").isin(BAD_OBJECTS)).groupBy("task_id", F.col("entity").alias("object_key")).agg(F.min("acquired_order").alias("_bad"))
     df = events.join(bad, ["task_id", "object_key"], "left")
-    t, name = F.col("event_type"), F.lower("process_name")
-    marks = [F.when(name.isin(S.PROCESS_TYPES["web_service"]) | (t.isin("WRITE", "CREATE") & X.contains_upload_marker("object_key") & X.under_web_root("object_key")), "P_WEB_CTX"),
-             F.when(name.isin(S.PROCESS_TYPES["remote_service"]), "P_REMOTE_CTX"), F.when(is_external(*S.NETWORK_EVENTS), "P_NET_CTX"),
-             F.when(is_external("RECV") | (t.isin(S.EXECUTIONS) & (F.col("_bad") <= F.col("order_index"))), "P_UNTRUSTED_CTX")]
-    return _first_marks(df, marks, "process_guid")
+    return _first_marks(df, process_marks(F.col("_bad") <= F.col("order_index")), "process_guid")
 
 
 _NEVER = (1 << 63) - 1

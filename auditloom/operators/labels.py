@@ -116,11 +116,16 @@ def bridge_edges(access: DataFrame, object_labels: DataFrame, gap_seconds: int =
     pairs = w.join(r, ["task_id", "object_key", "epoch"]).where((F.col("read_order") > F.col("write_order")) & (F.col("src") != F.col("dst")) & near)
     rank = F.row_number().over(Window.partitionBy("task_id", "object_key").orderBy("write_order", "read_order"))
     pairs = pairs.join(lab, ["task_id", "object_key"]).withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r", "epoch")
+    return bridge_kinds(pairs)
+
+
+def bridge_kinds(bridges: DataFrame) -> DataFrame:
+    """bridges (read_type, labels of the object) plus bridge_type and confidence, with the labels in order."""
+    own = lambda *v: F.arrays_overlap("labels", F.array(*[F.lit(x) for x in v]))
     executed = F.col("read_type").isin(S.EXECUTIONS)
-    own = lambda *v: F.arrays_overlap("labels", arr(v))
     kind = X.cases([(executed, "write_to_exec"), (own("O_PERSISTENCE"), "persistence_follow_on"), (own("O_ARCHIVE"), "archive_follow_on")], F.lit("write_to_read"))
     sure = X.cases([(executed & own("O_FILE_TEMP", "O_FILE_DOWNLOADED", "O_FILE_UPLOADED", "O_SUSPECT_WRITTEN_EXECUTABLE"), 0.93), (own("O_PERSISTENCE", "O_PRIV_CONFIG"), 0.78), (own("O_ARCHIVE"), 0.66)], F.lit(0.55))
-    return pairs.withColumn("bridge_type", kind).withColumn("confidence", sure).withColumn("labels", F.array_sort("labels"))
+    return bridges.withColumn("bridge_type", kind).withColumn("confidence", sure).withColumn("labels", F.array_sort("labels"))
 
 
 def bridge_labels(bridges: DataFrame) -> DataFrame:

@@ -6,16 +6,19 @@ Each form gives on a closed input what its batch form gives.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditloom.functions import scalars as X
 from auditloom.functions import settings as S
+from auditloom.operators import compact as C
+from auditloom.operators import labels as L
 from auditloom.operators.scratch import scratch_dir
+from auditloom.streaming.replay import KEEP_SECONDS, staged
 
 
 def stream_normalize(events: DataFrame, alias: DataFrame) -> DataFrame:
@@ -30,13 +33,6 @@ def stream_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour"
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type", "process_guid", "object_key").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "process_guid", "object_key", "n")
 
 
-def stream_episodes(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Episodes by their plain key in tumbling windows: count, last time, first and last event id in order of time and id."""
-    key = ["process_guid", "event_type", "object_key", "object_class"]
-    at = F.struct("ts", "event_id")
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), *key).agg(F.count("*").alias("n"), F.max("ts").alias("last"), F.min_by("event_id", at).alias("first_id"), F.max_by("event_id", at).alias("last_id")).select(F.col("w.start").alias("start"), *key, "n", "last", "first_id", "last_id")
-
-
 def stream_mass_access(events: DataFrame, n: int = 100, window: str = "1 minute", late: str = "1 hour") -> DataFrame:
     """Windows in which a process reads n distinct files or more; the set is kept, so the count is exact."""
     e = events.where("event_type = 'READ' and object_type = 'file'").withWatermark("ts", late)
@@ -49,62 +45,167 @@ def stream_sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour"
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "process_guid").agg(F.count("*").alias("n"), F.max("ts").alias("last")).select(F.col("s.start").alias("start"), "process_guid", "n", "last")
 
 
-def stream_bridges(events: DataFrame, gap_seconds: int = S.BRIDGE_GAP_SECONDS, late: str = "1 hour") -> DataFrame:
-    """Writes followed within the gap by a read or execution of the same temporary file by another process, as a stream-stream interval join."""
-    e = events.where("object_class = 'temp_file'")
-    w = e.where(F.col("event_type").isin(S.BRIDGE_WRITES)).select(F.col("object_key"), F.col("process_guid").alias("src"), F.col("event_id").alias("write_event"), F.col("ts").alias("write_ts")).withWatermark("write_ts", late)
-    r = e.where(F.col("event_type").isin(S.BRIDGE_READS)).select(F.col("object_key").alias("_k"), F.col("process_guid").alias("dst"), F.col("event_id").alias("read_event"), F.col("ts").alias("read_ts")).withWatermark("read_ts", late)
-    near = (F.col("object_key") == F.col("_k")) & (F.col("src") != F.col("dst")) & (F.col("read_ts") > F.col("write_ts")) & (F.col("read_ts") <= F.col("write_ts") + F.expr(f"interval {gap_seconds} seconds"))
-    return w.join(r, near).drop("_k")
-
-
-def stream_semantic_skip(events: DataFrame, ttl_seconds: int = S.SKIP_TTL_SECONDS, late: str = "1 hour") -> DataFrame:
-    """(event_id, skipped): whether an event repeats the last one of its process, type and object within the time to live, and is not force-kept.
-
-    State is the last time seen of each key and expires after the time to live beyond the watermark. Rows of one trigger are taken in order of time and id."""
-    e = events.withColumn("kept", F.col("event_type").isin(S.FORCE_KEEP_EVENTS) | F.col("object_class").isin(S.FORCE_KEEP_CLASSES)).withWatermark("ts", late)
-    ttl = ttl_seconds * 1_000_000
-
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "skipped": pd.Series([], dtype="bool")})
-            return
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        before = rows["us"].astype("Int64").shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        near = (rows["us"] - before <= ttl).fillna(False).astype(bool)
-        last = int(rows["us"].iloc[-1])
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "skipped": (near & ~rows["kept"]).to_numpy()})
-
-    e = e.select("process_guid", "event_type", "object_key", "event_id", "us", "kept", "ts")
-    return e.groupBy("process_guid", "event_type", "object_key").applyInPandasWithState(run, "event_id long, skipped boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_recent_network(events: DataFrame, late: str = "1 hour", keep_seconds: int = 90 * 86_400) -> DataFrame:
-    """(event_id, last_recv_us): latest earlier external receive of the process, kept as state until the watermark lies keep_seconds after it.
-
-    A trigger's rows of a process are held together, so the source's limits (maxFilesPerTrigger, maxBytesPerTrigger) bound them."""
-    e = events.withWatermark("ts", late).select("process_guid", "event_id", "us", "ts", ((F.col("event_type") == "RECV") & (F.col("object_class") == "external_ip")).alias("recv"))
-
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "last_recv_us": pd.Series([], dtype="Int64")})
-            return
-        last = state.get[0] if state.exists else pd.NA
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        seen = pd.concat([pd.Series([last], dtype="Int64"), rows["us"].astype("Int64").where(rows["recv"])], ignore_index=True).ffill()
-        if pd.notna(seen.iloc[-1]):
-            at = int(seen.iloc[-1])
-            state.update((at,))
-            state.setTimeoutTimestamp(max(at // 1000 + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "last_recv_us": seen.iloc[:-1]})
-
-    return e.groupBy("process_guid").applyInPandasWithState(run, "event_id long, last_recv_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+def _recent_step(state, rows: pd.DataFrame):
+    """Latest external receive and connect or send before each event of a process."""
+    values = []
+    for name, kinds, first in (("last_recv_us", ["RECV"], state and state[0]), ("last_connect_us", ["CONNECT", "SEND"], state and state[1])):
+        hit = (rows["object_class"] == "external_ip") & rows["event_type"].isin(kinds)
+        seen = pd.concat([pd.Series([pd.NA if first is None else first], dtype="Int64"), rows["us"].astype("Int64").where(hit)], ignore_index=True).ffill()
+        rows[name] = seen.iloc[:-1]
+        values.append(None if pd.isna(seen.iloc[-1]) else int(seen.iloc[-1]))
+    return rows, tuple(values)
+
+
+def stream_recent_network(events: DataFrame, seconds: int = 120, late: str = "1 hour", keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """compact.recent_network on a stream: events (none of ts, us and event_id null, else a row is left out) plus last_recv_us and last_connect_us of the process (task_id, process_guid), and whether each lies within `seconds`.
+
+    An event is answered once the watermark has passed it, so events may come in any order within `late`. What a process did is forgotten keep_seconds after its last event."""
+    e = events.where("ts is not null and us is not null and event_id is not null").withWatermark("ts", late)
+    df = staged(e, ["task_id", "process_guid"], _recent_step, "recv bigint, connect bigint", "last_recv_us bigint, last_connect_us bigint", buffered=True, keep_seconds=keep_seconds)
+    return C.near_network(df, seconds)
+
+
+def _held_step(name: str):
+    """Epochs (rows that bump it) and labels (marks) held by a process or object at each of its events, its own triggers included."""
+
+    def step(state, rows: pd.DataFrame):
+        epoch, held = (state[0], set(filter(None, state[1].split("|")))) if state else (0, set())
+        own = "|".join(sorted(held))
+        signatures, triggered = [], []
+        for marks in rows["marks"]:
+            new = sorted({m for m in marks if m not in held})
+            if new:
+                held.update(new)
+                own = "|".join(sorted(held))
+            signatures.append(own)
+            triggered.append(new)
+        bump = rows["bump"].astype("int64")
+        rows[f"{name}_epoch_after"] = epoch + bump.cumsum()
+        rows[f"{name}_epoch_before"] = rows[f"{name}_epoch_after"] - bump
+        rows[f"{name}_signature"], rows[f"{name}_triggered"] = signatures, triggered
+        return rows, (int(rows[f"{name}_epoch_after"].iloc[-1]), own)
+
+    return step
+
+
+def _held_stage(df: DataFrame, name: str, key: str, marks: list, bump, keep_seconds: int) -> DataFrame:
+    df = df.withColumn("marks", F.array_compact(F.array(*marks))).withColumn("bump", F.coalesce(bump, F.lit(False)))
+    added = f"{name}_epoch_before bigint, {name}_epoch_after bigint, {name}_signature string, {name}_triggered array<string>"
+    return staged(df, ["task_id", key], _held_step(name), "epoch bigint, labels string", added, keep_seconds=keep_seconds).drop("marks", "bump")
+
+
+def stream_objects(events: DataFrame, late: str = "1 hour", keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """stream_recent_network plus epochs and labels of the event's object."""
+    df = stream_recent_network(events, 120, late, keep_seconds).drop("last_recv_us", "last_connect_us")
+    return _held_stage(df, "object", "object_key", C.object_marks(df), C.is_mutation(), keep_seconds)
+
+
+def _skip_step(state, rows: pd.DataFrame):
+    """The last event of the same meaning, for each event."""
+    names = ["us", "process_signature", "object_signature", "object_epoch_after", "process_epoch_after"]
+    for i, c in enumerate(names):
+        then = rows[c].astype("object").shift(1)
+        then.iloc[0] = state[i] if state else None
+        rows[f"_{c}"] = then.where(then.notna(), None)
+    last = rows.iloc[-1]
+    return rows, (int(last["us"]), last["process_signature"], last["object_signature"], int(last["object_epoch_after"]), int(last["process_epoch_after"]))
+
+
+def stream_compacted(events: DataFrame, ttl_seconds: int = S.SKIP_TTL_SECONDS, late: str = "1 hour", keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """compact.compacted on a stream: events with epochs, signatures, labels_triggered, is_force_kept and skipped.
+
+    Four stages: the process's network contacts, the object's epochs and labels, the process's epochs and labels, and the last event of the same process, type,
+    object and class. Processes and objects are forgotten keep_seconds after their last event; as long as none is silent for longer, the rows are those of the batch."""
+    df = stream_objects(events, late, keep_seconds)
+    bad = F.arrays_overlap(F.split("object_signature", "[|]"), F.array(*[F.lit(x) for x in C.BAD_OBJECTS]))
+    df = _held_stage(df, "process", "process_guid", C.process_marks(bad), C.is_control(), keep_seconds)
+    df = C.force_keep(df.withColumn("labels_triggered", F.array_sort(F.array_union("object_triggered", "process_triggered"))))
+    then = "_us bigint, _process_signature string, _object_signature string, _object_epoch_after bigint, _process_epoch_after bigint"
+    df = staged(df, C.SEMANTIC_KEY, _skip_step, "us bigint, ps string, os string, oe bigint, pe bigint", then, keep_seconds=max(ttl_seconds, 1))
+    same = (F.col("_process_signature") == F.col("process_signature")) & (F.col("_object_signature") == F.col("object_signature")) & (
+        F.col("_object_epoch_after") == F.col("object_epoch_before")) & (F.col("_process_epoch_after") == F.col("process_epoch_before"))
+    fresh = F.col("us") - F.col("_us") <= ttl_seconds * 1_000_000
+    return df.withColumn("skipped", F.coalesce(same & fresh & ~F.col("is_force_kept"), F.lit(False))).drop("_us", "_process_signature", "_object_signature", "_object_epoch_after", "_process_epoch_after")
+
+
+def stream_semantic_skip(events: DataFrame, ttl_seconds: int = S.SKIP_TTL_SECONDS, late: str = "1 hour", keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """(event_id, skipped) of stream_compacted."""
+    return stream_compacted(events, ttl_seconds, late, keep_seconds).select("event_id", "skipped")
+
+
+def _episode_steps(representatives: int, columns: list[str]):
+    def step(state, rows: pd.DataFrame):
+        n, last, labels, kept, ids, final, until = state or (0, 0, [], False, [], 0, 0)
+        labels = sorted({*labels, *(x for xs in rows["labels_triggered"] for x in xs)})
+        ids = [*ids, *rows["event_id"].iloc[:max(0, representatives - len(ids))].tolist()]
+        until = int(rows["until_us"].iloc[0])
+        state = (n + len(rows), max(last, int(rows["us"].max())), labels, bool(kept or rows["is_force_kept"].any()), ids, int(rows["event_id"].iloc[-1]), until)
+        return pd.DataFrame(columns=columns), state, until
+
+    def end(key, state, mark, gone):
+        n, last, labels, kept, ids, final, until = state
+        if until > mark and not gone:
+            return pd.DataFrame(columns=columns), state, until
+        few = list(ids) if n <= representatives else [*ids[:representatives - 1], final]
+        return pd.DataFrame([(*key, n, last, list(labels), kept, few)], columns=columns), None
+
+    return step, end
+
+
+def stream_episodes(compact: DataFrame, minutes: int = 1, representatives: int = 5, keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """compact.episodes on the stream of stream_compacted: its retained events that are equal within a bucket, as one row once the watermark has passed the bucket."""
+    df = compact.where("not skipped").withColumn("bucket_us", C.bucket_us(F.col("us"), minutes))
+    hour = F.col("bucket_us") - F.pmod("bucket_us", F.lit(3_600_000_000)) + 3_600_000_000
+    df = df.withColumn("until_us", F.least(F.col("bucket_us") + minutes * 60_000_000, hour)).select("ts", "us", "event_id", "labels_triggered", "is_force_kept", "until_us", *C.EPISODE_KEY)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    added = ", ".join(f"{c} {kinds[c]}" for c in C.EPISODE_KEY) + ", n bigint, last_us bigint, labels array<string>, is_force_kept boolean, representatives array<bigint>"
+    columns = [*C.EPISODE_KEY, "n", "last_us", "labels", "is_force_kept", "representatives"]
+    step, end = _episode_steps(representatives, columns)
+    state = "n bigint, last_us bigint, labels array<string>, kept boolean, ids array<bigint>, final bigint, until_us bigint"
+    return staged(df, C.EPISODE_KEY, step, state, added, keep_seconds=keep_seconds, end=end, replace=True).withColumn("first_us", F.col("bucket_us"))
+
+
+_BRIDGE = ["task_id", "object_key", "src", "dst", "write_event", "read_event", "write_us", "read_us", "read_type", "labels"]
+
+
+def _bridge_steps(gap_seconds: int, limit: int, settle_seconds: int):
+    gap, settle = gap_seconds * 1_000_000, settle_seconds * 1_000_000
+    empty = pd.DataFrame(columns=_BRIDGE)
+
+    def step(state, rows: pd.DataFrame):
+        write, n, labels, pending = (state[0] and json.loads(state[0]), state[1], state[2], json.loads(state[3])) if state else (None, 0, "", [])
+        for r in rows.itertuples(index=False):
+            takes_part = r.object_class not in S.DENIED_BRIDGE_CLASSES
+            if r.event_type in S.MUTATIONS:  # a new version: only its own write can be followed
+                write = [r.process_guid, int(r.event_id), int(r.us)] if takes_part and r.event_type in S.BRIDGE_WRITES else None
+            elif write and takes_part and n < limit and r.event_type in S.BRIDGE_READS and None not in (write[0], r.process_guid) and write[0] != r.process_guid and r.us - write[2] <= gap:
+                pending.append([write[0], r.process_guid, write[1], int(r.event_id), write[2], int(r.us), r.event_type])
+                n += 1
+        labels = rows["object_signature"].iloc[-1]
+        return empty, (json.dumps(write) if write else None, n, labels, json.dumps(pending))
+
+    def end(key, state, mark, gone):
+        write, n, labels, pending = *state[:3], json.loads(state[3])
+        due = [p for p in pending if gone or p[5] + settle <= mark]
+        rest = [p for p in pending if not (gone or p[5] + settle <= mark)]
+        own = labels.split("|")
+        allowed = any(x in L.ALLOWED_BRIDGES for x in own) and not any(x in L.DENIED_BRIDGES for x in own)
+        out = pd.DataFrame([(*key, *p, own) for p in due], columns=_BRIDGE) if due and allowed else empty
+        return out, (write, n, labels, json.dumps(rest)), min((p[5] + settle for p in rest), default=None)
+
+    return step, end
+
+
+def stream_bridges(objects: DataFrame, gap_seconds: int = S.BRIDGE_GAP_SECONDS, limit: int = S.BRIDGES_PER_OBJECT, settle_seconds: int = S.BRIDGE_GAP_SECONDS, keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """labels.bridge_edges on the stream of stream_objects: writes followed within the gap by a read or execution of the same version by another process, the first `limit` of each object.
+
+    State of an object is its open write (each write begins a version, so there is one at most) and its bridges that are not yet out. A bridge goes out settle_seconds after its read, judged by the labels
+    that the object has by then; labels that come later do not count, so with a settle time as long as the input lasts the rows are those of the batch."""
+    step, end = _bridge_steps(gap_seconds, limit, settle_seconds)
+    df = objects.select("ts", "us", "event_id", "task_id", "object_key", "object_class", "process_guid", "event_type", "object_signature")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    added = f"task_id {kinds['task_id']}, object_key string, src string, dst string, write_event bigint, read_event bigint, write_us bigint, read_us bigint, read_type string, labels array<string>"
+    return L.bridge_kinds(staged(df, ["task_id", "object_key"], step, "write string, n int, labels string, pending string", added, keep_seconds=keep_seconds, end=end, replace=True))
 
 
 def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
