@@ -12,12 +12,17 @@ from auditloom.plans.evidence_plans import subjects
 from auditloom.plans.fixture import duck, table
 from auditloom.plans.label_plans import BRIDGES, DAY
 from auditloom.plans.registry import query
+from auditloom.streaming import late
 from auditloom.streaming import streams as L
 
 
-def live(spark, d):
-    """The events as a stream of provenance events; the binding's row number is left out, as it needs all rows."""
-    e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+def live(spark, d, path=None):
+    """The events (or those at another path) as a stream of provenance events; the binding's row number is left out, as it needs all rows."""
+    return bound(spark.readStream.schema(table(spark, d, "events").schema).parquet(path or f"{d}/events.parquet*"))
+
+
+def bound(e):
+    """Rows of the events table as provenance events."""
     u, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("bigint")
     flow = F.col("event_type").isin("signup", "error")
     kinds = F.create_map(*[F.lit(x) for x in ("view", "READ", "click", "EXEC", "purchase", "WRITE", "signup", "SEND", "error", "RECV")])
@@ -27,7 +32,7 @@ def live(spark, d):
         k % 8 == 1, F.concat(F.lit("/home/u/Documents/f"), ks, F.lit(".csv"))).when(k % 8 == 2, "/etc/passwd").when(k % 8 == 3, "/home/u/.bash_history").when(k % 8 == 4, F.concat(F.lit("/etc/cron.d/j"), ks)).when(
         k % 8 == 5, F.concat(F.lit("/var/log/s"), ks)).when(k % 8 == 6, F.concat(F.lit("/usr/lib/l"), ks, F.lit(".so"))).otherwise(F.concat(F.lit("/opt/app/b"), ks))
     ts = F.col("ts").cast("timestamp")
-    return e.select("event_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), F.concat(F.lit("task_"), (u % 10).cast("string")).alias("task_id"), F.concat(F.lit("p"), u.cast("string")).alias("process_guid"), names[(u % 7).cast("int")].alias("process_name"), kinds[F.col("event_type")].alias("event_type"), F.when(flow, "flow").otherwise("file").alias("object_type"), key.alias("object_key")).withColumn("object_class", X.classify_object("object_type", "object_key"))
+    return e.select("event_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), F.concat(F.lit("task_"), (u % 10).cast("string")).alias("task_id"), F.concat(F.lit("p"), u.cast("string")).alias("process_guid"), F.get(names, (u % 7).cast("int")).alias("process_name"), kinds[F.col("event_type")].alias("event_type"), F.when(flow, "flow").otherwise("file").alias("object_type"), key.alias("object_key")).withColumn("object_class", X.classify_object("object_type", "object_key"))
 
 
 @query("l01_stream_normalize", duck("SELECT event_id, 'c' || user_id AS process_guid, event_type, object_class, CASE WHEN object_type = 'flow' THEN CASE WHEN object_class = 'external_ip' THEN 443 ELSE 22 END END AS port FROM pe"))
@@ -78,3 +83,21 @@ def l07(spark, d):
 @query("l08_stream_sessions", duck("WITH g AS (SELECT process_guid, us, CASE WHEN us - lag(us) OVER (PARTITION BY process_guid ORDER BY us) < 43200000000 THEN 0 ELSE 1 END AS new FROM pe), s AS (SELECT *, sum(new) OVER (PARTITION BY process_guid ORDER BY us) AS sid FROM g) SELECT process_guid, min(us) AS start_us, count(*) AS n, max(us) AS last_us FROM s GROUP BY process_guid, sid"))
 def l08(spark, d):
     return L.drained(L.stream_sessions(live(spark, d), "12 hours"), complete=True).select("process_guid", F.unix_micros("start").alias("start_us"), "n", F.unix_micros("last").alias("last_us"))
+
+
+@query("l09_late_rows", duck("""WITH w AS (SELECT event_id % 3 AS part, us FROM pe), m AS (SELECT max(CASE WHEN part = 0 THEN us END) // 1000 * 1000 - 3600000000 AS w0, max(CASE WHEN part < 2 THEN us END) // 1000 * 1000 - 3600000000 AS w1 FROM w)
+ SELECT count(*) AS dropped FROM w, m WHERE (part = 1 AND us <= w0) OR (part = 2 AND us <= w1)"""))
+def l09(spark, d):
+    """The events come in three runs of one query, each a restart: a third of them, then two thirds that are late but for their end."""
+    base = new_path(spark, "late")
+    listener = late.LateRows(spark, f"{base}/counts")
+    spark.streams.addListener(listener)
+    try:
+        for part in range(3):
+            table(spark, d, "events").where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{base}/in")
+            q = L.stream_recent_network(live(spark, d, f"{base}/in")).writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
+            q.awaitTermination()
+            listener.wait(q)
+    finally:
+        spark.streams.removeListener(listener)
+    return late.late_counts(spark, f"{base}/counts").agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))

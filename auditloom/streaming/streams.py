@@ -219,10 +219,3 @@ def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
         q = w.outputMode("append").format("parquet").option("path", f"{base}/out").start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
-def late_rows(query) -> int:
-    """Rows that a finished or running query dropped as later than its watermark, over the progress that it still holds (spark.sql.streaming.numRecentProgressUpdates).
-
-    Rows of one window and key that a task has combined before the state sees them count once."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
