@@ -21,9 +21,10 @@ from auditloom.llm.common import ranked, spread_join, written
 
 WORDS = 3  # longest phrase
 LEAST, TOP, SHARE = 10, 2000, 50
-CHUNK = 1 << 20  # words of a chunk: local numbers take 21 bits at most, so three of them fit in 63
+CHUNK = 1 << 18  # words of a chunk: its row is about 1 MB, and its few words beside its many occurrences keep what travels small
 ENTRIES = 1 << 18  # entries of a merged filter, about
-FAN = 64  # filters merged at once
+GATHER = 1 << 20  # entries that a task gathers before it cuts them up, about
+STEP = 10  # bits by which a round cuts filters at most
 MILLION = 1_000_000
 
 _STOPS = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + b"\n" * 10)
@@ -34,56 +35,49 @@ def tokens(text: bytes) -> list[bytes]:
     return list(filter(None, text.lower().translate(_STOPS).replace(b"\n", b" \n ").split(b" ")))
 
 
+def width(words: int) -> str:
+    """How local word numbers up to `words` are stored."""
+    return "<u2" if words < 1 << 16 else "<u4"
+
+
 class Chunk:
-    """Word numbers and the sequence of a chunk; number 0 ends a piece."""
+    """Word numbers (from 1) and the sequence of a chunk; 0 ends a piece."""
 
     def __init__(self):
         self.numbers: dict[tuple, int] = {}
         self.parts: list[np.ndarray] = []
-        self.open: list[int] = []  # of the part, the words at which phrases begin
-        self.size = 0
+        self.size, self.tail = 0, 0
 
     def add(self, lang: str, words: list[bytes], begins: int) -> None:
-        """Words of a text; phrases begin at the first `begins` of them only."""
+        """Words of a text; phrases begin at the first `begins` of them only, which are fewer than all in the last part only."""
         put, own = self.numbers, {b"\n": 0}
         get = own.get
-        ids = np.empty(len(words) + WORDS, np.uint64)
-        ids[len(words):] = 0
+        ids = np.zeros(len(words) + 1, np.uint32)
         for i, w in enumerate(words):
             n = get(w)
             if n is None:
                 n = own[w] = put.setdefault((lang, w), len(put) + 1)
             ids[i] = n
         self.parts.append(ids)
-        self.open.append(begins)
         self.size += begins
+        self.tail = len(words) - begins + 1
 
     def row(self) -> dict:
-        """The chunk's words with their counts, and its phrases of two and of three words, packed, with their counts."""
+        """The chunk's words with their counts, and its sequence; its last `tail` entries begin nothing."""
         ids = np.concatenate(self.parts)
-        begins = np.zeros(len(ids), bool)
-        at = 0
-        for part, n in zip(self.parts, self.open, strict=True):
-            begins[at:at + n] = True
-            at += len(part)
-        begins &= ids != 0
-        b, c = np.roll(ids, -1), np.roll(ids, -2)
-        two = begins & (b != 0)
-        three = two & (c != 0)
-        words = np.bincount(ids[begins].astype(np.int64), minlength=len(self.numbers) + 1)[1:]
-        out = {"lang": [k[0] for k in self.numbers], "word": [k[1] for k in self.numbers], "n": words.tolist()}
-        for k, keys in ((2, ids[two] << 21 | b[two]), (3, ids[three] << 42 | b[three] << 21 | c[three])):
-            out[f"keys{k}"], out[f"counts{k}"] = (x.astype("<u8").tobytes() for x in np.unique(keys, return_counts=True))
-        return out
+        n = np.bincount(ids[:len(ids) - self.tail], minlength=len(self.numbers) + 1)[1:]
+        return {"lang": [k[0] for k in self.numbers], "word": [k[1] for k in self.numbers], "n": n.tolist(), "ids": ids.astype(width(len(n))).tobytes(), "size": len(ids), "tail": self.tail}
 
 
-_CHUNK = pa.schema([("lang", pa.list_(pa.string())), ("word", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), *[(f"{c}{k}", pa.binary()) for k in (2, 3) for c in ("keys", "counts")]])
+_CHUNK = pa.schema([("lang", pa.list_(pa.string())), ("word", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("ids", pa.binary()), ("size", pa.int32()), ("tail", pa.int32())])
 
 
 def chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = CHUNK) -> DataFrame:
-    """One row a chunk of about `size` words: its (lang, word, n) as arrays, and packed phrases of local word numbers (from 1) with counts.
+    """One row a chunk of about `size` words: its (lang, word, n) as arrays, and its texts as local word numbers.
 
     A text longer than a chunk goes to several; what begins in one of them is read on beyond its end, so nothing is lost or counted twice."""
+    if not 0 < size <= CHUNK:
+        raise ValueError(f"a chunk holds 1 to {CHUNK} words")
     rows = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
@@ -102,7 +96,7 @@ def chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size
         if chunk.size:
             yield pa.RecordBatch.from_pylist([chunk.row()], _CHUNK)
 
-    return rows.mapInArrow(run, "lang array<string>, word array<binary>, n array<bigint>, keys2 binary, counts2 binary, keys3 binary, counts3 binary")
+    return rows.mapInArrow(run, "lang array<string>, word array<binary>, n array<bigint>, ids binary, size int, tail int")
 
 
 # Packed phrases: word numbers of `bits` bits each as (high, low), with all words but the last in high. The mixing is a
@@ -187,58 +181,78 @@ class Filter:
         return high, _of_bits(low, n, bits), count
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], low_bits: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted entries of several filters as one: counts of equal entries are added."""
     high, low, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((low, high))
-    high, low, count = high[order], low[order], count[order]
     if not len(high):
         return high, low, count
+    order = np.argsort(high << np.uint64(low_bits) | low) if bits <= 64 else np.lexsort((low, high))
+    high, low, count = high[order], low[order], count[order]
     first = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
     return high[first], low[first], np.add.reduceat(count, np.flatnonzero(first))
 
 
-def filters(found: DataFrame, numbers: DataFrame, bits: int, cuts: dict[int, int]) -> DataFrame:
-    """(words, base, shard, data): the filters of the chunks' phrases of numbered words, cut by their high bits."""
+_FILTER = pa.schema([("words", pa.int32()), ("base", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
+_FILTER_DDL = "words int, base bigint, shard bigint, data binary"
+
+
+def cut_up(entries: tuple[np.ndarray, np.ndarray, np.ndarray], words: int, bits: int, cut: int, shard: int) -> list[dict]:
+    """The filters of sorted entries, one for each value of their `cut` high bits."""
+    high, low, count = entries
+    base = high >> np.uint64(bits * (words - 1) - cut)
+    out, at = [], 0
+    for end in np.flatnonzero(np.diff(base, append=np.uint64((1 << 64) - 1))) + 1:
+        own, b = slice(at, end), int(base[at])
+        out.append({"words": words, "base": b, "shard": shard, "data": Filter.dump(high[own], low[own], count[own], words, bits, b, cut)})
+        at = end
+    return out
+
+
+def filters(found: DataFrame, numbers: DataFrame, bits: int, cuts: dict[int, int], gather: int = GATHER) -> DataFrame:
+    """(words, base, shard, data): filters of the chunks' phrases of numbered words, cut by their high bits; a task gathers chunks first."""
+
+    def flush(words: int, parts: list, shard: int):
+        rows = cut_up(merged(parts, bits, bits * words), words, bits, cuts[words], shard)
+        return pa.RecordBatch.from_pylist(rows, _FILTER)
 
     def run(batches):
+        parts, held, shard = {k: [] for k in cuts}, dict.fromkeys(cuts, 0), 0
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                ids = np.zeros(r["most"] + 1, np.uint64)
-                ids[np.array([x["at"] for x in r["numbers"]], np.int64) + 1] = np.array([x["number"] for x in r["numbers"]], np.uint64)
-                for words, cut in cuts.items():
-                    keys, counts = (np.frombuffer(r[f"{c}{words}"], "<u8") for c in ("keys", "counts"))
-                    each = [ids[(keys >> np.uint64(21 * k) & np.uint64((1 << 21) - 1)).astype(np.int64)] for k in range(words - 1, -1, -1)]
-                    known = np.logical_and.reduce([e != 0 for e in each])  # words that are never frequent enough have no number
-                    each = [e[known] - np.uint64(1) for e in each]
-                    high = each[0] if words == 2 else each[0] << np.uint64(bits) | each[1]
-                    high, low = permuted(high, each[-1], words, bits)
-                    high, low, count = merged([(high, low, counts[known])])
-                    base = high >> np.uint64(bits * (words - 1) - cut)
-                    ends = np.flatnonzero(np.diff(base, append=np.uint64((1 << 64) - 1)))
-                    at = 0
-                    for end in ends:
-                        own = slice(at, end + 1)
-                        out.append({"words": words, "base": int(base[at]), "shard": r["chunk"], "n": end + 1 - at, "data": Filter.dump(high[own], low[own], count[own], words, bits, int(base[at]), cut)})
-                        at = end + 1
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("words", pa.int32()), ("base", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
-
-    rows = found.join(numbers, "chunk").select("chunk", "most", "numbers", "keys2", "counts2", "keys3", "counts3")
-    return rows.mapInArrow(run, "words int, base bigint, shard bigint, n bigint, data binary")
-
-
-def merge_round(cut_filters: DataFrame, bits: int, cuts: dict[int, int], groups: int) -> DataFrame:
-    """Filters of one range of quotients merged, those of `groups` sets of shards apart."""
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                shard = r["chunk"]
+                number = np.zeros(r["most"] + 1, np.uint64)  # of words that are never frequent enough: 0, as between pieces
+                number[np.array(r["at"], np.int64) + 1] = np.array(r["numbers"], np.uint64)
+                ids = number[np.frombuffer(r["ids"], width(r["most"]))]
+                each = [np.concatenate([ids[k:], np.zeros(k, np.uint64)])[:len(ids) - r["tail"]] for k in range(WORDS)]
+                known = each[0] != 0
+                for words in sorted(cuts):
+                    known = known & (each[words - 1] != 0)
+                    w = [e[known] - np.uint64(1) for e in each[:words]]
+                    high, low = permuted(w[0] if words == 2 else w[0] << np.uint64(bits) | w[1], w[-1], words, bits)
+                    parts[words].append((high, low, np.ones(len(high), np.uint64)))
+                    held[words] += len(high)
+                    if held[words] >= gather:
+                        yield flush(words, parts[words], shard)
+                        parts[words], held[words] = [], 0
+        for words in cuts:
+            if held[words]:
+                yield flush(words, parts[words], shard)
+
+    rows = found.join(numbers, "chunk").select("chunk", "most", "at", "numbers", "ids", "tail")
+    return rows.mapInArrow(run, _FILTER_DDL)
+
+
+def merge_round(cut_filters: DataFrame, bits: int, cuts: dict[int, int], finer: dict[int, int], groups: dict[int, int]) -> DataFrame:
+    """Filters of one range of quotients merged, in `groups` sets of shards apart, and cut up by the `finer` bits."""
 
     def run(key, pdf):
         words, base = int(key[0]), int(key[1])
-        high, low, count = merged([Filter.load(x, words, bits, base, cuts[words]) for x in pdf["data"]])
-        return pd.DataFrame({"words": [words], "base": [base], "shard": [int(key[2])], "n": [len(high)], "data": [Filter.dump(high, low, count, words, bits, base, cuts[words])]})
+        entries = merged([Filter.load(x, words, bits, base, cuts[words]) for x in pdf["data"]], bits, bits * words)
+        return pd.DataFrame(cut_up(entries, words, bits, finer[words], int(key[2])), columns=["words", "base", "shard", "data"])
 
-    salted = cut_filters.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(groups)))
-    return salted.groupBy("words", "base", "shard").applyInPandas(run, "words int, base bigint, shard bigint, n bigint, data binary")
+    n = F.when(F.col("words") == 2, groups[2]).otherwise(groups[3])
+    return cut_filters.withColumn("shard", F.pmod(F.xxhash64("shard"), n.cast("long"))).groupBy("words", "base", "shard").applyInPandas(run, _FILTER_DDL)
 
 
 def entries(merged_filters: DataFrame, bits: int, cuts: dict[int, int], least: int) -> DataFrame:
@@ -273,7 +287,7 @@ def top_of(df: DataFrame, by: str, order: list[Column], most: int, salts: int =
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).where(F.col("rank") <= most).drop("_r")
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, chunk: int = CHUNK, per_filter: int = ENTRIES, fan: int = FAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, chunk: int = CHUNK, per_filter: int = ENTRIES, gather: int = GATHER, step: int = STEP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, n, number), phrases (words, w1, w2, w3, a) found `least` times or more, and (lang, n) of all words.
 
     Only words found `least` times have a number, as no phrase is found more often than its rarest word."""
@@ -287,16 +301,18 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     if bits > 32:
         raise ValueError(f"{many} frequent words do not fit in 32 bits")
     own = spread_join(seen.select("chunk", "at", "lang", "word"), numbered.select("lang", "word", "chunks", "number"), ["lang", "word"], "chunks").where("number is not null")
-    numbers = own.groupBy("chunk").agg(F.collect_list(F.struct("at", (F.col("number") + 1).alias("number"))).alias("numbers"))  # at most a chunk's words
-    sizes = found.agg(F.count("*").alias("shards"), *[F.sum(F.octet_length(f"keys{k}") / 8).alias(f"n{k}") for k in (2, 3)]).first()
-    cuts = {k: min(bits, max(0, int((sizes[f"n{k}"] or 0) / per_filter)).bit_length()) for k in (2, 3)}
-    now = written(filters(found.withColumn("most", F.size("word")), numbers, bits, cuts), "filters")
-    shards = sizes["shards"]
-    while shards > 1:
-        shards = -(-shards // fan)
-        now = merge_round(now, bits, cuts, shards)
-        if shards > 1:
-            now = written(now, "filters")
+    pair = F.collect_list(F.struct("at", (F.col("number") + 1).alias("number")))  # at most a chunk's words
+    numbers = own.groupBy("chunk").agg(pair.alias("_p")).select("chunk", F.col("_p.at").alias("at"), F.col("_p.number").alias("numbers"))
+    many_words = found.agg(F.sum("size").alias("n")).first()["n"] or 0  # a phrase of either length begins at each at most
+    whole = min(bits, max(0, int(many_words / per_filter)).bit_length())
+    cut = min(step, whole)
+    now = filters(found.withColumn("most", F.size("word")), numbers, bits, {2: cut, 3: cut}, gather)
+    while cut < whole:  # more ranges than a task should cut at once: sets of shards are merged and cut further, by `step` bits a round
+        finer, groups = min(whole, cut + step), max(1, int(many_words / (per_filter << cut)))
+        now = written(merge_round(now, bits, {2: cut, 3: cut}, {2: finer, 3: finer}, {2: groups, 3: groups}), "filters")
+        cut = finer
+    cuts = {2: cut, 3: cut}
+    now = merge_round(now, bits, cuts, cuts, {2: 1, 3: 1})
     return numbered, written(entries(now, bits, cuts, least), "phrases"), total
 
 
