@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators.identity import exact_quantiles, running_total
-from auditloom.operators.scratch import written
+from auditloom.operators.scratch import ranked, written
 
 
 def fit_task_classifier(matrix: DataFrame, cols: list[str], label: str = "label", rounds: int = 20, depth: int = 4, seed: int = 1):
@@ -31,14 +31,8 @@ def late_fusion(p: Column, q: Column, w: float = 0.25) -> tuple[Column, Column]:
 
 
 def hash_ranks(tasks: DataFrame, label: str, key: str, seed: int, out: str = "_rank") -> DataFrame:
-    """tasks plus their rank from 0 within the label in the order of a hash; works on salted ranks, so no label meets in one task."""
-    h = F.xxhash64(F.lit(seed), key)
-    d = tasks.withColumn("_h", h).withColumn("_part", F.shiftright("_h", 59))  # the hash's first bits, so the parts lie in its order
-    n = d.groupBy(label, "_part").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", key)) - 1
-    return d.withColumn(out, rank).join(F.broadcast(n), [label, "_part"]).withColumn(out, F.col(out) + F.col("_before")).drop("_h", "_part", "_before")
+    """tasks plus their rank from 0 within the label in the order of a hash, ties by key; ranges of hashes are ranked apart, so no label meets in one task. A null label is a label."""
+    return ranked(tasks.withColumn("_h", F.xxhash64(F.lit(seed), key)), [label], ["_h", key], out).drop("_h")
 
 
 def stratified_split(tasks: DataFrame, folds: int, label: str = "label", key: str = "task_id", seed: int = 7) -> DataFrame:

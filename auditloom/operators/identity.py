@@ -72,13 +72,14 @@ def score_percentile(tasks: DataFrame, score: str = "score") -> DataFrame:
         "severity", F.when(sev.isin("Minor", "Negligible"), "Moderate").otherwise(sev))
 
 
-def running_total(df: DataFrame, order: str, value: str | list[str], out: str | list[str], parts: int = 64) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str | list[str], out: str | list[str]) -> DataFrame:
     """df plus the sums of the values over all rows of smaller or equal `order`, which may be of any orderable type and whose values are unique.
 
-    Rows are range-partitioned, and written with the number of their range; each range's own running sum is moved by the total of the ranges before it (at most `parts` rows, broadcast).
+    Rows are range-partitioned into as many ranges as the session has shuffle partitions, and written with the number of their range; each range's own running sum is moved
+    by the total of the ranges before it (a row for each range, broadcast). Null orders come first; an empty table gives an empty result.
     """
     values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
-    d = written(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    d = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = d.groupBy("_part").agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)])
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     before = before.select("_part", *[F.coalesce(F.sum(f"_s{i}").over(w), F.lit(0)).alias(f"_b{i}") for i in range(len(values))])

@@ -81,7 +81,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, share:
 
     A key that holds more than 1/share of all rows is joined by broadcast: there are fewer than `share` of them, whatever
     the data. The others are shuffled, so no task gathers the rows of a hot key; rows of hot keys and with a null
-    key are dealt evenly.
+    key are dealt evenly. A shuffled key that is large in bytes all the same is split by Spark's adaptive skew join, as it is in any join of two shuffled sides.
     """
     total = facts.agg(F.sum(n)).first()[0] or 0
     hot = facts.where(F.col(n) * share > total)

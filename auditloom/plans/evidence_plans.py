@@ -256,17 +256,17 @@ def c22_events(spark, d):
     return onehop(spark, d)[1]
 
 
-DIAGNOSED = f"""{WINDOWS}, {LINES.replace('FROM lineitem)', 'FROM lineitem WHERE l_orderkey % 20 IN (0, 11))')}, t AS (SELECT DISTINCT task_id, lo, lo + 60 * (CAST(split_part(task_id, '-', 2) AS BIGINT) * 25) AS hi, CAST(split_part(task_id, '-', 1) AS BIGINT) AS o FROM l),
- h AS (SELECT task_id, list(DISTINCT window_id ORDER BY window_id) FILTER (CAST(window_id AS BIGINT) % 3 = 0) AS c, list(DISTINCT window_id ORDER BY window_id) FILTER (CAST(window_id AS BIGINT) % 3 > 0) AS a FROM t JOIN (SELECT * FROM w WHERE CAST(window_id AS BIGINT) % 40 < 4) w ON lo <= rhi AND hi >= rlo GROUP BY task_id),
+DIAGNOSED = f"""{WINDOWS}, {LINES.replace('FROM lineitem)', 'FROM lineitem WHERE l_orderkey % 20 = 0)')}, t AS (SELECT DISTINCT task_id, lo, lo + 60 * (CAST(split_part(task_id, '-', 2) AS BIGINT) * 25) AS hi, CAST(split_part(task_id, '-', 1) AS BIGINT) AS o FROM l),
+ h AS (SELECT task_id, list(DISTINCT window_id ORDER BY window_id) FILTER (CAST(window_id AS BIGINT) % 3 = 0) AS c, list(DISTINCT window_id ORDER BY window_id) FILTER (CAST(window_id AS BIGINT) % 3 > 0) AS a FROM t JOIN (SELECT window_id, rlo + CAST(window_id AS BIGINT) * 7919 % 86400 AS rlo, rlo + CAST(window_id AS BIGINT) * 7919 % 86400 + 600 AS rhi FROM w) w ON lo <= rhi AND hi >= rlo GROUP BY task_id),
  dg AS (SELECT task_id, coalesce(c, []) AS window_ids, coalesce(a, []) AS attempted_ids, (hi - lo) / 60.0 AS span_min, CASE WHEN o % 40 = 0 THEN 80 ELSE 9 END AS n, o FROM t LEFT JOIN h USING (task_id))"""
 
 
 def diagnosed(spark, d):
-    """The lines of orders with remainder 0 or 11 by 20, as tasks of 25 minutes for each line number, against the windows of all orders with remainder below 4 by 40, a third of them confirmed."""
+    """The lines of orders divisible by 20, the stated query set, as tasks of 25 minutes for each line number, against windows of ten minutes on the day of every order, a third of them confirmed."""
     order, line = F.split("task_id", "-")[0].cast("long"), F.split("task_id", "-")[1].cast("long")
-    t = line_tasks(spark, d).where((order % 20).isin(0, 11)).withColumn("hi", F.col("lo") + 60 * 25 * line).distinct()
+    t = line_tasks(spark, d).where(order % 20 == 0).withColumn("hi", F.col("lo") + 60 * 25 * line).distinct()
     t = t.withColumn("n_nodes", F.when(order % 40 == 0, 80).otherwise(9)).withColumn("n_boundary", F.lit(1)).withColumn("shared", order % 7 == 0)
-    w = order_windows(spark, d).where("cast(window_id as bigint) % 40 < 4").withColumn("status", F.when(F.col("window_id").cast("long") % 3 == 0, "confirmed").otherwise("attempted_failed"))
+    w = order_windows(spark, d).withColumn("rlo", F.col("rlo") + F.col("window_id").cast("long") * 7919 % 86_400).withColumn("rhi", F.col("rlo") + 600).withColumn("status", F.when(F.col("window_id").cast("long") % 3 == 0, "confirmed").otherwise("attempted_failed"))
     return I.task_window_diagnosis(t, w)
 
 
@@ -282,7 +282,7 @@ def c23_span(spark, d):
 
 
 @query("c24_alias_width", """WITH s AS (SELECT o_custkey % 50 AS alias, o_orderkey AS uuid, o_orderpriority AS path, 'f' || o_orderkey % 3 AS file FROM orders), e AS (SELECT DISTINCT l_orderkey AS uuid, epoch_us(CAST(l_shipdate AS TIMESTAMP)) AS us, 'f' || l_linenumber % 5 AS file FROM lineitem),
- k AS (SELECT DISTINCT l_suppkey AS task_id, l_orderkey AS uuid, l_suppkey % 3 = 0 AS meets FROM lineitem WHERE l_linenumber = 1), sn AS (SELECT alias, min(us) AS first_us, max(us) AS last_us FROM s JOIN e USING (uuid) GROUP BY alias), fl AS (SELECT alias, count(DISTINCT file) AS files FROM (SELECT alias, file FROM s UNION ALL SELECT alias, e.file FROM s JOIN e USING (uuid)) GROUP BY alias),
+ k AS (SELECT DISTINCT l_suppkey AS task_id, l_orderkey AS uuid, l_suppkey % 3 = 0 AS meets FROM lineitem), sn AS (SELECT alias, min(us) AS first_us, max(us) AS last_us FROM s JOIN e USING (uuid) GROUP BY alias), fl AS (SELECT alias, count(DISTINCT file) AS files FROM (SELECT alias, file FROM s UNION ALL SELECT alias, e.file FROM s JOIN e USING (uuid)) GROUP BY alias),
  tk AS (SELECT alias, count(DISTINCT task_id) AS tasks, count(DISTINCT task_id) FILTER (NOT meets) AS outside_tasks FROM s JOIN k USING (uuid) GROUP BY alias), x AS (SELECT alias, count(DISTINCT uuid) AS uuids, count(DISTINCT path) AS paths FROM s GROUP BY alias)
 SELECT alias, uuids, paths, coalesce(files, 0) AS files, first_us, last_us, coalesce(tasks, 0) AS tasks, coalesce(outside_tasks, 0) AS outside_tasks, list_filter([CASE WHEN uuids >= 8 AND coalesce(last_us - first_us, 0) / 6e7 >= 30 THEN 'uuid_ge_8_and_span_ge_30m' END, CASE WHEN uuids >= 5 AND files >= 2 AND coalesce(last_us - first_us, 0) / 6e7 >= 20 THEN 'uuid_ge_5_file_ge_2_span_ge_20m' END,
  CASE WHEN outside_tasks >= 3 THEN 'hits_ge_3_nonoverlap_tasks' END], lambda z: z IS NOT NULL) AS reasons FROM x LEFT JOIN fl USING (alias) LEFT JOIN sn USING (alias) LEFT JOIN tk USING (alias)""")
@@ -291,5 +291,5 @@ def c24(spark, d):
     subjects = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("alias"), k.alias("uuid"), F.col("o_orderpriority").alias("path"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("file"))
     li = table(spark, d, "lineitem")
     events = li.select(F.col("l_orderkey").alias("uuid"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), F.concat(F.lit("f"), (F.col("l_linenumber") % 5).cast("string")).alias("file"))
-    tasks = li.where("l_linenumber = 1").select(F.col("l_suppkey").alias("task_id"), F.col("l_orderkey").alias("node_id"), (F.col("l_suppkey") % 3 == 0).alias("overlaps"))
+    tasks = li.select(F.col("l_suppkey").alias("task_id"), F.col("l_orderkey").alias("node_id"), (F.col("l_suppkey") % 3 == 0).alias("overlaps"))
     return I.alias_width(subjects, events, tasks)
