@@ -416,6 +416,7 @@ def prior_candidates(contexts: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def best_of(df: DataFrame, score: str, k: int) -> DataFrame:
+    """The k rows of each query with the largest score, ties by id; null scores come last."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(score), "id"))).where(F.col("_r") <= k).drop("_r")
 
 

@@ -2,6 +2,10 @@
 
 Events have task_id, event_id, order_index (unique in a task), us (time in microseconds, may be null), process_guid,
 process_name, parent_process_guid, event_type, object_type, object_key and object_class; optional are process_cmdline and result.
+
+All operators of this module: a null task, process or object is a group of its own and changes no other; a null event type or class matches no rule; a null time
+is near nothing but the skip's; rows that repeat count as often as they come, in the order of order_index; columns of other names are carried where events are returned;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,20 +21,24 @@ _BEFORE, _UPTO = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Wi
 
 
 def by_process(*rows: int):
+    """Events of a process in order, or a frame of them; events without a process share one."""
     w = Window.partitionBy("task_id", "process_guid").orderBy("order_index")
     return w.rowsBetween(*rows) if rows else w
 
 
 def by_object(*rows: int):
+    """Events of an object in order, or a frame of them; events without an object share one."""
     w = Window.partitionBy("task_id", "object_key").orderBy("order_index")
     return w.rowsBetween(*rows) if rows else w
 
 
 def is_mutation() -> Column:
+    """Events that make a new version of their object; a null type gives null."""
     return F.col("event_type").isin(S.MUTATIONS)
 
 
 def is_external(*kinds: str) -> Column:
+    """Events of these types with an external address; nulls give null."""
     return F.col("event_type").isin(list(kinds)) & (F.col("object_class") == "external_ip")
 
 

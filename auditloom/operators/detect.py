@@ -113,6 +113,7 @@ def robust_scale(values: DataFrame, col: str) -> DataFrame:
 
 
 def combine_scores(local: Column, local_center: Column, local_scale: Column, whole: Column, whole_center: Column, whole_scale: Column, w: float = 0.40) -> Column:
+    """Weighted sum of the two scores' distances above their centers, in scales; a null score or scale gives null."""
     zero = F.lit(0.0)
     return w * F.greatest(zero, (local - local_center) / local_scale) + (1 - w) * F.greatest(zero, (whole - whole_center) / whole_scale)
 

@@ -104,6 +104,7 @@ def set_comparison(rows: DataFrame, pred: str, truth: str) -> DataFrame:
 
 
 def shift_windows(windows: DataFrame, minutes: int) -> DataFrame:
+    """Windows moved by whole minutes, back if negative; missing ends stay missing."""
     return windows.withColumn("rlo", F.col("rlo") + minutes * 60).withColumn("rhi", F.col("rhi") + minutes * 60)
 
 

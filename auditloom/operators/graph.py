@@ -156,6 +156,7 @@ def temporal_split(branches: DataFrame, max_span: float = 45 * 60, gap: float =
 
 
 def node_time_range(events: DataFrame, *keys: str) -> DataFrame:
+    """First and last time of each key, null times left out; a key without any has nulls, and a null key is a key."""
     return events.groupBy(*keys).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 

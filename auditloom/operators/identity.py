@@ -10,6 +10,7 @@ from auditloom.operators.scratch import written
 
 
 def first_by(key, order) -> Window:
+    """A window of each key's rows in order; null keys share one, null orders come first."""
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*([order] if isinstance(order, str) else order))
 
 

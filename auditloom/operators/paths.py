@@ -134,6 +134,7 @@ FOLLOW_UP_LABELS = ["B_EXTERNAL_SEND", "B_LATERAL_CONNECT", "B_DELETE_LOG"]
 
 
 def chain_kind(stages: str) -> Column:
+    """The first kind of CHAIN_KINDS whose stages the path has all of, else generic_path; null or no stages are a generic path."""
     run = F.array_contains(stages, "ExecutionWeak") | F.array_contains(stages, "ExecutionStrong")
     holds_all = lambda need: reduce(lambda x, y: x & y, [run if n == "Execution" else F.array_contains(stages, n) for n in need])
     return X.cases([(holds_all(need), kind) for kind, need in CHAIN_KINDS], F.lit("generic_path"))
@@ -154,6 +155,7 @@ def support_rows(paths: DataFrame, events: DataFrame, bridges: DataFrame) -> Dat
 
 
 def path_bridges(paths: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Bridges between neighbours of each path's chain, with the path's id; a bridge that serves two steps comes twice, chains of one process have none."""
     steps = paths.select("path_id", "task_id", F.explode(F.transform(F.slice("chain", 2, F.size("chain") - 1), lambda x, i: F.struct(F.element_at("chain", i + 1).alias("src"), x.alias("dst")))).alias("s")).select("path_id", "task_id", "s.*")
     return steps.join(bridges, ["task_id", "src", "dst"])
 

@@ -25,6 +25,7 @@ def read_log_lines(spark: SparkSession, path: str, host: str | None = None, numb
 
 
 def filter_host_lines(lines: DataFrame, host: str, col: str = "line") -> DataFrame:
+    """Lines that hold the host's name in any case; null lines go."""
     return lines.where(F.lower(col).contains(host.lower()))
 
 

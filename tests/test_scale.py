@@ -24,14 +24,44 @@ def test_running_totals_of_any_type(spark, kind, make):
         total += i % 7
         assert (r.sa, r.sb) == (total, i + 1)
     assert len(out) == n and I.running_total(df.limit(0), "k", "a", "sa").count() == 0
-    plan = df.sparkSession.createDataFrame([], "x int")._jdf.queryExecution().toString()
-    assert plan
 
 
-def test_running_totals_use_no_single_partition(spark):
-    df = spark.range(1000).select("id", F.lit(1).alias("n"))
-    plan = I.running_total(df, "id", "n", "s")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window" in plan and plan.count("windowspecdefinition(_part") >= 2  # over ranges, and over one row for each
+def test_parallelism_follows_the_session(spark):
+    """Ranges are as many as the session's shuffle partitions, for running sums, ranks and splits alike, and no range holds most of the rows."""
+    from pyspark.sql import Window
+
+    df = spark.range(4000).select("id", F.lit(1).alias("n"), (F.col("id") % 3 == 0).alias("label"))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (3, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            seen = []
+            for module in (I, scratch):
+                real = module.written
+                module.written = lambda d, label, real=real: seen.append(real(d, label)) or seen[-1]
+                try:
+                    out = I.running_total(df, "id", "n", "s") if module is I else scratch.ranked(df, ["label"], ["id"], "place", "all")
+                    out.count()
+                finally:
+                    module.written = real
+            sizes = [[r["count"] for r in d.groupBy("_part" if "_part" in d.columns else F.shiftright("_at", 33)).count().collect()] for d in seen]
+            assert [len(x) for x in sizes] == [parts, parts] and all(max(x) < 2 * 4000 / parts for x in sizes)
+            w = Window.partitionBy("label").orderBy("id")
+            want = df.withColumn("p", F.row_number().over(w) - 1).join(df.groupBy("label").agg(F.count("*").alias("a")), "label")
+            assert out.join(want, ["id", "label"]).where("place <> p or `all` <> a").count() == 0 and out.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_ranks_of_nulls_ties_and_nothing(spark):
+    rows = [(None, 3), (None, None), ("a", 1), ("a", 1), ("a", None), ("b", 2)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = sorted((r.g or "", r.v or 0, r.place, r.all) for r in scratch.ranked(df, ["g"], ["v"], "place", "all").collect())
+    assert got == [("", 0, 0, 2), ("", 3, 1, 2), ("a", 0, 0, 3), ("a", 1, 1, 3), ("a", 1, 2, 3), ("b", 2, 0, 1)]
+    assert sorted(r.place for r in scratch.ranked(df, [], ["v", "g"], "place").collect()) == [0, 1, 2, 3, 4, 5]
+    assert scratch.ranked(df.limit(0), ["g"], ["v"], "place").count() == 0
 
 
 def test_exact_quantiles(spark):
