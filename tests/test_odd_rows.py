@@ -12,12 +12,12 @@ from auditloom.operators import labels as L
 from auditloom.operators.scratch import written
 from auditloom.plans.fixture import provenance
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
 def events(spark):
-    return written(provenance(spark, SF).where("task_id in ('task_1', 'task_2', 'task_4', 'task_7')").drop("props", "value", "ts", "flow"), "odd")
+    return written(provenance(spark, SF).where("task_id in ('task_1', 'task_4') and order_index <= 500").drop("props", "value", "ts", "flow"), "odd")
 
 
 def labels(e):
