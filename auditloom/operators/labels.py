@@ -55,17 +55,20 @@ def mass_file_access(events: DataFrame, n: int = 100, window: str = "1 minute")
     return e.groupBy("task_id", "process_guid", w.alias("w")).agg(F.count_distinct("object_key").alias("objects")).where(F.col("objects") >= n).select("task_id", "process_guid", F.unix_micros("w.start").alias("start_us"), "objects")
 
 
-def inherit_split_labels(labels: DataFrame, roots: DataFrame, parent_map: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """labels (task_id, entity, label) with those that a split task's root held in its parent task, parents first. A cycle of parents raises ValueError."""
-    link = roots.select("task_id", F.col("root").alias("entity")).join(parent_map, "task_id")
-    out = labels.select("task_id", "entity", "label").distinct()
-    for _ in range(max_rounds):
-        got = link.join(out.withColumnRenamed("task_id", "parent_task"), ["parent_task", "entity"]).select("task_id", "entity", "label")
-        new = got.join(out, ["task_id", "entity", "label"], "left_anti").distinct()
-        if new.isEmpty():
-            return out
-        out = written(out.union(new), "split")
-    raise ValueError("the parent tasks hold a cycle")
+def inherit_split_labels(labels: DataFrame, roots: DataFrame, parent_map: DataFrame) -> DataFrame:
+    """labels (task_id, entity, label) with those that a split task's root held in its parent task, parents first.
+
+    Only labels that are new in a round go on, so rounds are at most the longest chain of parent tasks; in a cycle of parents labels go round once. Rows that repeat
+    count once, null tasks and roots inherit nothing, and an empty table gives an empty result."""
+    key = ["task_id", "entity", "label"]
+    link = written(roots.select("task_id", F.col("root").alias("entity")).join(parent_map.select("task_id", "parent_task"), "task_id").distinct(), "split")
+    new = written(labels.select(*key).distinct(), "split")
+    out = new
+    while not new.isEmpty():
+        got = link.join(new.withColumnRenamed("task_id", "parent_task"), ["parent_task", "entity"]).select(*key).distinct()
+        new = written(got.join(out, key, "left_anti"), "split")
+        out = out.union(new)
+    return out
 
 
 def propagate_labels(labels: DataFrame, processes: DataFrame) -> DataFrame:

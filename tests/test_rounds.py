@@ -113,3 +113,16 @@ def test_a_long_provenance_is_no_cycle(spark):
     loop = spark.createDataFrame([("a", ["b"]), ("b", ["a"])], "label_id string, prev_label_ids array<string>")
     with pytest.raises(ValueError, match="cycle"):
         C.trace_back(loop, loop)
+
+
+def test_split_labels_along_a_long_chain_and_in_a_cycle(spark):
+    """Task i's root is held by task i - 1; a label of task 0 reaches all, one of the middle those behind it. Tasks x and y are each other's parents."""
+    from auditloom.operators import labels as L
+
+    n = 30
+    roots = spark.createDataFrame([(f"t{i}", "r") for i in range(n)] + [("x", "q"), ("y", "q"), (None, "r"), ("t1", None)], "task_id string, root string")
+    parents = spark.createDataFrame([(f"t{i}", f"t{i - 1}") for i in range(1, n)] + [("x", "y"), ("y", "x"), ("t1", "t0")], "task_id string, parent_task string")
+    labels = spark.createDataFrame([("t0", "r", "A"), ("t0", "r", "A"), ("t9", "r", "B"), ("t0", "other", "C"), ("x", "q", "D"), (None, "r", "E")], "task_id string, entity string, label string")
+    got = [(r.task_id, r.label) for r in L.inherit_split_labels(labels, roots, parents).collect()]
+    want = {(f"t{i}", "A") for i in range(n)} | {(f"t{i}", "B") for i in range(9, n)} | {("t0", "C"), ("x", "D"), ("y", "D"), (None, "E")}
+    assert set(got) == want and len(got) == len(want)
