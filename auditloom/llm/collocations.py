@@ -222,7 +222,8 @@ def filters(found: DataFrame, numbers: DataFrame, bits: int, cuts: dict[int, int
                 r = batch.slice(i, 1).to_pylist()[0]
                 shard = r["chunk"]
                 number = np.zeros(r["most"] + 1, np.uint64)  # of words that are never frequent enough: 0, as between pieces
-                number[np.array(r["at"], np.int64) + 1] = np.array(r["numbers"], np.uint64)
+                pairs = np.array(r["numbers"], np.int64)
+                number[(pairs >> 40) + 1] = (pairs & ((1 << 40) - 1)).astype(np.uint64)
                 ids = number[np.frombuffer(r["ids"], width(r["most"]))]
                 each = [np.concatenate([ids[k:], np.zeros(k, np.uint64)])[:len(ids) - r["tail"]] for k in range(WORDS)]
                 known = each[0] != 0
@@ -239,7 +240,7 @@ def filters(found: DataFrame, numbers: DataFrame, bits: int, cuts: dict[int, int
             if held[words]:
                 yield flush(words, parts[words], shard)
 
-    rows = found.join(numbers, "chunk").select("chunk", "most", "at", "numbers", "ids", "tail")
+    rows = found.join(numbers, "chunk").select("chunk", "most", "numbers", "ids", "tail")
     return rows.mapInArrow(run, _FILTER_DDL)
 
 
@@ -301,8 +302,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     if bits > 32:
         raise ValueError(f"{many} frequent words do not fit in 32 bits")
     own = spread_join(seen.select("chunk", "at", "lang", "word"), numbered.select("lang", "word", "chunks", "number"), ["lang", "word"], "chunks").where("number is not null")
-    pair = F.collect_list(F.struct("at", (F.col("number") + 1).alias("number")))  # at most a chunk's words
-    numbers = own.groupBy("chunk").agg(pair.alias("_p")).select("chunk", F.col("_p.at").alias("at"), F.col("_p.number").alias("numbers"))
+    pair = F.collect_list(F.shiftleft(F.col("at").cast("long"), 40) + F.col("number") + 1)  # at most a chunk's words, each with its number from 1
+    numbers = own.groupBy("chunk").agg(pair.alias("numbers"))
     many_words = found.agg(F.sum("size").alias("n")).first()["n"] or 0  # a phrase of either length begins at each at most
     whole = min(bits, max(0, int(many_words / per_filter)).bit_length())
     cut = min(step, whole)
