@@ -15,6 +15,7 @@ from auditloom.functions import scalars as X
 from auditloom.functions import settings as S
 from auditloom.operators import labels as L
 from auditloom.operators.identity import overlap_join
+from auditloom.operators.scratch import written
 
 #: atom: (stage, tactics, techniques, prerequisite atoms). Fixed values.
 ATOMS = {
@@ -196,8 +197,21 @@ def pair_facts(signals: DataFrame, earlier: str, later: str, most: int, minutes:
     All events are judged, but no pair is formed beyond those that the ids come from: along a path whose times do not fall, the nearest later event decides
     whether an event has a pair, so a running look-ahead answers. Paths whose times do fall somewhere are answered from their pairs. A missing time passes.
     """
-    reach = int(minutes * 60_000_000)
-    both = signals.where(F.col("signal").isin(earlier, later)).select("path_id", "event_id", "order_index", "us", "process_guid", (F.col("signal") == later).alias("_is_later"))
+    rows = signals.where(F.col("signal").isin(earlier, later)).select("path_id", "event_id", "order_index", "us", "process_guid", (F.col("signal") == later).alias("_is_later"))
+    return _facts(rows, most, int(minutes * 60_000_000))
+
+
+def pair_columns(signals: DataFrame, kinds: dict[str, tuple[str, str]], most: int, minutes: float = PAIR_MINUTES) -> DataFrame:
+    """(path_id, a struct of same and ids for each kind): pair_facts of several pairs of signals, earlier and later, at once; a path without pairs of a kind has null there."""
+    takes = F.array_compact(F.array(*[F.when(F.col("signal").isin(a, b), F.struct(F.lit(k).alias("kind"), (F.col("signal") == b).alias("_is_later"))) for k, (a, b) in kinds.items()]))
+    rows = signals.where(F.col("signal").isin([x for pair in kinds.values() for x in pair])).withColumn("_x", F.explode(takes))
+    rows = rows.select(F.struct("path_id", "_x.kind").alias("path_id"), "event_id", "order_index", "us", "process_guid", "_x._is_later")
+    facts = _facts(rows, most, int(minutes * 60_000_000)).select("path_id.path_id", "path_id.kind", F.struct("same", "ids").alias("_f"))
+    return facts.groupBy("path_id").agg(*[F.first(F.when(F.col("kind") == k, F.col("_f")), ignorenulls=True).alias(k) for k in kinds])
+
+
+def _facts(both: DataFrame, most: int, reach: int) -> DataFrame:
+    """pair_facts of rows (path_id of any type, event_id, order_index, us, process_guid, _is_later)."""
     seen = Window.partitionBy("path_id").orderBy("order_index", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     falls = both.withColumn("_falls", F.col("us") < F.max("us").over(seen)).groupBy("path_id").agg(F.bool_or(F.coalesce("_falls", F.lit(False))).alias("_falls"))
     even, uneven = (both.join(falls.where(c), "path_id", "left_semi") for c in (~F.col("_falls"), F.col("_falls")))
@@ -229,7 +243,7 @@ def pair_facts(signals: DataFrame, earlier: str, later: str, most: int, minutes:
     near = near.where(F.coalesce(F.col("_lus") - F.col("us") <= reach, F.lit(True))).select("path_id", "_e", "event_id", "_later", "_lo")
 
     # other paths: their pairs
-    pairs = ordered_pairs(uneven.withColumn("signal", F.when(F.col("_is_later"), later).otherwise(earlier)), earlier, later, minutes)
+    pairs = ordered_pairs(uneven.withColumn("signal", F.when(F.col("_is_later"), "later").otherwise("earlier")), "earlier", "later", reach / 60_000_000)
     at = uneven.select("path_id", "event_id", "order_index", "_is_later")
     pairs = pairs.join(at.where("not _is_later").select("path_id", F.col("event_id").alias("earlier_id"), F.col("order_index").alias("_eo")), ["path_id", "earlier_id"]).join(
         at.where("_is_later").select("path_id", F.col("event_id").alias("later_id"), F.col("order_index").alias("_lo")), ["path_id", "later_id"])
@@ -251,8 +265,8 @@ def build_claims(signals: DataFrame, context: DataFrame, most: int = 8, direct:
     """
     kept = 4 * most  # evidence names three lists at most
     df = signal_lists(signals, kept).join(context, "path_id")
-    for name, earlier, later in (("_sent", "external_recv", "external_send"), ("_strong", "sensitive_strong", "external_send"), ("_weak", "sensitive_weak", "external_send")):
-        df = df.join(pair_facts(signals, earlier, later, 2 * most).select("path_id", F.struct("same", "ids").alias(name)), "path_id", "left")
+    kinds = {"_sent": ("external_recv", "external_send"), "_strong": ("sensitive_strong", "external_send"), "_weak": ("sensitive_weak", "external_send")}
+    df = df.join(written(pair_columns(signals, kinds, 2 * most), "pairs"), "path_id", "left")
     if elevations is not None:
         at = elevations.join(signals.select("path_id", "event_id", "order_index", "us", "process_guid").distinct(), ["path_id", "event_id"], "left")
         w = Window.partitionBy("path_id").orderBy("order_index", "event_id")
