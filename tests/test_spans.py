@@ -40,3 +40,10 @@ def test_time_match_meets_spans(spark, met):
     got = K.time_match(paths(spark).union(paths(spark).limit(1)), windows(spark), 10, 0)
     assert got.count() == 101 * 100 and got.where("strict and loose and not near_miss and overlap = 100").count() == 101 * 100
     assert met == [(2, 1)]
+
+
+def test_merge_broad_techniques_meets_spans(spark, met):
+    w = windows(spark)
+    broad = w.withColumn("gt_techniques", F.array("window_id"))
+    got = {(r.window_id, *r.broad_techniques) for r in K.merge_broad_techniques(w, broad.union(spark.createDataFrame([("a", 1, 0, 999, "confirmed", ["short"])], broad.schema))).collect()}
+    assert got == {(f"w{i}", "w100") for i in range(100, 200)} and met == [(1, 2)]
