@@ -47,3 +47,32 @@ def test_merge_broad_techniques_meets_spans(spark, met):
     broad = w.withColumn("gt_techniques", F.array("window_id"))
     got = {(r.window_id, *r.broad_techniques) for r in K.merge_broad_techniques(w, broad.union(spark.createDataFrame([("a", 1, 0, 999, "confirmed", ["short"])], broad.schema))).collect()}
     assert got == {(f"w{i}", "w100") for i in range(100, 200)} and met == [(1, 2)]
+
+
+def test_offset_sweep_meets_spans(spark, met):
+    w = windows(spark).select("window_id", "rlo", "rhi")
+    w = w.union(spark.createDataFrame([("w199", 5000, 6000), ("none", 9000, None)], "window_id string, rlo int, rhi int"))
+    hits = spark.createDataFrame([(1, "s1", "o1", 1, "R", 10), (2, "s1", "o2", 1, "R", 20), (3, "s2", "o1", 2, "W", 5500)], "event_id int, subject string, object string, term int, action string, lo int")
+    got = {(r.window_id, r.offset): (r.hits, r.subjects, r.objects, r.terms, r.malicious_subjects, r.malicious, len(r.actions)) for r in I.offset_sweep(hits, w, spark.createDataFrame([(0,), (9999,)], "offset int"), spark.createDataFrame([("s1",), ("o1",)], "node_id string")).collect()}
+    assert len(got) == 202 and all(got[f"w{i}", 0] == (2, 1, 2, 1, 1, 2, 1) for i in range(100, 199)) and got["w199", 0] == (3, 2, 2, 2, 1, 2, 2)
+    assert all(v == (0, 0, 0, 0, 0, 0, 0) for (w, o), v in got.items() if o or w == "none") and met == [(3, 8)]
+
+
+def test_task_window_diagnosis_meets_spans(spark, met):
+    tasks = paths(spark).select(F.col("path_id").alias("task_id"), "lo", "hi", F.lit(9).alias("n_nodes"), F.lit(1).alias("n_boundary"), F.lit(False).alias("shared"))
+    more = spark.createDataFrame([("p1", 500, 600, 9, 1, False), ("timeless", None, 5, 9, 1, False)], tasks.schema)
+    got = {(r.task_id, r.lo): (r.window_ids, r.attempted_ids, r.cause) for r in I.task_window_diagnosis(tasks.union(more), windows(spark)).collect()}
+    ok, tried = [f"w{i}" for i in range(100, 200) if i % 3 != 1], [f"w{i}" for i in range(100, 200) if i % 3 == 1]
+    assert len(got) == 202 and got["timeless", None] == ([], [], "unknown") and got["p3", 90_000] == ([], [], "unknown")
+    assert got["p0", 0] == got["p1", 500] == got["p1", 90_000] == (ok, tried, None) and met == [(4, 1)]
+
+
+def test_diagnosis_takes_all_lines_and_whole_windows(spark):
+    """No query set of orders, and windows of a day and a half as in the other queries of windows."""
+    from auditloom.plans import evidence_plans, registry
+
+    sf = "/root/testdata/sf0.001"
+    lines = evidence_plans.line_tasks(spark, sf).select("task_id", "lo").distinct()
+    out = registry.queries()["c23_task_window_diagnosis"](spark, sf)
+    assert out.count() == lines.count() and out.select("task_id").distinct().count() == lines.select("task_id").distinct().count()
+    assert registry.queries()["c23_span_summary"](spark, sf).first()["count"] == lines.where("lo is not null").count()
