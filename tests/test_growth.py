@@ -29,3 +29,11 @@ def test_copies_are_spread(spark):
     tasks = spark.range(900).selectExpr("concat('t', id) AS task_id", "cast(id % 9 = 0 AS int) AS label", "3 AS n_nodes").coalesce(1)
     out = E.oversample_positives(tasks, tasks.limit(2), 100, 1)
     assert out.count() == 1000 and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_mappings_are_looked_up_once(spark):
+    """What is read twice is written first: plans of priors over validated mappings stay small."""
+    from auditloom.plans import registry
+
+    out = registry.queries()["j15_apply_priors"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
