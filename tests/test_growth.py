@@ -37,3 +37,15 @@ def test_mappings_are_looked_up_once(spark):
 
     out = registry.queries()["j15_apply_priors"](spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
+
+
+def test_events_are_placed_and_classed_once(spark):
+    """Queries of compaction, labels and paths start from one written table whose places come from ranges, and are those of the binding."""
+    from auditloom.plans import compact_plans, fixture
+
+    d = "/root/testdata/sf0.001"
+    e = compact_plans.events(spark, d)
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "transform" not in plan
+    want = fixture.provenance(spark, d)
+    assert e.schema.simpleString() == want.schema.simpleString() and e.exceptAll(want).isEmpty() and e.count() == want.count()
