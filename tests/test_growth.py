@@ -49,3 +49,16 @@ def test_events_are_placed_and_classed_once(spark):
     assert "Window" not in plan and "transform" not in plan
     want = fixture.provenance(spark, d)
     assert e.schema.simpleString() == want.schema.simpleString() and e.exceptAll(want).isEmpty() and e.count() == want.count()
+
+
+def test_tasks_of_an_alias_are_counted_without_copies_of_rows(spark):
+    """Lines of an alias and task are one row before tasks are counted; only the subjects' two counts expand."""
+    from auditloom.operators import identity as I
+
+    subjects = spark.createDataFrame([("a", 1, "p", "f0"), ("a", 2, "q", None), ("b", 3, None, None)], "alias string, uuid int, path string, file string")
+    events = spark.createDataFrame([(1, 60_000_000, "f1"), (1, 120_000_000, "f0"), (2, None, None), (9, 5, "f9")], "uuid int, us long, file string")
+    tasks = spark.createDataFrame([(7, 1, True), (7, 2, False), (8, 1, True), (None, 1, False), (9, 3, None)], "task_id int, node_id int, overlaps boolean")
+    out = I.alias_width(subjects, events, tasks)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 1
+    got = {r.alias: (r.uuids, r.paths, r.files, r.first_us, r.last_us, r.tasks, r.outside_tasks) for r in out.collect()}
+    assert got == {"a": (2, 2, 2, 60_000_000, 120_000_000, 2, 1), "b": (1, 0, 0, None, None, 1, 0)}
