@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators.identity import exact_quantiles
-from auditloom.operators.scratch import discard, written
+from auditloom.operators.scratch import discard, spread_join, written
 
 
 def parent_edges(subjects: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component): the smallest node of the undirected component, for nodes with an edge to another node.
 
     Alternating large-star and small-star rounds, whose number grows with the logarithm of the longest chain; each is a
-    groupBy-min joined back to the edges, so no neighbourhood is ever gathered in one row. Null ends and self-loops are
+    groupBy-min joined back to the edges, where the edges of a hub are dealt evenly: no neighbourhood is ever gathered in one row or task. Null ends and self-loops are
     ignored, repeated edges count once; an empty edge list gives an empty result. Every round is written and the one before it deleted.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
@@ -114,14 +114,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not seen[0]:
             break
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        mid = written(large, "components")
-        low = mid.groupBy("u").agg(F.min("v").alias("m"))
-        small = mid.join(low, "u").select(F.explode(F.array(
+        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0"), "components")
+        above = cur.select(F.col("v").alias("u"), F.col("u").alias("v"))  # edges go from the larger end to the smaller
+        mid = written(spread_join(above, low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        least = written(mid.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components")
+        small = spread_join(mid, least, ["u"], "n").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
         nxt = written(small.select("x.u", "x.v").where("u <> v").distinct(), "components")
-        discard(mid, cur)
+        discard(low, mid, least, cur)
         cur, last, seen = nxt, seen, mark(nxt)
         if last == seen:
             break

@@ -1,5 +1,9 @@
 """What plans shuffle and where they compute, so that work grows with the input."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from auditloom.operators import claims as J
 from auditloom.operators import features as E
 
@@ -62,3 +66,39 @@ def test_tasks_of_an_alias_are_counted_without_copies_of_rows(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 1
     got = {r.alias: (r.uuids, r.paths, r.files, r.first_us, r.last_us, r.tasks, r.outside_tasks) for r in out.collect()}
     assert got == {"a": (2, 2, 2, 60_000_000, 120_000_000, 2, 1), "b": (1, 0, 0, None, None, 1, 0)}
+
+
+def test_edges_of_a_hub_are_dealt_evenly(spark):
+    """Stars around the smallest and the largest node: no task of connected_components reads the edges of a whole star."""
+    from auditloom.operators import graph as G
+
+    n, sc, conf = 16_000, spark.sparkContext, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    edges = spark.range(1, n + 1).selectExpr("0L AS a", "id AS b").union(spark.range(1, n + 1).selectExpr(f"{10 * n}L AS a", f"{2 * n} + id AS b"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("hubs", "hubs")
+        got = {tuple(r) for r in G.connected_components(edges).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    ids = range(1, n + 1)
+    assert got == {(0, 0), (10 * n, 2 * n + 1), *((i, 0) for i in ids), *((2 * n + i, 2 * n + 1) for i in ids)}
+    tracker, store, most = sc.statusTracker(), sc._jsc.sc().statusStore(), 0
+    for job in tracker.getJobIdsForGroup("hubs"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 1000)
+            for i in range(tasks.size()):
+                m = tasks.apply(i).taskMetrics()
+                most = max(most, m.get().shuffleReadMetrics().recordsRead() if m.isDefined() else 0)
+    assert 0 < most < n
+
+
+def test_hot_rows_are_dealt_by_their_salt(spark):
+    from auditloom.operators.scratch import spread_join
+
+    rows = spark.range(1000).selectExpr("id % 3 AS u", "id AS v")
+    out = spread_join(rows, rows.groupBy("u").agg(F.max("v").alias("top"), F.count("*").alias("n")), ["u"], "n")
+    assert re.search(r"_salt#\d+L? = _salt#\d+L?", out._jdf.queryExecution().optimizedPlan().toString())
