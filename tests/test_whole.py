@@ -25,3 +25,13 @@ def test_path_stages_take_all_bridges_of_an_object(spark, tmp_path):
     assert {r.chain[1] for r in out.collect() if r.chain[0] == "p70" and len(r.chain) == 2} == {f"p{u}" for u in readers}
     assert difference(out, connect(d), registry.oracle_sql()["i04_path_stages"]) == ""
     assert registry.queries()["h07_bridge_edges"](spark, d).count() == 20  # its SQL has the first twenty of an object
+
+
+def test_rescued_chains_have_all_processes(spark):
+    """Eight processes with precursor events and a sibling that starts near one; another starts too late."""
+    from auditloom.operators import paths as P
+
+    states = spark.createDataFrame([("t", f"p{i}", "root", i * 60_000_000) for i in range(9)] + [("t", "late", "root", 3_600_000_000)], "task_id string, process_guid string, parent_process_guid string, first_us long")
+    pre = spark.createDataFrame([("t", f"p{i}", i) for i in reversed(range(8))], "task_id string, process_guid string, event_id int")
+    none = spark.createDataFrame([], "task_id string, families array<string>")
+    assert [(r.task_id, r.chain) for r in P.rescue_precursor(pre, states, none, 60).collect()] == [("t", [f"p{i}" for i in range(9)])]
