@@ -1,5 +1,7 @@
 """Joins of intervals meet distinct spans of time, not rows: many rows of equal times cost what one does, and each row gets its own answer."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,25 @@ def test_diagnosis_takes_all_lines_and_whole_windows(spark):
     out = registry.queries()["c23_task_window_diagnosis"](spark, sf)
     assert out.count() == lines.count() and out.select("task_id").distinct().count() == lines.select("task_id").distinct().count()
     assert registry.queries()["c23_span_summary"](spark, sf).first()["count"] == lines.where("lo is not null").count()
+
+
+def test_diagnosis_shuffles_no_lists_of_tasks(spark):
+    """Five hundred tasks of times of their own, each within the same fifteen hundred windows: what is shuffled does not hold a list for each."""
+    n = 500
+    tasks = spark.range(n).selectExpr("concat('t', id) AS task_id", "id AS lo", "id + 7 AS hi", "9 AS n_nodes", "1 AS n_boundary", "false AS shared")
+    tasks = tasks.union(tasks.selectExpr("task_id", "lo + 9000", "hi + 9000", "n_nodes", "n_boundary", "shared"))
+    held = spark.range(1500).selectExpr("md5(cast(id AS string)) AS window_id", "0L AS rlo", "20000L AS rhi", "if(id % 5 = 0, 'attempted_failed', 'confirmed') AS status")
+    sc, limit = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sc.setJobGroup("lists", "lists")
+        got = I.task_window_diagnosis(tasks, held).selectExpr("sha2(array_join(window_ids, ' '), 256) AS a", "sha2(array_join(attempted_ids, ' '), 256) AS b").groupBy("a", "b").count().collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    names = [[hashlib.md5(str(i).encode()).hexdigest() for i in range(1500) if (i % 5 == 0) == tried] for tried in (False, True)]
+    assert [tuple(r) for r in got] == [(*(hashlib.sha256(" ".join(sorted(x)).encode()).hexdigest() for x in names), 2 * n)]
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup("lists") for s in tracker.getJobInfo(job).stageIds}
+    most = max(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s))
+    assert 0 < most < 5_000_000
