@@ -44,6 +44,16 @@ def test_time_match_meets_spans(spark, met):
     assert met == [(2, 1)]
 
 
+def test_pairs_of_rows_compute_nothing(spark):
+    """The ratio is rounded for spans, so the last join of k01 copies values only."""
+    from auditloom.plans import registry
+
+    plan = registry.queries()["k01_time_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan.split("Join", 1)[0] and "round(" in plan
+    got = K.time_match(paths(spark).withColumn("hi", F.col("hi") + 200), windows(spark).withColumn("rlo", F.lit(200)), places=1)
+    assert {(r.overlap, r.ratio) for r in got.collect()} == {(100.0, 0.3)}
+
+
 def test_merge_broad_techniques_meets_spans(spark, met):
     w = windows(spark)
     broad = w.withColumn("gt_techniques", F.array("window_id"))
