@@ -35,6 +35,17 @@ def test_copies_are_spread(spark):
     assert out.count() == 1000 and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_names_of_copies_are_made_once(spark):
+    """Numbers and names come from a broadcast, by the thousand; what is computed for each copy is a hash and one text."""
+    tasks = spark.range(4500).selectExpr("concat('t', id) AS task_id", "cast(id % 1500 = 0 AS int) AS label", "3 AS n_nodes")
+    out = E.oversample_positives(tasks, tasks.limit(2), 2, 1)
+    assert "lpad" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    got = out.collect()
+    assert sorted((r.task_id, r.base_id) for r in got) == sorted((f"{t}_aug{str(c).zfill(3)[:3]}", t) for t in ("t0", "t1500", "t3000") for c in range(1, 2252))
+    assert {r.prototype for r in got} == {0, 1} and {r.place for r in got} == {0, 1, 2}
+    assert E.oversample_positives(tasks, tasks.limit(2), 4501, 0).count() == 0
+
+
 def test_mappings_are_looked_up_once(spark):
     """What is read twice is written first: plans of priors over validated mappings stay small."""
     from auditloom.plans import registry
